@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from . import license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc_zip
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), warc_zip.package_folder(spark))
+    return warc_zip.read_packages(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_mix_sources": op6_mix_sources,
         "op7_license_scan": op7_license_scan,
+        "op8_warc_zip": op8_warc_zip,
         "op9_secret_scan": op9_secret_scan,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
