@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc_zip
+from . import decontaminate, license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc_zip
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_texts(docs, field)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.to_json("spans").alias("spans"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -52,6 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_substring_dedup": op4_substring_dedup,
