@@ -95,9 +95,10 @@ def min_cost_flow(patterns: Sequence[tuple[tuple[int, ...], int]], quota: Sequen
             b = via[b][3][0]
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 7, most_patterns: int = 100_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 7, most_patterns: int = 100_000, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs (doc_id, text, source[, serves]): doc_id, source, size, source_size,
-    target, taken.
+    target, taken, and the columns in keep.  Nothing but a 4096th part of each pattern is shuffled with
+    these columns.
 
     serves, an array of sources, says which quotas a document can fill; without it, its own source
     alone.  taken counts words with repeats: a whole number of uses, but for the one document in
@@ -106,8 +107,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     serves = F.sort_array(F.array_distinct("serves")) if "serves" in docs.columns else F.array("source")
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != F.lit(""))).cast("long")
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = stash(docs.select(F.col("doc_id").cast("long"), "source", serves.alias("serves"), size.alias("size"), draw.alias("draw")), "mix-sizes")
-    sources = [(r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    columns = [F.col("doc_id").cast("long"), "source", serves.alias("serves"), size.alias("size"), draw.alias("draw")]
+    sized = stash(docs.select(*columns), "mix-sizes")
+    sources = [(r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(most_patterns + 1).collect()]
+    if len(sources) > most_patterns:
+        raise ValueError(f"more than {most_patterns} sources")
     sources.sort(key=lambda x: (x[0] is None, x[0] or ""))
     target = quotas(sources, weights, share, epochs) if sum(n for _, n in sources) else [0.0] * len(sources)
     at = {s: i for i, (s, _) in enumerate(sources)}
@@ -121,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     # Both tables below hold a row per source or pattern, whose number was checked above.
     uses = F.broadcast(spark.createDataFrame(use, "serves array<string>, uses long, rest long"))
     per_source = F.broadcast(spark.createDataFrame([(s, n, float(t)) for (s, n), t in zip(sources, target)], "source string, source_size long, target double"))
-    out = sized.join(uses, sized["serves"] == uses["serves"]).drop(uses["serves"])
+    out = (docs.select(*columns, *keep) if keep else sized).join(uses, "serves")
     # Running sums over 4096 buckets a pattern, then over the documents of one bucket of each.
     bucket = F.substring("draw", 1, 3)
     sums = sized.groupBy("serves", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
@@ -133,4 +137,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     inside = inside.withColumn("more", F.greatest(F.lit(0), F.least("size", "room"))).drop("room")
     outside = out.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("more", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
     done = inside.unionByName(outside).withColumn("taken", (F.col("uses") * F.col("size") + F.col("more")).cast("long"))
-    return done.join(per_source, done["source"].eqNullSafe(per_source["source"])).select("doc_id", done["source"], "size", "source_size", "target", "taken")
+    return done.join(per_source, done["source"].eqNullSafe(per_source["source"])).select("doc_id", done["source"], *keep, "size", "source_size", "target", "taken")

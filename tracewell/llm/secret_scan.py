@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, "+/_-=")]] =
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(":"), ord("=")]] = True
 
+_PARTS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 PARTS = "array<struct<kind:string,start:int,end:int>>"
 SCANNED = f"row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base {PARTS}, weak {PARTS}"
 
@@ -113,7 +115,6 @@ def _finds(data: bytes, what: bytes) -> Iterator[int]:
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     nothing = hashlib.sha256(b"").hexdigest()
-    parts = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text")
         n = len(texts)
@@ -130,7 +131,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base_of[lo + i] = [{"kind": k, "start": s, "end": e} for s, e, k in base]
                 weak_of[lo + i] = [{"kind": k, "start": s, "end": e} for s, e, k in weak_spans(text, base)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(row, row + n)), ids.cast(pa.int64()), *(pa.array(counts[k]) for k in LEAST), pa.array(digest, pa.string()), pa.array(base_of, parts), pa.array(weak_of, parts)],
+            [pa.array(np.arange(row, row + n)), ids.cast(pa.int64()), *(pa.array(counts[k]) for k in LEAST), pa.array(digest, pa.string()), pa.array(base_of, _PARTS), pa.array(weak_of, _PARTS)],
             ["row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "weak"],
         )
         row += n
@@ -172,24 +173,57 @@ def scan_secrets(docs: DataFrame, reach: int = 256) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size(linked).cast("long").alias("n_linked"))
 
 
+def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with each span replaced by its kind in angle brackets; spans that overlap leave one mark
+    each, but for those inside an earlier one."""
+    at, out = 0, []
+    for start, end, kind in sorted(spans):
+        if end > at:
+            out += [text[at : max(at, start)], f"<{kind}>"]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def _spotted(batches: Iterator[pa.RecordBatch], with_parts: bool) -> Iterator[pa.RecordBatch]:
+    """The rows with parts, numbered and with their parts; or else the rows without parts."""
+    row = TaskContext.get().partitionId() << 36
+    for batch in batches:
+        texts, n = batch.column("text"), batch.num_rows
+        parts: dict[int, tuple[list, list]] = {}
+        for lo, _, data, offsets in buffers(texts):
+            for i in np.flatnonzero(_suspects(data, offsets)):
+                text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+                base = base_spans(text)
+                weak = weak_spans(text, base)
+                if base or weak:
+                    parts[lo + int(i)] = (base, weak)
+        mask = np.zeros(n, dtype=bool)
+        mask[list(parts)] = True
+        if not with_parts:
+            yield batch.filter(pa.array(~mask))
+        elif parts:
+            lists = [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in parts[i][j]] for i in sorted(parts)], _PARTS) for j in (0, 1)]
+            own = batch.filter(pa.array(mask))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.arange(row, row + n)[mask]), *lists], names=[*own.schema.names, "row", "base", "weak"])
+        row += n
+
+
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts, spans = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
-        out = []
-        for text, marks in zip(texts, spans):
-            if text is not None and marks:
-                at_most, keep = 0, []
-                for kind, s, e in sorted((x.split(":") for x in marks.split(",")), key=lambda x: int(x[1])):
-                    if int(e) <= at_most:
-                        continue
-                    keep += [text[at_most : max(at_most, int(s))], f"<{kind}>"]
-                    at_most = int(e)
-                text = "".join(keep) + text[at_most:]
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
-
-
-def redact_texts(rows: DataFrame) -> DataFrame:
-    """rows (text, spans, ...) with each span of the text replaced by its kind in angle brackets."""
-    return rows.mapInArrow(_redact, rows.schema)
+        marks = batch.column(batch.schema.get_field_index("marks")).to_pylist()
+        texts = [redacted(t, [(m["start"], m["end"], m["kind"]) for m in ms]) for t, ms in zip(batch.column(at).to_pylist(), marks)]
+        keep = [i for i, name in enumerate(batch.schema.names) if name != "marks"]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in keep], names=[batch.schema.names[i] for i in keep])
+
+
+def redact(docs: DataFrame, reach: int = 256) -> DataFrame:
+    """docs (text, ...) with base and linked spans of the texts replaced by their kinds.  Only rows that
+    hold parts are written aside and joined; all others pass through one scan."""
+    schema = docs.schema
+    few = stash(docs.mapInArrow(partial(_spotted, with_parts=True), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, row long, base {PARTS}, weak {PARTS}"), "secret-texts")
+    linked = linked_parts(few.select("row", "base", "weak"), reach)
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    marked = few.join(linked, "row", "left").select(*schema.names, F.concat(base, F.coalesce("linked", none)).alias("marks"))
+    return docs.mapInArrow(partial(_spotted, with_parts=False), schema).unionByName(marked.mapInArrow(_redact, schema))
