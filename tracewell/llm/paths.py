@@ -88,13 +88,15 @@ def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int) -> D
     if length - k >= 256:
         raise ValueError("length - k must be below 256")
     again = docs.select("text").mapInArrow(partial(_anchors, symbols=symbols, length=length, k=k), "anchor long").groupBy("anchor").count().where("count >= 2").select("anchor")
+    # A table of its own, so that Spark can split the tasks of frequent anchors in the join.
+    again = stash(again, "anchors")
     every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k), "anchor long, content long, doc_id long, span long")
     return stash(every.join(again, "anchor", "left_semi"), "paths")
 
 
 def contents(found: DataFrame) -> DataFrame:
     """Per path content: n, its occurrences, and the first of them (doc_id, span)."""
-    return found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "span")).alias("first"))
+    return stash(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "span")).alias("first")), "path-contents")
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:

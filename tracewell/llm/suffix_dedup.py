@@ -2,9 +2,9 @@
 
 Anchors (see paths.py) first settle whatever is plainly unique or plainly a copy.  What is left, the
 stretches where different texts fork at a shared anchor, is dealt into shards of bounded size by
-anchor.  Each shard is sorted by induced sorting: suffixes are classified as smaller or larger than
-their successor, leftmost-smaller substrings are sorted recursively, and all others are induced from
-them in linear time.  Permuted common prefixes then tell runs of suffixes that agree in `length`
+anchor.  In a shard, stretches whose core no other one has are set aside, and the rest is sorted by
+induced sorting: suffixes are classified as smaller or larger than their successor, leftmost-smaller
+substrings are sorted recursively, and all others are induced from them in linear time.  Permuted common prefixes then tell runs of suffixes that agree in `length`
 bytes, and within a run all but the earliest (document, offset) go.  An anchor with more forks than
 fit a shard is settled by 128-bit fingerprints of its windows, which spread over all tasks.
 
@@ -42,30 +42,36 @@ def suffix_array(s: list[int], top: int) -> list[int]:
     smaller = np.append(sign[follow] > 0, True)
     left = np.zeros(n, dtype=bool)
     left[1:] = smaller[1:] & ~smaller[:-1]
-    small, leftmost = bytearray(smaller.astype(np.uint8)), np.flatnonzero(left)
+    leftmost = np.flatnonzero(left)
     ends = np.cumsum(np.bincount(array, minlength=top + 1))
     heads = np.append(0, ends[:-1])
 
+    # The symbol before each suffix if that is of the larger or the smaller type, else -1; the last
+    # entry answers for empty places.
+    before, kind = np.append(-1, array[:-1]), np.append(False, smaller[:-1])
+    larger_before = np.append(np.where(kind, -1, before), -1).tolist()
+    smaller_before = np.append(np.where(kind, before, -1), -1).tolist()
+
     def induce(order: list[int]) -> list[int]:
         out = [-1] * n
         tail = ends.tolist()
         for i in reversed(order):
             c = s[i]
-            tail[c] -= 1
-            out[tail[c]] = i
+            tail[c] = at = tail[c] - 1
+            out[at] = i
         head = heads.tolist()
         for i in out:
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
-                out[head[c]] = i - 1
-                head[c] += 1
+            c = larger_before[i]
+            if c >= 0:
+                at = head[c]
+                out[at] = i - 1
+                head[c] = at + 1
         tail = ends.tolist()
-        for at in range(n - 1, -1, -1):
-            i = out[at]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
-                tail[c] -= 1
-                out[tail[c]] = i - 1
+        for i in reversed(out):
+            c = smaller_before[i]
+            if c >= 0:
+                tail[c] = at = tail[c] - 1
+                out[at] = i - 1
         return out
 
     order = np.array(induce(leftmost.tolist()), dtype=np.int64)
@@ -135,23 +141,61 @@ def later_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, len
     return doc[later], start[later]
 
 
+def shared_stretches(pieces: list[bytes], mids: list[int], length: int, k: int, classes: int = 8) -> list[tuple[int, int, int]]:
+    """(piece, from, to) of the stretches whose windows may occur in another piece.  The windows of a
+    piece all hold the k bytes at its mid; those of one class of offsets share a core around it, and
+    where no other piece has that core, none of them has a double."""
+    room = length - k
+    cuts = [room * g // classes for g in range(classes)] + [room + 1]
+    seen: dict[bytes, int] = {}
+    cores: list[list[tuple[int, bytes]]] = []
+    for piece, mid in zip(pieces, mids):
+        own = []
+        for g in range(classes):
+            lo, hi = cuts[g], cuts[g + 1] - 1  # offsets of the mid in the windows of this class
+            # Windows of this class that lie in the piece.
+            lo_in, hi_in = max(lo, mid + length - len(piece)), min(hi, mid)
+            if lo_in <= hi_in:
+                core = piece[mid - lo : mid + length - hi]
+                own.append((g, core))
+                seen[core] = seen.get(core, 0) + 1
+        cores.append(own)
+    out = []
+    for n, (own, mid) in enumerate(zip(cores, mids)):
+        last = None
+        for g, core in own:
+            if seen[core] < 2:
+                continue
+            start, stop = max(0, mid - cuts[g + 1] + 1), min(len(pieces[n]), mid - cuts[g] + length)
+            if last is not None and last[1] == g - 1:
+                out[-1] = (n, min(start, out[-1][1]), max(stop, out[-1][2]))
+            else:
+                out.append((n, start, stop))
+            last = (n, g)
+    return out
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ask = batch.column("doc_id").to_pylist(), batch.column("ask").to_pylist()
-        rows: list[tuple[int, int, int, bytes]] = []
+        rows: list[tuple] = []
         for lo, hi, data, offsets in buffers(batch.column("text")):
             for i in range(hi - lo):
                 own = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in ask[lo + i]:
                     at = x["span"] >> 16
-                    rows.append((x["tag"], ids[lo + i], at, own[at : at + (x["span"] & 255) + length]))
-        tag, doc, at, piece = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(piece, pa.binary())], ["tag", "doc_id", "at", "piece"])
+                    rows.append((x["tag"], ids[lo + i], at, x["span"] >> 8 & 255, own[at : at + (x["span"] & 255) + length]))
+        columns = zip(*rows) if rows else ((),) * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["tag", "doc_id", "at", "mid", "piece"])
 
 
-def _sort_shard(length: int):
+def _sort_shard(length: int, k: int):
     def sort_one(shard: pa.Table) -> pa.Table:
-        doc, at = later_windows(shard.column("piece").to_pylist(), shard.column("doc_id").to_numpy(), shard.column("at").to_numpy(), length)
+        pieces = shard.column("piece").to_pylist()
+        parts = shared_stretches(pieces, shard.column("mid").to_pylist(), length, k)
+        n, start = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
+        doc, at = later_windows([pieces[i][a:b] for i, a, b in parts], shard.column("doc_id").to_numpy()[n], shard.column("at").to_numpy()[n] + start, length)
         return pa.table({"doc_id": doc, "at": at})
 
     return sort_one
@@ -192,8 +236,8 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: i
     tag = F.when(F.col("forks") > shard_pieces, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     marked = with_marks(docs, copies.select("doc_id", "span", F.lit(None).cast("long").alias("tag")).unionByName(asked.select("doc_id", "span", tag.cast("long").alias("tag"))))
     asking = marked.where(F.size("ask") > 0).select("doc_id", "text", "ask")
-    pieces = asking.select("doc_id", "text", F.filter("ask", lambda x: x["tag"] >= 0).alias("ask")).mapInArrow(partial(_pieces, length=length), "tag long, doc_id long, at long, piece binary")
-    single = pieces.groupBy("tag").applyInArrow(_sort_shard(length), "doc_id long, at long")
+    pieces = asking.select("doc_id", "text", F.filter("ask", lambda x: x["tag"] >= 0).alias("ask")).mapInArrow(partial(_pieces, length=length), "tag long, doc_id long, at long, mid long, piece binary")
+    single = pieces.groupBy("tag").applyInArrow(_sort_shard(length, k), "doc_id long, at long")
     if asked.where(F.col("forks") > shard_pieces).limit(1).count():
         hot = asking.select("doc_id", "text", F.filter("ask", lambda x: x["tag"] < 0).alias("ask")).where(F.size("ask") > 0)
         windows = hot.mapInArrow(partial(window_batches, symbols=byte_symbols, length=length), "h long, g long, doc_id long, at long")
