@@ -119,6 +119,8 @@ def permuted_prefixes(s: list[int], suffixes: list[int], most: int) -> np.ndarra
 def later_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the windows of `length` bytes in the pieces that equal a window with a smaller
     (doc, start).  Piece i stands in document docs[i] at starts[i]."""
+    if not pieces:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     s: list[int] = []
     for piece in pieces:
         s += [c + 2 for c in piece]
