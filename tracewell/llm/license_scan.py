@@ -22,24 +22,25 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash
 
-# Base phrases with their labels, and the templates.
+# Base phrases with their labels, and the templates: label, text, and the word that a
+# block must hold where the label rests on it.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "licensed under the gnu affero general public license version 3"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", None),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", None),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser"),
+    ("agpl", "licensed under the gnu affero general public license version 3", "affero"),
+    ("apache", "licensed under the apache license version 2 0", None),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", None),
+    ("cc-by", "licensed under cc by 4 0", None),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "sa"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", None),
+    ("mit", "released under the mit license", None),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", None),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", None),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", None),
+    ("public-domain", "this is free and unencumbered software released into the public domain", None),
 )
 THRESHOLD = 0.8
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,20 +71,20 @@ def _labelled(starts: Column, label: str) -> Column:
 def token_ranks(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """Rank of each template token by its count over all words of docs, rare ones first; as many
     rows reach the driver as templates have tokens."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
     seen = docs.select(F.explode(F.filter(tokens(ascii_lower(F.col("text"))), lambda w: w.isin(vocabulary))).alias("token")).groupBy("token").count()
     counts = {r.token: r["count"] for r in seen.collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
 def prefixes(ranks: dict[str, int], threshold: float, templates=TEMPLATES) -> list[tuple]:
-    """(template, label, ranks of its tokens, least overlap, prefix token, its position): a row for each
-    token of each template's prefix."""
+    """(template, label, ranks of its tokens, least overlap, prefix token, its position, the word it needs):
+    a row for each token of each template's prefix."""
     out = []
-    for n, (label, text) in enumerate(templates):
+    for n, (label, text, word) in enumerate(templates):
         own = sorted({ranks[w] for w in text.split()})
         need = math.ceil(threshold * len(own) - 1e-9)
-        out += [(n, label, own, need, own[j], j) for j in range(len(own) - need + 1)]
+        out += [(n, label, own, need, own[j], j, ranks.get(word)) for j in range(len(own) - need + 1)]
     return out
 
 
@@ -92,7 +93,8 @@ def match_blocks(blocks: DataFrame, index: DataFrame) -> DataFrame:
     doc_id, label, share for every block and template that meet the threshold."""
     met = blocks.select("doc_id", "block", F.posexplode("block").alias("i", "token")).join(F.broadcast(index), "token")
     later = F.lit(1) + F.least(F.size("own") - F.col("j") - 1, F.size("block") - F.col("i") - 1) + F.least("i", "j")
-    met = met.where((F.size("block") >= F.col("need")) & (later >= F.col("need")))
+    held = F.col("word").isNull() | F.array_contains("block", F.col("word"))
+    met = met.where((F.size("block") >= F.col("need")) & (later >= F.col("need")) & held)
     share = F.size(F.array_intersect("block", "own"))
     return met.withColumn("common", share).where(F.col("common") >= F.col("need")).select("doc_id", "label", (F.col("common") / F.size("own")).alias("share"))
 
@@ -102,7 +104,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     base_labels, labels, score."""
     ranks = token_ranks(docs, templates)
     rows = prefixes(ranks, threshold, templates)
-    index = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<int>, need int, token int, j int")
+    index = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<int>, need int, token int, j int, word int")
     leads = sorted({r[4] for r in rows})
     by_rank = sorted(ranks, key=ranks.get)
     rank = F.create_map(*[x for w, r in ranks.items() for x in (F.lit(w), F.lit(r))])
