@@ -19,6 +19,8 @@ from tracewell.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Folders of applications that set none.
+_unset: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
@@ -32,10 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """Folder that driver and executors share; a temporary one where none is set (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+    where = spark.conf.get("spark.checkpoint.dir", None) or _unset.setdefault(spark.sparkContext.applicationId, ingest.new_folder(f"file://{tempfile.gettempdir()}", "tracewell"))
     return where.rstrip("/")
 
 
