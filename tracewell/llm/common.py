@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words, for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 M64 = (1 << 64) - 1
+#: Folders of applications that set none.
+_unset: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one
     where that is unset (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+    where = spark.conf.get("spark.checkpoint.dir", None) or _unset.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/tracewell-{uuid.uuid4().hex}")
     return where.rstrip("/")
 
 
