@@ -141,6 +141,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot / size)
 
 
+def unit(v: Column) -> Column:
+    """v in doubles, scaled to length 1; a zero vector as it is."""
+    x = F.transform(v, lambda e: e.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
+    return F.transform(F.array(norm), lambda n: F.transform(x, lambda e: F.when(n == 0, e).otherwise(e / n))).getItem(0)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product, which for unit vectors is their cosine."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
 def checked_vector(v: Column, dimension: int) -> Column:
     """v, or an error where its length differs from dimension."""
     return F.when(F.size(v) == dimension, v).otherwise(F.raise_error(F.concat(F.lit("vector length "), F.size(v).cast("string"))))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import band, cosine, epoch_us, lookup
+from tracewell.functions.columns import band, cosine, dot, epoch_us, lookup, unit
 from tracewell.operators.rows import first_per_key
 from tracewell.params import KNOBS, TIER_WEIGHT
 
@@ -20,10 +20,10 @@ def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.wind
     a stretch of its own width and the two beside it, then the exact distance."""
     width = hours * 3600
     stretch = F.floor(epoch_us("ts") / (width * 1_000_000))
-    near = right.select(F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("embedding").alias("other"), stretch.alias("stretch"))
-    far = left.select("id", "ts", "embedding", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    near = right.select(F.col("id").alias("neighbour"), F.col("ts").alias("then"), unit(F.col("embedding")).alias("other"), stretch.alias("stretch"))
+    far = left.select("id", "ts", unit(F.col("embedding")).alias("embedding"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
     pairs = far.join(near, "stretch").where((F.col("id") != F.col("neighbour")) & (F.abs(epoch_us("ts") - epoch_us("then")) <= width * 1_000_000))
-    sim = cosine(F.col("embedding"), F.col("other"))
+    sim = dot(F.col("embedding"), F.col("other"))
     pairs = pairs.select("id", "neighbour", (F.round(sim, digits) if digits is not None else sim).alias("sim"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -90,10 +90,10 @@ def leader_clusters(rows: DataFrame, folder: str, low: float = KNOBS.t_low, high
     the sequential rule runs within each.  A component is read by one task, as its order demands."""
     width = hours * 3600
     stretch = F.floor(epoch_us("ts") / (width * 1_000_000))
-    then = rows.select(F.col("id").alias("b"), F.col("ts").alias("tb"), F.col("embedding").alias("eb"), stretch.alias("stretch"))
-    now = rows.select(F.col("id").alias("a"), F.col("ts").alias("ta"), F.col("embedding").alias("ea"), F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
+    then = rows.select(F.col("id").alias("b"), F.col("ts").alias("tb"), unit(F.col("embedding")).alias("eb"), stretch.alias("stretch"))
+    now = rows.select(F.col("id").alias("a"), F.col("ts").alias("ta"), unit(F.col("embedding")).alias("ea"), F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
     earlier = (F.struct("tb", "b") < F.struct("ta", "a")) & (epoch_us("ta") - epoch_us("tb") <= width * 1_000_000)
-    pairs = now.join(then, "stretch").where(earlier).select("a", "b", cosine(F.col("ea"), F.col("eb")).alias("sim"))
+    pairs = now.join(then, "stretch").where(earlier).select("a", "b", dot(F.col("ea"), F.col("eb")).alias("sim"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= k).where(F.col("sim") >= low)
     path = f"{folder}/neighbours-{uuid.uuid4().hex}"
     pairs.write.parquet(path)
