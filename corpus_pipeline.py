@@ -16,6 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules keep."""
     rules = quality_rules.learn(quality_rules.labelled_statistics(docs, table(spark, sf_dir, "labels")))
     judged = quality_rules.judge(docs.select(*COLUMNS, F.col("text").alias("body")), rules, "body", "lang", "source", "n_chars")
+    # Written before it is filtered: a filter moved below the statistics would compute them for each use.
+    judged = stash(judged, "judged")
     return judged.where("kept").withColumnRenamed("body", "text").select(*COLUMNS)
 
 
