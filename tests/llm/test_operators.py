@@ -449,6 +449,35 @@ def test_secrets(spark, corpus):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def linked_by_hand(text, reach=256):
+    base = secret_scan.base_spans(text)
+    weak = secret_scan.weak_spans(text, base)
+    role = secret_scan.ROLE
+    out = set()
+    for s, e, kind in weak:
+        near = {role[k] for a, b, k in base + weak if role[k] != role[kind] and max(a - e, s - b) <= reach}
+        if len(near) >= 2 if kind == "endpoint" else "secret" in near if kind == "id" else near:
+            out.add(f"{kind}:{s}:{e}")
+    return base, out
+
+
+def test_secret_links_at_any_shift(spark):
+    """One credential shifted over two stretches, its parts at the reach, short and long."""
+    token = "".join(hashlib.sha256(b"%d" % i).hexdigest()[:7].upper() + "g" for i in range(80))
+    texts = []
+    for shift in range(512):
+        for n, gap, tail in ((40, 230, 0), (88, 255, 600), (300, 256, 300), (88, 257, 0)):
+            texts.append(" " * shift + token[:n] + " " * gap + "https://db.example.com/" + "x" * tail)
+        texts.append(" " * shift + "https://db.example.com/" + "x" * 600 + " " * 255 + token[:88] + " " * 200 + "user_id: someone")
+    got = {r.doc_id: (set(filter(None, r.spans.split(","))), r.n_linked) for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}
+    hand = [linked_by_hand(t) for t in texts]
+    assert got == {i: ({f"{k}:{s}:{e}" for s, e, k in base} | out, len(out)) for i, (base, out) in enumerate(hand)}
+    assert [len(out) for _, out in hand[:5]] == [1, 1, 1, 0, 2]
+    # What links is redacted.
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:5 * 300:50])], "doc_id long, text string")
+    assert all(token[:40] not in r.text and "<secret>" in r.text for r in secret_scan.redact(docs).collect())
+
+
 def test_redaction(spark):
     h = "0123456789abcdef" * 2
     docs = frame(spark, [f"é token={h} end", "clean text", None, f"{h} tail"])

@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # Weak parts.
 WEAK_ID = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,}|(?:client|account|user)[_-]?(?:id|name)?[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=.-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=.-])")
 ENDPOINT = re.compile(r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
 #: Order of kinds where spans start together.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
@@ -144,11 +144,13 @@ def _role(kind: Column) -> Column:
 def linked_parts(scanned: DataFrame, reach: int) -> DataFrame:
     """(row, linked): the weak parts that complementary parts within `reach` characters support.
     A weak secret or identifier needs an identifier or a secret or endpoint near by, an endpoint
-    needs both others.  Interval join: equal (row, stretch), then the exact distance."""
-    weak = scanned.select("row", F.inline("weak")).withColumn("stretch", F.expr(f"start div {reach}"))
+    needs both others.  Interval join: equal (row, stretch), then the exact distance.  A weak part has
+    the stretches it touches, others those within `reach` of them, so parts that near share one."""
+    weak = scanned.select("row", F.inline("weak"))
+    weak = weak.withColumn("stretch", F.explode(F.sequence(F.expr(f"start div {reach}"), F.expr(f"end div {reach}"))))
     parts = scanned.select("row", F.inline(F.concat("base", "weak")))
     near = parts.select("row", _role(F.col("kind")).alias("role"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.expr(f"start div {reach} - 1"), F.expr(f"end div {reach} + 1"))).alias("stretch"))
-    # A part longer than a stretch is met through its start; the distance is that between the spans.
+    # Pairs that share several stretches meet in each; roles are a set.
     weak = weak.withColumn("role", _role(F.col("kind")))
     hits = (
         weak.alias("w").join(near.alias("n"), ["row", "stretch"])
