@@ -378,6 +378,47 @@ def test_licenses(spark, corpus):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def plain_runs(text):
+    """plain_licenses with each run of a template's length over all words as a further block."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    *rest, labels, best = plain_licenses(text)
+    labels = set(filter(None, labels.split(",")))
+    for label, t, word in license_scan.TEMPLATES:
+        own, n = set(t.split()), len(t.split())
+        for i in range(len(w)):
+            block = set(w[i : i + n])
+            if (not word or word in block) and len(own & block) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
+                labels.add(label)
+                best = max(best, len(own & block) / len(own))
+    return *rest, ",".join(sorted(labels)), best
+
+
+def test_wrapped_licenses(spark):
+    """Every template wrapped at several widths, whole and edited, amid prose of template words."""
+    rng = random.Random(11)
+    words = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()})
+    texts, whole = [], {}
+    for label, t, _ in license_scan.TEMPLATES:
+        for width in (1, 3, 5, 9, 14):
+            for edits in (0, 1, 2, 4):
+                w = t.split()
+                for _ in range(edits):
+                    k = rng.randrange(len(w))
+                    w[k : k + 1] = rng.choice([[], ["edit"], [w[k], "edit"], [rng.choice(words)]])
+                    w = w or ["edit"]
+                if not edits:
+                    whole[len(texts)] = label
+                lines = [" * " + " ".join(w[i : i + width]).title() for i in range(0, len(w), width)]
+                around = " ".join(rng.choice(words + ["so", "it"] * 20) for _ in range(rng.randrange(60)))
+                texts.append("\n".join([prose(rng, 20), around, *lines, "", around]))
+    texts.append("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files")
+    texts.append("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert got == {i: plain_runs(t) for i, t in enumerate(texts)}
+    assert all(label in got[i][5].split(",") for i, label in whole.items())
+    assert [got[len(texts) - k][5:] for k in (2, 1)] == [("mit", 1.0), ("bsd", 1.0)]
+
+
 # ------------------------------------------------------------------ op8
 
 

@@ -1,11 +1,13 @@
 """License scans: exact set-similarity join of text blocks with license templates, all in DataFrame
-functions.
+functions.  A block is a line of the text, or any run of as many words as the template has, over
+line ends, so that wrapped notices are found.
 
 Tokens that occur in templates are counted over the whole corpus and ranked, rare ones first.  A
 block that holds at least `threshold` of a template's tokens must share a token of the template's
 prefix in that order, so blocks are joined on prefix tokens alone; the length and the positional
-filter drop most of what meets, and the rest is verified on the full sets.  Templates are a fixed,
-small table.  A block is a line of the text.
+filter drop most of what meets, and the rest is verified on the full sets.  Runs that lie within one
+line add nothing to it, so only prefix tokens with template tokens of other lines near by are joined.
+Templates are a fixed, small table.
 
 Cases: a null text is empty; a text without words has n_words 0, nulls for first_word and last_word,
 empty labels and score 0; repeated rows give a row each; rows that share a doc_id (null among them)
@@ -78,13 +80,13 @@ def token_ranks(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
 
 
 def prefixes(ranks: dict[str, int], threshold: float, templates=TEMPLATES) -> list[tuple]:
-    """(template, label, ranks of its tokens, least overlap, prefix token, its position, the word it needs):
-    a row for each token of each template's prefix."""
+    """(template, label, ranks of its tokens, least overlap, prefix token, its position, the word it needs,
+    its length in words): a row for each token of each template's prefix."""
     out = []
     for n, (label, text, word) in enumerate(templates):
         own = sorted({ranks[w] for w in text.split()})
         need = math.ceil(threshold * len(own) - 1e-9)
-        out += [(n, label, own, need, own[j], j, ranks.get(word)) for j in range(len(own) - need + 1)]
+        out += [(n, label, own, need, own[j], j, ranks.get(word), len(text.split())) for j in range(len(own) - need + 1)]
     return out
 
 
@@ -99,12 +101,42 @@ def match_blocks(blocks: DataFrame, index: DataFrame) -> DataFrame:
     return met.withColumn("common", share).where(F.col("common") >= F.col("need")).select("doc_id", "label", (F.col("common") / F.size("own")).alias("share"))
 
 
+def near_leads(known: Column, leads: list[int], reach: int, least: int) -> Column:
+    """known: template tokens of a text (at, line, r) by at.  For each prefix token among them (token,
+    near: the known ones less than `reach` words away, by offset), where near has `least` tokens and
+    more than one line."""
+
+    def here(x: Column, k: Column) -> Column:
+        around = F.filter(F.slice(known, F.greatest(k - reach + 2, F.lit(1)), F.lit(2 * reach - 1)), lambda y: F.abs(y["at"] - x["at"]) < reach)
+        near = F.when(x["r"].isin(leads), F.transform(around, lambda y: F.struct((y["at"] - x["at"]).alias("at"), (y["line"] - x["line"]).alias("line"), y["r"].alias("r"))))
+        return F.struct(x["r"].alias("token"), near.alias("near"))
+
+    def tells(x: Column) -> Column:
+        return x["near"].isNotNull() & F.exists(x["near"], lambda y: y["line"] != 0) & (F.size(F.array_distinct(x["near"]["r"])) >= least)
+
+    return F.array_distinct(F.filter(F.transform(known, here), tells))
+
+
+def match_runs(leads: DataFrame, index: DataFrame) -> DataFrame:
+    """leads (doc_id, token, near) joined with the prefix index: doc_id, label, share for the best run
+    of the template's length around the token, where it meets the threshold."""
+    met = leads.join(F.broadcast(index), "token").withColumn("near", F.filter("near", lambda x: (F.abs(x["at"]) < F.col("words")) & F.array_contains(F.col("own"), x["r"])))
+    met = met.where((F.size(F.array_distinct(F.col("near.r"))) >= F.col("need")) & (F.col("word").isNull() | F.array_contains(F.col("near.r"), F.col("word"))))
+
+    def run(first: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter("near", lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + F.col("words"))), lambda x: x["r"]))
+
+    runs = F.filter(F.transform(F.filter("near", lambda x: x["at"] <= 0), run), lambda r: F.col("word").isNull() | F.array_contains(r, F.col("word")))
+    met = met.withColumn("common", F.array_max(F.transform(runs, lambda r: F.size(r))))
+    return met.where(F.col("common") >= F.col("need")).select("doc_id", "label", (F.col("common") / F.size("own")).alias("share"))
+
+
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score."""
     ranks = token_ranks(docs, templates)
     rows = prefixes(ranks, threshold, templates)
-    index = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<int>, need int, token int, j int, word int")
+    index = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<int>, need int, token int, j int, word int, words int")
     leads = sorted({r[4] for r in rows})
     by_rank = sorted(ranks, key=ranks.get)
     rank = F.create_map(*[x for w, r in ranks.items() for x in (F.lit(w), F.lit(r))])
@@ -123,8 +155,16 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     # Lines without a prefix token of some template, or with too few template tokens, match nothing.
     lines = F.filter(F.split("text", "\n"), lambda x: F.arrays_overlap(tokens(x), lead_words))
     blocks = F.when(F.arrays_overlap("w", lead_words), F.filter(F.transform(lines, block), lambda b: F.size(b) >= least)).otherwise(F.array().cast("array<array<int>>"))
-    found = stash(step.select("doc_id", F.size("w").cast("long").alias("n_words"), places.alias("places"), F.array_distinct(blocks).alias("blocks")), "license-blocks")
+    # The template tokens of texts of several lines, with their place among the words and their line.
+    worded = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(tokens(x), lambda w: F.struct(i.alias("line"), w.alias("w")))))
+    placed = F.filter(F.transform(worded, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["w"].alias("w"))), lambda x: x["w"].isin(by_rank))
+    known = F.transform(placed, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), rank[x["w"]].alias("r")))
+    known = F.when(F.arrays_overlap("w", lead_words) & F.contains("text", F.lit("\n")), known).otherwise(F.array().cast("array<struct<at:int,line:int,r:int>>"))
+    step = step.select("doc_id", F.size("w").cast("long").alias("n_words"), places.alias("places"), F.array_distinct(blocks).alias("blocks"), known.alias("known"))
+    near = near_leads(F.col("known"), leads, max(r[7] for r in rows), least)
+    found = stash(step.select("doc_id", "n_words", "places", "blocks", near.alias("leads")), "license-blocks")
     hits = match_blocks(found.where(F.size("blocks") > 0).select("doc_id", F.explode("blocks").alias("block")), index)
+    hits = hits.unionByName(match_runs(found.where(F.size("leads") > 0).select("doc_id", F.inline("leads")), index))
     hits = hits.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).withColumnRenamed("doc_id", "hit_id")
     base = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))
     added = F.coalesce("added", F.array().cast("array<string>"))
