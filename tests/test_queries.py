@@ -47,6 +47,20 @@ def test_query(spark, db, name):
         assert plain(got) == plain(db.execute(SQL[name]).df())
 
 
+def test_span_ground_items_takes_all(spark, tmp_path):
+    """More than 40 items, with gaps in their ids, and negative doc_ids."""
+    items = [(3 * i + 7, f"passage number {i} of the set") for i in range(60)]
+    docs = [(i, f"Here is passage  number {i % 60} of the set.") for i in range(-70, 130)]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["span_ground_items"](spark, str(tmp_path)).toPandas()
+    assert set(got.item_id) == {i for i, _ in items} and len(got) == len(docs) and got.grounded.all()
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert plain(got) == plain(con.execute(SQL["span_ground_items"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

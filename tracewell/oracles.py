@@ -102,6 +102,10 @@ WITH s AS (SELECT doc_id, 0 AS kind, '  ' || replace(substr(text, 1, 40), ' ', '
 UNION ALL SELECT doc_id, 1, b.text, d.text FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
 SELECT doc_id, kind, length({even('span')}) >= 3 AND contains({even('text')}, {even('span')}) AS grounded FROM s"""
 
+SQL["span_ground_items"] = f"""
+WITH b AS (SELECT item_id, text AS span, dense_rank() OVER (ORDER BY item_id) - 1 AS place, (SELECT count(DISTINCT item_id) FROM benchmark) AS n FROM benchmark WHERE item_id IS NOT NULL)
+SELECT doc_id, item_id, length({even('span')}) >= 3 AND contains({even('text')}, {even('span')}) AS grounded FROM documents JOIN b ON (doc_id % n + n) % n = place"""
+
 NUMBERS = r"list_distinct(list_transform(regexp_extract_all({x}, '[0-9]+(?:[.,][0-9]+)*'), lambda n: replace(n, ',', '')))"
 
 SQL["numbers_extract"] = f"SELECT doc_id, len(n) AS n_numbers, array_to_string(list_sort(n), ' ') AS numbers FROM (SELECT doc_id, {NUMBERS.format(x='text')} AS n FROM documents)"

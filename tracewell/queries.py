@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import claims as claim
@@ -203,7 +203,8 @@ def topic_word_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def span_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against its own opening with other quotes and spaces, and against an item."""
+    """Each document against its own opening with other quotes and spaces, and against an item of
+    ids 0 to 39; `span_ground_items` takes all items."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = d.select("doc_id", F.lit(0).alias("kind"), F.concat(F.lit("  "), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit(" \n")), F.when(F.col("doc_id") % 4 == 0, "zz").otherwise("")).alias("span"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
@@ -211,6 +212,18 @@ def span_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.ground_spans(own.unionByName(item), d).select("doc_id", "kind", "grounded")
 
 
+@query
+def span_ground_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against an item, dealt over all items by their rank."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
+    ids = b.where("item_id is not null").select("item_id").distinct()
+    most = max(ids.count(), 1)
+    ranked = ids.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("place"))
+    dealt = d.select("doc_id", F.pmod("doc_id", F.lit(most)).alias("place")).join(ranked.join(b, "item_id"), "place")
+    return ground.ground_spans(dealt.select("doc_id", "item_id", "span"), d).select("doc_id", "item_id", "grounded")
+
+
 @query
 def numbers_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of each document."""
