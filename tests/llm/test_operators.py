@@ -80,6 +80,19 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.dedup_passages(empty(spark)).count() == 0
 
 
+def test_shared_doc_ids(spark):
+    """Rows with one doc_id and different texts are documents of their own in op2, op4 and op10."""
+    rng = random.Random(4)
+    w, v = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    rows = spark.createDataFrame([(1, w, "x"), (2, v, "x"), (2, w, "x")], "doc_id long, text string, version string")
+    got = sorted((r.doc_id, r.n_removed, r.kept) for r in substring_dedup.dedup_passages(rows).collect())
+    assert got == sorted([(1, 60, ""), (2, 60, ""), (2, 0, v)])
+    got = sorted((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.dedup_bytes(rows).collect())
+    assert got == sorted([(1, 0, w), (2, len(w.encode()), ""), (2, 0, v)])
+    got = sorted((r.doc_id, r.component_id, r.kept, r.leader) for r in minhash_dedup.near_duplicates(rows).collect())
+    assert got == sorted([(1, 1, True, True), (2, 1, False, False), (2, 2, True, True)])
+
+
 def bytes_gone(texts, length):
     seen, out = set(), {}
     for i, t in enumerate(texts):
@@ -96,9 +109,9 @@ def bytes_gone(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [1500, 3])
+@pytest.mark.parametrize("shard", [1500, 40, 3])
 def test_suffix_dedup(spark, corpus, shard):
-    """Also with shards so small that anchors go the way of those with too many forks."""
+    """Also with shards so small that anchors are dealt deeper and cores to several shards."""
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(frame(spark, corpus), shard_pieces=shard).collect()}
     assert got == bytes_gone(corpus, 100)
 
@@ -115,14 +128,15 @@ def test_suffix_array():
     rng = random.Random(2)
     for _ in range(400):
         s = [rng.randint(1, rng.choice([1, 2, 5])) for _ in range(rng.randint(0, 60))] + [0]
-        sa = suffix_dedup.suffix_array(s, 5)
+        sa = suffix_dedup.suffix_array(np.array(s), rng.choice([5, 2000])).tolist()
         assert sa == sorted(range(len(s)), key=lambda i: s[i:])
-        got = suffix_dedup.permuted_prefixes(s, sa, 4)
-        for a, b in zip(sa, sa[1:]):
-            n = 0
-            while n < 4 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
-                n += 1
-            assert got[b] == n
+        for most in (4, 20):
+            got = suffix_dedup.permuted_prefixes(np.array(s), np.array(sa), most)
+            for a, b in zip(sa, sa[1:]):
+                n = 0
+                while n < most and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+                    n += 1
+                assert got[b] == n
 
 
 # ------------------------------------------------------------------ op2

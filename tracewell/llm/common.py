@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words, for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 M64 = (1 << 64) - 1
-#: Folders of applications that set none.
-_unset: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one
-    where that is unset (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or _unset.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/tracewell-{uuid.uuid4().hex}")
+    """Folder that the driver and all executors share: spark.checkpoint.dir.  Where that is unset, a
+    session on one machine (tests) gets a temporary folder; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/tracewell-{spark.sparkContext.applicationId}"
     return where.rstrip("/")
 
 
@@ -39,6 +41,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id as long, text, keep, and version: 0, or a hash of the text in rows that share a doc_id with
+    others.  Rows are told apart by (doc_id, version); those with equal texts too are one document."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    shared = stash(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count >= 2").select("doc_id"), "shared-ids")
+    if not shared.limit(1).count():
+        release(shared)
+        return docs.withColumn("version", F.lit(0).cast("long"))
+    # Few ids are shared as a rule; Spark broadcasts them while they are below its own limit.
+    shared = shared.withColumn("shared", F.lit(True))
+    return docs.join(shared, "doc_id", "left").withColumn("version", F.when(F.col("shared"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0)).cast("long")).drop("shared")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: an expression that occurs in a lambda is evaluated
     for each element, a lambda variable is not."""

@@ -13,9 +13,10 @@ Documents with equal sets are one class throughout.
 Recall of a pair at similarity 0.8 with the default 24 bands of 4: two times 3e-6 below 1.
 
 Cases: texts that are null or without words have empty sets, link with nothing and are kept; fewer
-words than a shingle make one shingle of the whole sequence; repeated rows belong to one class, so
-rows with the same doc_id are kept or dropped together; rows without a doc_id link with nothing and
-are kept; an empty table gives an empty result; further columns are ignored.
+words than a shingle make one shingle of the whole sequence; repeated rows belong to one class and are
+kept or dropped together; rows that share a doc_id but not the text are documents of their own, told
+apart by version; rows without a doc_id link with nothing and are kept; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES_A, LOWER, Rolling, buffers, mix, stash, word_spans
+from .common import BYTES_A, LOWER, Rolling, buffers, keyed, mix, release, stash, word_spans
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -49,7 +50,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
     rng = np.random.default_rng(11)
     odd = rng.integers(1, 1 << 63, 2 * bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, versions = batch.column("doc_id"), batch.column("version")
         for lo, sets in shingle_sets(batch.column("text"), size):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(n)
@@ -67,15 +68,15 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
                 band = mix(band * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
             band = mix(band + np.arange(2 * bands, dtype=np.uint64)).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(np.ascontiguousarray(x).ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array(n), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), lists(band[:, :bands]), lists(band[:, bands:])], ["doc_id", "n_shingles", "total", "other", "a", "b"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), versions.slice(lo, len(sets)), pa.array(n), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), lists(band[:, :bands]), lists(band[:, bands:])], ["doc_id", "version", "n_shingles", "total", "other", "a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids = batch.column("node")
         for lo, sets in shingle_sets(batch.column("text"), size):
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -105,50 +106,59 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stash(moved.union(above.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
 
 
+def _node() -> Column:
+    """One number for a document: its doc_id, or a hash where others share that."""
+    return F.when(F.col("version") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "version"))
+
+
 def _shared(bands: DataFrame) -> DataFrame:
-    """bands (doc_id, band) without those that only one row has."""
+    """bands (node, band) without those that only one row has."""
     again = bands.groupBy("band").count().where("count >= 2").select("band")
     return bands.join(again, "band", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, rounds: int = 2, parts: int = 64) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.  Documents link
-    with 100 * |both| >= percent * |either| of their sets of `size`-word shingles; component_id is the
-    smallest doc_id that links reach, and that document is kept."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = stash(docs.mapInArrow(partial(_signatures, size=size, bands=bands, rows=rows), "doc_id long, n_shingles long, total long, other long, a array<long>, b array<long>"), "signatures")
+    """One row per row of docs (doc_id, text): doc_id, version (see common.keyed), n_shingles,
+    component_id, kept, leader.  Documents link with 100 * |both| >= percent * |either| of their sets of
+    `size`-word shingles; component_id is the smallest doc_id that links reach, kept says that the row has
+    it, and leader that it is the first by (doc_id, version) among all rows with that component."""
+    docs = keyed(docs)
+    schema = "doc_id long, version long, n_shingles long, total long, other long, a array<long>, b array<long>"
+    signed = stash(docs.mapInArrow(partial(_signatures, size=size, bands=bands, rows=rows), schema), "signatures")
     key = ["n_shingles", "total", "other"]
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = stash(full.groupBy(key).agg(F.min(F.struct("doc_id", "a", "b")).alias("first")).select(*key, "first.*"), "classes")
+    classes = full.groupBy(key).agg(F.min(F.struct("doc_id", "version", "a", "b")).alias("first")).select(*key, "first.*")
+    classes = stash(classes.withColumn("node", _node()), "classes")
     # Bands that two classes share, first of one collection, then of the other among what is left.
-    a = _shared(classes.select("doc_id", F.explode("a").alias("band"))).groupBy("doc_id").agg(F.collect_list("band").alias("a"))
-    left = stash(classes.select("doc_id", "b", F.col("n_shingles").alias("n")).join(a, "doc_id"), "bands-a")
-    b = _shared(left.select("doc_id", F.explode("b").alias("band"))).groupBy("doc_id").agg(F.collect_list("band").alias("b"))
-    pairs = left.drop("b").join(b, "doc_id")
-    keys = pairs.select("doc_id", "n", "a", F.explode("b").alias("b")).select("doc_id", "n", "b", F.explode("a").alias("a")).select("doc_id", "n", F.xxhash64("a", "b").alias("key"))
+    a = _shared(classes.select("node", F.explode("a").alias("band"))).groupBy("node").agg(F.collect_list("band").alias("a"))
+    left = stash(classes.select("node", "b", F.col("n_shingles").alias("n")).join(a, "node"), "bands-a")
+    b = _shared(left.select("node", F.explode("b").alias("band"))).groupBy("node").agg(F.collect_list("band").alias("b"))
+    pairs = left.drop("b").join(b, "node")
+    keys = pairs.select("node", "n", "a", F.explode("b").alias("b")).select("node", "n", "b", F.explode("a").alias("a")).select("node", "n", F.xxhash64("a", "b").alias("key"))
     tables = keys.groupBy("key").count().where("count >= 2").select("key")
     keys = stash(keys.join(tables, "key", "left_semi"), "table-keys")
     fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    wanted = keys.select("doc_id").distinct()
-    sets = stash(docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    wanted = keys.select("node").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).select(_node().alias("node"), "text")
+    sets = stash(named.join(wanted, "node", "left_semi").mapInArrow(partial(_sets, size=size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("t")), "y")
+        both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
         common = F.size(F.array_intersect("s", "t"))
         return both.select("x", "y", common.alias("c"), (F.size("s") + F.size("t") - common).alias("u")).where(100 * F.col("c") >= percent * F.col("u")).select("x", "y")
 
     def placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
-            return rows.withColumn("label", F.col("doc_id"))
-        return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select(*rows.columns, F.coalesce("label", "doc_id").alias("label"))
+            return rows.withColumn("label", F.col("node"))
+        return rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("label", "node").alias("label"))
 
     # Stars: in each round a part of the tables, each led by its first document in an order that is
     # drawn anew, the same in all tables, so that a document meets few leaders.
     labels, tested = None, None
     for turn in range(rounds):
         here = placed(keys.where(F.pmod("key", F.lit(rounds)) == turn), labels)
-        lead = here.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("draw"), F.col("doc_id").alias("lead"), F.col("n").alias("m"), F.col("label").alias("lead_label"))).alias("first")).select("key", "first.*")
-        star = here.join(lead, "key").where((F.col("label") != F.col("lead_label")) & fits(F.col("n"), F.col("m"))).select(F.least("doc_id", "lead").alias("x"), F.greatest("doc_id", "lead").alias("y")).distinct()
+        lead = here.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("lead"), F.col("n").alias("m"), F.col("label").alias("lead_label"))).alias("first")).select("key", "first.*")
+        star = here.join(lead, "key").where((F.col("label") != F.col("lead_label")) & fits(F.col("n"), F.col("m"))).select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y")).distinct()
         star = stash(star if tested is None else star.join(tested, ["x", "y"], "left_anti"), "pairs")
         tested = star if tested is None else tested.union(star)
         found = stash(confirmed(star), "confirmed")
@@ -158,21 +168,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # have; documents of different components that share a band and pass this bound are compared.
     every = placed(keys, labels)
     mixed = every.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    who = stash(every.join(mixed, "key", "left_semi").select("doc_id", "n", "label").distinct(), "unsettled")
-    held = sets.join(who, "doc_id").select("doc_id", "n", "label", F.explode("shingles").alias("shingle"))
+    who = stash(every.join(mixed, "key", "left_semi").select("node", "n", "label").distinct(), "unsettled")
+    release(keys)
+    held = sets.join(who, "node").select("node", "n", "label", F.explode("shingles").alias("shingle"))
     wide = held.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("shingle")
     part = F.pmod("shingle", F.lit(parts))
-    each = held.join(wide, "shingle", "left_semi").groupBy("doc_id", "n", "label").agg(F.count(F.lit(1)).alias("shared"), F.array(*[F.count_if(part == i).cast("short") for i in range(parts)]).alias("counts"))
+    each = held.join(wide, "shingle", "left_semi").groupBy("node", "n", "label").agg(F.count(F.lit(1)).alias("shared"), F.array(*[F.count_if(part == i).cast("int") for i in range(parts)]).alias("counts"))
     able = each.where(100 * F.col("shared") >= percent * F.col("n"))
-    rest = stash(left.select("doc_id", "a").join(able, "doc_id").select("doc_id", "n", "label", "counts", F.explode("a").alias("band")), "unsettled-bands")
-    other = rest.select("band", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("label").alias("label_y"), F.col("counts").alias("counts_y"))
+    rest = stash(left.select("node", "a").join(able, "node").select("node", "n", "label", "counts", F.explode("a").alias("band")), "unsettled-bands")
+    # Of a band, the documents outside its largest component meet all others; that component is not
+    # paired with itself.
+    largest = rest.groupBy("band", "label").count().groupBy("band").agg(F.max(F.struct("count", "label")).alias("top")).select("band", F.col("top.label").alias("top"))
+    outside = rest.join(largest, "band").where("label <> top").select("band", F.col("node").alias("x"), "n", "label", "counts")
+    other = rest.select("band", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("label_y"), F.col("counts").alias("counts_y"))
     most = F.aggregate(F.zip_with("counts", "counts_y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-    near = (F.col("x") < F.col("y")) & (F.col("label") != F.col("label_y")) & fits(F.col("n"), F.col("m")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m")))
-    cross = rest.select("band", F.col("doc_id").alias("x"), "n", "label", "counts").join(other, "band").where(near).select("x", "y").distinct()
+    near = (F.col("label") != F.col("label_y")) & fits(F.col("n"), F.col("m")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m")))
+    cross = outside.join(other, "band").where(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = stash(confirmed(cross.join(tested, ["x", "y"], "left_anti")), "confirmed")
     if more.limit(1).count():
         labels = merged(labels, more)
-    found = classes.select(*key, "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select(*key, F.coalesce("label", "doc_id").alias("component_id"))
-    out = signed.select("doc_id", *key).join(found, key, "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed_classes = classes.select(*key, "doc_id", "version", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = placed_classes.groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("lead"))
+    found = placed_classes.select(*key, "label").join(firsts, "label").select(*key, "lead")
+    out = signed.select("doc_id", "version", *key).join(found, key, "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.select("doc_id", "version", "n_shingles", F.when(linked, F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.struct("doc_id", "version") == F.col("lead")).otherwise(F.lit(True)).alias("leader"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,11 +1,12 @@
-"""Windows of a fixed length that occur more than once, found without moving every window.
-
-A window of `length` symbols is an edge of a de Bruijn graph.  Edges are dealt out by anchors: the
-anchor of a window is its smallest k-gram (by hash, leftmost first), so equal windows have equal
-anchors at equal distances.  Neighbouring windows of a text share their anchor and compact to one
-path, a stretch of at most 2 * length - k symbols.  An anchor that occurs once rules out all windows
-of its path; paths with equal contents are repeated as a whole, however often they occur; and only
-where different paths fork at one anchor are single windows compared.
+"""Windows of a fixed length that may occur more than once, dealt out without moving every window.
+
+The anchor of a window is its smallest k-gram (by hash, leftmost first), so equal windows have equal
+anchors at equal distances and meet where their anchor is dealt.  Neighbouring windows of a text share
+their anchor and make one path, a stretch of at most 2 * length - k symbols.  An anchor that occurs
+once rules out all windows of its path; paths with equal contents are one class, however often it
+occurs; only where different classes fork at one anchor have their windows to be compared.
+
+Documents are told apart by (doc_id, version), see common.keyed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES_A, BYTES_B, Rolling, buffers, mix, stash, word_spans
+from .common import BYTES_A, BYTES_B, Rolling, buffers, mix, release, stash, word_spans
 
 Symbols = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -73,37 +74,42 @@ def _anchors(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int,
                 yield pa.RecordBatch.from_arrays([pa.array(found[4])], ["anchor"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k: int) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k: int, follow: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
         for lo, _, data, offsets in buffers(batch.column("text")):
             text, start, mid, more, anchor, content = paths(symbols(data, offsets), length, k)
             if len(text):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(ids[lo + text].astype(np.int64)), pa.array(start << 16 | mid << 8 | more)], ["anchor", "content", "doc_id", "span"])
+                columns = [anchor, content, ids[lo + text].astype(np.int64), versions[lo + text].astype(np.int64), start << 16 | mid << 8 | more]
+                if follow:
+                    columns.append(np.where(np.append(text[1:], -1) == text, np.append(content[1:], 0), 0))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc_id", "version", "span", "next"][: len(columns)])
 
 
-def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int) -> DataFrame:
-    """The paths (anchor, content, doc_id, span) whose anchor occurs twice or more in docs (doc_id,
-    text).  span packs first window << 16 | anchor's offset << 8 | further windows."""
+def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int, follow: bool = False) -> DataFrame:
+    """The paths (anchor, content, doc_id, version, span) whose anchor occurs twice or more in docs
+    (doc_id, version, text).  span packs first window << 16 | anchor's offset << 8 | further windows.
+    With follow there is also next, the content of the path that follows in the text, 0 at its end."""
     if length - k >= 256:
         raise ValueError("length - k must be below 256")
     again = docs.select("text").mapInArrow(partial(_anchors, symbols=symbols, length=length, k=k), "anchor long").groupBy("anchor").count().where("count >= 2").select("anchor")
     # A table of its own, so that Spark can split the tasks of frequent anchors in the join.
     again = stash(again, "anchors")
-    every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k), "anchor long, content long, doc_id long, span long")
-    return stash(every.join(again, "anchor", "left_semi"), "paths")
+    every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k, follow=follow), "anchor long, content long, doc_id long, version long, span long" + (", next long" if follow else ""))
+    found = stash(every.join(again, "anchor", "left_semi"), "paths")
+    release(again)
+    return found
 
 
-def contents(found: DataFrame) -> DataFrame:
-    """Per path content: n, its occurrences, and the first of them (doc_id, span)."""
-    return stash(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "span")).alias("first")), "path-contents")
+def classes(found: DataFrame, *more) -> DataFrame:
+    """Per class of equal paths (anchor, content): n, its occurrences, the first of them (doc_id,
+    version, span), and more aggregates."""
+    return stash(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "span")).alias("first"), *more), "path-classes")
 
 
-def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with sure, the spans that go, and ask, the spans whose windows are still to be
-    compared: from marks (doc_id, span, tag), where a null tag says sure."""
-    lists = marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("tag").isNull(), F.col("span"))).alias("sure"), F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("span", "tag"))).alias("ask"))
-    return docs.join(lists, "doc_id", "left")
+def forked(each: DataFrame) -> DataFrame:
+    """Anchors at which several classes fork, and their number."""
+    return each.groupBy("anchor").agg(F.count(F.lit(1)).alias("forks")).where("forks >= 2")
 
 
 def windows_in(spans: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -113,28 +119,9 @@ def windows_in(spans: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.unique(at[at + length <= n])
 
 
-def window_batches(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int) -> Iterator[pa.RecordBatch]:
-    """128-bit fingerprints (h, g) of the windows in the spans asked for, with doc_id and start."""
-    for batch in batches:
-        ids, ask = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("ask").to_pylist()
-        for lo, hi, data, offsets in buffers(batch.column("text")):
-            a, b, first = symbols(data, offsets)
-            a, b = Rolling(a), Rolling(b)
-            for i in range(hi - lo):
-                at = windows_in(np.array([x["span"] for x in ask[lo + i]], dtype=np.int64), length, first[i + 1] - first[i])
-                s = at + first[i]
-                yield pa.RecordBatch.from_arrays([pa.array(a.of(s, s + length).view(np.int64)), pa.array(b.of(s, s + length).view(np.int64)), pa.array(np.full(len(s), ids[lo + i], dtype=np.int64)), pa.array(at)], ["h", "g", "doc_id", "at"])
-
-
-def covered(intervals: np.ndarray, n: int) -> np.ndarray:
-    """Which of n symbols lie in any of the intervals (start, end), cut at n."""
+def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n symbols lie in any of the stretches [start, end)."""
     step = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(step, np.minimum(intervals[:, 0], n), 1)
-    np.add.at(step, np.minimum(intervals[:, 1], n), -1)
+    np.add.at(step, start, 1)
+    np.add.at(step, end, -1)
     return np.cumsum(step[:-1]) > 0
-
-
-def intervals_of(sure: np.ndarray, length: int) -> np.ndarray:
-    """Intervals of symbols that the windows of packed spans cover."""
-    start = sure >> 16
-    return np.stack([start, start + (sure & 255) + length], axis=1)

@@ -1,16 +1,21 @@
 """Suffix-array dedup over bytes: of equal strings of a given length all but the first go.
 
-Anchors (see paths.py) first settle whatever is plainly unique or plainly a copy.  What is left, the
-stretches where different texts fork at a shared anchor, is dealt into shards of bounded size by
-anchor.  In a shard, stretches whose core no other one has are set aside, and the rest is sorted by
-induced sorting: suffixes are classified as smaller or larger than their successor, leftmost-smaller
-substrings are sorted recursively, and all others are induced from them in linear time.  Permuted common prefixes then tell runs of suffixes that agree in `length`
-bytes, and within a run all but the earliest (document, offset) go.  An anchor with more forks than
-fit a shard is settled by 128-bit fingerprints of its windows, which spread over all tasks.
+Suffixes are dealt into shards by the anchors of their windows (see paths.py), so that equal windows
+always meet: whatever is plainly unique is left out, of equal stretches one stands for all, and the
+rest, stretches where different texts fork at a shared anchor, is sorted.  A shard is sorted by induced
+sorting: suffixes are classified as smaller or larger than their successor, leftmost-smaller substrings
+are sorted recursively, and all others are induced from them in linear time.  Permuted common prefixes
+then tell runs of suffixes that agree in `length` bytes, and within a run all but the earliest
+(document, offset) go.
+
+Anchors with more forks than a shard holds are dealt deeper, by the longer cores that classes of their
+windows share (a fixed number of rows for each stretch); a core that is still too frequent is dealt to
+several shards, and the earliest of each shard's runs are merged by their bytes across shards.
 
 Cases: a null text is empty; texts shorter than the length lose nothing; rows with the same doc_id
-and text count as one document, so neither repeats the other; rows without a doc_id are compared with
-nothing and lose nothing; an empty table gives an empty result; further columns are ignored.
+and text count as one document, so neither repeats the other; rows that share a doc_id but not the text
+are documents of their own, in the order of a hash of their texts; rows without a doc_id are compared
+with nothing and lose nothing; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,185 +29,285 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, stash
-from .paths import byte_symbols, contents, covered, intervals_of, repeated_paths, window_batches, with_marks
+from .common import buffers, keyed, release, stash
+from .paths import byte_symbols, classes, covered, forked, repeated_paths
+
+#: Classes of windows by the offset of their anchor; each has a core that all its windows hold.
+CORES = 8
+
+
+# ------------------------------------------------------------------ induced sorting
+
+
+def _deal(chars: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by char, rank within the char, number of each char) of chars, stable."""
+    order = np.argsort(chars, kind="stable")
+    count = np.bincount(chars, minlength=top + 1)
+    return order, np.arange(len(chars)) - np.repeat(np.cumsum(count) - count, count), count
+
+
+def _induce_buckets(s: np.ndarray, order: np.ndarray, heads: np.ndarray, ends: np.ndarray, larger_before: np.ndarray, smaller_before: np.ndarray) -> np.ndarray:
+    """Induce all suffixes from the leftmost-smaller ones in order, for a small alphabet: bucket by
+    bucket, all suffixes of a bucket that are known at a time."""
+    top = len(heads) - 1
+    out = np.full(len(s), -1, dtype=np.int64)
+    by, rank, count = _deal(s[order], top)
+    out[np.repeat(ends - count, count) + rank] = order[by]
+    tails = ends - count
+
+    def place(found: np.ndarray, before: np.ndarray, edge: np.ndarray, sign: int) -> None:
+        chars = before[found]
+        chosen = chars >= 0
+        chars, found = chars[chosen], found[chosen]
+        if len(found):
+            by, rank, count = _deal(chars, top)
+            at = np.repeat(edge, count)
+            out[at + rank if sign > 0 else at - 1 - rank] = found[by] - 1
+            edge += sign * count
+
+    head = heads.copy()
+    for c in range(top + 1):
+        at = heads[c]
+        while at < head[c]:
+            at, part = head[c], out[at : head[c]]
+            place(part, larger_before, head, 1)
+        if tails[c] < ends[c]:
+            place(out[tails[c] : ends[c]], larger_before, head, 1)
+    tail = ends.copy()
+    for c in range(top, -1, -1):
+        at = ends[c]
+        while at > tail[c]:
+            at, part = tail[c], out[tail[c] : at][::-1]
+            place(part, smaller_before, tail, -1)
+        if heads[c] < head[c]:
+            place(out[heads[c] : head[c]][::-1], smaller_before, tail, -1)
+    return out
+
+
+def _induce_names(s: np.ndarray, order: np.ndarray, heads: np.ndarray, ends: np.ndarray, larger_before: np.ndarray, smaller_before: np.ndarray) -> np.ndarray:
+    """The same, suffix by suffix, for the many names of a reduced text."""
+    s, out = s.tolist(), [-1] * len(s)
+    # A last entry answers for empty places.
+    larger, smaller = larger_before.tolist() + [-1], smaller_before.tolist() + [-1]
+    tail = ends.tolist()
+    for i in order[::-1].tolist():
+        c = s[i]
+        tail[c] = at = tail[c] - 1
+        out[at] = i
+    head = heads.tolist()
+    for i in out:
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            out[at] = i - 1
+            head[c] = at + 1
+    tail = ends.tolist()
+    for i in reversed(out):
+        c = smaller[i]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            out[at] = i - 1
+    return np.array(out, dtype=np.int64)
 
 
-def suffix_array(s: list[int], top: int) -> list[int]:
+def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
     """Suffix array of s by induced sorting.  s ends with 0, which occurs nowhere else; its symbols
     are at most top."""
     n = len(s)
     if n < 3:
-        return list(range(n - 1, -1, -1))
-    array = np.array(s, dtype=np.int64)
+        return np.arange(n - 1, -1, -1)
     # A suffix is smaller than its successor if its first unequal symbol is; equal ones follow suit.
-    sign = np.sign(np.diff(array))
+    sign = np.sign(np.diff(s))
     known = np.flatnonzero(sign)
     follow = known[np.searchsorted(known, np.arange(n - 1))]
     smaller = np.append(sign[follow] > 0, True)
     left = np.zeros(n, dtype=bool)
     left[1:] = smaller[1:] & ~smaller[:-1]
     leftmost = np.flatnonzero(left)
-    ends = np.cumsum(np.bincount(array, minlength=top + 1))
+    ends = np.cumsum(np.bincount(s, minlength=top + 1))
     heads = np.append(0, ends[:-1])
+    # The symbol before each suffix if that is of the larger or the smaller type, else -1.
+    before, kind = np.append(-1, s[:-1]), np.append(False, smaller[:-1])
+    larger_before, smaller_before = np.where(kind, -1, before), np.where(kind, before, -1)
+    induce = partial(_induce_buckets if top < 1024 else _induce_names, s, heads=heads, ends=ends, larger_before=larger_before, smaller_before=smaller_before)
 
-    # The symbol before each suffix if that is of the larger or the smaller type, else -1; the last
-    # entry answers for empty places.
-    before, kind = np.append(-1, array[:-1]), np.append(False, smaller[:-1])
-    larger_before = np.append(np.where(kind, -1, before), -1).tolist()
-    smaller_before = np.append(np.where(kind, before, -1), -1).tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        out = [-1] * n
-        tail = ends.tolist()
-        for i in reversed(order):
-            c = s[i]
-            tail[c] = at = tail[c] - 1
-            out[at] = i
-        head = heads.tolist()
-        for i in out:
-            c = larger_before[i]
-            if c >= 0:
-                at = head[c]
-                out[at] = i - 1
-                head[c] = at + 1
-        tail = ends.tolist()
-        for i in reversed(out):
-            c = smaller_before[i]
-            if c >= 0:
-                tail[c] = at = tail[c] - 1
-                out[at] = i - 1
-        return out
-
-    order = np.array(induce(leftmost.tolist()), dtype=np.int64)
+    order = induce(order=leftmost)
     order = order[left[order]]
     # Name the leftmost-smaller substrings in their order; equal ones share a name.
-    until = np.append(leftmost[1:], n - 1)
-    stop = np.zeros(n, dtype=np.int64)
-    stop[leftmost] = until
-    name, names, last, text = -1, np.zeros(n, dtype=np.int64), None, s
-    for i in order.tolist():
-        piece = text[i : stop[i] + 1]
-        if piece != last:
-            name, last = name + 1, piece
-        names[i] = name
-    reduced = names[leftmost]
-    if name + 1 < len(leftmost):
-        order = leftmost[np.array(suffix_array(reduced.tolist(), name), dtype=np.int64)]
-    return induce(order.tolist())
-
-
-def permuted_prefixes(s: list[int], suffixes: list[int], most: int) -> np.ndarray:
+    until = np.zeros(n, dtype=np.int64)
+    until[leftmost] = np.append(leftmost[1:], n - 1)
+    size = until[order] - order + 1
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = size[1:] != size[:-1]
+    same, at = np.flatnonzero(~new), 0
+    while len(same):
+        new[same[s[order[same] + at] != s[order[same - 1] + at]]] = True
+        at += 1
+        same = same[~new[same] & (at < size[same])]
+    names = np.zeros(n, dtype=np.int64)
+    names[order] = np.cumsum(new) - 1
+    last = int(new.sum()) - 1
+    if last + 1 < len(leftmost):
+        order = leftmost[suffix_array(names[leftmost], last)]
+    return induce(order=order)
+
+
+def permuted_prefixes(s: np.ndarray, suffixes: np.ndarray, most: int, pack: int = 7) -> np.ndarray:
     """For each position the length, up to most, that its suffix shares with the one before it in the
-    suffix array; computed in text order, where it falls by at most one a step."""
+    suffix array: all positions a step at a time, as long as they agree, `pack` symbols below 512 a
+    step and then one by one.  The last symbol occurs once, so nothing agrees beyond it."""
     n = len(s)
-    before = [-1] * n
-    last = -1
-    for i in suffixes:
-        before[i] = last
-        last = i
-    out, h = [0] * n, 0
-    for i in range(n):
-        j = before[i]
-        if j < 0:
-            h = 0
-            continue
-        top = min(most, n - max(i, j))
-        while h < top and s[i + h] == s[j + h]:
-            h += 1
-        out[i] = h
-        if h:
-            h -= 1
-    return np.array(out, dtype=np.int64)
+    padded = np.append(s, np.zeros(pack, dtype=np.int64))
+    packed = np.zeros(n, dtype=np.int64)
+    for i in range(pack):
+        packed |= padded[i : n + i] << (9 * i)
+    before = np.full(n, -1, dtype=np.int64)
+    before[suffixes[1:]] = suffixes[:-1]
+    out = np.zeros(n, dtype=np.int64)
+    on = np.flatnonzero(before >= 0)
+    ended = []
+    for h in range(0, most - pack + 1, pack):
+        same = packed[on + h] == packed[before[on] + h]
+        ended.append(on[~same])
+        on = on[same]
+        out[on] = h + pack
+    on = np.concatenate([*ended, on])
+    for _ in range(pack):
+        on = on[out[on] < most]
+        on = on[padded[on + out[on]] == padded[before[on] + out[on]]]
+        out[on] += 1
+    return out
 
 
-def later_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of `length` bytes in the pieces that equal a window with a smaller
-    (doc, start).  Piece i stands in document docs[i] at starts[i]."""
+def equal_windows(pieces: list[bytes], documents: list[np.ndarray], starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, run, whether earlier than all others of its run) of the windows of `length` bytes
+    in the pieces.  Piece i stands in the document (documents[0][i], documents[1][i], ...) at starts[i];
+    windows at one place of one document count once."""
     if not pieces:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    s: list[int] = []
-    for piece in pieces:
-        s += [c + 2 for c in piece]
-        s.append(1)
-    s.append(0)
-    suffixes = suffix_array(s, 257)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(bool)
+    joined = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     first = np.cumsum(sizes + 1) - (sizes + 1)
-    order = np.array(suffixes, dtype=np.int64)
-    same = permuted_prefixes(s, suffixes, length)[order] >= length
-    run = np.cumsum(~same)
+    s = np.append(joined.astype(np.int64) + 2, 0)
+    s[first + sizes] = 1
+    order = suffix_array(s, 257)
+    run = np.cumsum(permuted_prefixes(s, order, length)[order] < length)
     piece = np.searchsorted(first, order, side="right") - 1
     inside = order + length <= (first + sizes)[piece]
     run, piece, order = run[inside], piece[inside], order[inside]
-    doc, start = docs[piece], starts[piece] + order - first[piece]
-    by = np.lexsort((start, doc, run))
-    run, doc, start = run[by], doc[by], start[by]
-    later = np.zeros(len(run), dtype=bool)
-    later[1:] = run[1:] == run[:-1]
-    return doc[later], start[later]
-
-
-def shared_stretches(pieces: list[bytes], mids: list[int], length: int, k: int, classes: int = 8) -> list[tuple[int, int, int]]:
-    """(piece, from, to) of the stretches whose windows may occur in another piece.  The windows of a
-    piece all hold the k bytes at its mid; those of one class of offsets share a core around it, and
-    where no other piece has that core, none of them has a double."""
+    start = starts[piece] + order - first[piece]
+    where = [d[piece] for d in documents]
+    by = np.lexsort((start, *reversed(where), run))
+    run, piece, start, where = run[by], piece[by], start[by], [d[by] for d in where]
+    begins = np.ones(len(run), dtype=bool)
+    begins[1:] = run[1:] != run[:-1]
+    again = np.zeros(len(run), dtype=bool)
+    again[1:] = ~begins[1:] & (start[1:] == start[:-1])
+    for d in where:
+        again[1:] &= d[1:] == d[:-1]
+    return piece[~again], start[~again], run[~again], begins[~again]
+
+
+# ------------------------------------------------------------------ dealing
+
+
+def core_stretches(piece: bytes, mid: int, length: int, k: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(class, core, from, to) of the stretches of a piece whose windows hold the k bytes at mid at an
+    offset of one class; all of them hold the core."""
     room = length - k
-    cuts = [room * g // classes for g in range(classes)] + [room + 1]
-    seen: dict[bytes, int] = {}
-    cores: list[list[tuple[int, bytes]]] = []
+    cuts = [room * g // CORES for g in range(CORES)] + [room + 1]
+    for g in range(CORES):
+        lo, hi = cuts[g], cuts[g + 1] - 1
+        if max(lo, mid + length - len(piece)) <= min(hi, mid):
+            yield g, piece[mid - lo : mid + length - hi], max(0, mid - hi), min(len(piece), mid - lo + length)
+
+
+def shared_stretches(pieces: list[bytes], mids: list[int], length: int, k: int) -> list[tuple[int, int, int]]:
+    """(piece, from, to) of the stretches whose core another piece has too; neighbours are joined."""
+    seen: dict[tuple[int, bytes], int] = {}
     for piece, mid in zip(pieces, mids):
-        own = []
-        for g in range(classes):
-            lo, hi = cuts[g], cuts[g + 1] - 1  # offsets of the mid in the windows of this class
-            # Windows of this class that lie in the piece.
-            lo_in, hi_in = max(lo, mid + length - len(piece)), min(hi, mid)
-            if lo_in <= hi_in:
-                core = piece[mid - lo : mid + length - hi]
-                own.append((g, core))
-                seen[core] = seen.get(core, 0) + 1
-        cores.append(own)
-    out = []
-    for n, (own, mid) in enumerate(zip(cores, mids)):
+        for g, core, _, _ in core_stretches(piece, mid, length, k):
+            seen[g, core] = seen.get((g, core), 0) + 1
+    out: list[tuple[int, int, int]] = []
+    for n, (piece, mid) in enumerate(zip(pieces, mids)):
         last = None
-        for g, core in own:
-            if seen[core] < 2:
+        for g, core, start, stop in core_stretches(piece, mid, length, k):
+            if seen[g, core] < 2:
                 continue
-            start, stop = max(0, mid - cuts[g + 1] + 1), min(len(pieces[n]), mid - cuts[g] + length)
-            if last is not None and last[1] == g - 1:
+            if last == g - 1:
                 out[-1] = (n, min(start, out[-1][1]), max(stop, out[-1][2]))
             else:
                 out.append((n, start, stop))
-            last = (n, g)
+            last = g
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The stretches asked for: whole (core null), or those of frequent anchors (shard -1) by core."""
+    names = ["shard", "core", "doc_id", "version", "at", "mid", "piece"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
-        ids, ask = batch.column("doc_id").to_pylist(), batch.column("ask").to_pylist()
+        ids, versions, ask = (batch.column(c).to_pylist() for c in ("doc_id", "version", "ask"))
         rows: list[tuple] = []
         for lo, hi, data, offsets in buffers(batch.column("text")):
             for i in range(hi - lo):
                 own = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in ask[lo + i]:
-                    at = x["span"] >> 16
-                    rows.append((x["tag"], ids[lo + i], at, x["span"] >> 8 & 255, own[at : at + (x["span"] & 255) + length]))
-        columns = zip(*rows) if rows else ((),) * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["tag", "doc_id", "at", "mid", "piece"])
+                    at, mid = x["span"] >> 16, x["span"] >> 8 & 255
+                    piece = own[at : at + (x["span"] & 255) + length]
+                    if x["tag"] >= 0:
+                        rows.append((x["tag"], None, ids[lo + i], versions[lo + i], at, mid, piece))
+                        continue
+                    for g, core, start, stop in core_stretches(piece, mid, length, k):
+                        name = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([g])).digest(), "little", signed=True)
+                        rows.append((-1, name, ids[lo + i], versions[lo + i], at + start, -1, piece[start:stop]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, types)], names)
 
 
 def _sort_shard(length: int, k: int):
     def sort_one(shard: pa.Table) -> pa.Table:
-        pieces = shard.column("piece").to_pylist()
-        parts = shared_stretches(pieces, shard.column("mid").to_pylist(), length, k)
-        n, start = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
-        doc, at = later_windows([pieces[i][a:b] for i, a, b in parts], shard.column("doc_id").to_numpy()[n], shard.column("at").to_numpy()[n] + start, length)
-        return pa.table({"doc_id": doc, "at": at})
+        pieces, mids = shard.column("piece").to_pylist(), shard.column("mid").to_pylist()
+        parts = shared_stretches(pieces, mids, length, k) if mids[0] >= 0 else [(n, 0, len(p)) for n, p in enumerate(pieces)]
+        n, begin = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
+        doc, version, at, split = (shard.column(c).to_numpy()[n] for c in ("doc_id", "version", "at", "split"))
+        pieces = [pieces[i][a:b] for i, a, b in parts]
+        piece, start, _, first = equal_windows(pieces, [doc, version], at + begin, length)
+        # The earliest of a run goes on to be merged where its core is dealt to several shards.
+        told = ~first | split[piece]
+        piece, start, first = piece[told], start[told], first[told]
+        own = start - (at + begin)[piece]
+        window = [pieces[i][a : a + length] if f else None for i, a, f in zip(piece.tolist(), own.tolist(), first.tolist())]
+        return pa.table({"doc_id": doc[piece], "version": version[piece], "at": start, "window": pa.array(window, pa.binary())})
 
     return sort_one
 
 
+def sorted_repeats(asking: DataFrame, length: int, k: int, shard_pieces: int, hot_pieces: int) -> DataFrame:
+    """(doc_id, version, at) of the windows in the stretches asked for that equal an earlier one."""
+    pieces = asking.mapInArrow(partial(_pieces, length=length, k=k), "shard long, core long, doc_id long, version long, at long, mid long, piece binary")
+    if hot_pieces:
+        # Of the stretches of frequent anchors those whose core is shared, in shards by core; a core
+        # that one shard cannot hold has several.  A table of its own, so that Spark can split the join.
+        cores = pieces.where("shard < 0")
+        often = stash(cores.groupBy("core").count().where("count >= 2").select("core", F.expr(f"cast(ceil(count / {shard_pieces}) as int)").alias("parts")), "cores")
+        part = F.pmod(F.xxhash64("doc_id", "version", "at"), F.col("parts"))
+        shards = hot_pieces * CORES // shard_pieces + 1
+        dealt = cores.drop("shard").join(often, "core").select((-1 - F.pmod(F.xxhash64("core", part), F.lit(shards))).alias("shard"), "doc_id", "version", "at", "mid", "piece", (F.col("parts") > 1).alias("split"))
+        cold = pieces.where("shard >= 0").select("shard", "doc_id", "version", "at", "mid", "piece", F.lit(False).alias("split"))
+        pieces = cold.unionByName(stash(dealt, "core-stretches"))
+    else:
+        pieces = pieces.select("shard", "doc_id", "version", "at", "mid", "piece", F.lit(False).alias("split"))
+    found = pieces.groupBy("shard").applyInArrow(_sort_shard(length, k), "doc_id long, version long, at long, window binary")
+    if not hot_pieces:
+        return found.drop("window")
+    found = stash(found, "sorted")
+    firsts = found.where("window is not null")
+    merged = firsts.groupBy("window").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    later = firsts.join(merged, "window").where(F.struct("doc_id", "version", "at") != F.col("first"))
+    return found.where("window is null").drop("window").unionByName(later.select("doc_id", "version", "at"))
+
+
 def _finish(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sure, single = batch.column("sure").to_pylist(), batch.column("single").to_pylist()
@@ -213,8 +318,9 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
                 own = data[offsets[i] : offsets[i + 1]]
                 n_bytes[lo + i] = len(own)
                 if sure[lo + i] or single[lo + i]:
-                    alone = np.array(single[lo + i] or [], dtype=np.int64)
-                    gone = covered(np.concatenate([intervals_of(np.array(sure[lo + i] or [], dtype=np.int64), length), np.stack([alone, alone + length], axis=1)]), len(own))
+                    alone, spans = np.array(single[lo + i] or [], dtype=np.int64), np.array(sure[lo + i] or [], dtype=np.int64)
+                    start = np.concatenate([alone, spans >> 16])
+                    gone = covered(start, start + length + np.concatenate([np.zeros_like(alone), spans & 255]), len(own))
                     n_removed[lo + i], n_spans[lo + i] = gone.sum(), np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1)
                     own = own[~gone]
                 body = own.tobytes()
@@ -227,23 +333,21 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
 def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: int = 1500, texts: bool = True) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the
     bytes left; empty with texts=False).  Removed is each byte covered by a string of `length` bytes
-    that also starts earlier, in a smaller doc_id or before it in the same document."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    that also starts earlier, in a smaller doc_id or before it in the same document.  shard_pieces is
+    about the number of stretches that one task sorts at a time."""
+    docs = keyed(docs)
     found = repeated_paths(docs.where(F.col("doc_id").isNotNull()), byte_symbols, length, k)
-    each = contents(found)
-    forks = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("forks")).where("forks >= 2")
-    copies = found.join(each.where("n >= 2").select("anchor", "content", "first"), ["anchor", "content"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("span") != F.col("first.span")))
-    asked = stash(each.join(forks, "anchor").select("first.doc_id", "first.span", "anchor", "forks"), "fork-paths")
-    shards = asked.count() // shard_pieces + 1
-    tag = F.when(F.col("forks") > shard_pieces, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    marked = with_marks(docs, copies.select("doc_id", "span", F.lit(None).cast("long").alias("tag")).unionByName(asked.select("doc_id", "span", tag.cast("long").alias("tag"))))
-    asking = marked.where(F.size("ask") > 0).select("doc_id", "text", "ask")
-    pieces = asking.select("doc_id", "text", F.filter("ask", lambda x: x["tag"] >= 0).alias("ask")).mapInArrow(partial(_pieces, length=length), "tag long, doc_id long, at long, mid long, piece binary")
-    single = pieces.groupBy("tag").applyInArrow(_sort_shard(length, k), "doc_id long, at long")
-    if asked.where(F.col("forks") > shard_pieces).limit(1).count():
-        hot = asking.select("doc_id", "text", F.filter("ask", lambda x: x["tag"] < 0).alias("ask")).where(F.size("ask") > 0)
-        windows = hot.mapInArrow(partial(window_batches, symbols=byte_symbols, length=length), "h long, g long, doc_id long, at long")
-        earliest = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-        single = single.unionByName(windows.join(earliest, ["h", "g"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))).select("doc_id", "at"))
-    gone = single.groupBy("doc_id").agg(F.collect_list("at").alias("single"))
-    return marked.join(gone, "doc_id", "left").select("doc_id", "text", "sure", "single").mapInArrow(partial(_finish, length=length, texts=texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    each = classes(found)
+    asked = stash(each.join(forked(each), "anchor").select("first.*", "anchor", "forks"), "fork-paths")
+    copies = found.join(each.where("n >= 2").select("anchor", "content", "first"), ["anchor", "content"]).where(F.struct("doc_id", "version", "span") != F.col("first"))
+    copies = stash(copies.select("doc_id", "version", "span"), "copies")
+    release(found, each)
+    counts = asked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("forks") > shard_pieces).alias("hot")).first()
+    shards = (counts.n - counts.hot) // shard_pieces + 1
+    tag = F.when(F.col("forks") > shard_pieces, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("long")
+    marks = copies.withColumn("tag", F.lit(None).cast("long")).unionByName(asked.select("doc_id", "version", "span", tag.alias("tag")))
+    lists = marks.groupBy("doc_id", "version").agg(F.collect_list(F.when(F.col("tag").isNull(), F.col("span"))).alias("sure"), F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("span", "tag"))).alias("ask"))
+    marked = docs.join(lists, ["doc_id", "version"], "left")
+    gone = sorted_repeats(marked.where(F.size("ask") > 0).select("doc_id", "version", "text", "ask"), length, k, shard_pieces, counts.hot)
+    gone = gone.groupBy("doc_id", "version").agg(F.collect_list("at").alias("single"))
+    return marked.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "sure", "single").mapInArrow(partial(_finish, length=length, texts=texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
