@@ -1,10 +1,14 @@
 """The ten operators against brute-force versions, and their edge cases."""
 
+import gzip
 import hashlib
 import io
+import itertools
+import json
 import math
 import random
 import re
+import time
 import zipfile
 
 import numpy as np
@@ -228,7 +232,10 @@ def test_decontaminate(spark):
 def test_items_in_blocks(spark):
     items = spark.createDataFrame([(i, f"item number {i} of the set") for i in range(20)], "item_id long, text string")
     blocks = list(decontaminate.item_blocks(items, 100))
-    assert len(blocks) > 2 and sorted(i for b in blocks for i, _ in b) == list(range(20))
+    assert len(blocks) > 2 and sorted(i for b, _ in blocks for i, _ in b) == list(range(20))
+    docs = spark.createDataFrame([(i, f"see item number {i} of the set", True) for i in range(25)], "doc_id long, text string, contaminated boolean")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_items(docs, items, 0.0, 100).collect()) == [(i, i) for i in range(20)]
+    assert {r.doc_id for r in decontaminate.flag_items(docs, items, 0.0, block_bytes=100).where("contaminated").collect()} == set(range(20))
 
 
 # ------------------------------------------------------------------ op1
@@ -347,20 +354,60 @@ def test_quotas_reshare():
     assert got[0] == 20 and sum(got) == pytest.approx(315) and got[2] == pytest.approx(2 * min(got[1], 100)) or got[2] == 200
 
 
-def test_min_cost_flow_spreads_repeats():
-    flow = mixing.min_cost_flow([((0,), 10), ((0, 1), 10), ((1,), 10)], [20, 10], 2)
-    assert sum(v for (_, s), v in flow.items() if s == 0) == 20 and sum(v for (_, s), v in flow.items() if s == 1) == 10
-    by = {}
-    for (p, _), v in flow.items():
-        by[p] = by.get(p, 0) + v
-    assert by == {0: 10, 1: 10, 2: 10}  # nobody twice while somebody is free
-    assert sum(mixing.min_cost_flow([((0,), 5)], [100], 2).values()) == 10
+def plain_flow(patterns, quota, epochs):
+    """(words, cost) of the best routing: all ways to fill each cell, one word at a time."""
+    cells = [(p, s, n) for p, (_, own) in enumerate(patterns) for s, n in own.items()]
+    best = None
+    for amounts in itertools.product(*[range(epochs * n + 1) for _, _, n in cells]):
+        per_source, per_pattern = [0] * len(quota), [0] * len(patterns)
+        for (p, s, _), v in zip(cells, amounts):
+            per_source[s] += v
+            per_pattern[p] += v
+        if all(a <= q for a, q in zip(per_source, quota)):
+            cost = sum(k // words for v, (words, _) in zip(per_pattern, patterns) for k in range(v))
+            if best is None or (-sum(amounts), cost) < best:
+                best = (-sum(amounts), cost)
+    return best
+
+
+def test_min_cost_flow():
+    rng = random.Random(12)
+    for _ in range(60):
+        patterns = []
+        for _ in range(rng.randint(1, 3)):
+            own = {s: rng.randint(1, 2) for s in rng.sample(range(2), rng.randint(1, 2))}
+            patterns.append((rng.randint(1, min(own.values())), own))
+        quota = [rng.randint(0, 6) for _ in range(2)]
+        flow = mixing.min_cost_flow(patterns, quota, 2)
+        taken = [sum(v for (p, _), v in flow.items() if p == i) for i in range(len(patterns))]
+        cost = sum(k // words for v, (words, _) in zip(taken, patterns) for k in range(v))
+        assert all(v <= 2 * patterns[p][1][s] for (p, s), v in flow.items())
+        assert all(sum(v for (_, x), v in flow.items() if x == s) <= q for s, q in enumerate(quota))
+        assert (-sum(taken), cost) == plain_flow(patterns, quota, 2)
 
 
 def test_mixing_overlap(spark):
-    rows = spark.createDataFrame([(i, "w " * 10, "a" if i < 10 else "b", ["a"] if i < 5 else ["a", "b"]) for i in range(20)], "doc_id long, text string, source string, serves array<string>")
-    out = mixing.mix_sources(rows, weights=(1, 1), share=1.0).collect()
-    assert sum(r.taken for r in out) == 200 and max(r.taken for r in out) == 10
+    """A text that two sources hold is used by the one that needs it; no closed form by source does that."""
+    rng = random.Random(3)
+    both = [f"both{i} " * 10 for i in range(10)]
+    rows = [(i, t, s) for s, shift in (("a", 0), ("b", 100)) for i, t in enumerate(both, shift)]
+    rows += [(200 + i, f"only{i} " * 10, "a") for i in range(10)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: (r.source, r.taken) for r in mixing.mix_sources(docs, weights=(1, 1), share=2 / 3).collect()}
+    assert sum(n for s, n in out.values() if s == "a") == 100 and sum(n for s, n in out.values() if s == "b") == 100
+    # Source a takes its own texts, so that none of the shared ones is used twice.
+    uses = [out[i][1] + out[100 + i][1] for i in range(10)]
+    assert uses == [10] * 10 and all(out[200 + i][1] == 10 for i in range(10))
+    # Beyond the bound on patterns texts count for each source alone; the totals are the same.
+    out = [(r.source, r.taken) for r in mixing.mix_sources(docs, weights=(1, 1), share=2 / 3, most_patterns=0).collect()]
+    assert sum(n for s, n in out if s == "a") == 100 and sum(n for s, n in out if s == "b") == 100
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", ["x"], 5, "p"), (2, "a b c", "t", None, 6, "q")], "doc_id long, text string, source string, serves array<string>, size int, pattern string")
+    out = mixing.mix_sources(docs, keep=("text", "serves", "size", "pattern"))
+    assert out.columns == ["doc_id", "source", "text", "serves", "pattern", "size", "source_size", "target", "taken"]
+    assert sorted((r.doc_id, r.size, r.pattern, r.serves) for r in out.collect()) == [(1, 2, "p", ["x"]), (2, 3, "q", None)]
 
 
 # ------------------------------------------------------------------ op7
@@ -465,6 +512,35 @@ def test_directories(zip64):
         warc_zip.members(lambda at, n: b"junk"[at : at + n], 4)
 
 
+def test_foreign_packages(spark):
+    """Several archives of other names, plain and gzipped, with a gzipped index, without one, and a
+    compressed member."""
+    response = lambda url, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: {len(body) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n".encode() + body + b"\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    plain = info + response("http://p/1", b"one") + response("http://p/2", b"two" * 1000)
+    packed = [gzip.compress(response(f"http://g/{i}", b"x" * i)) for i in range(3)]
+    lines = "".join(f"g)/{i} 2024 " + json.dumps({"filename": "rec.warc.gz", "offset": str(sum(map(len, packed[:i]))), "length": len(packed[i])}) + "\n" for i in range(3))
+    where, root = warc_zip.fs.FileSystem.from_uri(warc_zip.package_folder(spark))
+    where.create_dir(root)
+    for name, method in (("a", zipfile.ZIP_STORED), ("b", zipfile.ZIP_DEFLATED)):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.writestr("archive/deep/rec.warc.gz", b"".join(packed))
+            z.writestr("archive/more.warc", plain)
+            z.writestr("indexes/index.cdx.gz", gzip.compress(("!meta {}\n" + lines).encode()))
+            z.writestr("datapackage.json", "{}")
+        with where.open_output_stream(f"{root}/{name}.wacz") as f:
+            f.write(out.getvalue())
+    paths = spark.createDataFrame([(f"file://{root}/a.wacz",)], "path string")
+    got = {r.url: (r.payload_bytes, bytes(r.payload), r.payload_digest) for r in warc_zip.read_packages(paths, most=100).collect()}
+    want = {"http://p/1": b"one", "http://p/2": b"two" * 1000} | {f"http://g/{i}": b"x" * i for i in range(3)}
+    assert got == {u: (len(b), b, hashlib.sha256(b).hexdigest()) for u, b in want.items()}
+    with pytest.raises(Exception, match="not stored"):
+        warc_zip.read_packages(spark.createDataFrame([(f"file://{root}/b.wacz",)], "path string")).collect()
+    big = gzip.compress(bytes(range(256)) * 40, 0)
+    assert list(warc_zip.walk(lambda a, n: (big * 2)[a : a + n], 2 * len(big), step=1000)) == [(0, len(big)), (len(big), len(big))]
+
+
 def test_zip64_end_record():
     """A directory whose numbers stand in the ZIP64 records alone."""
     data = warc_zip.package([(1, "u", b"y" * 99, "d", None)])
@@ -533,6 +609,39 @@ def test_secret_links_at_any_shift(spark):
     assert all(token[:40] not in r.text and "<secret>" in r.text for r in secret_scan.redact(docs).collect())
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Runs of millions of characters of a pattern's class, dots, spaces and parts, in linear time."""
+    texts = ["a1" * 1_500_000, "a1-" * 10**6 + ":80", "a." * 10**6, "password" + " " * 10**6, "user " * 200_000, "AKIA" * 300_000, "f" * 10**6, "https://" * 10**5, ("user_id=joe " + "Zm9vYmFyMTIzNDU2Nzg5MA " * 2) * 20_000]
+    began = time.time()
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}
+    assert time.time() - began < 120 and len(rows) == len(texts)
+    assert rows[6].n_hex == 1 and rows[8].n_linked == 60_000
+
+
+def test_taken_spans():
+    rng = random.Random(9)
+    token = "".join(rng.choices("abcdefghij0123456789", k=20))
+    parts = [f"token={token}", f"https://h.example.com/{token}", token, f"user_id={token}", "db.example.com:5432", "AKIA" + token.upper()[:16], "word", "."]
+    for _ in range(300):
+        text = rng.choice(["", " ", "; "]).join(rng.choices(parts, k=rng.randint(1, 8)))
+        base = secret_scan.base_spans(text)
+        weak = secret_scan.weak_spans(text, base)
+        taken = list(base)
+        want = []
+        for kind, pattern in (("endpoint", secret_scan.ENDPOINT), ("id", secret_scan.WEAK_ID), ("secret", secret_scan.WEAK_SECRET)):
+            own = [(m.start(), m.end(), kind) for m in pattern.finditer(text) if (kind != "secret" or secret_scan._opaque(m[0])) and not any(m.start() < e and s < m.end() for s, e, _ in taken)]
+            taken += own
+            want += own
+        assert weak == sorted(want)
+
+
+def test_redaction_keeps_other_columns(spark):
+    h = "0123456789abcdef" * 2
+    docs = spark.createDataFrame([(1, f"x {h}", 7, "a"), (2, "clean", 8, "b")], "row long, text string, base long, marks string")
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "x <hex>", 7, "a"), (2, "clean", 8, "b")]
+
+
 def test_redaction(spark):
     h = "0123456789abcdef" * 2
     docs = frame(spark, [f"é token={h} end", "clean text", None, f"{h} tail"])

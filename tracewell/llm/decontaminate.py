@@ -5,11 +5,12 @@ bytes may differ by k = error_rate * n edits; it is split into k + 1 pieces, so
 the budget holds some piece unchanged.  Piece hits are found by their first eight bytes over whole
 Arrow batches, and Myers' bit-parallel distance verifies the surroundings of a hit.  The items are a
 stated query set: they go to the tasks in blocks of bounded bytes, one pass over the documents for
-each block, and documents are never shuffled.
+each block, whose results are written before the next block is fetched.  Documents are never shuffled.
 
 Cases: null or empty texts and items match nothing; items shorter than 1 / error_rate bytes must occur
 exactly; repeated rows give a match each; an empty table on either side gives no match; edits are
-counted in bytes of UTF-8; further columns are ignored by find_items and kept by flag_items.
+counted in bytes of UTF-8; further columns are ignored by find_items and kept by flag_items, which
+replaces one that has the name of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, buffers
+from .common import LOWER, NOT_SPACE, buffers, stash
 
 HEAD = 8
 _TO_SPACE = LOWER.copy()
@@ -182,31 +183,35 @@ def _flag(batches: Iterator[pa.RecordBatch], items: list, error_rate: float, nam
         yield pa.RecordBatch.from_arrays([pa.array(flags) if j == at else batch.column(j) for j in range(batch.num_columns)], names=batch.schema.names)
 
 
-def item_blocks(items: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list[tuple[int, str]]]:
-    """The items (item_id, text) in blocks of about block_bytes, which bounds what reaches the driver
-    and the tasks at once."""
+def item_blocks(items: DataFrame, block_bytes: int = 8 << 20) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """(items (item_id, text) of a block of about block_bytes, whether more blocks follow).  A block is
+    fetched when it is asked for; that bounds what the driver and the tasks hold at once."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
+        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()], b + 1 < blocks
 
 
-def find_items(docs: DataFrame, items: DataFrame, error_rate: float = 0.05) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, block_bytes: int = 8 << 20) -> DataFrame:
     """Matches of items (item_id, text) in docs (doc_id, text): doc_id, item_id, distance, start, end,
     one row for each document and item; offsets in bytes of the text, end exclusive."""
     schema = "doc_id long, item_id long, distance long, start long, end long"
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for block in item_blocks(items):
+    for block, more in item_blocks(items, block_bytes):
         found = docs.mapInArrow(partial(_find, items=block, error_rate=error_rate), schema)
+        if more or out is not None:
+            found = stash(found, "item-matches")
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def flag_items(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, name: str = "contaminated") -> DataFrame:
+def flag_items(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, name: str = "contaminated", block_bytes: int = 8 << 20) -> DataFrame:
     """docs with one more column: whether the text holds any item."""
     out = docs.withColumn(name, F.lit(False))
-    for block in item_blocks(items):
+    for block, more in item_blocks(items, block_bytes):
         out = out.mapInArrow(partial(_flag, items=block, error_rate=error_rate, name=name), out.schema)
+        if more:
+            out = stash(out, "item-flags")
     return out

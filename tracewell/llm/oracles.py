@@ -1,5 +1,5 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.  Learned verdicts, edit distances,
-secret links and byte windows are held against brute-force versions in the tests instead."""
+flows, secret links and byte windows are held against brute-force versions in the tests instead."""
 
 from __future__ import annotations
 
@@ -34,19 +34,6 @@ k AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (go
 SELECT w.doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
-def mixing() -> str:
-    return f"""
-WITH d AS (SELECT doc_id, source, len({WORDS.format(x='text')}) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY 1),
-o AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2 * n AS cap FROM s),
-r AS (SELECT *, cap / w AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_caps, sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, 1.5::DOUBLE * sum(n) OVER () AS total FROM o),
-v AS (SELECT arg_min((total - full_caps) / open_w, ratio) FILTER ((total - full_caps) / open_w <= ratio) AS level FROM r),
-t AS (SELECT source, n, least(cap::DOUBLE, w * level) AS target FROM o, v),
-u AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS q FROM t),
-x AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN q // n ELSE 0 END AS uses, CASE WHEN n > 0 THEN q % n ELSE 0 END AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, size, n AS source_size, round(target, 6) AS target, CAST(uses * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x"""
-
-
 def licenses() -> str:
     places = []
     for phrase, label in license_scan.PHRASES:
@@ -75,4 +62,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": near_duplicates(), "op4_substring_dedup": substring_dedup(), "op6_mix_sources": mixing(), "op7_license_scan": licenses(), "op8_warc_zip": archives()}
+    return {"op2_minhash_dedup": near_duplicates(), "op4_substring_dedup": substring_dedup(), "op7_license_scan": licenses(), "op8_warc_zip": archives()}

@@ -1,8 +1,10 @@
 """Secret scans: certain patterns stand alone, weak candidates count only when complementary parts
-of one credential (identifier, secret, endpoint) stand close together.
+of one credential (identifier, secret, endpoint) stand close together.  The scope of a part is what lies
+within `reach` characters of it.
 
-One Arrow pass over whole texts finds all parts; an interval join in Spark on (document, stretch of
-`reach` characters) links them.  The text itself is never shuffled, only the few parts.
+One Arrow pass over whole texts finds all parts, in time linear in the text: no pattern is tried twice
+from within one run of its characters.  An interval join in Spark on (document, stretch of `reach`
+characters) links them.  The text itself is never shuffled, only the few parts.
 
 Cases: a null text is empty; a text without parts gives zero counts, the digest of the empty string
 and empty spans; rows are judged one by one, so repeated rows and null or repeated doc_ids each give
@@ -14,15 +16,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffers, stash
 
@@ -33,8 +38,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # Weak parts.
 WEAK_ID = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,}|(?:client|account|user)[_-]?(?:id|name)?[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=.-])")
-ENDPOINT = re.compile(r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=.-])")
+ENDPOINT = re.compile(r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![a-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}\b")
 #: Order of kinds where spans start together.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 #: What each kind is within a credential.
@@ -65,15 +70,30 @@ def _opaque(token: str) -> bool:
     return bits >= 3 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the stretches that the spans cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak parts that overlap no base span; an earlier kind keeps its characters."""
-    taken, found = list(base), []
+    found: list[tuple[int, int, str]] = []
     for kind, pattern in (("endpoint", ENDPOINT), ("id", WEAK_ID), ("secret", WEAK_SECRET)):
+        starts, ends = merged(base + found)
         for m in pattern.finditer(text):
-            if kind == "secret" and not _opaque(m[0]) or any(m.start() < e and s < m.end() for s, e, _ in taken):
+            # The last taken stretch that begins before this one ends.
+            at = bisect_left(starts, m.end()) - 1
+            if at >= 0 and ends[at] > m.start() or kind == "secret" and not _opaque(m[0]):
                 continue
             found.append((m.start(), m.end(), kind))
-        taken = base + found
     return sorted(found)
 
 
@@ -187,7 +207,8 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def _spotted(batches: Iterator[pa.RecordBatch], with_parts: bool) -> Iterator[pa.RecordBatch]:
-    """The rows with parts, numbered and with their parts; or else the rows without parts."""
+    """The rows (own: all columns, text) with parts, numbered and with their parts; or else own of the
+    rows without parts."""
     row = TaskContext.get().partitionId() << 36
     for batch in batches:
         texts, n = batch.column("text"), batch.num_rows
@@ -202,30 +223,31 @@ def _spotted(batches: Iterator[pa.RecordBatch], with_parts: bool) -> Iterator[pa
         mask = np.zeros(n, dtype=bool)
         mask[list(parts)] = True
         if not with_parts:
-            yield batch.filter(pa.array(~mask))
+            yield batch.select(["own"]).filter(pa.array(~mask))
         elif parts:
             lists = [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in parts[i][j]] for i in sorted(parts)], _PARTS) for j in (0, 1)]
             own = batch.filter(pa.array(mask))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.arange(row, row + n)[mask]), *lists], names=[*own.schema.names, "row", "base", "weak"])
+            yield pa.RecordBatch.from_arrays([own.column("own"), own.column("text"), pa.array(np.arange(row, row + n)[mask]), *lists], names=["own", "text", "row", "base", "weak"])
         row += n
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        marks = batch.column(batch.schema.get_field_index("marks")).to_pylist()
-        texts = [redacted(t, [(m["start"], m["end"], m["kind"]) for m in ms]) for t, ms in zip(batch.column(at).to_pylist(), marks)]
-        keep = [i for i, name in enumerate(batch.schema.names) if name != "marks"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in keep], names=[batch.schema.names[i] for i in keep])
+@F.pandas_udf(T.StringType())
+def _redacted(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    return pd.Series([redacted(t, [(m["start"], m["end"], m["kind"]) for m in ms]) for t, ms in zip(texts, marks)])
 
 
 def redact(docs: DataFrame, reach: int = 256) -> DataFrame:
     """docs (text, ...) with base and linked spans of the texts replaced by their kinds.  Only rows that
-    hold parts are written aside and joined; all others pass through one scan."""
-    schema = docs.schema
-    few = stash(docs.mapInArrow(partial(_spotted, with_parts=True), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, row long, base {PARTS}, weak {PARTS}"), "secret-texts")
+    hold parts are written aside and joined; all others pass through one scan.  Columns of any other
+    name are kept."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
+    just = T.StructType([own.schema["own"]])
+    found = T.StructType.fromDDL(f"text string, row long, base {PARTS}, weak {PARTS}")
+    few = stash(own.mapInArrow(partial(_spotted, with_parts=True), T.StructType([*just, *found])), "secret-texts")
     linked = linked_parts(few.select("row", "base", "weak"), reach)
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    marked = few.join(linked, "row", "left").select(*schema.names, F.concat(base, F.coalesce("linked", none)).alias("marks"))
-    return docs.mapInArrow(partial(_spotted, with_parts=False), schema).unionByName(marked.mapInArrow(_redact, schema))
+    marked = few.join(linked, "row", "left").select("own", _redacted("text", F.concat(base, F.coalesce("linked", none))).alias("text"))
+    clean = own.mapInArrow(partial(_spotted, with_parts=False), just).select("own", F.col("own.text").alias("text"))
+    columns = [F.col("text") if c == "text" else F.col(f"own.`{c}`") for c in docs.columns]
+    return clean.unionByName(marked).select(*columns)

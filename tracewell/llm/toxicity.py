@@ -1,12 +1,13 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; forward-backward marginals
 give document scores and the offending spans.
 
-Learning sees at most `most_labels` labelled rows.  Spark counts in how many toxic and clean texts
-each word and word prefix stands; those that are surely more frequent in toxic ones (lower bound of
-the log odds) form a lexicon, whose hits in toxic texts are the labelled tokens.  The field has two
-states, emissions from the lexicon scores and transitions between neighbours, fitted by gradient
-ascent on the likelihood of the token labels; a logistic fit turns the marginals of a text into its
-score.
+Learning sees at most `most_labels` labelled rows, whole texts of any length.  Spark counts in how many
+toxic and clean texts each word and word prefix stands; those that are surely more frequent in toxic
+ones (lower bound of the log odds) form a lexicon of at most `most` entries.  The field has two states,
+emissions from the lexicon scores and transitions between neighbours.  Labels of documents are labels
+of their tokens: all tokens of a clean text are clean, and some token of a toxic one is toxic, but which
+ones the field finds out itself; emissions and transitions are fitted by gradient ascent on the
+likelihood of just that.  A logistic fit turns the marginals of a text into its score.
 
 Tagging passes over whole texts once, without a shuffle.  Tokens outside the lexicon all have the same
 potentials, so a stretch of n of them is the n-th power of one 2 x 2 matrix, and forward-backward is
@@ -34,8 +35,10 @@ PREFIXES = (4, 5, 6, 8)
 #: Letters, digits and bytes of characters beyond ASCII are in tokens.
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
-#: Powers of the background matrix that are kept; beyond, it has long converged.
+#: Powers of the background matrix that are kept; higher ones are multiplied from these.
 _POWERS = 1024
+#: Tokens of one stretch in the fit; longer texts are several stretches.
+STRETCH = 64
 
 
 def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -78,7 +81,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000)
 
 def lexicon(rows: DataFrame, least_texts: int = 4, least_odds: float = 1.5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """(feature hashes in order, their scores): the lower 95 % bound of the log odds of standing in a
-    toxic text."""
+    toxic text; the `most` highest, which is what the driver and each task hold."""
     totals = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = float(totals.bad or 0), float(totals.good or 0)
     if not bad or not good:
@@ -94,13 +97,13 @@ def lexicon(rows: DataFrame, least_texts: int = 4, least_odds: float = 1.5, most
 
 class Field:
     """The fitted field: lexicon, emission weights (bias, word score, prefix score), transitions, and
-    the logistic fit of document scores."""
+    the logistic fit of document scores (bias, then SUMMARY)."""
 
     def __init__(self, names: np.ndarray, odds: np.ndarray, share: float):
         self.names, self.odds = names, odds
         self.emit = np.array([-3.0, 1.0, 1.0])
         self.move = np.array([[0.0, -1.0], [0.0, 0.5]])
-        self.fit = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0])
+        self.fit = np.append(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), np.zeros(len(SUMMARY)))
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[(names >> np.uint64(42)).astype(np.int64)] = True
 
@@ -131,38 +134,56 @@ class Field:
             self.power[n] = self.power[n - 1] @ step
             self.power[n] /= self.power[n].sum()
 
+    def steps(self, n: int) -> np.ndarray:
+        """n background steps, normalised."""
+        if n < _POWERS:
+            return self.power[n]
+        more, rest = divmod(n, _POWERS - 1)
+        out, base = self.power[rest], self.power[_POWERS - 1]
+        while more:
+            if more & 1:
+                out = out @ base
+                out = out / out.sum()
+            base = base @ base
+            base, more = base / base.sum(), more >> 1
+        return out
+
     def marginals(self, positions: np.ndarray, inputs: np.ndarray, n: int) -> np.ndarray:
         """P(toxic) of the tokens at positions among n tokens; the others are background."""
         a = np.exp(self.move)
         e = np.exp(np.minimum(self.emit[0] + inputs @ self.emit[1:], 50.0))
         bias = np.exp(self.emit[0])
         m = len(positions)
-        gap = np.minimum(np.diff(np.concatenate([[-1], positions, [n]])) - 1, _POWERS - 1)
+        gap = (np.diff(np.concatenate([[-1], positions, [n]])) - 1).tolist()
         forward, back = np.empty((m, 2)), np.empty((m, 2))
         # The first token has no transition: its potentials are its emission alone.
         v = np.array([1.0, bias if positions[0] else e[0]])
         if positions[0]:
-            v = (v @ self.power[gap[0] - 1]) @ a * np.array([1.0, e[0]])
+            v = (v @ self.steps(gap[0] - 1)) @ a * np.array([1.0, e[0]])
         forward[0] = v / v.sum()
         for i in range(1, m):
-            v = (forward[i - 1] @ self.power[gap[i]]) @ a * np.array([1.0, e[i]])
+            v = (forward[i - 1] @ self.steps(gap[i])) @ a * np.array([1.0, e[i]])
             forward[i] = v / v.sum()
-        back[m - 1] = self.power[gap[m]] @ np.ones(2)
+        back[m - 1] = self.steps(gap[m]) @ np.ones(2)
         for i in range(m - 2, -1, -1):
-            v = self.power[gap[i + 1]] @ (a @ (np.array([1.0, e[i + 1]]) * back[i + 1]))
+            v = self.steps(gap[i + 1]) @ (a @ (np.array([1.0, e[i + 1]]) * back[i + 1]))
             back[i] = v / v.sum()
         both = forward * back
         return both[:, 1] / both.sum(axis=1)
 
 
-def summary(p: np.ndarray) -> tuple[float, float]:
-    """What a document score is made of: log odds of any toxic token, and the expected number of them."""
-    none = np.log1p(-np.minimum(p, 1 - 1e-9)).sum()
-    return float(np.clip(np.log(-np.expm1(none) + 1e-9) - none, -12, 12)), float(min(p.sum(), 10.0))
+#: What a document score is made of; the summary of a text without lexicon hits.
+SUMMARY = ("any", "expected", "second", "density")
+NOTHING = (-12.0, 0.0, 0.0, 0.0)
 
 
-#: The summary of a text without lexicon hits.
-NOTHING = (-12.0, 0.0)
+def summary(p: np.ndarray, size: int) -> tuple[float, ...]:
+    """Log odds of any toxic token among those with marginals p in a text of `size` bytes, the log of the
+    expected number of them, plus one, the second highest marginal, and the log of the expected number
+    in a thousand bytes, plus one."""
+    none = np.log1p(-np.minimum(p, 1 - 1e-9)).sum()
+    second = float(np.partition(p, -2)[-2]) if len(p) > 1 else 0.0
+    return float(np.clip(np.log(-np.expm1(none) + 1e-9) - none, -12, 12)), float(np.log1p(p.sum())), second, float(np.log1p(1000 * p.sum() / (size + 100)))
 
 
 def _tagged(field: Field, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -178,53 +199,95 @@ def _tagged(field: Field, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np
             yield lo + int(i), start[own] - offsets[i], end[own] - offsets[i], data[offsets[i] : offsets[i + 1]], p
 
 
-def _train(field: Field, texts: list[bytes], labels: np.ndarray, steps: int = 120, most_tokens: int = 400) -> None:
-    """Fit emissions and transitions on texts of up to most_tokens tokens, whole ones, by gradient
-    ascent on the likelihood of their token labels."""
-    seqs, tags = [], []
-    for text, toxic in zip(texts, labels):
-        data = np.frombuffer(text, dtype=np.uint8)
-        _, _, _, features = token_features(data, np.array([0, len(data)]))
-        x = field.inputs(features)
-        if 0 < len(x) <= most_tokens:
-            seqs.append(x)
-            tags.append((x.max(axis=1) >= 2.0) & bool(toxic))
-    if not seqs:
-        return
-    n, t = len(seqs), max(map(len, seqs))
-    x, y, size = np.zeros((n, t, 3)), np.zeros((n, t), dtype=np.int64), np.array([len(s) for s in seqs])
-    for i, (s, tag) in enumerate(zip(seqs, tags)):
-        x[i, : len(s), 0], x[i, : len(s), 1:], y[i, : len(s)] = 1, s, tag
+def _hits(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    """For the fit: toxic, the number of tokens of each text, the positions of its lexicon hits and their
+    inputs, two for each."""
+    for batch in batches:
+        toxic = batch.column("toxic").to_pylist()
+        for lo, hi, data, offsets in buffers(batch.column("text")):
+            _, _, first, features = token_features(data, offsets)
+            inputs = field.inputs(features)
+            hits = np.flatnonzero(inputs.any(axis=1))
+            cut = np.searchsorted(hits, first)
+            own = [hits[cut[i] : cut[i + 1]] for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(toxic[lo:hi], pa.int32()), pa.array(np.diff(first)), pa.array([h - first[i] for i, h in enumerate(own)], pa.list_(pa.int64())), pa.array([inputs[h].ravel() for h in own], pa.list_(pa.float64()))],
+                ["toxic", "n", "at", "x"],
+            )
+
+
+def _expectations(x: np.ndarray, size: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(expected features less those of the path without toxic tokens, its log probability) of padded
+    sequences x (n, t, 3): three emission features, then the four transitions."""
+    n, t, _ = x.shape
     on = np.arange(t)[None, :] < size[:, None]
+    pair = on[:, 1:]
+    a = np.exp(move)
+    e = np.exp(np.clip(x @ emit, -30, 30))
+    f, b, scale = np.empty((n, t, 2)), np.ones((n, t, 2)), np.zeros(n)
+    v = np.stack([np.ones(n), e[:, 0]], axis=1)
+    for k in range(t):
+        if k:
+            v = f[:, k - 1] @ a
+            v[:, 1] *= e[:, k]
+        total = v.sum(axis=1, keepdims=True)
+        f[:, k] = v / total
+        scale += np.where(on[:, k], np.log(total[:, 0]), 0.0)
+    for k in range(t - 2, -1, -1):
+        v = b[:, k + 1].copy()
+        v[:, 1] *= e[:, k + 1]
+        v = v @ a.T
+        b[:, k] = np.where(on[:, k + 1, None], v / v.sum(axis=1, keepdims=True), 1.0)
+    p = f * b
+    p = p[..., 1] / p.sum(axis=-1) * on
+    joint = f[:, :-1, :, None] * a * (np.stack([np.ones((n, t)), e], axis=-1) * b)[:, 1:, None, :]
+    joint = joint / joint.sum(axis=(2, 3), keepdims=True) * pair[..., None, None]
+    moves = joint.sum(axis=1).reshape(n, 4)
+    moves[:, 0] -= size - 1
+    return np.concatenate([np.einsum("ntf,nt->nf", x, p), moves], axis=1), move[0, 0] * (size - 1) - scale
+
+
+def _train(field: Field, rows: list, steps: int = 120, at_once: int = 4096) -> None:
+    """Fit emissions and transitions to rows (toxic, n, at, x of `_hits`).  Texts are cut into stretches
+    of STRETCH tokens; stretches of one length without hits are one sequence.  A clean text says that
+    all its tokens are clean, a toxic one that some is not: in the gradient a stretch counts -1 for a clean
+    text, and the odds of none against any for a toxic one."""
+    # Sequence i < STRETCH is that of i + 1 tokens without hits.
+    seqs: list[tuple[int, np.ndarray, np.ndarray]] = [(k + 1, np.zeros(0, dtype=np.int64), np.zeros((0, 2))) for k in range(STRETCH)]
+    text, seq, count = [], [], []
+    for d, r in enumerate(rows):
+        at, x = np.array(r.at, dtype=np.int64), np.array(r.x, dtype=float).reshape(-1, 2)
+        full, rest = divmod(r.n, STRETCH)
+        hit = np.unique(at // STRETCH)
+        for k in hit.tolist():
+            own = at // STRETCH == k
+            text.append(d), seq.append(len(seqs)), count.append(1)
+            seqs.append((STRETCH if k < full else rest, at[own] % STRETCH, x[own]))
+        if full - (hit < full).sum():
+            text.append(d), seq.append(STRETCH - 1), count.append(int(full - (hit < full).sum()))
+        if rest and full not in hit:
+            text.append(d), seq.append(rest - 1), count.append(1)
+    if not text:
+        return
+    toxic = np.array([bool(r.toxic) for r in rows])
+    text, seq, count = np.array(text), np.array(seq), np.array(count, dtype=float)
+    size = np.array([n for n, _, _ in seqs])
+
+    def padded(part: list) -> np.ndarray:
+        x = np.zeros((len(part), STRETCH, 3))
+        for i, (n, at, own) in enumerate(part):
+            x[i, :n, 0], x[i, at, 1:] = 1, own
+        return x
+
     theta = np.concatenate([field.emit, field.move.ravel()])
     speed, m1, m2 = 0.2, np.zeros(7), np.zeros(7)
-    pair = on[:, 1:]
-    seen = np.array([((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum() for a in (0, 1) for b in (0, 1)], dtype=float)
-    seen_emit = np.einsum("ntf,nt->f", x, (y == 1) & on)
     for step in range(1, steps + 1):
-        emit, move = theta[:3], np.exp(theta[3:].reshape(2, 2))
-        e = np.exp(np.clip(x @ emit, -30, 30))
-        f, b = np.empty((n, t, 2)), np.ones((n, t, 2))
-        f[:, 0] = np.stack([np.ones(n), e[:, 0]], axis=1)
-        f[:, 0] /= f[:, 0].sum(axis=1, keepdims=True)
-        for k in range(1, t):
-            v = f[:, k - 1] @ move
-            v[:, 1] *= e[:, k]
-            f[:, k] = v / v.sum(axis=1, keepdims=True)
-        for k in range(t - 2, -1, -1):
-            v = b[:, k + 1].copy()
-            v[:, 1] *= e[:, k + 1]
-            v = v @ move.T
-            v /= v.sum(axis=1, keepdims=True)
-            b[:, k] = np.where(on[:, k + 1, None], v, 1.0)
-        p = f * b
-        p = p[..., 1] / p.sum(axis=-1)
-        grad = np.zeros(7)
-        grad[:3] = seen_emit - np.einsum("ntf,nt->f", x, p * on)
-        joint = f[:, :-1, :, None] * move * (np.stack([np.ones((n, t)), e], axis=-1) * b)[:, 1:, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        grad[3:] = seen - (joint * pair[..., None, None]).sum(axis=(0, 1)).ravel()
-        grad = grad / n - 1e-3 * theta
+        found = [_expectations(padded(seqs[i : i + at_once]), size[i : i + at_once], theta[:3], theta[3:].reshape(2, 2)) for i in range(0, len(seqs), at_once)]
+        more, none = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        # Log probability of no toxic token in each text, and the odds of that.
+        clean = np.minimum(np.bincount(text, none[seq] * count, len(rows)), -1e-9)
+        weight = np.where(toxic, np.exp(clean) / -np.expm1(clean), -1.0)
+        grad = np.bincount(seq, weight[text] * count, len(seqs)) @ more / len(rows) - 1e-3 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         theta += speed * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
     field.emit, field.move = theta[:3], theta[3:].reshape(2, 2)
@@ -241,22 +304,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(rows: DataFrame, most_sequences: int = 3_000) -> Field:
-    """The field from training_rows.  At most most_sequences whole texts, half of them toxic, fit the
-    transitions; the summaries of all rows fit the score."""
+def learn(rows: DataFrame) -> Field:
+    """The field from training_rows, all of which fit emissions, transitions and the score.  The driver
+    fetches the lexicon hits of these rows and their summaries."""
     names, odds = lexicon(rows)
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
     field = Field(names, odds, share)
     field.prepare()
     if not len(names):
         return field
-    half = most_sequences // 2
-    short = rows.where(F.length("text") <= 4000)
-    some = [r for t in (1, 0) for r in short.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).collect()]
-    _train(field, [(r.text or "").encode("utf-8") for r in some], np.array([r.toxic for r in some]))
+    _train(field, rows.orderBy("doc_id", F.xxhash64("text")).mapInArrow(partial(_hits, field=field), "toxic int, n long, at array<long>, x array<double>").collect())
     field.prepare()
-    found = rows.mapInArrow(partial(_summaries, field=field), "any double, expected double, toxic int").collect()
-    x, y = np.array([[r["any"], r["expected"]] for r in found]), np.array([r["toxic"] for r in found], dtype=float)
+    found = rows.mapInArrow(partial(_summaries, field=field), ", ".join(f"{c} double" for c in SUMMARY) + ", toxic int").collect()
+    x, y = np.array([r[: len(SUMMARY)] for r in found]), np.array([r["toxic"] for r in found], dtype=float)
     field.fit = _logistic(x, y)
     return field
 
@@ -264,9 +324,9 @@ def learn(rows: DataFrame, most_sequences: int = 3_000) -> Field:
 def _summaries(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.tile(np.array(NOTHING), (batch.num_rows, 1))
-        for row, _, _, _, p in _tagged(field, batch.column("text")):
-            out[row] = summary(p)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), batch.column("toxic")], ["any", "expected", "toxic"])
+        for row, _, _, text, p in _tagged(field, batch.column("text")):
+            out[row] = summary(p, len(text))
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in out.T), batch.column("toxic")], [*SUMMARY, "toxic"])
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -276,7 +336,7 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
     for batch in batches:
         x, spans = np.tile(np.array(NOTHING), (batch.num_rows, 1)), [[]] * batch.num_rows
         for row, start, end, text, p in _tagged(field, batch.column("text")):
-            x[row] = summary(p)
+            x[row] = summary(p, len(text))
             bad = p >= 0.5
             if bad.any():
                 points = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])

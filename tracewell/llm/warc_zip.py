@@ -1,16 +1,18 @@
-"""ZIP-packaged web archives: WARC records in stored ZIP members with an index, written by tasks and
+"""ZIP-packaged web archives: WARC records in stored ZIP members with indexes, written by tasks and
 read back by byte ranges.
 
-A package holds archive/data.warc.gz, each record a gzip member of its own, and indexes/index.cdxj,
-both stored without further compression.  The reader parses the end record, the ZIP64 records and the
-central directory of a package, finds the stored members, reads the index, and then reads single
-records by their byte range; nothing is extracted.  Packages live in a folder that all executors
-share, reached through its URI.
+The writer makes packages of archive/data.warc.gz, each record a gzip member of its own, and
+indexes/index.cdxj, both stored without further compression.  The reader takes any package: it parses
+the end record, the ZIP64 records and the central directory, finds the stored archives (.warc and
+.warc.gz, any number of them) and indexes (.cdxj, .cdx, plain or gzipped), and then reads single records
+by their byte range; nothing is extracted.  An archive that no index names is walked record by record.
+Members that the package compresses cannot be read by ranges and are an error.  Packages live in a
+folder that all executors share, reached through its URI.
 
 Cases: a null html is an empty payload; a null url leaves out the target; equal payloads below the
 least size are all responses; repeated rows with the smallest page_id are all responses; rows without
-a page_id never are what others refer to; an empty table makes no package and gives an empty result;
-further columns are ignored.
+a page_id never are what others refer to; rows that share a page_id but not the html are judged one by
+one; an empty table makes no package and gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -63,15 +66,43 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, payload) of one gzipped record."""
-    raw = zlib.decompress(data, 31)
+    """(headers, payload) of one record, gzipped or plain."""
+    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     at = raw.index(b"\r\n\r\n")
     lines = raw[:at].decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
     block = raw[at + 4 : at + 4 + int(head["Content-Length"])]
-    return head, block[block.index(b"\r\n\r\n") + 4 :]
+    # The payload follows the HTTP head, where there is one.
+    end = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
+    return head, block[end + 4 :]
+
+
+def walk(read, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of an archive of `size` bytes that has no index: gzip members
+    end where their stream does, plain records where their headers say."""
+    at = 0
+    while at < size:
+        data = read(at, min(step, size - at))
+        if data[:2] == b"\x1f\x8b":
+            unpack, used = zlib.decompressobj(31), 0
+            while True:
+                unpack.decompress(data)
+                used += len(data) - len(unpack.unused_data)
+                if unpack.eof:
+                    break
+                data = read(at + used, min(step, size - at - used))
+                if not data:
+                    raise ValueError("archive ends within a record")
+            yield at, used
+            at += used
+            continue
+        head = data[: data.index(b"\r\n\r\n") + 4]
+        body = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)[1])
+        length = len(head) + body + 4
+        yield at, length
+        at += length
 
 
 # ------------------------------------------------------------------ packages
@@ -86,12 +117,52 @@ def package(rows: list[tuple], zip64: bool = False) -> bytes:
             for page_id, url, payload, digest, refers_to in rows:
                 data = record(page_id, url, payload, digest, refers_to)
                 f.write(data)
-                index.append(json.dumps({"url": url, "page": page_id, "digest": digest, "offset": at, "length": len(data)}))
+                entry = {"url": url, "digest": f"sha256:{digest}", "filename": DATA.rpartition("/")[2], "offset": str(at), "length": str(len(data))}
+                index.append(f"{sort_key(url)} 20240101000000 {json.dumps(entry)}")
                 at += len(data)
-        z.writestr(INDEX, "\n".join(index))
+        z.writestr(INDEX, "\n".join(sorted(index)) + "\n")
     return out.getvalue()
 
 
+def sort_key(url: str | None) -> str:
+    """Host labels in reverse, then the path: the order of index lines; - without a url."""
+    found = re.match(r"(?i)[a-z]+://([^/?#\s]+)([^\s]*)", url or "")
+    return f"{','.join(reversed(found[1].lower().split('.')))}){found[2] or '/'}" if found else "-"
+
+
+def indexed(data: bytes, name: str) -> Iterator[tuple[str, int, int]]:
+    """(archive, offset, length) of the lines of an index member; lines without all three are passed
+    over, as are header lines."""
+    text = (gzip.decompress(data) if name.endswith(".gz") else data).decode("utf-8")
+    for line in text.split("\n"):
+        at = line.find("{")
+        if at >= 0 and not line.startswith("!"):
+            entry = json.loads(line[at:])
+            if {"filename", "offset", "length"} <= entry.keys():
+                yield str(entry["filename"]), int(entry["offset"]), int(entry["length"])
+
+
+def records(read, found: dict[str, tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(offset in the package, length) of all records of a package with these members, in order."""
+    archives = {n: m for n, m in found.items() if n.endswith((".warc", ".warc.gz"))}
+    indexes = {n: m for n, m in found.items() if n.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))}
+    for name, (method, _, _) in (archives | indexes).items():
+        if method:
+            raise ValueError(f"{name} is compressed by the package, not stored")
+    short = {n.rpartition("/")[2]: m for n, m in archives.items()} | archives
+    out: set[tuple[int, int]] = set()
+    named = set()
+    for name, (_, at, size) in indexes.items():
+        for archive, offset, length in indexed(read(at, size), name):
+            if archive in short:
+                named.add(short[archive][1])
+                out.add((short[archive][1] + offset, length))
+    for _, at, size in archives.values():
+        if at not in named:
+            out |= {(at + offset, length) for offset, length in walk(lambda a, n: read(at + a, n), size)}  # noqa: B023
+    return sorted(out)
+
+
 def members(read, size: int) -> dict[str, tuple[int, int, int]]:
     """{name: (method, offset of the data, stored size)} of a package, from its directories alone.
     read(offset, length) gives bytes; size is that of the whole file."""
@@ -168,9 +239,14 @@ def write_packages(pages: DataFrame, folder: str, least: int = 100, most: int =
     ended well are listed."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-    firsts = pages.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies >= 2").select("digest", "first")
-    again = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = pages.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", again.alias("refers_to"))
+    short = pages.where(F.col("n") >= least).select("page_id", "digest")
+    firsts = short.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies >= 2").select("digest", "first")
+    # Html never meets by digest, which may be that of a third of all pages: the revisits are found
+    # among ids alone, and joined to the pages by id.
+    again = short.join(firsts, "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = stash(again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")), "revisits")
+    same = pages["page_id"].eqNullSafe(F.col("again_id")) & (pages["digest"] == F.col("again_digest"))
+    rows = pages.join(again, same, "left").select("page_id", "url", "html", "digest", "refers_to")
     return stash(rows.mapInArrow(partial(_write, folder=folder, most=most), "path string, n_records long, n_bytes long"), "packages")
 
 
@@ -179,18 +255,18 @@ def _ranges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         for path in batch.column("path").to_pylist():
             where, name = fs.FileSystem.from_uri(path)
             with where.open_input_file(name) as f:
-                found = members(lambda at, n: f.read_at(n, at), f.size())
-                (m_data, data_at, _), (m_index, index_at, n_index) = found[DATA], found[INDEX]
-                if m_data or m_index:
-                    raise ValueError(f"{path}: members are not stored")
-                entries = [json.loads(x) for x in f.read_at(n_index, index_at).decode("utf-8").split("\n") if x]
+                read = lambda at, n: f.read_at(n, at)  # noqa: E731, B023
+                try:
+                    entries = records(read, members(read, f.size()))
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
             groups, room = [], 0
-            for e in entries:
-                if not groups or room + e["length"] > most:
+            for at, n in entries:
+                if not groups or room + n > most:
                     groups.append([])
                     room = 0
-                groups[-1].append((data_at + e["offset"], e["length"]))
-                room += e["length"]
+                groups[-1].append((at, n))
+                room += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path] * len(groups)), pa.array([[x[0] for x in g] for g in groups], pa.list_(pa.int64())), pa.array([[x[1] for x in g] for g in groups], pa.list_(pa.int64()))],
                 ["path", "offsets", "lengths"],
@@ -207,19 +283,26 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             with where.open_input_file(name) as f:
                 for at, n in zip(part["offsets"], part["lengths"]):
                     head, payload = parse_record(f.read_at(n, at))
-                    digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["Payload-Length"])
-                    if head["WARC-Type"] == "response":
+                    if head["WARC-Type"] not in ("response", "revisit", "resource"):
+                        continue
+                    digest, size = head.get("WARC-Payload-Digest", "").removeprefix("sha256:"), int(head.get("Payload-Length") or 0)
+                    if head["WARC-Type"] != "revisit":
                         size, own = len(payload), hashlib.sha256(payload).hexdigest()
+                        # Digests by other algorithms are not checked but replaced.
+                        if not re.fullmatch("[0-9a-f]{64}", digest):
+                            digest = own
                         if own != digest:
                             raise ValueError(f"{part['path']}: digest differs at {at}")
                     number = lambda key: int(head[key]) if head.get(key) else None  # noqa: E731, B023
                     rows.append((number("Page-ID"), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], number("Refers-To-Page"), payload if payloads else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
 def read_packages(packages: DataFrame, most: int = 4 << 20, payloads: bool = True) -> DataFrame:
-    """One row per record of the packages (path): page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, payload (null for revisits' payloads of no bytes, or with payloads=False).
+    """One row per response, resource or revisit of the packages (path): page_id, url, payload_bytes,
+    payload_digest, record_type, refers_to, payload (null with payloads=False).  page_id, refers_to and
+    the size of a revisit's payload are there if the record's headers say them.
     Directories and indexes are read first; records are then dealt out in ranges of about `most`
     bytes, so that a large package is read by many tasks."""
     spark = packages.sparkSession
