@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, minhash_dedup, mixing, quality_rules, secret_scan
-from tracewell.llm.common import stash, table
+from tracewell.llm.common import keyed, stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,11 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; one row of a
-    document that has several.  Rows without a doc_id stay."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates, the first by doc_id; of rows that are equal in doc_id
+    and text one stays, the least by its other columns, while rows that share a doc_id but not the
+    text are documents of their own.  Rows without a doc_id stay."""
+    lead = minhash_dedup.near_duplicates(docs).where("leader and doc_id is not null").select("doc_id", "version").distinct()
+    named = keyed(docs, "lang", "source", "n_chars")
+    kept = named.where("doc_id is not null").join(lead, ["doc_id", "version"], "left_semi")
+    again = kept.where("version <> 0").groupBy("doc_id", "version").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+    return kept.where("version = 0").select(*COLUMNS).unionByName(again.select(*COLUMNS)).unionByName(named.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
