@@ -164,10 +164,14 @@ def test_scans(spark):
     assert [(r.series_id, str(r.asof)) for r in scans.releases(spark.createDataFrame([(rel,)], "payload string"), {"A": "FRED_A"}).collect()] == [("FRED_A", "2026-02-01")]
     with pytest.raises(Exception, match="request failed"):
         scans.releases(spark.createDataFrame([('{"status":"NO"}',)], "payload string"), {"A": "A"}).collect()
-    feed = '{"ratings":[{"district":"GA","rating":" Toss Up","date":"2026-02-01"},{"district":"TX","rating":"???","date":"2026-02-01"}]}'
-    assert [(r.state, r.rating) for r in scans.rating_feed(spark.createDataFrame([(feed,)], "payload string")).collect()] == [("GA", "tossup")]
-    html = "<h3>Lean Republican</h3><ul><li>Ohio</li><li> Iowa </li></ul><h3>Odd</h3><li>Maine</li>"
-    assert {(r.state, r.rating) for r in scans.rating_cards(spark.createDataFrame([(html, dt.date(2026, 1, 1))], "html string, fetched date")).collect()} == {("Ohio", "lean_r"), ("Iowa", "lean_r")}
+    feed = '{"ratings":[{"district":"ga","rating":" Toss-Up","date":"2026-02-01"},{"district":"NC","rating":"Tilt Democrat","date":"2026-02-01"},{"district":"TX","rating":"???","date":"2026-02-01"}]}'
+    assert [(r.state, r.rating) for r in scans.rating_feed(spark.createDataFrame([(feed,)], "payload string")).collect()] == [("GA", "tossup"), ("NC", "tossup_d")]
+    card = lambda label, *states: f'<div class="race-card x"><h3 class="race-card-header">\n{label} (2)</h3>' + "".join(f'<span class="race-district">{s}</span>' for s in states) + "</div>"
+    html = card("Solid Republican", "Ohio", " Iowa ") + card("Odd", "ME") + card("TOSS UP", "GA", "Puerto Rico")
+    cards = scans.rating_cards(spark.createDataFrame([(html, dt.date(2026, 1, 1))], "html string, fetched date"))
+    assert {(r.state, r.rating) for r in cards.collect()} == {("Ohio", "safe_r"), ("Iowa", "safe_r"), ("GA", "tossup"), ("Puerto Rico", "tossup")}
+    races = spark.createDataFrame([("OH-SEN-2026",), ("GA-SEN-2026",)], "race_id string")
+    assert {(r.race_id, r.rating) for r in scans.keyed_ratings(cards, races, 2026).collect()} == {("OH-SEN-2026", "safe_r"), ("GA-SEN-2026", "tossup")}
     index = spark.createDataFrame([(8, "2026-01-05"), (12, "2026-02-05"), (1, "2025-01-05")], "rollnumber int, date string")
     assert [r.roll_id for r in scans.roll_call_index(index, "2026-01-01").collect()] == ["RS1190012", "RS1190008"]
 

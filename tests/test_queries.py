@@ -6,8 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracewell.oracles import SQL
-from tracewell.queries import QUERIES
+from tracewell import catalog, oracles, queries
+
+catalog.load()
+SQL = oracles.SQL | catalog.SQL
+QUERIES = queries.QUERIES | catalog.QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 
 def plain(df):
     def value(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         if hasattr(v, "item"):
             v = v.item()

@@ -38,12 +38,14 @@ def parse_claims(spans: DataFrame, aliases: DataFrame) -> DataFrame:
     the series whose alias is longest, then the smallest series, that parses: span_id, series_id, kind,
     claimed, yoy, period, text."""
     known = aliases.withColumn("kind", lookup(SERIES_KIND, F.col("series_id"))).where(F.col("kind").isNotNull())
-    # Blocking: an alias can only be named where its first word is; sentences about jobs name theirs.
-    words = spans.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("span"), F.lit(r"(\w+)"), F.lit(1)))))
-    named = words.join(known.withColumn("word", F.regexp_extract(F.lower("alias"), r"\w+", 0)), "word").withColumn("length", alias_length(F.col("span"), F.col("alias")))
+    # Blocking: an alias can only be named where its first word is; the spans themselves are fetched
+    # where one is.  Sentences about jobs name their series without an alias, if it is known.
+    words = spans.select("span_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("span"), F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
+    met = words.join(known.withColumn("word", F.regexp_extract(F.lower("alias"), r"\w+", 0)), "word").select("span_id", "series_id", "kind", "alias")
+    named = met.join(spans, "span_id").withColumn("length", alias_length(F.col("span"), F.col("alias")))
     named = named.where("length > 0").select("span_id", "span", "event_time", "series_id", "kind", "length")
-    payrolls = known.where("series_id = 'PAYEMS'").select("series_id", "kind").distinct().withColumn("self", F.lit(True))
-    own = spans.where(F.col("span").rlike(JOBS)).withColumn("self", F.lit(True)).join(payrolls, "self").select("span_id", "span", "event_time", "series_id", "kind", F.lit(0).alias("length"))
+    payrolls = "PAYEMS" if known.where("series_id = 'PAYEMS'").limit(1).count() else None
+    own = spans.where(F.col("span").rlike(JOBS) & F.lit(payrolls is not None)).select("span_id", "span", "event_time", F.lit(payrolls).cast("string").alias("series_id"), F.lit(SERIES_KIND["PAYEMS"]).alias("kind"), F.lit(0).alias("length"))
     best = named.unionByName(own).groupBy("span_id", "span", "event_time", "series_id", "kind").agg(F.max("length").alias("length"))
     jobs = F.col("kind") == "change_thousands"
     pattern = lambda group: F.when(jobs, first_hit(F.col("span"), JOBS, group)).otherwise(first_hit(F.col("span"), PERCENT, min(group, 2)))

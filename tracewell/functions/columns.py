@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.params import ID_FORMATS, KNOBS
+from tracewell.params import HOST_TAGS, ID_FORMATS, KNOBS, SUFFIXES, TITLES
 
 
 def lookup(values: dict, key: Column, default=None) -> Column:
@@ -90,15 +90,12 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-TITLES = "the honorable|honorable|hon|senator|sen|representative|rep|congressman|congresswoman|dr|mr|mrs|ms|gov|governor"
-
-
 def folded_form(folded: Column) -> Column:
     """The plain form of a mention whose accents are folded: lower case words, no title, no suffix."""
     text = F.translate(F.lower(folded), "'’", "")
     text = F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
     text = F.regexp_replace(text, rf"^(?:{TITLES})\b\s*", "")
-    return F.regexp_replace(text, r"\s+(?:jr|sr|ii|iii|iv)$", "")
+    return F.regexp_replace(text, rf"\s+(?:{SUFFIXES})$", "")
 
 
 def mention_forms(mention: Column, fold=fold_accents) -> Column:
@@ -117,10 +114,14 @@ def span_form(text: Column, compose=compatible) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+def grounded_forms(span: Column, text: Column) -> Column:
+    """Whether a span stands in a text, three characters at least; both in their span form."""
+    return F.coalesce((F.length(span) >= 3) & F.contains(text, span), F.lit(False))
+
+
 def grounded(span: Column, text: Column, compose=compatible) -> Column:
     """Whether the span stands in the text, three characters at least."""
-    form = span_form(span, compose)
-    return F.coalesce((F.length(form) >= 3) & F.contains(span_form(text, compose), form), F.lit(False))
+    return grounded_forms(span_form(span, compose), span_form(text, compose))
 
 
 def number_set(text: Column) -> Column:
@@ -170,6 +171,15 @@ def independence_key(source_type: Column, url: Column) -> Column:
     return F.concat_ws("|", F.coalesce(source_type, F.lit("unknown")), origin)
 
 
+def source_tag(url: Column) -> Column:
+    """Short label of a url's host: that of the host or a domain above it, else the name before the last
+    dot in capitals, SRC without one (W13)."""
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), url, F.lit(""))), r"^www\.", "")
+    known = F.coalesce(*[F.when(host.rlike(rf"(^|\.){d.replace('.', '[.]')}$"), F.lit(t)) for d, t in HOST_TAGS.items()])
+    name = F.upper(F.try_element_at(F.split(host, r"\."), F.lit(-2)))
+    return F.coalesce(known, F.nullif(name, F.lit("")), F.lit("SRC"))
+
+
 def election_day(cycle: Column) -> Column:
     """Tuesday after the first Monday in November."""
     return F.date_add(F.next_day(F.make_date(cycle, F.lit(10), F.lit(31)), "MON"), 1)

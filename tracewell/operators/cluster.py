@@ -1,4 +1,4 @@
-"""Similarity in time windows, leader clustering and roll-ups of heads (C4-C17)."""
+"""Similarity in time windows, leader clustering and roll-ups of heads."""
 
 from __future__ import annotations
 
@@ -6,25 +6,66 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import band, cosine, dot, epoch_us, lookup, unit
+from tracewell.functions.columns import band, cosine, epoch_us, lookup, unit
 from tracewell.operators.rows import first_per_key
 from tracewell.params import KNOBS, TIER_WEIGHT
 
 
-def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None) -> DataFrame:
+def _nearest(width: int, k: int, digits: int | None, earlier: bool):
+    """Of two blocks the k nearest rows of the second for each row of the first, by one product."""
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        flat = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(t.num_rows, -1)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("id")
+        a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
+        ta, tb = left.column("at").to_numpy()[:, None], right.column("at").to_numpy()[None, :]
+        if not len(a) or not len(b):
+            return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        sim = matrix(left) @ matrix(right).T
+        if digits is not None:
+            sim = np.round(sim, digits)
+        apart = (a[:, None] == b[None, :]) | (np.abs(ta - tb) > width)
+        if earlier:
+            apart |= (tb > ta) | ((tb == ta) & (b[None, :] > a[:, None]))
+        sim[apart] = -np.inf
+        # Stable, so that equal similarities keep the order of ids.
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(sim, top, axis=1)
+        row, rank = np.nonzero(best > -np.inf)
+        return pa.table({"id": a[row], "neighbour": b[top[row, rank]], "sim": best[row, rank] + 0.0})
+
+    return nearest
+
+
+def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, earlier: bool = False, block: int = 1024) -> DataFrame:
     """For each row of left the k rows of right with the most similar vectors among those within the
-    hours (C5): id, neighbour, sim, rank.  Both sides: id, ts, embedding.  The window is an equi-join on
-    a stretch of its own width and the two beside it, then the exact distance."""
-    width = hours * 3600
-    stretch = F.floor(epoch_us("ts") / (width * 1_000_000))
-    near = right.select(F.col("id").alias("neighbour"), F.col("ts").alias("then"), unit(F.col("embedding")).alias("other"), stretch.alias("stretch"))
-    far = left.select("id", "ts", unit(F.col("embedding")).alias("embedding"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
-    pairs = far.join(near, "stretch").where((F.col("id") != F.col("neighbour")) & (F.abs(epoch_us("ts") - epoch_us("then")) <= width * 1_000_000))
-    sim = dot(F.col("embedding"), F.col("other"))
-    pairs = pairs.select("id", "neighbour", (F.round(sim, digits) if digits is not None else sim).alias("sim"))
+    hours (C5): id, neighbour, sim, rank; with earlier only rows before it by (ts, id).  Both sides: id, ts,
+    embedding, all of one length.
+
+    The window is a stretch of its own width and the ones beside it.  The rows of a stretch are dealt to
+    blocks of about `block`, each pair of blocks is one task's product, which keeps k rows for each, and
+    these are merged by id; so a crowded stretch is many bounded tasks."""
+    width = hours * 3_600_000_000
+    stretch = F.floor(epoch_us("ts") / width)
+    columns = [F.col("id").cast("long").alias("id"), epoch_us("ts").alias("at"), unit(F.col("embedding")).alias("vector")]
+    beside = (stretch - 1, stretch) if earlier else (stretch - 1, stretch, stretch + 1)
+    near = right.where("embedding is not null and ts is not null").select(*columns, stretch.alias("stretch"))
+    far = left.where("embedding is not null and ts is not null").select(*columns, F.explode(F.array(*beside)).alias("stretch"))
+    blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
+    sizes = near.groupBy("stretch").agg(blocks.alias("n_right")).join(far.groupBy("stretch").agg(blocks.alias("n_left")), "stretch")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    far = far.join(sizes, "stretch").select("id", "at", "vector", "stretch", dealt("n_left").alias("l"), each("n_right").alias("r"))
+    near = near.join(sizes, "stretch").select("id", "at", "vector", "stretch", dealt("n_right").alias("r"), each("n_left").alias("l"))
+    pair = ["stretch", "l", "r"]
+    pairs = far.groupBy(*pair).cogroup(near.groupBy(*pair)).applyInArrow(_nearest(width, k, digits, earlier), "id long, neighbour long, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -39,6 +80,42 @@ def candidate_clusters(neighbours: DataFrame, clusters: DataFrame, entities: Dat
     return met.withColumn("rank", rank).withColumn("decision", band(F.col("sim")))
 
 
+def settled(candidates: DataFrame, verdicts: DataFrame, least: float = KNOBS.tiebreak_confidence) -> DataFrame:
+    """candidates (id, cluster, decision) with attach and review (C7, C8): a tie attaches where verdicts (id,
+    cluster, same, confidence) say so with enough confidence, and goes to review where they say it with
+    less; without a verdict it splits."""
+    told = candidates.join(verdicts.select("id", "cluster", "same", F.col("confidence").alias("_sure")), ["id", "cluster"], "left")
+    tie, sure = F.col("decision") == "TIEBREAK", F.coalesce(F.col("_sure") >= least, F.lit(False))
+    attach = (F.col("decision") == "ATTACH") | (tie & sure & F.coalesce("same", F.lit(False)))
+    return told.withColumn("attach", attach).withColumn("review", tie & F.col("_sure").isNotNull() & ~sure).drop("same", "_sure")
+
+
+def heads_only(events: DataFrame) -> DataFrame:
+    """The events (id, cluster_id) that are heads of their clusters."""
+    return events.where("cluster_id = id")
+
+
+def embedding_texts(events: DataFrame, sources: DataFrame, entities: DataFrame, most: int = KNOBS.embed_chars) -> DataFrame:
+    """id, text: headline of events (id, headline), then the spans of sources (id, source_id, span) and of
+    entities (id, entity_id, role, topic, span), in order, without repeats, at most `most` characters (C1)."""
+    a = sources.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "span"))), lambda x: x["span"]).alias("a"))
+    b = entities.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "role", "topic", "span"))), lambda x: x["span"]).alias("b"))
+    none = F.array().cast("array<string>")
+    parts = F.array_distinct(F.concat(F.array("headline"), F.coalesce("a", none), F.coalesce("b", none)))
+    return events.select("id", "headline").join(a, "id", "left").join(b, "id", "left").select("id", F.substring(F.array_join(parts, "\n"), 1, most).alias("text"))
+
+
+def text_hash(model: str, text: Column) -> Column:
+    """SHA-256 of the model's name, a line end and the text."""
+    return F.sha2(F.concat(F.lit(model + "\n"), text), 256)
+
+
+def head_sources(sources: DataFrame) -> DataFrame:
+    """sources of members (head, id, tier, url, span) as those of heads: one for each (url, span), of the best
+    tier, then the least id (C11)."""
+    return first_per_key(sources, ["head", "url", "span"], F.col("tier"), F.col("id"))
+
+
 def _components(edges: DataFrame, folder: str) -> DataFrame:
     """(id, component): labels spread over edges (a, b) and jump until none changes; each round is a
     table in the folder, so a lost executor costs one round at most."""
@@ -88,13 +165,7 @@ def leader_clusters(rows: DataFrame, folder: str, low: float = KNOBS.t_low, high
     A row looks at its k nearest among the earlier ones, all of which are placed by then, so neighbours
     are found in Spark; only similarities of low or more can decide, so rows split into components, and
     the sequential rule runs within each.  A component is read by one task, as its order demands."""
-    width = hours * 3600
-    stretch = F.floor(epoch_us("ts") / (width * 1_000_000))
-    then = rows.select(F.col("id").alias("b"), F.col("ts").alias("tb"), unit(F.col("embedding")).alias("eb"), stretch.alias("stretch"))
-    now = rows.select(F.col("id").alias("a"), F.col("ts").alias("ta"), unit(F.col("embedding")).alias("ea"), F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
-    earlier = (F.struct("tb", "b") < F.struct("ta", "a")) & (epoch_us("ta") - epoch_us("tb") <= width * 1_000_000)
-    pairs = now.join(then, "stretch").where(earlier).select("a", "b", dot(F.col("ea"), F.col("eb")).alias("sim"))
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= k).where(F.col("sim") >= low)
+    pairs = window_neighbours(rows, rows, hours, k, earlier=True).where(F.col("sim") >= low).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "sim", "rank")
     path = f"{folder}/neighbours-{uuid.uuid4().hex}"
     pairs.write.parquet(path)
     pairs = rows.sparkSession.read.schema(pairs.schema).parquet(path)
@@ -122,12 +193,17 @@ def centroids(vectors: DataFrame, head: str, digits: int | None = None) -> DataF
 def related_heads(heads: DataFrame, entities: DataFrame, days: int = KNOBS.related_days, least: float = KNOBS.related_sim) -> DataFrame:
     """heads (head, ts, event_type, centroid) sharing an entity (head, entity) within the days and with
     similar centroids, later to earlier: src, dst, relation, sim, shared (C17)."""
-    who = entities.select("head", "entity").distinct()
-    both = who.withColumnRenamed("head", "src").join(who.withColumnRenamed("head", "dst"), "entity").where("src != dst")
+    # Heads meet by entity and stretch of time, so that an entity of all heads does not pair them all.
+    span = days * 86_400_000_000
+    stretch = F.floor(epoch_us("ts") / span)
+    who = entities.select("head", "entity").distinct().join(heads.select("head", "ts", stretch.alias("stretch")), "head")
+    src = who.select(F.col("head").alias("src"), F.col("ts").alias("ts_a"), "entity", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"))).alias("stretch"))
+    dst = who.select(F.col("head").alias("dst"), F.col("ts").alias("ts_b"), "entity", "stretch")
+    both = src.join(dst, ["entity", "stretch"]).where((F.struct("ts_a", "src") > F.struct("ts_b", "dst")) & (epoch_us("ts_a") - epoch_us("ts_b") <= span))
     pairs = both.groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_set(F.col("entity").cast("string"))), ",").alias("shared"))
-    a = heads.select(F.col("head").alias("src"), F.col("ts").alias("ts_a"), F.col("event_type").alias("type_a"), F.col("centroid").alias("vec_a"))
-    b = heads.select(F.col("head").alias("dst"), F.col("ts").alias("ts_b"), F.col("event_type").alias("type_b"), F.col("centroid").alias("vec_b"))
-    met = pairs.join(a, "src").join(b, "dst").where((F.struct("ts_a", "src") > F.struct("ts_b", "dst")) & (epoch_us("ts_a") - epoch_us("ts_b") <= days * 86_400_000_000))
+    a = heads.select(F.col("head").alias("src"), F.col("event_type").alias("type_a"), F.col("centroid").alias("vec_a"))
+    b = heads.select(F.col("head").alias("dst"), F.col("event_type").alias("type_b"), F.col("centroid").alias("vec_b"))
+    met = pairs.join(a, "src").join(b, "dst")
     met = met.withColumn("sim", cosine(F.col("vec_a"), F.col("vec_b"))).where(F.col("sim") >= least)
     relation = F.when((F.col("type_a") == "statement") & (F.col("type_b") != "statement"), "RESPONDS_TO").otherwise("FOLLOWS")
     return met.select("src", "dst", relation.alias("relation"), F.least(F.greatest("sim", F.lit(0.0)), F.lit(1.0)).alias("sim"), "shared")

@@ -1,13 +1,13 @@
-"""Grounding of extracted rows in their documents."""
+"""Grounding of extracted rows in their documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import grounded, lookup, number_set
+from tracewell.functions.columns import grounded_forms, lookup, number_set, span_form
 from tracewell.operators.rows import first_per_key
-from tracewell.params import TIER_WEIGHT
+from tracewell.params import RELEVANT_SOURCES, TIER_WEIGHT
 
 
 def document_text(author: Column, sponsors: Column, body: Column) -> Column:
@@ -17,14 +17,16 @@ def document_text(author: Column, sponsors: Column, body: Column) -> Column:
 
 
 def ground_spans(spans: DataFrame, docs: DataFrame, **how) -> DataFrame:
-    """spans (doc_id, span, ...) with grounded: whether docs (doc_id, text) hold the span."""
-    both = spans.join(docs.select("doc_id", "text"), "doc_id", "left")
-    return both.withColumn("grounded", grounded(F.col("span"), F.col("text"), **how)).drop("text")
+    """spans (doc_id, span, ...) with grounded: whether docs (doc_id, text) hold the span (E2).  A text is
+    evened out once, before it meets its spans."""
+    forms = docs.select("doc_id", span_form(F.col("text"), **how).alias("_form"))
+    both = spans.join(forms, "doc_id", "left")
+    return both.withColumn("grounded", grounded_forms(span_form(F.col("span"), **how), F.col("_form"))).drop("_form")
 
 
 def relevance(source: Column, verdict: Column) -> Column:
     """Structured sources always count; others as the verdict says."""
-    return source.isin("congress", "senate_votes", "fec") | F.coalesce(verdict, F.lit(False))
+    return source.isin(*RELEVANT_SOURCES) | F.coalesce(verdict, F.lit(False))
 
 
 def validated(rows: DataFrame, column: str, schema: str, *checks: tuple[str, Column]) -> DataFrame:
@@ -50,11 +52,6 @@ def clean_topics(topics: Column, areas: Column) -> Column:
     return F.struct(F.array_distinct(topics).alias("topics"), F.array_intersect(areas, topics).alias("policy_areas"))
 
 
-def low_confidence(rows: DataFrame, least: float = 0.6) -> DataFrame:
-    """Rows for review."""
-    return rows.where(F.col("confidence") < least)
-
-
 def proposed_edges(edges: DataFrame, payload: DataFrame) -> DataFrame:
     """edges (doc_id, pos, src, relation, dst, grounded) that count: both ends, no loop, no votes,
     grounded, the first of repeats, none that the payload has (E11)."""
@@ -65,21 +62,18 @@ def proposed_edges(edges: DataFrame, payload: DataFrame) -> DataFrame:
     return first.join(payload.select("doc_id", "src", "relation", "dst"), ["doc_id", "src", "relation", "dst"], "left_anti")
 
 
-def vote_edges(votes: DataFrame, voters: DataFrame) -> DataFrame:
-    """votes (bill_id, members: array of (bioguide_id, cast_str)) as edges of known voters."""
-    each = votes.select("bill_id", F.inline("members"))
-    relation = lookup({"Yea": "VOTED_FOR", "Nay": "VOTED_AGAINST"}, F.col("cast_str"))
-    return each.withColumn("relation", relation).where("relation is not null").join(voters.select("bioguide_id", "entity_id"), "bioguide_id").select(F.col("entity_id").alias("src"), "relation", F.col("bill_id").alias("dst"), F.lit(1.0).alias("confidence"))
-
-
-def lexicon_hits(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lexicon_hits(docs: DataFrame, lexicon: DataFrame, any_case: bool = False) -> DataFrame:
     """docs (doc_id, text) with lexicon (surface, entity_id) as doc_id, surface, entity_id: whole-word
-    hits of surfaces of three letters or more with a capital (E15).  A surface can stand only where its
-    first word does, so the join is on that word."""
-    usable = lexicon.where((F.length("surface") >= 3) & F.col("surface").rlike("[A-Z]")).withColumn("word", F.regexp_extract("surface", r"(\w+)", 1))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
-    quoted = F.concat(F.lit(r"(?<!\w)\Q"), F.col("surface"), F.lit(r"\E(?!\w)"))
-    return words.join(usable, "word").where(F.contains("text", F.col("surface")) & F.regexp_like("text", quoted)).select("doc_id", "surface", "entity_id").distinct()
+    hits of surfaces of three letters or more with a capital (E15); with any_case, as for questions,
+    capitals do not matter.  A surface can stand only where its first word does, so words are joined
+    first, without their texts, and texts are fetched for what meets."""
+    fold = F.lower if any_case else (lambda c: c)
+    usable = lexicon.where((F.length("surface") >= 3) & F.col("surface").rlike("[A-Z]")).withColumn("word", fold(F.regexp_extract("surface", r"(\w+)", 1)))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
+    met = words.join(usable, "word").select("doc_id", "surface", "entity_id").distinct()
+    both = met.join(docs.select("doc_id", "text"), "doc_id")
+    quoted = F.concat(F.lit("(?i)" if any_case else ""), F.lit(r"(?<!\w)\Q"), F.col("surface"), F.lit(r"\E(?!\w)"))
+    return both.where(F.contains(fold(F.col("text")), fold(F.col("surface"))) & F.regexp_like("text", quoted)).select("doc_id", "surface", "entity_id").distinct()
 
 
 def claim_problems(claims: DataFrame, records: DataFrame) -> DataFrame:
@@ -92,6 +86,33 @@ def claim_problems(claims: DataFrame, records: DataFrame) -> DataFrame:
     return both.select("claim_id", problem.alias("problem"), F.when(problem == "numbers", F.array_join("extra", ",")).otherwise(F.lit("")).alias("extra"))
 
 
+def prose_problems(prose: DataFrame, spans: DataFrame, named: DataFrame, cast: DataFrame) -> DataFrame:
+    """prose (head, text, cited: array of n) against its numbered spans (head, n, span), the entities that it
+    names (head, entity_id, surface) and those of its cluster (head, entity_id): head, problems (E16),
+    sorted: 'no citations', 'citation n', 'number x', 'entity surface'."""
+    cited = prose.select("head", F.explode("cited").alias("n")).join(spans, ["head", "n"], "left_anti").select("head", F.concat(F.lit("citation "), F.col("n").cast("string")).alias("problem"))
+    none = prose.where(F.size("cited") == 0).select("head", F.lit("no citations").alias("problem"))
+    said = spans.groupBy("head").agg(F.concat_ws("\n", F.sort_array(F.collect_list("span"))).alias("corpus"))
+    both = prose.select("head", "text").join(said, "head", "left")
+    extra = both.select("head", F.explode(F.array_except(number_set(F.col("text")), number_set(F.coalesce("corpus", F.lit(""))))).alias("x")).select("head", F.concat(F.lit("number "), "x").alias("problem"))
+    # An entity is at home in the cluster, or in the words of its spans.
+    strange = named.join(cast.select("head", "entity_id"), ["head", "entity_id"], "left_anti").join(said, "head", "left")
+    strange = strange.where(~F.contains(F.coalesce("corpus", F.lit("")), F.col("surface"))).select("head", F.concat(F.lit("entity "), "surface").alias("problem"))
+    every = none.unionByName(cited).unionByName(extra).unionByName(strange)
+    found = every.groupBy("head").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
+    return prose.select("head").join(found, "head", "left").select("head", F.coalesce("problems", F.array().cast("array<string>")).alias("problems"))
+
+
+def answers(claims: DataFrame, problems: DataFrame, insufficient: DataFrame) -> DataFrame:
+    """Claims (answer_id, claim_id, text) without a problem (claim_id, problem), one row each, and one refusal
+    row (claim_id null) for answers that keep none or are marked insufficient (answer_id) (E18)."""
+    good = claims.join(problems.where("problem is null").select("claim_id"), "claim_id", "left_semi").join(insufficient.select("answer_id"), "answer_id", "left_anti")
+    kept = good.select("answer_id", "claim_id", "text", F.lit(False).alias("refused"))
+    every = claims.select("answer_id").unionByName(insufficient.select("answer_id")).distinct()
+    refused = every.join(good.select("answer_id"), "answer_id", "left_anti").select("answer_id", F.lit(None).cast(claims.schema["claim_id"].dataType).alias("claim_id"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("refused"))
+    return kept.unionByName(refused)
+
+
 def answer_confidence(kept: DataFrame, records: DataFrame, totals: DataFrame) -> DataFrame:
     """kept (answer_id, claim_id, n) and totals (answer_id, claims) as answer_id, confidence: mean over
     kept claims of the mean trust weight times event confidence, times the share kept (E19)."""

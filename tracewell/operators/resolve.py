@@ -91,6 +91,47 @@ def fuzzy_resolve(mentions: DataFrame, index: DataFrame, accept: float = KNOBS.f
     return out.select("mention_id", "mention", F.when(sure, F.col("entity_id")).alias("entity_id"), F.when(sure, F.round(F.col("best") / 100, 4)).alias("confidence"))
 
 
+def fuzzy_candidates(mentions: DataFrame, index: DataFrame, most: int = KNOBS.candidates, least: float = 50.0, fold=fold_accents) -> DataFrame:
+    """For mentions (mention_id, mention) that resolve to nothing, the best entities by sorted_ratio for
+    review, at most `most` each: mention_id, entity_id, score (R9, R15).  Candidates share a whole word
+    with the mention, or its first three letters, and reach `least`."""
+    last = mentions.withColumn("forms", mention_forms(F.col("mention"), fold)).select("mention_id", F.when(F.size("forms") > 0, F.element_at("forms", -1)).alias("form")).where("form is not null")
+    keys = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 3))))
+    pool = index.where("not digit").select("entity_id", F.col("form").alias("alias"))
+    # Mentions repeat; each distinct form is scored once.
+    forms = last.select("form").distinct()
+    pairs = forms.withColumn("key", keys("form")).join(pool.withColumn("key", keys("alias")), "key").select("form", "entity_id", "alias").distinct()
+    scored = pairs.withColumn("score", sorted_ratio("form", "alias")).groupBy("form", "entity_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("score"), "entity_id"))).where(F.col("rank") <= most)
+    return last.join(ranked, "form").select("mention_id", "entity_id", F.round("score", 4).alias("score"))
+
+
+def event_refs(refs: DataFrame, heads: DataFrame) -> DataFrame:
+    """refs (ref) of the form E12 or 12 with the head that they name, null for unknown ones."""
+    number = F.regexp_extract(F.upper(F.trim("ref")), "^E?([0-9]{1,18})$", 1)
+    wanted = refs.withColumn("head", F.nullif(number, F.lit("")).cast("bigint"))
+    return wanted.join(heads.select("head").distinct().withColumn("known", F.lit(True)), "head", "left").select("ref", F.when(F.col("known"), F.col("head")).alias("head"))
+
+
+def race_refs(refs: DataFrame, races: DataFrame) -> DataFrame:
+    """refs (ref), whole race ids or their starts such as GA or GA-SEN, with the race (race_id, cycle) of the
+    newest cycle that they name (R16)."""
+    parts = races.select("race_id", "cycle", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("race_id", "-"))), lambda n: F.array_join(F.slice(F.split("race_id", "-"), 1, n), "-"))).alias("key"))
+    newest = parts.groupBy("key").agg(F.max(F.struct("cycle", "race_id"))["race_id"].alias("race_id"))
+    return refs.join(newest, F.upper(F.trim("ref")) == F.col("key"), "left").select("ref", "race_id")
+
+
+def entity_refs(refs: DataFrame, entities: DataFrame, fold=fold_accents) -> DataFrame:
+    """refs (ref) with the entity (entity_id, canonical_id, name, aliases) that they name by number, by
+    canonical id in any case, or by an unambiguous name: ref, entity_id, how (R16)."""
+    text = F.lower(F.trim("ref"))
+    by_number = refs.join(entities.select(F.col("entity_id").cast("string").alias("key"), F.col("entity_id").alias("a")), text == F.col("key"), "left").drop("key")
+    by_id = by_number.join(entities.select(F.lower("canonical_id").alias("key"), F.col("entity_id").alias("b")), text == F.col("key"), "left").drop("key")
+    named = exact_resolve(refs.select(F.xxhash64("ref").alias("mention_id"), F.col("ref").alias("mention")).distinct(), alias_index(entities, fold), fold).select(F.col("mention").alias("ref"), F.col("entity_id").alias("c"))
+    how = F.when(F.col("a").isNotNull(), "number").when(F.col("b").isNotNull(), "canonical").when(F.col("c").isNotNull(), "name").otherwise("none")
+    return by_id.join(named, "ref", "left").select("ref", F.coalesce("a", "b", "c").alias("entity_id"), how.alias("how"))
+
+
 def topic_matches(words: DataFrame, topics: DataFrame) -> DataFrame:
     """words (word) with the topics (topic: slug of words joined by _) they may mean and how many: the
     exact slug, a whole word of it, or the start of one, four letters at least (R16)."""

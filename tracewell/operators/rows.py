@@ -39,6 +39,20 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Se
     return both.withColumn("change", change).where("change is not null").select(*keys, *values, "change")
 
 
+def raw_rows(records: DataFrame) -> DataFrame:
+    """records (..., entity_ids, unresolved) as stored: resolved and unresolved, without repeats and in
+    order (D3)."""
+    sorted_set = lambda c: F.sort_array(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    return records.withColumns({"resolved": sorted_set(F.col("entity_ids")), "unresolved": sorted_set(F.col("unresolved"))}).drop("entity_ids")
+
+
+def rebuilt(stored: DataFrame, fresh: DataFrame, owner: str, refreshed: DataFrame) -> DataFrame:
+    """stored with all rows of the owners in refreshed replaced by their fresh ones (D12): what an owner no
+    longer has goes, and a second run changes nothing."""
+    own = fresh.join(refreshed.select(owner).distinct(), owner, "left_semi")
+    return stored.join(refreshed.select(owner).distinct(), owner, "left_anti").unionByName(own.select(*stored.columns))
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """old with new's values where new has the key, and new's other rows."""
     columns = [*keys, *values]
@@ -63,6 +77,12 @@ def membership_hash(members: DataFrame, head: str, member: str, version: int = 1
     return members.groupBy(head).agg(F.sha2(F.concat(F.lit(f"{version}:"), ids), 256).alias("member_hash"))
 
 
+def stale_heads(hashes: DataFrame, stored: DataFrame, head: str) -> DataFrame:
+    """Heads of hashes (head, member_hash) that stored does not have, or with another hash."""
+    had = stored.select(head, F.col("member_hash").alias("_had"))
+    return hashes.join(had, head, "left").where(~F.col("_had").eqNullSafe(F.col("member_hash"))).drop("_had")
+
+
 def stale_vectors(members: DataFrame, vectors: DataFrame, key: str, model: str, check_text: bool = False) -> DataFrame:
     """Members without a vector of this model (D14); with check_text also those whose text hash moved."""
     have = vectors.select(key, F.col("model").alias("_model"), *([F.col("text_hash").alias("_hash")] if check_text else []))

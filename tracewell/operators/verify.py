@@ -1,4 +1,4 @@
-"""Verification of heads."""
+"""Verification of heads."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import lookup, stance_side
+from tracewell.operators.rows import first_per_key
 from tracewell.params import KNOBS, TIER_WEIGHT
 
 
@@ -17,6 +18,45 @@ def corroborate(sources: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("independent_sources") >= 2, "corroborated").otherwise("single_source"))
 
 
+def linked_series(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """head, series_id, surfaces: the registered series among the indicators that heads link to (head,
+    entity_id), with what names them, name first (V3).  entities: entity_id, canonical_id, entity_type,
+    name, aliases."""
+    known = entities.where((F.col("entity_type") == "EconomicIndicator") & F.col("canonical_id").startswith("fred:"))
+    surfaces = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    known = known.select("entity_id", F.substring_index("canonical_id", ":", -1).alias("series_id"), surfaces.alias("surfaces"))
+    return links.select("head", "entity_id").distinct().join(known, "entity_id").select("head", "series_id", "surfaces")
+
+
+def disagreements(references: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """references (head, series_id, kind, period, yoy, source, reference) whose two sources differ by more
+    than the tolerance, once for each head, series, period and kind of change: ..., fred, bls (V9)."""
+    own = ["head", "series_id", "kind", "period", "yoy"]
+    both = references.groupBy(*own).agg(F.max(F.when(F.col("source") == "fred", F.col("reference"))).alias("fred"), F.max(F.when(F.col("source") == "bls", F.col("reference"))).alias("bls"))
+    most = F.when(F.col("kind") == "change_thousands", KNOBS.tolerance_thousands).otherwise(KNOBS.tolerance_pct)
+    return both.where(F.abs(F.col("fred") - F.col("bls")) > most + slack)
+
+
+def stance_sources(stances: DataFrame, members: DataFrame, member_stances: DataFrame, sources: DataFrame) -> DataFrame:
+    """stances (head, entity, topic, role, span) with url and tier of the source of the member that said
+    just that: the best tier, then the least source (V14).  members: head, id; member_stances: id, entity,
+    topic, role, span; sources: id, source_id, tier, url.  Null where no member did."""
+    key = ["entity", "topic", "role", "span"]
+    said = members.join(member_stances.select("id", *key), "id").join(sources, "id")
+    best = first_per_key(said.select("head", *key, "tier", "source_id", "url"), ["head", *key], F.col("tier"), F.col("source_id"))
+    return stances.join(best.drop("source_id"), ["head", *key], "left")
+
+
+def flip_details(flips: DataFrame, sourced: DataFrame) -> DataFrame:
+    """flips of stance_flips with flip_of, null without a flip: the prior head, its time, stance, span and the
+    url of its source (V13).  sourced: head, entity, topic, role, ts, stance, span, url; of several roles on
+    the prior head, the first."""
+    prior = first_per_key(sourced, ["head", "entity", "topic"], F.col("role")).select(F.col("head").alias("prior_head"), "entity", "topic", F.struct(F.col("ts").alias("time"), "stance", "span", "url").alias("_prior"))
+    both = flips.join(prior, ["prior_head", "entity", "topic"], "left")
+    told = F.struct(F.col("prior_head").alias("head"), F.col("_prior.time").alias("time"), F.col("_prior.stance").alias("stance"), F.col("_prior.span").alias("span"), F.col("_prior.url").alias("url"))
+    return both.withColumn("flip_of", F.when(F.col("flip"), told)).drop("_prior")
+
+
 def stance_flips(stances: DataFrame, least: float = KNOBS.stance_confidence) -> DataFrame:
     """stances (head, ts, entity, topic, role, stance, confidence) with prior_head and flip.
 
@@ -45,8 +85,12 @@ def head_verdict(heads: DataFrame, corroboration: DataFrame, numeric: DataFrame,
     return out.select("head", status.alias("status"), confidence.alias("confidence"), "mismatched", "matched")
 
 
-def review_rows(verdicts: DataFrame, flips: DataFrame, least: float = KNOBS.review_confidence) -> DataFrame:
-    """(head, kind) of what needs a look: flips, mismatches, low confidence."""
-    out = flips.where("flip").select("head", F.lit("stance_flip").alias("kind"))
-    out = out.unionByName(verdicts.where("mismatched").select("head", F.lit("numeric_mismatch").alias("kind")))
-    return out.unionByName(verdicts.where(F.col("confidence") < least).select("head", F.lit("low_confidence").alias("kind"))).distinct()
+def review_rows(verdicts: DataFrame, flips: DataFrame, disagreeing: DataFrame | None = None, least: float = KNOBS.review_confidence) -> DataFrame:
+    """(head, kind, field) of what needs a look (V16): flips; mismatched claims or sources that disagree (head),
+    one row for both; low confidence."""
+    odd = verdicts.where("mismatched").select("head")
+    if disagreeing is not None:
+        odd = odd.unionByName(disagreeing.select("head"))
+    told = lambda rows, kind, field: rows.select("head").distinct().select("head", F.lit(kind).alias("kind"), F.lit(field).alias("field"))
+    out = told(flips.where("flip"), "verification", "verify:stance_flip").unionByName(told(odd, "verification", "verify:numeric"))
+    return out.unionByName(told(verdicts.where(F.col("confidence") < least), "low_confidence", "verify:confidence"))

@@ -25,6 +25,84 @@ ID_FORMATS = {
 SERIES_KIND = {"CPIAUCSL": "pct_change", "CPILFESL": "pct_change", "PCEPI": "pct_change", "PCEPILFE": "pct_change", "UNRATE": "rate", "CIVPART": "rate", "PAYEMS": "change_thousands"}
 LOOKBACK_DAYS = {"daily": 60, "weekly": 90, "monthly": 180, "quarterly": 400, "annual": 800}
 RATER_PRIORITY = ("cook", "inside_elections", "sabato")
+#: Rating labels of the raters: those of cards by the order in which headers are searched for them.
+CARD_LABELS = {
+    "solid democrat": "safe_d",
+    "likely democrat": "likely_d",
+    "lean democrat": "lean_d",
+    "toss up": "tossup",
+    "lean republican": "lean_r",
+    "likely republican": "likely_r",
+    "solid republican": "safe_r",
+}
+FEED_LABELS = {
+    "solid democrat": "safe_d",
+    "safe democrat": "safe_d",
+    "likely democrat": "likely_d",
+    "lean democrat": "lean_d",
+    "tilt democrat": "tossup_d",
+    "toss-up": "tossup",
+    "tilt republican": "tossup_r",
+    "lean republican": "lean_r",
+    "likely republican": "likely_r",
+    "solid republican": "safe_r",
+    "safe republican": "safe_r",
+}
+#: FIPS code, postal code and name of the states.
+STATES = (
+    ("01", "AL", "Alabama"), ("02", "AK", "Alaska"), ("04", "AZ", "Arizona"), ("05", "AR", "Arkansas"), ("06", "CA", "California"),
+    ("08", "CO", "Colorado"), ("09", "CT", "Connecticut"), ("10", "DE", "Delaware"), ("11", "DC", "District of Columbia"), ("12", "FL", "Florida"),
+    ("13", "GA", "Georgia"), ("15", "HI", "Hawaii"), ("16", "ID", "Idaho"), ("17", "IL", "Illinois"), ("18", "IN", "Indiana"),
+    ("19", "IA", "Iowa"), ("20", "KS", "Kansas"), ("21", "KY", "Kentucky"), ("22", "LA", "Louisiana"), ("23", "ME", "Maine"),
+    ("24", "MD", "Maryland"), ("25", "MA", "Massachusetts"), ("26", "MI", "Michigan"), ("27", "MN", "Minnesota"), ("28", "MS", "Mississippi"),
+    ("29", "MO", "Missouri"), ("30", "MT", "Montana"), ("31", "NE", "Nebraska"), ("32", "NV", "Nevada"), ("33", "NH", "New Hampshire"),
+    ("34", "NJ", "New Jersey"), ("35", "NM", "New Mexico"), ("36", "NY", "New York"), ("37", "NC", "North Carolina"), ("38", "ND", "North Dakota"),
+    ("39", "OH", "Ohio"), ("40", "OK", "Oklahoma"), ("41", "OR", "Oregon"), ("42", "PA", "Pennsylvania"), ("44", "RI", "Rhode Island"),
+    ("45", "SC", "South Carolina"), ("46", "SD", "South Dakota"), ("47", "TN", "Tennessee"), ("48", "TX", "Texas"), ("49", "UT", "Utah"),
+    ("50", "VT", "Vermont"), ("51", "VA", "Virginia"), ("53", "WA", "Washington"), ("54", "WV", "West Virginia"), ("55", "WI", "Wisconsin"),
+    ("56", "WY", "Wyoming"),
+)
+#: Node types that a mention of a type may mean; others mean their own type alone.
+SEARCH_TYPES = {
+    "Politician": ("Politician", "Candidate"),
+    "Candidate": ("Candidate", "Politician"),
+    "Committee": ("Committee", "InterestGroup_PAC"),
+    "InterestGroup_PAC": ("InterestGroup_PAC", "Committee"),
+}
+STANCE_HOLDERS = ("Politician", "Candidate", "Party", "Agency")
+STRUCTURAL_ROLES = ("author", "sponsor", "voter")
+RELEVANT_SOURCES = ("congress", "senate_votes", "fec")
+#: Series of the ticker and what is shown of each.
+TICKER = {
+    "CPIAUCSL": "yoy",
+    "CPILFESL": "yoy",
+    "PCEPI": "yoy",
+    "UNRATE": "level",
+    "PAYEMS": "change",
+    "DFF": "level",
+    "DGS10": "level",
+    "T10Y2Y": "level",
+}
+SOURCE_PREFERENCE = ("fred", "bls")
+#: Tags of sources by the end of their host.
+HOST_TAGS = {
+    "congress.gov": "CNG",
+    "stlouisfed.org": "FRED",
+    "bls.gov": "BLS",
+    "fec.gov": "FEC",
+    "x.com": "X",
+    "twitter.com": "X",
+    "senate.gov": "PR",
+    "house.gov": "PR",
+    "whitehouse.gov": "WH",
+    "cookpolitical.com": "COOK",
+    "centerforpolitics.org": "SABATO",
+    "insideelections.com": "INSIDE",
+    "nytimes.com": "NYT",
+}
+#: Words that go at the start and the end of a mention.
+TITLES = "the honorable|honorable|hon|senator|sen|representative|rep|congressman|congresswoman|dr|mr|mrs|ms|gov|governor"
+SUFFIXES = "jr|sr|ii|iii|iv"
 
 
 @dataclass(frozen=True)
@@ -59,6 +137,7 @@ class Knobs:
     rsch_events: int = 8
     rsch_sim: float = 0.5
     rsch_records: int = 30
+    embed_chars: int = 2000
     regression: float = 0.02
 
 

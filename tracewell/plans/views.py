@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import cosine, election_proximity, epoch_us, recency, salience
 from tracewell.operators.rows import first_per_key
-from tracewell.params import KNOBS
+from tracewell.operators.verify import stance_sources
+from tracewell.params import KNOBS, SOURCE_PREFERENCE
 
 
 def top_source(sources: DataFrame) -> DataFrame:
@@ -15,22 +16,76 @@ def top_source(sources: DataFrame) -> DataFrame:
     return first_per_key(sources, ["head"], F.col("tier"), F.col("id"))
 
 
-def feed(heads: DataFrame, now: str, days: int = KNOBS.feed_days, limit: int = 50) -> DataFrame:
+def feed(heads: DataFrame, now: str, days: int = KNOBS.feed_days, limit: int = 50, provenance: DataFrame | None = None) -> DataFrame:
     """heads (head, kind, ts, sources, importance, bonus, link_confidence, cycle) in the window up to
-    now, ranked (W2, G7-G10).  Components have 4 places and the total 6, before ranking."""
+    now, ranked (W2, G7-G10).  Components have 4 places and the total 6, before ranking.  With provenance
+    (head, id, tier, url, span) heads without a source go before the limit, the others have that of their
+    best one, and source_count, the number of all."""
     at = F.lit(now).cast("timestamp_ntz")
     recent = heads.where((F.col("ts") >= at - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") <= at))
+    shown = []
+    if provenance is not None:
+        counts = provenance.groupBy("head").agg(F.count(F.lit(1)).alias("source_count"))
+        recent = recent.join(top_source(provenance).select("head", "tier", "url", "span").join(counts, "head"), "head")
+        shown = ["source_count", "tier", "url", "span"]
     r, e = recency(F.col("ts"), at), election_proximity(F.col("link_confidence"), F.col("cycle"), at)
     total = salience(r, F.col("sources"), F.col("importance"), F.col("bonus"), e)
     parts = {"recency": r, "source_part": F.log(1 + F.col("sources").cast("double")), "importance_part": F.col("importance"), "verification": F.col("bonus"), "election": e}
-    out = recent.select("head", "kind", "ts", *[F.round(v, 4).alias(k) for k, v in parts.items()], F.round(total, 6).alias("salience"))
+    out = recent.select("head", "kind", "ts", *shown, *[F.round(v, 4).alias(k) for k, v in parts.items()], F.round(total, 6).alias("salience"))
     return out.orderBy(F.desc("salience"), F.desc("ts"), "head").limit(max(1, min(limit, 200)))
 
 
-def reactions(stances: DataFrame, sources: DataFrame) -> DataFrame:
-    """The surest reaction per head, entity and topic with a source; those without go."""
+def reactions(stances: DataFrame, sources: DataFrame, flips: DataFrame | None = None) -> DataFrame:
+    """The surest reaction per head, entity and topic with a source; those without go (W4).  With flips (head,
+    entity, topic, flip_of) there is flip_of, null without one."""
     known = stances.join(top_source(sources).select("head", "tier", "url"), "head")
-    return first_per_key(known, ["head", "entity", "topic"], F.col("tier"), F.desc("confidence"), F.col("role"))
+    best = first_per_key(known, ["head", "entity", "topic"], F.col("tier"), F.desc("confidence"), F.col("role"))
+    if flips is None:
+        return best
+    marked = flips.where("flip_of is not null").select("head", "entity", "topic", "flip_of").dropDuplicates(["head", "entity", "topic"])
+    return best.join(marked, ["head", "entity", "topic"], "left")
+
+
+def affected_races(links: DataFrame, races: DataFrame) -> DataFrame:
+    """links (head, race_id, confidence, matched_topics) of each head with the race's rating and place, by
+    confidence, then race (W6).  races: race_id, rating."""
+    place = F.row_number().over(Window.partitionBy("head").orderBy(F.desc("confidence"), "race_id"))
+    return links.join(races.select("race_id", "rating"), "race_id").withColumn("place", place)
+
+
+def stance_timeline(stances: DataFrame, members: DataFrame, member_stances: DataFrame, sources: DataFrame, flips: DataFrame) -> DataFrame:
+    """Stances of heads (head, ts, entity, topic, role, stance, confidence, span) that a member said with its
+    source, one for each (head, topic, role), with flip_of and place, oldest first (W7)."""
+    said = stance_sources(stances, members, member_stances, sources).where("url is not null")
+    marked = flips.where("flip_of is not null").select("head", "entity", "topic", "role", "flip_of")
+    place = F.row_number().over(Window.partitionBy("entity", "topic").orderBy("ts", "head", "role"))
+    return said.join(marked, ["head", "entity", "topic", "role"], "left").withColumn("place", place)
+
+
+def _listed(rows: DataFrame, key: str, name: str, order: list, columns: list[str]) -> DataFrame:
+    """key, name: the columns of its rows as an array of structs in order."""
+    ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*columns).alias("row"))
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["row"]).alias(name))
+
+
+def event_objects(heads: DataFrame, members: DataFrame, entities: DataFrame, told: DataFrame, related: DataFrame, sources: DataFrame, races: DataFrame) -> DataFrame:
+    """One row per head with its parts as arrays (W3).  heads: head and any columns, its verification among
+    them; members: head, id; entities: head, entity, name, role, named in order with their sorted roles;
+    told: rows of reactions; related: rows of related_both_ways; sources: head, id, tier, url, span;
+    races: rows of affected_races."""
+    cast = entities.groupBy("head", "entity", "name").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    lists = [
+        members.groupBy("head").agg(F.sort_array(F.collect_set("id")).alias("members")),
+        _listed(cast, "head", "entities", [F.col("name"), F.col("entity")], ["entity", "name", "roles"]),
+        _listed(told, "head", "reactions", [F.col("entity"), F.col("topic")], ["entity", "topic", "stance", "tier", "url"]),
+        _listed(related, "head", "related", [F.col("ts"), F.col("other"), F.col("way")], ["other", "way", "relation"]),
+        _listed(sources, "head", "sources", [F.col("tier"), F.col("id")], ["tier", "url", "span"]),
+        _listed(races, "head", "races", [F.col("place")], ["race_id", "rating", "confidence"]),
+    ]
+    out = heads
+    for part in lists:
+        out = out.join(part, "head", "left")
+    return out
 
 
 def related_both_ways(links: DataFrame) -> DataFrame:
@@ -38,14 +93,42 @@ def related_both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("head"), F.col("dst").alias("other"), F.lit("prior").alias("way"), "relation", "sim").unionByName(links.select(F.col("dst").alias("head"), F.col("src").alias("other"), F.lit("later").alias("way"), "relation", "sim"))
 
 
-def dossier(stances: DataFrame, events: DataFrame, sources: DataFrame, newest: int = 20) -> DataFrame:
+def dossier(stances: DataFrame, events: DataFrame, sources: DataFrame, newest: int = 20, neighbours: DataFrame | None = None) -> DataFrame:
     """Per entity: latest stance for each topic, and how many of its newest events have a source.  The
-    limit comes before sourceless events go (W8).  events: entity, head, ts, role."""
+    limit comes before sourceless events go (W8).  events: entity, head, ts, role.  With neighbours (rows
+    of graph.neighbourhood) there are relationships, the surest and most frequent first."""
     latest = first_per_key(stances, ["entity", "topic"], F.desc("ts"), F.desc("head")).groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.col("topic").cast("string"), "stance"))), ",").alias("stances"))
     seen = events.groupBy("entity", "head").agg(F.max("ts").alias("ts"), F.sort_array(F.collect_set("role")).alias("roles"))
     top = seen.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("ts"), F.desc("head")))).where(F.col("rank") <= newest)
     shown = top.join(sources.select("head").distinct(), "head", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("shown"), F.max("ts").alias("newest"))
-    return latest.join(shown, "entity", "full")
+    out = latest.join(shown, "entity", "full")
+    if neighbours is None:
+        return out
+    order = [-F.col("confidence"), -F.col("edge_count"), F.col("neighbour"), F.col("relation"), F.col("direction")]
+    return out.join(_listed(neighbours, "entity", "relationships", order, ["direction", "relation", "neighbour", "edge_count", "confidence"]), "entity", "full")
+
+
+def race_dossiers(races: DataFrame, history: DataFrame, entities: DataFrame, polls: DataFrame, links: DataFrame, sources: DataFrame, newest: int = 20) -> DataFrame:
+    """One row per race (race_id, rating, incumbent: bioguide id, candidate_ids: FEC ids in order) with its
+    ratings, newest first; the incumbent's entity; its candidates in order, each with the first entity that
+    has or lists its id; the latest poll; and of its newest linked heads those with a source (W9).
+    history: race_id, rater, rating, asof; entities: entity_id, canonical_id, aliases; polls: race_id, id,
+    asof, value; links: race_id, head, ts, confidence; sources: head, id, tier, url."""
+    ratings = _listed(history, "race_id", "ratings", [-F.unix_date("asof"), F.col("rater")], ["rater", "rating", "asof"])
+    known = entities.select("entity_id", "canonical_id", "aliases")
+    sits = races.where("incumbent is not null").select("race_id", F.concat(F.lit("bioguide:"), "incumbent").alias("canonical_id")).join(known.select("canonical_id", F.col("entity_id").alias("incumbent_id")), "canonical_id").select("race_id", "incumbent_id")
+    each = races.select("race_id", F.posexplode("candidate_ids").alias("at", "fec"))
+    by_id = known.select(F.explode(F.array_union(F.array(F.when(F.col("canonical_id").startswith("fec:"), F.substring_index("canonical_id", ":", -1))), F.coalesce("aliases", F.array().cast("array<string>")))).alias("fec"), "entity_id").where("fec is not null")
+    first = by_id.groupBy("fec").agg(F.min("entity_id").alias("entity_id"))
+    runs = _listed(each.join(first, "fec", "left"), "race_id", "candidates", [F.col("at")], ["fec", "entity_id"])
+    poll = first_per_key(polls, ["race_id"], F.desc("asof"), F.desc("id")).select("race_id", F.struct("asof", "value").alias("poll"))
+    top = links.withColumn("rank", F.row_number().over(Window.partitionBy("race_id").orderBy(F.desc("confidence"), F.desc("ts"), F.desc("head")))).where(F.col("rank") <= newest)
+    shown = top.join(top_source(sources).select("head", "tier", "url"), "head")
+    events = _listed(shown, "race_id", "events", [F.col("rank")], ["head", "confidence", "tier", "url"])
+    out = races
+    for part in (ratings, sits, runs, poll, events):
+        out = out.join(part, "race_id", "left")
+    return out
 
 
 def ticker(series: DataFrame, prefer: tuple[str, ...]) -> DataFrame:
@@ -61,6 +144,29 @@ def ticker(series: DataFrame, prefer: tuple[str, ...]) -> DataFrame:
     return first_per_key(out, ["series_id"], F.when(rank == 0, len(prefer) + 1).otherwise(rank), F.col("source")).select("series_id", "source", "asof", F.col("value").alias("level"), F.round(F.col("value") - F.col("previous"), 4).alias("change"), "yoy")
 
 
+def indicator_ticker(series: DataFrame, kinds: DataFrame, prefer: tuple[str, ...] = SOURCE_PREFERENCE) -> DataFrame:
+    """series (series_id, source, asof, value decimal) by kinds (series_id, kind: level, change or yoy) as
+    series_id, kind, source, asof, value, delta (against the observation before, of the same kind) and
+    span, the observations that value comes from (W10).  A change needs the observation before, a yearly
+    one that of the same day a year before; the first source in `prefer` whose latest value has what it
+    needs wins, and series without one are left out."""
+    w = Window.partitionBy("series_id", "source").orderBy("asof")
+    rows = series.join(kinds, "series_id").withColumn("before", F.lag(F.struct("asof", "value")).over(w))
+    year = series.select("series_id", "source", F.add_months("asof", 12).alias("asof"), F.struct(F.col("asof"), F.col("value")).alias("year"))
+    rows = rows.join(year.where(F.dayofmonth("asof") == F.dayofmonth("year.asof")), ["series_id", "source", "asof"], "left")
+    level, change = F.col("value").cast("double"), (F.col("value") - F.col("before.value")).cast("double")
+    yoy = (F.try_divide(F.col("value").cast("double"), F.col("year.value").cast("double")) - 1) * 100
+    shown = F.when(F.col("kind") == "level", level).when(F.col("kind") == "change", change).otherwise(yoy)
+    used = F.when(F.col("kind") == "change", F.col("before")).when(F.col("kind") == "yoy", F.col("year"))
+    said = lambda x: F.when(x.isNotNull(), F.concat(F.col("series_id"), F.lit(" "), x["asof"].cast("string"), F.lit(" = "), x["value"].cast("string")))
+    rows = rows.withColumn("shown", shown).withColumn("span", F.concat_ws("; ", said(used), said(F.struct("asof", "value"))))
+    rows = rows.withColumn("delta", F.col("shown") - F.lag("shown").over(w))
+    last = rows.withColumn("rank", F.row_number().over(Window.partitionBy("series_id", "source").orderBy(F.desc("asof")))).where("rank = 1 and shown is not null")
+    place = F.array_position(F.array(*[F.lit(p) for p in prefer]), F.col("source"))
+    first = first_per_key(last.where(place > 0), ["series_id"], place)
+    return first.select("series_id", "kind", "source", "asof", F.round("shown", 4).alias("value"), F.round("delta", 4).alias("delta"), "span")
+
+
 def retrieve(members: DataFrame, query: list[float], named: list[int], members_kept: int = 32, heads: int = KNOBS.rsch_events, least: float = KNOBS.rsch_sim, digits: int = 6) -> DataFrame:
     """members (id, head, ts, embedding) nearest to the query as ranked heads: named ones first, newest
     first, then by similarity (W11)."""

@@ -19,8 +19,6 @@ from tracewell.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Folders of applications that set none.
-_unset: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
@@ -33,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one where none is set (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or _unset.setdefault(spark.sparkContext.applicationId, ingest.new_folder(f"file://{tempfile.gettempdir()}", "tracewell"))
+    """Folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a session on one
+    machine (tests) gets a temporary folder; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/tracewell-{spark.sparkContext.applicationId}"
     return where.rstrip("/")
 
 
@@ -488,7 +491,7 @@ def prf_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pass_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2, M3: several metrics in long form."""
+    """M2: several metrics in long form; `pass_scores` has all of M3."""
     gold, guess = verdicts_of(spark, sf_dir)
     lab = table(spark, sf_dir, "labels").join(guess.withColumn("p", F.lit(1)), "doc_id", "left")
     one = graph.micro_scores(gold, guess, "doc_id")
@@ -508,7 +511,8 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def item_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4, M5: flags of each order's lines before and after March 1997 as gold and predicted labels."""
+    """M5: flags and numbers of each order's lines other than flag N as labels: gold those shipped before
+    March 1999, predicted those of discounts below 0.06."""
     li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").withColumn("label", F.concat_ws("-", "l_returnflag", "l_linenumber"))
     side = lambda x: li.where(x).groupBy(F.col("l_orderkey").alias("item")).agg(F.collect_set("label").alias("labels"))
     d = graph.item_diff(side(F.col("l_shipdate") < "1999-03-01"), side(F.col("l_discount") < 0.06))

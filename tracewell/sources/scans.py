@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import bill_id, bill_label, lookup, vote_bill_id
-from tracewell.params import LOOKBACK_DAYS
+from tracewell.operators.registry import state_table, with_states
+from tracewell.params import CARD_LABELS, FEED_LABELS, LOOKBACK_DAYS
 
 # Schemas of payloads and label tables.
 OBSERVATIONS = "observations array<struct<date:string,value:string>>"
@@ -17,12 +18,18 @@ ROLL_CALL = "id string, congress int, date string, clerk_rollnumber int, bill_nu
 POSTS = "data array<struct<id:string,text:string,created_at:string,lang:string>>"
 RATINGS = "ratings array<struct<district:string,rating:string,date:string>>"
 LEGISLATORS = "id struct<bioguide:string,fec:array<string>>, name struct<first:string,last:string,nickname:string,official_full:string>, terms array<struct<type:string,state:string,class:int,party:string,start:string,end:string>>"
-LABELS = {f"{a} {b}": f"{a}_{c}" for a in ("safe", "likely", "lean") for b, c in (("d", "d"), ("r", "r"), ("democratic", "d"), ("republican", "r"), ("democrat", "d"))} | {"toss up": "tossup", "toss-up": "tossup", "tossup": "tossup", "tossup d": "tossup_d", "tossup r": "tossup_r", "tilt democratic": "tossup_d", "tilt republican": "tossup_r"}
+
+
+#: Columns of a raw record.
+RECORD = {"url": "string", "text": "string", "event_time": "timestamp", "raw_payload": "string", "entity_ids": "array<string>", "unresolved": "array<string>"}
 
 
 def raw_records(rows: DataFrame) -> DataFrame:
-    """Rows of the raw-record contract: those with a url."""
-    return rows.where(F.length("url") > 0)
+    """rows with any of the columns of RECORD as raw records (S1): all of these columns, absent ones null
+    or empty, and only rows with a url."""
+    have = {c: F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t) for c, t in RECORD.items()}
+    lists = {c: F.coalesce(v, F.array().cast(RECORD[c])) if RECORD[c].startswith("array") else v for c, v in have.items()}
+    return rows.select(*[v.alias(c) for c, v in lists.items()]).where(F.length("url") > 0)
 
 
 def observations(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -93,28 +100,33 @@ def posts(payloads: DataFrame, accounts: DataFrame, politicians: DataFrame) -> D
     each = payloads.select("user_id", F.inline(F.from_json("payload", POSTS)["data"])).join(accounts, "user_id")
     each = each.join(politicians.select(F.col("bioguide_id").alias("bioguide"), "entity_id"), "bioguide", "left")
     missing = (F.col("kind") == "member") & F.col("entity_id").isNull()
-    return each.select(F.concat(F.lit("https://x.com/"), "handle", F.lit("/status/"), "id").alias("url"), "text", F.to_timestamp("created_at").alias("event_time"), F.when(F.col("kind") == "member", F.col("entity_id")).alias("entity_id"), F.when(missing, F.concat(F.lit("@"), "handle")).alias("unresolved"))
+    # Keys of the author that have default values stay out of the payload, so that its hash is stable:
+    # to_json leaves out nulls.
+    author = F.struct("handle", F.nullif(F.col("kind"), F.lit("member")).alias("kind"), F.nullif(F.col("bioguide"), F.lit("")).alias("bioguide"))
+    return each.select(F.to_json(F.struct("id", "text", "created_at", "lang", author.alias("author"))).alias("raw_payload"), F.concat(F.lit("https://x.com/"), "handle", F.lit("/status/"), "id").alias("url"), "text", F.to_timestamp("created_at").alias("event_time"), F.when(F.col("kind") == "member", F.col("entity_id")).alias("entity_id"), F.when(missing, F.concat(F.lit("@"), "handle")).alias("unresolved"))
 
 
-def rating_feed(payloads: DataFrame) -> DataFrame:
+def rating_feed(payloads: DataFrame, labels: dict[str, str] = FEED_LABELS) -> DataFrame:
     """payloads (payload JSON) as state, rating, asof; unknown labels go."""
     each = payloads.select(F.inline(F.from_json("payload", RATINGS)["ratings"]))
-    return each.select(F.substring("district", 1, 2).alias("state"), lookup(LABELS, F.lower(F.trim("rating"))).alias("rating"), F.to_date("date").alias("asof")).where("rating is not null")
+    return each.select(F.upper("district").alias("state"), lookup(labels, F.lower(F.trim("rating"))).alias("rating"), F.to_date("date").alias("asof")).where("rating is not null")
 
 
-def rating_cards(pages: DataFrame) -> DataFrame:
-    """pages (html, fetched) with cards of a header and state names as state, rating, asof."""
-    cards = pages.select("fetched", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)(<h3.*?)(?=<h3|$)"), F.lit(1))).alias("card"))
-    header = F.lower(F.regexp_extract("card", r"(?s)<h3[^>]*>(.*?)</h3>", 1))
-    known = F.coalesce(*[F.when(header.contains(k), F.lit(v)) for k, v in sorted(LABELS.items(), key=lambda x: -len(x[0]))])
-    states = F.regexp_extract_all("card", F.lit(r"<li[^>]*>\s*([^<]+?)\s*</li>"), F.lit(1))
+def rating_cards(pages: DataFrame, labels: dict[str, str] = CARD_LABELS) -> DataFrame:
+    """pages (html, fetched: date) of rating cards, a header and the states below it, as state, rating, asof
+    (S10).  A header's label is the first of the labels that it holds; cards without one go."""
+    start = r'<div[^>]*class="(?:[^"]*\s)?race-card(?:\s[^"]*)?"'
+    cards = pages.select("fetched", F.explode(F.slice(F.split("html", start), 2, 1_000_000)).alias("card"))
+    header = F.lower(F.regexp_replace(F.regexp_extract("card", r'(?s)<(\w+)[^>]*class="[^"]*race-card-header[^"]*"[^>]*>(.*?)</\1>', 2), "<[^>]*>", ""))
+    known = F.coalesce(*[F.when(header.contains(k), F.lit(v)) for k, v in labels.items()])
+    states = F.regexp_extract_all("card", F.lit(r'<span[^>]*class="[^"]*race-district[^"]*"[^>]*>\s*([^<]*?)\s*</span>'), F.lit(1))
     return cards.select(F.explode(states).alias("state"), known.alias("rating"), F.col("fetched").alias("asof")).where("rating is not null")
 
 
 def keyed_ratings(ratings: DataFrame, races: DataFrame, cycle: int) -> DataFrame:
-    """ratings with race_id, for races that exist."""
-    keyed = ratings.withColumn("race_id", F.concat(F.col("state"), F.lit(f"-SEN-{cycle}")))
-    return keyed.join(races.select("race_id"), "race_id")
+    """ratings with race_id of the state that they name in any way, for races that exist."""
+    keyed = with_states(ratings, "state").withColumn("race_id", F.concat(F.col("abbrev"), F.lit(f"-SEN-{cycle}")))
+    return keyed.join(races.select("race_id"), "race_id", "left_semi").drop("fips", "abbrev", "state_name")
 
 
 def senators(legislators: DataFrame, social: DataFrame) -> DataFrame:
@@ -126,11 +138,45 @@ def senators(legislators: DataFrame, social: DataFrame) -> DataFrame:
     return out.join(social.select("bioguide_id", "handle"), "bioguide_id", "left")
 
 
+def _names(*names: Column) -> Column:
+    return F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull() & (x != "")))
+
+
+def _spaced(*parts) -> Column:
+    return F.when(F.greatest(*[F.col(p).isNull().cast("int") for p in parts]) == 0, F.concat_ws(" ", *parts))
+
+
 def politician_entities(rows: DataFrame) -> DataFrame:
     """senators as entities with their aliases in order, without repeats."""
-    tag = F.concat(F.col("last"), F.lit(" ("), "party", F.lit("-"), "state", F.lit(")"))
-    names = F.array("name", F.concat_ws(" ", "first", "last"), F.when(F.col("nickname").isNotNull(), F.concat_ws(" ", "nickname", "last")), F.col("last"), tag, F.when(F.col("handle").isNotNull(), F.concat(F.lit("@"), "handle")))
-    return rows.select(F.concat(F.lit("bioguide:"), "bioguide_id").alias("canonical_id"), "name", F.lit("Politician").alias("entity_type"), F.array_distinct(F.filter(names, lambda x: x.isNotNull())).alias("aliases"))
+    tag = F.concat(F.lit("("), "party", F.lit("-"), "state", F.lit(")"))
+    names = _names(F.col("name"), _spaced("first", "last"), _spaced("nickname", "last"), F.col("last"), F.concat_ws(" ", F.col("last"), tag), F.concat_ws(" ", "first", "last", tag), F.concat(F.lit("@"), "handle"))
+    aliases = F.array_distinct(F.concat(names, F.coalesce("fec_ids", F.array().cast("array<string>"))))
+    return rows.select(F.concat(F.lit("bioguide:"), "bioguide_id").alias("canonical_id"), "name", F.lit("Politician").alias("entity_type"), aliases.alias("aliases"))
+
+
+def jurisdiction_entities(spark: SparkSession) -> DataFrame:
+    """The states as entities."""
+    return state_table(spark).select(F.concat(F.lit("fips:"), "fips").alias("canonical_id"), "name", F.lit("Jurisdiction").alias("entity_type"), F.array("abbrev", "name").alias("aliases"))
+
+
+def indicator_entities(series: DataFrame) -> DataFrame:
+    """series (series_id, title, aliases) as entities."""
+    aliases = F.array_distinct(F.concat(F.array("series_id", "title"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    return series.select(F.concat(F.lit("fred:"), "series_id").alias("canonical_id"), F.col("title").alias("name"), F.lit("EconomicIndicator").alias("entity_type"), aliases.alias("aliases"))
+
+
+def race_table(races: DataFrame, senators: DataFrame, cycle: int) -> DataFrame:
+    """races (state: postal code, class, special, salient) with race_id, fips, state_name and incumbent, the
+    first senator (bioguide_id, state, class) of that seat (S14)."""
+    sits = senators.groupBy("state", "class").agg(F.min("bioguide_id").alias("incumbent"))
+    known = with_states(races, "state").where("fips is not null")
+    return known.join(sits, ["state", "class"], "left").withColumn("race_id", F.concat("abbrev", F.lit(f"-SEN-{cycle}"))).withColumn("cycle", F.lit(cycle)).drop("abbrev")
+
+
+def race_entities(races: DataFrame) -> DataFrame:
+    """race_table's rows as entities."""
+    name = F.concat("state_name", F.lit(" Senate"), F.when(F.col("special"), " Special").otherwise(""), F.lit(" "), F.col("cycle").cast("string"))
+    return races.select(F.concat(F.lit("race:"), "race_id").alias("canonical_id"), name.alias("name"), F.lit("Race").alias("entity_type"), F.array_distinct(F.array("race_id", name, F.concat("state_name", F.lit(" Senate race")))).alias("aliases"))
 
 
 def polls(spark: SparkSession, path: str) -> DataFrame:

@@ -1,33 +1,98 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs.
+
+Stored tables are Parquet by batch and by bucket of the key.  A batch reads only the buckets that its
+keys fall into, and a batch that is tried again replaces its own partitions.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators.rows import first_per_key
+from tracewell.operators.verify import stance_flips
 
+PARTS = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
 
-def ingest_once(spark: SparkSession, source: str, schema: str, keys: list[str], order: str, store: str, state: str) -> None:
-    """Append to the Parquet table `store` the files of `source` that were not read yet, each key once
-    (T1, T2).  One batch at a time; the stored table is what decides, so state does not grow, and a
-    batch that is tried again replaces its own folder."""
 
-    def append(batch: DataFrame, number: int) -> None:
-        fresh = first_per_key(batch, keys, F.col(order))
-        have = batch.sparkSession.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(store).where(~F.input_file_name().contains(f"/batch-{number:09d}/"))
-        fresh.join(have.select(*keys), keys, "left_anti").write.mode("overwrite").parquet(f"{store}/batch-{number:09d}")
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _begin(spark: SparkSession, store: str, schema: T.StructType) -> None:
+    """An empty table, if there is none yet."""
+    spark.createDataFrame([], T.StructType([*schema, *PARTS])).write.mode("ignore").partitionBy(*PARTS.names).parquet(store)
+
+
+def _put(rows: DataFrame, store: str, number: int, keys: Sequence[str], buckets: int) -> None:
+    dealt = rows.withColumns({"batch": F.lit(number), "bucket": _bucket(keys, buckets)})
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS.names).parquet(store)
+
+
+def _table(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema, *PARTS])).parquet(store)
+
+
+def _buckets_of(rows: DataFrame, keys: Sequence[str], buckets: int) -> list[int]:
+    """The buckets of rows, at most as many as there are."""
+    return [r.b for r in rows.select(_bucket(keys, buckets).alias("b")).distinct().collect()]
+
 
-    # An empty part, so that the first batch finds a table.
-    spark.createDataFrame([], spark.read.schema(schema).parquet(source).schema).write.mode("overwrite").parquet(f"{store}/batch-none")
+def _run(spark: SparkSession, source: str, schema: str, state: str, each: Callable[[DataFrame, int], None]) -> None:
     stream = spark.readStream.schema(schema).parquet(source)
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def ingest_once(spark: SparkSession, source: str, schema: str, keys: list[str], order: str, store: str, state: str, counters: str | None = None, kind: str | None = None, buckets: int = 64) -> None:
+    """Append to the table `store` the files of `source` that were not read yet, each key once, the first by
+    order and then by its other columns (T1, T2).  One batch at a time; the stored table is what decides,
+    so state does not grow.  With counters, a table of that name gets fetched, inserted and skipped rows of
+    each batch by `kind` (T4)."""
+    columns = T.StructType.fromDDL(schema)
+    _begin(spark, store, columns)
+
+    def append(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        batch = batch.persist()
+        fresh = first_per_key(batch, keys, F.col(order), F.xxhash64(*batch.columns))
+        have = _table(here, store, columns).where(F.col("bucket").isin(_buckets_of(batch, keys, buckets)) & (F.col("batch") != number))
+        _put(fresh.join(have.select(*keys), keys, "left_anti"), store, number, keys, buckets)
+        if counters:
+            new = _table(here, store, columns).where(F.col("batch") == number).groupBy(kind).agg(F.count(F.lit(1)).alias("inserted"))
+            counts = batch.groupBy(kind).agg(F.count(F.lit(1)).alias("fetched")).join(new, kind, "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
+            counts.withColumn("skipped", F.col("fetched") - F.col("inserted")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(counters)
+        batch.unpersist()
+
+    _run(spark, source, schema, state, append)
 
 
 def stored(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store)
+    return _table(spark, store, T.StructType.fromDDL(schema)).drop(*PARTS.names)
+
+
+STANCE = "head bigint, ts timestamp, entity bigint, topic int, role string, stance string, confidence double"
+FLIP = STANCE + ", prior_head bigint, flip boolean"
+
+
+def flips_as_they_come(spark: SparkSession, source: str, store: str, flips: str, state: str, buckets: int = 16) -> None:
+    """Stances in files of `source`, in any order of time, kept in the table `store`, and their flips in the
+    table `flips` (T3): what comes late changes what later stances of its entity and topic are compared
+    with, so the flips of all keys in the buckets of a batch are computed anew and replaced."""
+    columns, key = T.StructType.fromDDL(STANCE), ["entity", "topic"]
+    _begin(spark, store, columns)
+
+    def update(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        _put(batch, store, number, key, buckets)
+        touched = _table(here, store, columns).where(F.col("bucket").isin(_buckets_of(batch, key, buckets)))
+        fresh = stance_flips(touched.drop(*PARTS.names)).withColumn("bucket", _bucket(key, buckets))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(flips)
+
+    _run(spark, source, STANCE, state, update)
 
 
 def daily_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:
