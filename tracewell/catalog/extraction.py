@@ -204,13 +204,13 @@ def answers_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT o_custkey AS a, l_orderkey AS c, [1.0, 0.8, 0.6, 0.4][1 + l_linenumber % 4]::DOUBLE * (1 - l_discount) AS w, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+WITH l AS (SELECT o_custkey AS a, l_orderkey AS c, [1.0, 0.8, 0.6, 0.4][1 + l_linenumber % 4]::DOUBLE * (1 - l_discount - l_extendedprice / 1e7) AS w, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 m AS (SELECT a, c, avg(w) AS own FROM l WHERE l_returnflag <> 'N' GROUP BY ALL), k AS (SELECT a, avg(own) AS mean, count(*) AS n FROM m GROUP BY 1), t AS (SELECT o_custkey AS a, count(*) AS claims FROM orders GROUP BY 1)
 SELECT t.a AS answer_id, coalesce(round(mean * n / claims, 3), 0.0) AS confidence FROM t LEFT JOIN k ON k.a = t.a""")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as answers, orders as claims, those with returned or accepted lines are kept."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("answer_id"))
     li = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").withColumn("n", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    records = li.select("n", F.concat(F.lit("T"), (1 + F.col("l_linenumber") % 4).cast("string")).alias("trust_tier"), (1 - F.col("l_discount")).alias("event_confidence"))
+    records = li.select("n", F.concat(F.lit("T"), (1 + F.col("l_linenumber") % 4).cast("string")).alias("trust_tier"), (1 - F.col("l_discount") - F.col("l_extendedprice") / 1e7).alias("event_confidence"))
     kept = li.where("l_returnflag <> 'N'").select("answer_id", F.col("l_orderkey").alias("claim_id"), "n")
     return ground.answer_confidence(kept, records, o.groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims")))

@@ -69,7 +69,7 @@ def bills_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS rollnumber, 'RS' || lpad(CAST((year(o_orderdate) - 1789) // 2 + 1 AS VARCHAR), 3, '0') || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') AS roll_id
+SELECT o_orderkey AS rollnumber, 'RS' || ((year(o_orderdate) - 1789) // 2 + 1) || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') AS roll_id
 FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' ORDER BY o_orderkey DESC LIMIT 20""")
 def roll_call_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as roll calls since 1996; the newest 20."""

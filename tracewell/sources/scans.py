@@ -69,7 +69,13 @@ def roll_call_index(index: DataFrame, since: str, newest: int = 20) -> DataFrame
     """index (rollnumber, date) as the newest roll calls on or after since: rollnumber, roll_id."""
     rows = index.where(F.to_date("date") >= F.lit(since).cast("date")).orderBy(F.desc("rollnumber")).limit(newest)
     congress = F.floor((F.year(F.to_date("date")) - 1789) / 2) + 1
-    return rows.select("rollnumber", F.concat(F.lit("RS"), F.lpad(congress.cast("string"), 3, "0"), F.lpad(F.col("rollnumber").cast("string"), 4, "0")).alias("roll_id"))
+    return rows.select("rollnumber", F.concat(F.lit("RS"), congress.cast("string"), _padded(F.col("rollnumber"), 4)).alias("roll_id"))
+
+
+def _padded(number: Column, least: int) -> Column:
+    """A number with leading zeros up to a least length."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(least), F.length(text)), F.lit("0"))
 
 
 def roll_calls(payloads: DataFrame, politicians: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def roll_calls(payloads: DataFrame, politicians: DataFrame) -> DataFrame:
     session = F.when(F.year(F.to_date("date")) % 2 == 1, 1).otherwise(2)
     votes = r.select("id", F.inline("votes")).join(politicians.select("bioguide_id", "entity_id"), "bioguide_id", "left")
     members = votes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bioguide_id", "cast_str", "entity_id"))).alias("members"))
-    return r.join(members, "id", "left").select("id", session.alias("session"), F.lpad(F.col("clerk_rollnumber").cast("string"), 5, "0").alias("clerk"), vote_bill_id(F.col("congress"), F.col("bill_number")).alias("bill_id"), "vote_result", F.to_timestamp("date").alias("event_time"), "members")
+    return r.join(members, "id", "left").select("id", session.alias("session"), _padded(F.col("clerk_rollnumber"), 5).alias("clerk"), vote_bill_id(F.col("congress"), F.col("bill_number")).alias("bill_id"), "vote_result", F.to_timestamp("date").alias("event_time"), "members")
 
 
 def candidates(totals: DataFrame) -> DataFrame:
