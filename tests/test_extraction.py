@@ -54,6 +54,33 @@ def test_fuzzy_candidates_equal_brute_force(spark):
         assert sorted(got.get(i, [])) == [x for x in near if x[0] <= -50][:5]
 
 
+def test_fuzzy_resolve_equals_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(3, 9)))
+    names = [(i, " ".join(word() for _ in range(rng.randint(1, 3)))) for i in range(60)]
+
+    def typo(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[], [rng.choice("abcdef ")], [t[at], rng.choice("abcdef")]])
+            t = t or ["a"]
+        return " ".join("".join(t).split()) or "a"
+
+    said = [(i, typo(rng.choice(names)[1])) for i in range(120)]
+    index = resolve.alias_index(spark.createDataFrame([(i, n, None) for i, n in names], "entity_id long, name string, aliases array<string>"))
+    got = {r.mention_id: r.entity_id for r in resolve.fuzzy_resolve(spark.createDataFrame(said, "mention_id long, mention string"), index).collect()}
+    order = lambda t: " ".join(sorted(t.split()))
+    found = 0
+    for i, m in said:
+        near = sorted(((-200 * resolve._common(order(m), order(n)) / (len(m) + len(n)), e) for e, n in names))
+        second = near[1][0] if len(near) > 1 else 0
+        want = near[0][1] if -near[0][0] >= 90 and second - near[0][0] >= 8 else None
+        assert got[i] == want
+        found += want is not None
+    assert found > 20
+
+
 def test_gate_and_cores(spark):
     docs = spark.createDataFrame([(1, "fec", "u"), (2, "news", "u"), (3, "news", "u"), (4, "news", "u")], "doc_id long, source string, url string")
     told = spark.createDataFrame([(1, False, 0.1, "x"), (2, True, 0.3, None), (3, False, 0.5, "dull"), (4, False, 0.9, "dull")], "doc_id long, relevant boolean, confidence double, reason string")

@@ -72,15 +72,21 @@ def fuzzy_resolve(mentions: DataFrame, index: DataFrame, accept: float = KNOBS.f
     """mentions (mention_id, mention) with entity_id and confidence: the best entity by sorted_ratio of
     the last form, if it reaches accept and beats every other by margin; null else.
 
-    Blocking keeps every pair that can matter, those of accept - margin or more: such a ratio bounds
-    the lengths, and the few edits it allows break fewer than all pairs of neighbouring letters of the
-    two texts with words in order."""
+    Blocking keeps every pair that can matter, those of accept - margin or more.  Such a ratio bounds the
+    lengths, and how many pairs of neighbouring letters a form, its words in order, can lose: a letter
+    left out breaks two, one put in breaks one.  So one of its rarest pairs, one more than it can lose,
+    stands in the alias, and forms are joined on these alone."""
     floor = accept - margin
+    share = floor / 100
+    loss = max(2 / (2 - share), 1 / share) * 2 * (1 - share)
     last = mentions.withColumn("forms", mention_forms(F.col("mention"), fold)).select("mention_id", F.when(F.size("forms") > 0, F.element_at("forms", -1)).alias("form")).where("form is not null")
     grams = lambda form: _grams(F.array_join(F.array_sort(F.split(form, " ")), " "))
     pool = index.where("not digit").select("entity_id", F.col("form").alias("alias"))
-    left = last.withColumn("gram", F.explode(grams(F.col("form"))))
     right = pool.withColumn("gram", F.explode(grams(F.col("alias"))))
+    seen = right.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    left = last.withColumn("gram", F.explode(grams(F.col("form")))).join(seen, "gram", "left")
+    rarest = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.coalesce("seen", F.lit(0)), "gram"))
+    left = left.withColumn("rarest", rarest).where(F.col("rarest") <= F.floor(loss * F.length("form") + 1e-9) + 1).drop("seen", "rarest")
     a, b = F.length("form"), F.length("alias")
     pairs = left.join(right, "gram").where(200 * F.least(a, b) >= floor * (a + b)).select("mention_id", "entity_id", "form", "alias").distinct()
     scored = pairs.withColumn("score", sorted_ratio("form", "alias")).groupBy("mention_id", "entity_id").agg(F.max("score").alias("score"))
