@@ -170,7 +170,12 @@ def learn(labelled: DataFrame, bins: int = 24, most_rules: int = 8, most_tests:
         for f, sign, b in tests:
             covered = covered & (F.col("bins")[f] <= b if sign == "<=" else F.col("bins")[f] > b)
         left = left.where(~covered)
-    return DecisionList([[(names[f], sign, float(cut[f][b])) for f, sign, b in r] for r in rules])
+    # Thresholds lie halfway to the next value above, so that rows as near to either side fare alike.
+    used = sorted({(f, b) for r in rules for f, _, b in r})
+    value = lambda f: FEATURES[names[f]]()
+    above = labelled.agg(*[F.min(F.when(value(f) > cut[f][b], value(f))) for f, b in used]).first() if used else []
+    at = {x: (cut[x[0]][x[1]] + (up if up is not None else cut[x[0]][x[1]])) / 2 for x, up in zip(used, above)}
+    return DecisionList([[(names[f], sign, float(at[f, b])) for f, sign, b in r] for r in rules])
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> DataFrame:
