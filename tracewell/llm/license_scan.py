@@ -10,9 +10,8 @@ line add nothing to it, so only prefix tokens with template tokens of other line
 Templates are a fixed, small table.
 
 Cases: a null text is empty; a text without words has n_words 0, nulls for first_word and last_word,
-empty labels and score 0; repeated rows give a row each; rows that share a doc_id (null among them)
-share the labels that the join adds; an empty table gives an empty result; further columns are
-ignored.
+empty labels and score 0; rows are judged one by one, so repeated rows and null or repeated doc_ids each
+give their own row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,25 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash
 
-# Base phrases with their labels, and the templates: label, text, and the word that a
-# block must hold where the label rests on it.
+# Base phrases with their labels, and the templates: label, text, and, where the label
+# rests on one word, that word and the label of blocks without it.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license version 3", None),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", None),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser"),
-    ("agpl", "licensed under the gnu affero general public license version 3", "affero"),
-    ("apache", "licensed under the apache license version 2 0", None),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", None),
-    ("cc-by", "licensed under cc by 4 0", None),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "sa"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", None),
-    ("mit", "released under the mit license", None),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", None),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", None),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", None),
-    ("public-domain", "this is free and unencumbered software released into the public domain", None),
+    ("gpl", "this work is licensed under the gnu general public license version 3", None, None),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", None, None),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser", "gpl"),
+    ("agpl", "licensed under the gnu affero general public license version 3", "affero", "gpl"),
+    ("apache", "licensed under the apache license version 2 0", None, None),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", None, None),
+    ("cc-by", "licensed under cc by 4 0", None, None),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "nc", "cc-by"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "sa", "cc-by"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", None, None),
+    ("mit", "released under the mit license", None, None),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", None, None),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", None, None),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", None, None),
+    ("public-domain", "this is free and unencumbered software released into the public domain", None, None),
 )
 THRESHOLD = 0.8
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,32 +72,33 @@ def _labelled(starts: Column, label: str) -> Column:
 def token_ranks(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """Rank of each template token by its count over all words of docs, rare ones first; as many
     rows reach the driver as templates have tokens."""
-    vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
+    vocabulary = sorted({w for _, t, _, _ in templates for w in t.split()})
     seen = docs.select(F.explode(F.filter(tokens(ascii_lower(F.col("text"))), lambda w: w.isin(vocabulary))).alias("token")).groupBy("token").count()
     counts = {r.token: r["count"] for r in seen.collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
 def prefixes(ranks: dict[str, int], threshold: float, templates=TEMPLATES) -> list[tuple]:
-    """(template, label, ranks of its tokens, least overlap, prefix token, its position, the word it needs,
-    its length in words): a row for each token of each template's prefix."""
+    """(template, label, ranks of its tokens, least overlap, prefix token, its position, the word that the
+    label needs, the label without it, its length in words): a row for each token of each template's
+    prefix."""
     out = []
-    for n, (label, text, word) in enumerate(templates):
+    for n, (label, text, word, without) in enumerate(templates):
         own = sorted({ranks[w] for w in text.split()})
         need = math.ceil(threshold * len(own) - 1e-9)
-        out += [(n, label, own, need, own[j], j, ranks.get(word), len(text.split())) for j in range(len(own) - need + 1)]
+        out += [(n, label, own, need, own[j], j, ranks.get(word), without, len(text.split())) for j in range(len(own) - need + 1)]
     return out
 
 
 def match_blocks(blocks: DataFrame, index: DataFrame) -> DataFrame:
-    """blocks (doc_id, block: ascending ranks of its template tokens) joined with the prefix index:
-    doc_id, label, share for every block and template that meet the threshold."""
-    met = blocks.select("doc_id", "block", F.posexplode("block").alias("i", "token")).join(F.broadcast(index), "token")
+    """blocks (row, block: ascending ranks of its template tokens) joined with the prefix index:
+    row, label, share for every block and template that meet the threshold."""
+    met = blocks.select("row", "block", F.posexplode("block").alias("i", "token")).join(F.broadcast(index), "token")
     later = F.lit(1) + F.least(F.size("own") - F.col("j") - 1, F.size("block") - F.col("i") - 1) + F.least("i", "j")
     held = F.col("word").isNull() | F.array_contains("block", F.col("word"))
-    met = met.where((F.size("block") >= F.col("need")) & (later >= F.col("need")) & held)
+    met = met.where((F.size("block") >= F.col("need")) & (later >= F.col("need")))
     share = F.size(F.array_intersect("block", "own"))
-    return met.withColumn("common", share).where(F.col("common") >= F.col("need")).select("doc_id", "label", (F.col("common") / F.size("own")).alias("share"))
+    return met.withColumn("common", share).where(F.col("common") >= F.col("need")).select("row", F.when(held, F.col("label")).otherwise(F.col("without")).alias("label"), (F.col("common") / F.size("own")).alias("share"))
 
 
 def near_leads(known: Column, leads: list[int], reach: int, least: int) -> Column:
@@ -118,17 +118,21 @@ def near_leads(known: Column, leads: list[int], reach: int, least: int) -> Colum
 
 
 def match_runs(leads: DataFrame, index: DataFrame) -> DataFrame:
-    """leads (doc_id, token, near) joined with the prefix index: doc_id, label, share for the best run
+    """leads (row, token, near) joined with the prefix index: row, label, share for the best run
     of the template's length around the token, where it meets the threshold."""
     met = leads.join(F.broadcast(index), "token").withColumn("near", F.filter("near", lambda x: (F.abs(x["at"]) < F.col("words")) & F.array_contains(F.col("own"), x["r"])))
-    met = met.where((F.size(F.array_distinct(F.col("near.r"))) >= F.col("need")) & (F.col("word").isNull() | F.array_contains(F.col("near.r"), F.col("word"))))
+    met = met.where(F.size(F.array_distinct(F.col("near.r"))) >= F.col("need"))
 
     def run(first: Column) -> Column:
         return F.array_distinct(F.transform(F.filter("near", lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + F.col("words"))), lambda x: x["r"]))
 
-    runs = F.filter(F.transform(F.filter("near", lambda x: x["at"] <= 0), run), lambda r: F.col("word").isNull() | F.array_contains(r, F.col("word")))
-    met = met.withColumn("common", F.array_max(F.transform(runs, lambda r: F.size(r))))
-    return met.where(F.col("common") >= F.col("need")).select("doc_id", "label", (F.col("common") / F.size("own")).alias("share"))
+    # Runs that hold the word that the label rests on, and runs without it, which have the other label.
+    held = lambda r: F.col("word").isNull() | F.array_contains(r, F.col("word"))
+    best = lambda runs: F.array_max(F.transform(runs, lambda r: F.size(r)))
+    met = met.withColumn("runs", F.transform(F.filter("near", lambda x: x["at"] <= 0), run))
+    ways = F.array(F.struct("label", best(F.filter("runs", held)).alias("common")), F.struct(F.col("without").alias("label"), best(F.filter("runs", lambda r: ~held(r))).alias("common")))
+    met = met.select("row", "need", "own", F.explode(ways).alias("way"))
+    return met.where(F.col("way.common") >= F.col("need")).select("row", "way.label", (F.col("way.common") / F.size("own")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
@@ -136,7 +140,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     base_labels, labels, score."""
     ranks = token_ranks(docs, templates)
     rows = prefixes(ranks, threshold, templates)
-    index = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<int>, need int, token int, j int, word int, words int")
+    index = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<int>, need int, token int, j int, word int, without string, words int")
     leads = sorted({r[4] for r in rows})
     by_rank = sorted(ranks, key=ranks.get)
     rank = F.create_map(*[x for w, r in ranks.items() for x in (F.lit(w), F.lit(r))])
@@ -161,15 +165,16 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     known = F.transform(placed, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), rank[x["w"]].alias("r")))
     known = F.when(F.arrays_overlap("w", lead_words) & F.contains("text", F.lit("\n")), known).otherwise(F.array().cast("array<struct<at:int,line:int,r:int>>"))
     step = step.select("doc_id", F.size("w").cast("long").alias("n_words"), places.alias("places"), F.array_distinct(blocks).alias("blocks"), known.alias("known"))
-    near = near_leads(F.col("known"), leads, max(r[7] for r in rows), least)
-    found = stash(step.select("doc_id", "n_words", "places", "blocks", near.alias("leads")), "license-blocks")
-    hits = match_blocks(found.where(F.size("blocks") > 0).select("doc_id", F.explode("blocks").alias("block")), index)
-    hits = hits.unionByName(match_runs(found.where(F.size("leads") > 0).select("doc_id", F.inline("leads")), index))
-    hits = hits.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")).withColumnRenamed("doc_id", "hit_id")
+    near = near_leads(F.col("known"), leads, max(r[8] for r in rows), least)
+    # Rows are numbered as they are written, so the numbers stay.
+    found = stash(step.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "places", "blocks", near.alias("leads")), "license-blocks")
+    hits = match_blocks(found.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("block")), index)
+    hits = hits.unionByName(match_runs(found.where(F.size("leads") > 0).select("row", F.inline("leads")), index))
+    hits = hits.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))
     added = F.coalesce("added", F.array().cast("array<string>"))
     n = F.size("places")
-    return found.join(hits, found["doc_id"].eqNullSafe(F.col("hit_id")), "left").select(
+    return found.join(hits, "row", "left").select(
         "doc_id", "n_words", n.cast("long").alias("n_base"),
         F.array_min(F.transform("places", lambda x: x["at"])).cast("long").alias("first_word"),
         F.array_max(F.transform("places", lambda x: x["at"])).cast("long").alias("last_word"),

@@ -39,15 +39,15 @@ def licenses() -> str:
     for phrase, label in license_scan.PHRASES:
         parts = " AND ".join(f"w[i + {k}] = '{p}'" if k else f"w[i] = '{p}'" for k, p in enumerate(phrase.split()))
         places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {parts}), lambda i: {{'at': i - 1, 'label': '{label}'}})")
-    template = ", ".join(f"({n}, '{label}', {sorted(set(t.split()))}, {math.ceil(license_scan.THRESHOLD * len(set(t.split())) - 1e-9)}, {repr(word) if word else 'NULL'})" for n, (label, t, word) in enumerate(license_scan.TEMPLATES))
+    template = ", ".join(f"({n}, '{label}', {sorted(set(t.split()))}, {math.ceil(license_scan.THRESHOLD * len(set(t.split())) - 1e-9)}, {repr(word) if word else 'NULL'}, {repr(without) if word else 'NULL'})" for n, (label, t, word, without) in enumerate(license_scan.TEMPLATES))
     token = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""
 WITH d AS (SELECT doc_id, {LOWER.format(x='text')} AS text FROM documents),
 w AS (SELECT doc_id, {token.format(x='text')} AS w FROM d),
 b AS (SELECT doc_id, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), list_concat({places[2]}, {places[3]})) AS places FROM w),
-t(n, label, own, need, word) AS (VALUES {template}),
+t(n, label, own, need, word, without) AS (VALUES {template}),
 l AS (SELECT doc_id, {token.format(x='line')} AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-h AS (SELECT doc_id, label, len(list_intersect(own, block)) AS c, len(own) AS m FROM l, t WHERE len(list_intersect(own, block)) >= need AND (word IS NULL OR list_contains(block, word))),
+h AS (SELECT doc_id, CASE WHEN word IS NULL OR list_contains(block, word) THEN label ELSE without END AS label, len(list_intersect(own, block)) AS c, len(own) AS m FROM l, t WHERE len(list_intersect(own, block)) >= need),
 a AS (SELECT doc_id, list(DISTINCT label) AS added, max(c / m) AS share FROM h GROUP BY 1)
 SELECT b.doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, lambda p: p.at)) AS first_word, list_max(list_transform(places, lambda p: p.at)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label))), ',') AS base_labels,
