@@ -6,6 +6,7 @@ import io
 import itertools
 import json
 import math
+import os
 import random
 import re
 import time
@@ -113,7 +114,7 @@ def bytes_gone(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [1500, 40, 3])
+@pytest.mark.parametrize("shard", [6000, 40, 3])
 def test_suffix_dedup(spark, corpus, shard):
     """Also with shards so small that anchors are dealt deeper and cores to several shards."""
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(frame(spark, corpus), shard_pieces=shard).collect()}
@@ -330,6 +331,23 @@ def test_quality_rules(spark):
     assert quality_rules.judge(empty(spark), rules).count() == 0
 
 
+def test_quality_rules_held_out(spark):
+    """Rules learned from even documents judge odd ones; a single symbol in a long text does no harm."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rules = quality_rules.learn(quality_rules.labelled_statistics(docs, labels.where("doc_id % 2 = 0")))
+    judged = quality_rules.judge(docs.where("doc_id % 2 = 1"), rules).join(labels, "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "base_failed", "kept").count().collect() if not r.base_failed}
+    assert n[0, False] >= 0.95 * (n[0, False] + n.get((0, True), 0)) and n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0))
+    rng = random.Random(2)
+    text = prose(rng, 400, 3000)
+    one = frame(spark, [text, "Rates & $ rise " + text])
+    assert quality_rules.judge(one, rules).where("kept").count() == 2
+
+
 # ------------------------------------------------------------------ op6
 
 
@@ -421,10 +439,10 @@ def plain_licenses(text):
     labels, best = {x[1] for x in hits}, 0.0
     for line in lower.split("\n"):
         block = set(word.findall(line))
-        for label, t, word_needed in license_scan.TEMPLATES:
+        for label, t, needs, without in license_scan.TEMPLATES:
             own = set(t.split())
-            if (not word_needed or word_needed in block) and len(own & block) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
-                labels.add(label)
+            if len(own & block) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
+                labels.add(label if not needs or needs in block else without)
                 best = max(best, len(own & block) / len(own))
     at = [x[0] for x in hits]
     return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x[1] for x in hits})), ",".join(sorted(labels)), 1.0 if hits else best
@@ -434,8 +452,8 @@ def test_licenses(spark, corpus):
     texts = [*corpus, "This work is licensed under the GNU General Public License, version 3.", "MIT License and mit-license\nCC BY-NC 4.0", "permission granted free of charge, to any person obtaining a copy of this software, hereby is", "Licensed under the Apache License, Version 2.0.\nÉ apacheK license", "redistribution and use in source and binary forms are permitted provided that the following conditions are met with or without modification", "THIS IS FREE and unencumbered software released into the public domain", "mit \n license"]
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert got == {i: plain_licenses(t) for i, t in enumerate(texts)}
-    rows = spark.createDataFrame([(None, texts[-7]), (None, texts[-7])], "doc_id long, text string")
-    assert [r.labels for r in license_scan.scan_licenses(rows).collect()] == ["gpl", "gpl"]
+    rows = spark.createDataFrame([(None, texts[-7], 1), (None, "clean", 2), (3, texts[-3], 3), (3, "clean", 4)], "doc_id long, text string, row int")
+    assert sorted(r.labels for r in license_scan.scan_licenses(rows).collect()) == ["", "", "bsd", "gpl"]
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
@@ -444,12 +462,12 @@ def plain_runs(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     *rest, labels, best = plain_licenses(text)
     labels = set(filter(None, labels.split(",")))
-    for label, t, word in license_scan.TEMPLATES:
+    for label, t, word, without in license_scan.TEMPLATES:
         own, n = set(t.split()), len(t.split())
         for i in range(len(w)):
             block = set(w[i : i + n])
-            if (not word or word in block) and len(own & block) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
-                labels.add(label)
+            if len(own & block) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
+                labels.add(label if not word or word in block else without)
                 best = max(best, len(own & block) / len(own))
     return *rest, ",".join(sorted(labels)), best
 
@@ -457,9 +475,9 @@ def plain_runs(text):
 def test_wrapped_licenses(spark):
     """Every template wrapped at several widths, whole and edited, amid prose of template words."""
     rng = random.Random(11)
-    words = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()})
+    words = sorted({w for _, t, _, _ in license_scan.TEMPLATES for w in t.split()})
     texts, whole = [], {}
-    for label, t, _ in license_scan.TEMPLATES:
+    for label, t, _, _ in license_scan.TEMPLATES:
         for width in (1, 3, 5, 9, 14):
             for edits in (0, 1, 2, 4):
                 w = t.split()
