@@ -84,6 +84,20 @@ j AS (SELECT f.*, x.n AS na, x.owner AS oa, y.n AS nb, y.owner AS ob FROM f LEFT
 SELECT mention_id, mention, CASE WHEN na = 1 THEN oa WHEN nb = 1 THEN ob END AS entity_id, CASE WHEN na = 1 OR nb = 1 THEN 'exact' ELSE 'none' END AS method,
   CASE WHEN na = 1 OR nb = 1 THEN 1 WHEN nb > 1 THEN nb ELSE 0 END AS owners FROM j"""
 
+# The longest common subsequence by one row of its table for each letter of the mention.
+SQL["alias_fuzzy_resolve"] = f"""
+WITH RECURSIVE p AS (SELECT p_partkey, p_name, substr(p_name, 1, 2) || substr(p_name, 4) AS mention FROM part),
+ordered(t, s) AS (SELECT t, array_to_string(list_sort(string_split({form('t')}, ' ')), ' ') FROM (SELECT mention AS t FROM p UNION SELECT p_name FROM p)),
+o AS (SELECT p_name AS name, min(p_partkey) AS entity_id FROM p GROUP BY 1),
+forms AS (SELECT DISTINCT entity_id, s FROM o JOIN ordered ON t = name),
+x AS (SELECT DISTINCT m.s AS a, f.s AS b FROM (SELECT DISTINCT s FROM p JOIN ordered ON t = mention) m, forms f),
+d(a, b, i, r) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda j: 0) FROM x
+ UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN r[k - 1] + 1 ELSE 0 END)))) FROM d WHERE i < length(a)),
+s AS (SELECT a, b, 200.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)) AS score FROM d WHERE i = length(a)),
+e AS (SELECT a, entity_id, max(score) AS score FROM s JOIN forms ON forms.s = b GROUP BY ALL),
+t AS (SELECT a, max(score) AS best, arg_min(entity_id, {{'s': -score, 'e': entity_id}}) AS entity_id, coalesce(list_sort(list(score), 'DESC')[2], 0) AS second FROM e GROUP BY 1)
+SELECT p_partkey, mention, CASE WHEN best >= 90 AND best - second >= 8 THEN entity_id END AS entity_id, CASE WHEN best >= 90 AND best - second >= 8 THEN round(best / 100, 4) END AS confidence FROM p JOIN ordered ON t = mention LEFT JOIN t ON t.a = s"""
+
 SQL["topic_word_resolve"] = """
 WITH p AS (SELECT DISTINCT lower(p_type) AS kind, regexp_replace(p_name, '^.* ', '') AS noun FROM part),
 w AS (SELECT DISTINCT unnest([substr(noun, 1, 3), substr(noun, 1, 4), noun, kind, kind || '_' || noun]) AS word FROM p),
@@ -137,6 +151,15 @@ met AS (SELECT best.*, 1 AS overlap FROM best JOIN v USING (id) JOIN ce ON ce.cl
 SELECT id, cluster, sim, CAST(overlap AS BIGINT) AS overlap, rank, CASE WHEN sim < 0.7 THEN 'NEW' WHEN sim >= 0.85 THEN 'ATTACH' ELSE 'TIEBREAK' END AS decision
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster) AS rank FROM met) WHERE rank <= 3"""
 
+# The sequential rule, one row an iteration.
+SQL["leader_cluster"] = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, id) AS n FROM {VECTORS}),
+k AS MATERIALIZED (SELECT * FROM (SELECT a.n, a.label, b.n AS m, list_cosine_similarity(a.embedding, b.embedding) AS sim, row_number() OVER (PARTITION BY a.n ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.id) AS rank FROM v a JOIN v b ON b.n < a.n AND epoch_us(a.ts) - epoch_us(b.ts) <= 172800000000) WHERE rank <= 10 AND sim >= 0.3),
+r(n, id, head, label) USING KEY (n) AS (SELECT n, id, id, label FROM v WHERE n = 1
+ UNION SELECT w.n, w.id, CASE WHEN c.s >= 0.5 THEN c.h ELSE w.id END, w.label FROM r last JOIN v w ON w.n = last.n + 1
+ LEFT JOIN (SELECT n, arg_min(h, {{'s': -s, 'h': h}}) AS h, max(s) AS s FROM (SELECT k.n, x.head AS h, max(k.sim) AS s FROM k JOIN recurring.r x ON x.n = k.m JOIN recurring.r y ON y.head = x.head AND y.label = k.label WHERE k.n = (SELECT max(n) + 1 FROM recurring.r) GROUP BY ALL) GROUP BY n) c ON c.n = w.n)
+SELECT id, head FROM r"""
+
 SQL["centroid"] = "SELECT label, CAST(i - 1 AS INT) AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, generate_series(1, 64) g(i) GROUP BY label, i"
 
 SQL["related_links"] = f"""
