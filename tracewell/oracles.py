@@ -154,9 +154,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster) A
 # The sequential rule, one row an iteration.
 SQL["leader_cluster"] = f"""
 WITH RECURSIVE v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, id) AS n FROM {VECTORS}),
-k AS MATERIALIZED (SELECT * FROM (SELECT a.n, a.label, b.n AS m, list_cosine_similarity(a.embedding, b.embedding) AS sim, row_number() OVER (PARTITION BY a.n ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.id) AS rank FROM v a JOIN v b ON b.n < a.n AND epoch_us(a.ts) - epoch_us(b.ts) <= 172800000000) WHERE rank <= 10 AND sim >= 0.3),
+k AS MATERIALIZED (SELECT * FROM (SELECT a.n, a.label, b.n AS m, list_cosine_similarity(a.embedding, b.embedding) AS sim, row_number() OVER (PARTITION BY a.n ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.id) AS rank FROM v a JOIN v b ON b.n < a.n AND epoch_us(a.ts) - epoch_us(b.ts) <= 172800000000) WHERE rank <= 10 AND sim >= 0.2),
 r(n, id, head, label) USING KEY (n) AS (SELECT n, id, id, label FROM v WHERE n = 1
- UNION SELECT w.n, w.id, CASE WHEN c.s >= 0.5 THEN c.h ELSE w.id END, w.label FROM r last JOIN v w ON w.n = last.n + 1
+ UNION SELECT w.n, w.id, CASE WHEN c.s >= 0.3 THEN c.h ELSE w.id END, w.label FROM r last JOIN v w ON w.n = last.n + 1
  LEFT JOIN (SELECT n, arg_min(h, {{'s': -s, 'h': h}}) AS h, max(s) AS s FROM (SELECT k.n, x.head AS h, max(k.sim) AS s FROM k JOIN recurring.r x ON x.n = k.m JOIN recurring.r y ON y.head = x.head AND y.label = k.label WHERE k.n = (SELECT max(n) + 1 FROM recurring.r) GROUP BY ALL) GROUP BY n) c ON c.n = w.n)
 SELECT id, head FROM r"""
 

@@ -285,9 +285,10 @@ def cluster_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors placed in time order; labels are entities; low bands fit these vectors."""
+    """Vectors placed in time order; labels are entities; bands so low that a fifth of these vectors
+    joins the head of another."""
     v = vectors_of(spark, sf_dir).select("id", "ts", "embedding", F.array("label").alias("entities"))
-    return cluster.leader_clusters(v, shared(spark), low=0.3, high=0.5)
+    return cluster.leader_clusters(v, shared(spark), low=0.2, high=0.3)
 
 
 @query
