@@ -177,8 +177,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     able = each.where(100 * F.col("shared") >= percent * F.col("n"))
     rest = stash(left.select("node", "a").join(able, "node").select("node", "n", "label", "counts", F.explode("a").alias("band")), "unsettled-bands")
     # Of a band, the documents outside its largest component meet all others; that component is not
-    # paired with itself.
+    # paired with itself.  A table of its own, so that Spark can split the join of frequent bands.
     largest = rest.groupBy("band", "label").count().groupBy("band").agg(F.max(F.struct("count", "label")).alias("top")).select("band", F.col("top.label").alias("top"))
+    largest = stash(largest, "largest")
     outside = rest.join(largest, "band").where("label <> top").select("band", F.col("node").alias("x"), "n", "label", "counts")
     other = rest.select("band", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("label_y"), F.col("counts").alias("counts_y"))
     most = F.aggregate(F.zip_with("counts", "counts_y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
