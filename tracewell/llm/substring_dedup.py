@@ -33,6 +33,8 @@ from .common import Rolling, buffers, keyed, release, stash, word_spans
 from .paths import classes, covered, forked, repeated_paths, windows_in, word_symbols
 
 ROW = ("doc_id", "version")
+#: Most parts of the edges of one content.
+SALTS = 1024
 
 
 def unitigs(each: DataFrame) -> DataFrame:
@@ -133,16 +135,20 @@ def dedup_passages(docs: DataFrame, length: int = 35, k: int = 12, texts: bool =
     each = classes(found, F.min("next").alias("low"), F.max("next").alias("high"))
     # Tables of their own, so that Spark can split the tasks of frequent anchors and unitigs in the joins.
     whole = stash(occurrences(found, each), "unitigs")
-    ask = stash(each.join(forked(each).select("anchor"), "anchor", "left_semi").select("first.*", (F.col("n") >= 2).alias("sure")), "fork-paths")
-    release(found, each)
+    forks = stash(forked(each).select("anchor"), "forks")
+    ask = stash(each.join(forks, "anchor", "left_semi").select("first.*", (F.col("n") >= 2).alias("sure")), "fork-paths")
+    release(found, each, forks)
     none = F.lit(None)
     asked = whole.select(*ROW, F.struct("start", "windows", "unitig").alias("w"), none.cast("struct<span:long,sure:boolean>").alias("a"))
     asked = asked.unionByName(ask.select(*ROW, none.cast("struct<start:long,windows:int,unitig:long>").alias("w"), F.struct("span", "sure").alias("a")))
     lists = asked.groupBy(*ROW).agg(F.collect_list("w").alias("whole"), F.collect_list("a").alias("ask"))
     marked = docs.join(lists, list(ROW), "left")
     edges = marked.where(F.col("whole").isNotNull()).select(*ROW, "text", "ask", "whole").mapInArrow(partial(_edges, length=length), EDGES)
-    key = ["unitig", "h", "g"]
-    twice = edges.groupBy(*key).count().where("count >= 2").select(*key)
-    again = edges.where("not sure").join(twice, key, "left_semi")
+    # Contents that repeat, once for each of the parts that their edges are dealt to, so that the edges of
+    # a frequent passage never meet in one task; numbers and parts are combined before they are shuffled.
+    key, salt = ["unitig", "h", "g"], F.pmod(F.xxhash64(*ROW), F.lit(SALTS)).cast("int")
+    counts = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.collect_set(salt).alias("salts"))
+    repeated = counts.where("n >= 2").select(*key, F.explode("salts").alias("salt"))
+    again = edges.where("not sure").withColumn("salt", salt).join(repeated, [*key, "salt"], "left_semi")
     marks = again.groupBy(*ROW).agg(F.collect_list(F.struct("at", "windows")).alias("marks"))
     return marked.join(marks, list(ROW), "left").select("doc_id", "text", "marks").mapInArrow(partial(_finish, length=length, texts=texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
