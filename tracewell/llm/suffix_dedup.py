@@ -273,18 +273,25 @@ def _sort_shard(length: int, k: int):
         doc, version, at, split = (shard.column(c).to_numpy()[n] for c in ("doc_id", "version", "at", "split"))
         pieces = [pieces[i][a:b] for i, a, b in parts]
         piece, start, _, first = equal_windows(pieces, [doc, version], at + begin, length)
-        # The earliest of a run goes on to be merged where its core is dealt to several shards.
-        told = ~first | split[piece]
-        piece, start, first = piece[told], start[told], first[told]
-        own = start - (at + begin)[piece]
-        window = [pieces[i][a : a + length] if f else None for i, a, f in zip(piece.tolist(), own.tolist(), first.tolist())]
-        return pa.table({"doc_id": doc[piece], "version": version[piece], "at": start, "window": pa.array(window, pa.binary())})
+        # Later ones as stretches of neighbouring windows; the earliest of a run goes on, with its bytes, to
+        # be merged where its core is dealt to several shards.
+        by = np.lexsort((start[~first], piece[~first]))
+        where, later = piece[~first][by], start[~first][by]
+        new = np.ones(len(later), dtype=bool)
+        new[1:] = (np.diff(where) != 0) | (np.diff(later) != 1)
+        windows = np.diff(np.append(np.flatnonzero(new), len(later)))
+        ahead = first & split[piece]
+        where, at_all = np.concatenate([where[new], piece[ahead]]), np.concatenate([later[new], start[ahead]])
+        own = start[ahead] - (at + begin)[piece[ahead]]
+        bytes_of = [None] * len(windows) + [pieces[i][a : a + length] for i, a in zip(piece[ahead].tolist(), own.tolist())]
+        return pa.table({"doc_id": doc[where], "version": version[where], "at": at_all, "windows": np.append(windows, np.ones(int(ahead.sum()), dtype=np.int64)), "window": pa.array(bytes_of, pa.binary())})
 
     return sort_one
 
 
 def sorted_repeats(asking: DataFrame, length: int, k: int, shard_pieces: int, hot_pieces: int) -> DataFrame:
-    """(doc_id, version, at) of the windows in the stretches asked for that equal an earlier one."""
+    """(doc_id, version, at, windows) of the windows in the stretches asked for that equal an earlier one,
+    as stretches of `windows` neighbours."""
     pieces = asking.mapInArrow(partial(_pieces, length=length, k=k), "shard long, core long, doc_id long, version long, at long, mid long, piece binary")
     if hot_pieces:
         # Of the stretches of frequent anchors those whose core is shared, in shards by core; a core
@@ -298,14 +305,14 @@ def sorted_repeats(asking: DataFrame, length: int, k: int, shard_pieces: int, ho
         pieces = cold.unionByName(stash(dealt, "core-stretches"))
     else:
         pieces = pieces.select("shard", "doc_id", "version", "at", "mid", "piece", F.lit(False).alias("split"))
-    found = pieces.groupBy("shard").applyInArrow(_sort_shard(length, k), "doc_id long, version long, at long, window binary")
+    found = pieces.groupBy("shard").applyInArrow(_sort_shard(length, k), "doc_id long, version long, at long, windows long, window binary")
     if not hot_pieces:
         return found.drop("window")
     found = stash(found, "sorted")
     firsts = found.where("window is not null")
     merged = firsts.groupBy("window").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     later = firsts.join(merged, "window").where(F.struct("doc_id", "version", "at") != F.col("first"))
-    return found.where("window is null").drop("window").unionByName(later.select("doc_id", "version", "at"))
+    return found.where("window is null").drop("window").unionByName(later.select("doc_id", "version", "at", "windows"))
 
 
 def _finish(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -318,9 +325,10 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
                 own = data[offsets[i] : offsets[i + 1]]
                 n_bytes[lo + i] = len(own)
                 if sure[lo + i] or single[lo + i]:
-                    alone, spans = np.array(single[lo + i] or [], dtype=np.int64), np.array(sure[lo + i] or [], dtype=np.int64)
-                    start = np.concatenate([alone, spans >> 16])
-                    gone = covered(start, start + length + np.concatenate([np.zeros_like(alone), spans & 255]), len(own))
+                    alone, spans = single[lo + i] or [], np.array(sure[lo + i] or [], dtype=np.int64)
+                    start = np.concatenate([np.array([x["at"] for x in alone], dtype=np.int64), spans >> 16])
+                    more = np.concatenate([np.array([x["windows"] - 1 for x in alone], dtype=np.int64), spans & 255])
+                    gone = covered(start, start + length + more, len(own))
                     n_removed[lo + i], n_spans[lo + i] = gone.sum(), np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1)
                     own = own[~gone]
                 body = own.tobytes()
@@ -330,7 +338,7 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), pa.array(n_removed), pa.array(n_spans), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: int = 1500, texts: bool = True) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: int = 6000, texts: bool = True) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the
     bytes left; empty with texts=False).  Removed is each byte covered by a string of `length` bytes
     that also starts earlier, in a smaller doc_id or before it in the same document.  shard_pieces is
@@ -338,10 +346,11 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: i
     docs = keyed(docs)
     found = repeated_paths(docs.where(F.col("doc_id").isNotNull()), byte_symbols, length, k)
     each = classes(found)
-    asked = stash(each.join(forked(each), "anchor").select("first.*", "anchor", "forks"), "fork-paths")
+    forks = stash(forked(each), "forks")
+    asked = stash(each.join(forks, "anchor").select("first.*", "anchor", "forks"), "fork-paths")
     copies = found.join(each.where("n >= 2").select("anchor", "content", "first"), ["anchor", "content"]).where(F.struct("doc_id", "version", "span") != F.col("first"))
     copies = stash(copies.select("doc_id", "version", "span"), "copies")
-    release(found, each)
+    release(found, each, forks)
     counts = asked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("forks") > shard_pieces).alias("hot")).first()
     shards = (counts.n - counts.hot) // shard_pieces + 1
     tag = F.when(F.col("forks") > shard_pieces, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("long")
@@ -349,5 +358,5 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: i
     lists = marks.groupBy("doc_id", "version").agg(F.collect_list(F.when(F.col("tag").isNull(), F.col("span"))).alias("sure"), F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("span", "tag"))).alias("ask"))
     marked = docs.join(lists, ["doc_id", "version"], "left")
     gone = sorted_repeats(marked.where(F.size("ask") > 0).select("doc_id", "version", "text", "ask"), length, k, shard_pieces, counts.hot)
-    gone = gone.groupBy("doc_id", "version").agg(F.collect_list("at").alias("single"))
+    gone = gone.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "windows")).alias("single"))
     return marked.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "sure", "single").mapInArrow(partial(_finish, length=length, texts=texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
