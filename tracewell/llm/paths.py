@@ -11,6 +11,7 @@ Documents are told apart by (doc_id, version), see common.keyed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -74,37 +75,55 @@ def _anchors(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int,
                 yield pa.RecordBatch.from_arrays([pa.array(found[4])], ["anchor"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k: int, follow: bool) -> Iterator[pa.RecordBatch]:
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the bytes of each stretch and of its shape, in two halves."""
+    raw, blake = data.tobytes(), hashlib.blake2b
+    both = b"".join([blake(raw[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())])
+    halves = np.frombuffer(both, dtype=np.uint64).reshape(-1, 2)
+    return (halves[:, 0] ^ mix(shape.astype(np.uint64))).view(np.int64), np.ascontiguousarray(halves[:, 1]).view(np.int64)
+
+
+def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k: int, follow: bool, exact: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
         for lo, _, data, offsets in buffers(batch.column("text")):
             text, start, mid, more, anchor, content = paths(symbols(data, offsets), length, k)
             if len(text):
-                columns = [anchor, content, ids[lo + text].astype(np.int64), versions[lo + text].astype(np.int64), start << 16 | mid << 8 | more]
+                columns = {"anchor": anchor, "content": content, "doc_id": ids[lo + text].astype(np.int64), "version": versions[lo + text].astype(np.int64), "span": start << 16 | mid << 8 | more}
                 if follow:
-                    columns.append(np.where(np.append(text[1:], -1) == text, np.append(content[1:], 0), 0))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc_id", "version", "span", "next"][: len(columns)])
+                    columns["next"] = np.where(np.append(text[1:], -1) == text, np.append(content[1:], 0), 0)
+                if exact:
+                    at = start + offsets[text]
+                    columns["content"], columns["check"] = _digests(data, at, at + more + length, mid << 8 | more)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int, follow: bool = False) -> DataFrame:
+def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int, follow: bool = False, exact: bool = False) -> DataFrame:
     """The paths (anchor, content, doc_id, version, span) whose anchor occurs twice or more in docs
     (doc_id, version, text).  span packs first window << 16 | anchor's offset << 8 | further windows.
-    With follow there is also next, the content of the path that follows in the text, 0 at its end."""
+    With follow there is also next, the content of the path that follows in the text, 0 at its end.  With
+    exact, for symbols that are bytes, content and check are a BLAKE2 digest of the path's bytes."""
     if length - k >= 256:
         raise ValueError("length - k must be below 256")
     again = docs.select("text").mapInArrow(partial(_anchors, symbols=symbols, length=length, k=k), "anchor long").groupBy("anchor").count().where("count >= 2").select("anchor")
     # A table of its own, so that Spark can split the tasks of frequent anchors in the join.
     again = stash(again, "anchors")
-    every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k, follow=follow), "anchor long, content long, doc_id long, version long, span long" + (", next long" if follow else ""))
+    schema = "anchor long, content long, doc_id long, version long, span long" + (", next long" if follow else "") + (", check long" if exact else "")
+    every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k, follow=follow, exact=exact), schema)
     found = stash(every.join(again, "anchor", "left_semi"), "paths")
     release(again)
     return found
 
 
+def class_key(found: DataFrame) -> list[str]:
+    """The columns that tell classes of paths apart."""
+    return [c for c in ("anchor", "content", "check") if c in found.columns]
+
+
 def classes(found: DataFrame, *more) -> DataFrame:
-    """Per class of equal paths (anchor, content): n, its occurrences, the first of them (doc_id,
+    """Per class of equal paths (anchor, content, check if there is one): n, its occurrences, the first of them (doc_id,
     version, span), and more aggregates."""
-    return stash(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "span")).alias("first"), *more), "path-classes")
+    return stash(found.groupBy(*class_key(found)).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "span")).alias("first"), *more), "path-classes")
 
 
 def forked(each: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Suffix-array dedup over bytes: of equal strings of a given length all but the first go.
 
 Suffixes are dealt into shards by the anchors of their windows (see paths.py), so that equal windows
-always meet: whatever is plainly unique is left out, of equal stretches one stands for all, and the
-rest, stretches where different texts fork at a shared anchor, is sorted.  A shard is sorted by induced
+always meet: whatever is plainly unique is left out, of stretches whose bytes have equal digests (128
+bits of BLAKE2) one stands for all, and the rest, stretches where different texts fork at a shared anchor, is sorted.  A shard is sorted by induced
 sorting: suffixes are classified as smaller or larger than their successor, leftmost-smaller substrings
 are sorted recursively, and all others are induced from them in linear time.  Permuted common prefixes
 then tell runs of suffixes that agree in `length` bytes, and within a run all but the earliest
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, keyed, release, stash
-from .paths import byte_symbols, classes, covered, forked, repeated_paths
+from .paths import byte_symbols, class_key, classes, covered, forked, repeated_paths
 
 #: Classes of windows by the offset of their anchor; each has a core that all its windows hold.
 CORES = 8
@@ -344,11 +344,11 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = 32, shard_pieces: i
     that also starts earlier, in a smaller doc_id or before it in the same document.  shard_pieces is
     about the number of stretches that one task sorts at a time."""
     docs = keyed(docs)
-    found = repeated_paths(docs.where(F.col("doc_id").isNotNull()), byte_symbols, length, k)
+    found = repeated_paths(docs.where(F.col("doc_id").isNotNull()), byte_symbols, length, k, exact=True)
     each = classes(found)
     forks = stash(forked(each), "forks")
     asked = stash(each.join(forks, "anchor").select("first.*", "anchor", "forks"), "fork-paths")
-    copies = found.join(each.where("n >= 2").select("anchor", "content", "first"), ["anchor", "content"]).where(F.struct("doc_id", "version", "span") != F.col("first"))
+    copies = found.join(each.where("n >= 2").select(*class_key(found), "first"), class_key(found)).where(F.struct("doc_id", "version", "span") != F.col("first"))
     copies = stash(copies.select("doc_id", "version", "span"), "copies")
     release(found, each, forks)
     counts = asked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("forks") > shard_pieces).alias("hot")).first()
