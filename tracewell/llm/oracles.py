@@ -61,5 +61,35 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT pag
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to FROM f"""
 
 
+VECTORS = "SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+
+
+def hard_negatives() -> str:
+    return f"""
+WITH v AS (SELECT DISTINCT * FROM ({VECTORS.format(label='CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END')} AND label IS NOT NULL)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+def centroids(k: int = 40, rounds: int = 5) -> str:
+    steps = [
+        f"v AS MATERIALIZED ({VECTORS.format(label='0')} AND len(embedding) = 64)",
+        "x AS MATERIALIZED (SELECT vec_id, unnest(q) AS x, unnest(range(64)) AS d FROM v)",
+        f"c0 AS MATERIALIZED (SELECT k, unnest(q) AS c, unnest(range(64)) AS d FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, q FROM v) WHERE k < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, k, distance FROM (SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM x JOIN c{i} USING (d) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT k, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{i} USING (vec_id) GROUP BY 1, 2)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.k, c{i}.d, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{i} LEFT JOIN s{i} ON s{i}.k = c{i}.k AND s{i}.d = c{i}.d)")
+    return f"""
+WITH {", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": near_duplicates(), "op4_substring_dedup": substring_dedup(), "op7_license_scan": licenses(), "op8_warc_zip": archives()}
+    return {"op12_hard_negatives": hard_negatives(), "op13_centroids": centroids(), "op2_minhash_dedup": near_duplicates(), "op4_substring_dedup": substring_dedup(), "op7_license_scan": licenses(), "op8_warc_zip": archives()}
