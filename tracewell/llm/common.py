@@ -125,6 +125,71 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:-k]) * self.back[: len(self.sums) - k])
 
 
+#: 2**31 - 1, and two bases for each of two fingerprints.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = ((1_103_515_245, 1_566_083_941), (1_812_433_253, 1_664_525_013))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, for x below 2**62."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    have = _powers.get(-base)
+    if have is None or len(have) < n:
+        have = np.ones(1, dtype=np.uint64) if have is None else have
+        while len(have) < n:
+            have = np.concatenate([have, _reduced(have * np.uint64(pow(base, len(have), int(_PRIME))))])
+        _powers[-base] = have
+    return have[:n]
+
+
+class PrimeRolling:
+    """Fingerprints of any stretch [s, e) of a sequence of 64-bit symbols in constant time: polynomials over the
+    two halves of the symbols modulo a prime, in two bases.  `which` chooses one of two independent pairs of
+    bases."""
+
+    def __init__(self, symbols: np.ndarray, which: int = 0):
+        n = len(symbols)
+        self.sums, self.back = [], []
+        for base, half in zip(_BASES[which], (symbols >> np.uint64(32), symbols & np.uint64(0xFFFFFFFF))):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_reduced(_reduced(half) * _prime_powers(base, n)), out=sums[1:])
+            self.sums.append(_reduced(sums))
+            self.back.append(_prime_powers(pow(base, -1, int(_PRIME)), n + 1))
+
+    def of(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        one, two = (_reduced(_reduced(sums[e] + _PRIME - sums[s]) * back[s]) for sums, back in zip(self.sums, self.back))
+        return mix(one << np.uint64(31) | two)
+
+    def grams(self, k: int) -> np.ndarray:
+        n = max(0, len(self.sums[0]) - k)
+        at = np.arange(n)
+        return self.of(at, at + k)
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each stretch [start, end), which takes in eight bytes after the other."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    n = end - start
+    out = mix(n.astype(np.uint64) + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
+    rows, at, left = np.arange(len(start)), start, n
+    step = np.uint64(0x632BE59BD9B4E019 + 2 * seed)
+    while len(rows):
+        chunk = eight[at] & _MASKS[np.minimum(left, 8)]
+        out[rows] = mix((out[rows] ^ chunk) * np.uint64(0xD6E8FEB86659FD93) + step)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
+
+
 _rng = np.random.default_rng(20240131)
 #: Two independent tables that turn a byte into a 64-bit symbol.
 BYTES_A = _rng.integers(1, M64, 256, dtype=np.uint64)
