@@ -30,14 +30,14 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT page_id AS doc_id, page_id % 4 IN (0, 2) AS s, page_id % 3 <> 0 AS told, page_id % 2 = 1 AND page_id % 3 <> 0 AS said, (page_id % 10) / 10.0::DOUBLE AS c FROM pages),
+WITH p AS (SELECT page_id AS doc_id, page_id % 5 IN (0, 2) AS s, page_id % 3 <> 0 AS told, page_id % 2 = 1 AND page_id % 3 <> 0 AS said, (page_id % 10) / 10.0::DOUBLE AS c FROM pages),
 g AS (SELECT *, s OR said AS relevant FROM p)
 SELECT doc_id, relevant, CASE WHEN s THEN 1.0 WHEN told THEN c END AS confidence, CASE WHEN NOT relevant THEN CASE WHEN told THEN 'r' || doc_id ELSE 'no verdict' END END AS dropped_reason, NOT relevant AND (NOT told OR c < 0.6) AS review FROM g""")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of four sources; verdicts for two of three."""
+    """Pages of four sources and of none; verdicts for two of three."""
     k = F.col("page_id")
     p = table(spark, sf_dir, "pages")
-    docs = p.select(k.alias("doc_id"), pick(k, "congress", "news", "fec", "social").alias("source"), "url")
+    docs = p.select(k.alias("doc_id"), pick(k, "congress", "news", "fec", "social", None).alias("source"), "url")
     verdicts = p.where("page_id % 3 <> 0").select(k.alias("doc_id"), (k % 2 == 1).alias("relevant"), (k % 10 / 10).alias("confidence"), F.concat(F.lit("r"), k.cast("string")).alias("reason"))
     return extract.gate(docs, verdicts)
 
@@ -79,20 +79,20 @@ def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.mention_links(m, d, found).select("doc_id", "entity_id", "confidence", "method")
 
 
-@query("SELECT doc_id, 'T' AS topic, doc_id * 10 AS entity_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS pos FROM documents WHERE doc_id % 4 >= 2 AND doc_id % 7 > 0 AND length(text) >= 3 AND substr(text, 1, 20) = trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g')) AND length(substr(text, 1, 20)) >= 3 AND regexp_full_match(substr(text, 1, 20), '[ -~]*')")
+@query("SELECT doc_id, 'T' AS topic, doc_id * 10 AS entity_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS pos FROM documents WHERE doc_id % 4 >= 2 AND doc_id % 7 > 0 AND regexp_matches(text, '[A-Za-z]{3}')")
 def stance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four stances of each document, of which one can count: two are on its topic by a holder, one of
-    these is surer in two of three documents; bills, votes and each seventh document, whose entity holds
-    no stances, have none.  Documents whose first characters are plain ASCII."""
+    these is surer in two of three documents; bills, votes, each seventh document, whose entity holds no
+    stances, and documents without three letters in a row, which are the span, have none.  Half of the
+    other documents are of no kind."""
     k = F.col("doc_id")
-    start = F.substring("text", 1, 20)
-    d = table(spark, sf_dir, "documents").where((F.length("text") >= 3) & start.rlike(r"^[ -~]{3,}$") & (start == F.trim(F.regexp_replace(start, r"\s+", " "))))
-    docs = d.select("doc_id", pick(k, "bill", "vote", "post", "news").alias("kind"), "text")
+    d = table(spark, sf_dir, "documents").withColumn("span", F.regexp_extract("text", "[A-Za-z]{3,}", 0))
+    docs = d.select("doc_id", pick(k, "bill", "vote", "post", None).alias("kind"), "text")
     links = d.select("doc_id", (k * 10).alias("entity_id"), F.when(k % 7 == 0, "Race").otherwise("Politician").alias("entity_type"))
     rows = F.explode(F.array(
-        F.struct(F.lit(1).alias("pos"), F.lit("T").alias("topic"), F.lit(0.5).alias("confidence"), F.substring("text", 1, 20).alias("span")),
-        F.struct(F.lit(2).alias("pos"), F.lit("T").alias("topic"), F.when(k % 3 == 0, 0.5).otherwise(0.9).alias("confidence"), F.substring("text", 1, 20).alias("span")),
-        F.struct(F.lit(3).alias("pos"), F.lit("U").alias("topic"), F.lit(1.0).alias("confidence"), F.substring("text", 1, 20).alias("span")),
+        F.struct(F.lit(1).alias("pos"), F.lit("T").alias("topic"), F.lit(0.5).alias("confidence"), F.col("span")),
+        F.struct(F.lit(2).alias("pos"), F.lit("T").alias("topic"), F.when(k % 3 == 0, 0.5).otherwise(0.9).alias("confidence"), F.col("span")),
+        F.struct(F.lit(3).alias("pos"), F.lit("U").alias("topic"), F.lit(1.0).alias("confidence"), F.col("span")),
         F.struct(F.lit(4).alias("pos"), F.lit("T").alias("topic"), F.lit(1.0).alias("confidence"), F.lit("not in any text ~~").alias("span")),
     ))
     s = d.select("doc_id", (k * 10).alias("entity_id"), F.lit("support").alias("position"), F.lit(0.5).alias("intensity"), rows.alias("s")).select("doc_id", "entity_id", "position", "intensity", "s.*")

@@ -211,7 +211,8 @@ def related_heads(heads: DataFrame, entities: DataFrame, days: int = KNOBS.relat
 
 def head_scalars(members: DataFrame) -> DataFrame:
     """members (head, id, ts, event_type, jurisdiction, topics, tier, confidence) rolled up (C10, C13,
-    C14): topics, event_time, event_type and jurisdiction by mode (ties: best tier, then first seen),
+    C14): topics, event_time, event_type and jurisdiction by mode (ties: best tier, then first seen, then the
+    value),
     tier, confidence weighted by trust."""
     weight = lookup(TIER_WEIGHT, F.col("tier"))
     total = members.groupBy("head").agg(
@@ -220,9 +221,9 @@ def head_scalars(members: DataFrame) -> DataFrame:
         (F.sum(weight * F.col("confidence")) / F.sum(weight)).alias("confidence"),
     )
     types = members.groupBy("head", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tier", "ts", "id")).alias("seen"))
-    types = first_per_key(types, ["head"], F.desc("n"), F.col("seen")).select("head", "event_type")
+    types = first_per_key(types, ["head"], F.desc("n"), F.col("seen"), F.col("event_type")).select("head", "event_type")
     places = members.where("jurisdiction is not null").groupBy("head", "jurisdiction").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "id")).alias("seen"))
-    places = first_per_key(places, ["head"], F.desc("n"), F.col("seen")).select("head", "jurisdiction")
+    places = first_per_key(places, ["head"], F.desc("n"), F.col("seen"), F.col("jurisdiction")).select("head", "jurisdiction")
     return total.join(types, "head", "left").join(places, "head", "left")
 
 

@@ -67,10 +67,10 @@ def mention_links(mentions: DataFrame, docs: DataFrame, resolved: DataFrame, **h
 
 def stance_rows(stances: DataFrame, docs: DataFrame, links: DataFrame, topics: DataFrame, **how) -> DataFrame:
     """stances (doc_id, pos, entity_id, topic, position, intensity, span, confidence) that count (E9): not of
-    bills and votes (docs: doc_id, kind, text), by an entity of the document that may hold stances
+    bills and votes (docs: doc_id, kind, text; a document without a kind is neither), by an entity of the document that may hold stances
     (links: doc_id, entity_id, entity_type), on a topic of it (topics: doc_id, topic), with a span that
     the text holds; per entity and topic the surest, the first of equal ones."""
-    open_docs = docs.where(~F.col("kind").isin("bill", "vote")).select("doc_id")
+    open_docs = docs.where(~F.coalesce(F.col("kind").isin("bill", "vote"), F.lit(False))).select("doc_id")
     holders = links.where(F.col("entity_type").isin(*STANCE_HOLDERS)).select("doc_id", "entity_id").distinct()
     asked = stances.join(open_docs, "doc_id", "left_semi").join(holders, ["doc_id", "entity_id"], "left_semi").join(topics.select("doc_id", "topic").distinct(), ["doc_id", "topic"], "left_semi")
     held = with_grounding(asked, docs, "span", **how).where("span_ok").drop("span_ok")

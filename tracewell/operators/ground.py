@@ -25,8 +25,8 @@ def ground_spans(spans: DataFrame, docs: DataFrame, **how) -> DataFrame:
 
 
 def relevance(source: Column, verdict: Column) -> Column:
-    """Structured sources always count; others as the verdict says."""
-    return source.isin(*RELEVANT_SOURCES) | F.coalesce(verdict, F.lit(False))
+    """Structured sources always count; others, and documents without a source, as the verdict says."""
+    return F.coalesce(source.isin(*RELEVANT_SOURCES), F.lit(False)) | F.coalesce(verdict, F.lit(False))
 
 
 def validated(rows: DataFrame, column: str, schema: str, *checks: tuple[str, Column]) -> DataFrame:

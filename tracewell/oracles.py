@@ -174,8 +174,8 @@ MEMBERS = "(SELECT *, 1 + l_linenumber % 4 AS t, [1.0, 0.8, 0.6, 0.4][1 + l_line
 SQL["head_rollup"] = f"""
 WITH m AS (SELECT * FROM {MEMBERS}),
 g AS (SELECT l_orderkey AS head, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS topics, min(l_shipdate) AS event_time, 'T' || min(t) AS tier, round(sum(w * (1 - l_discount)) / sum(w), 8) AS confidence FROM m GROUP BY 1),
-ty AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen) AS r FROM (SELECT l_orderkey, l_linestatus, count(*) AS n, min({{'a': t, 'b': l_shipdate, 'c': l_linenumber}}) AS seen FROM m GROUP BY 1, 2)) WHERE r = 1),
-pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen) AS r FROM (SELECT l_orderkey, l_returnflag, count(*) AS n, min({{'b': l_shipdate, 'c': l_linenumber}}) AS seen FROM m WHERE l_returnflag <> 'N' GROUP BY 1, 2)) WHERE r = 1)
+ty AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen, l_linestatus) AS r FROM (SELECT l_orderkey, l_linestatus, count(*) AS n, min({{'a': t, 'b': l_shipdate, 'c': l_linenumber}}) AS seen FROM m GROUP BY 1, 2)) WHERE r = 1),
+pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen, l_returnflag) AS r FROM (SELECT l_orderkey, l_returnflag, count(*) AS n, min({{'b': l_shipdate, 'c': l_linenumber}}) AS seen FROM m WHERE l_returnflag <> 'N' GROUP BY 1, 2)) WHERE r = 1)
 SELECT head, topics, event_time, tier, confidence, l_linestatus AS event_type, l_returnflag AS jurisdiction FROM g LEFT JOIN ty ON ty.l_orderkey = head LEFT JOIN pl ON pl.l_orderkey = head"""
 
 SQL["span_rollup"] = f"""
