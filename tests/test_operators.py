@@ -111,6 +111,65 @@ def test_leader_clusters_equal_sequential(spark, tmp_path, seed):
     assert got == sequential(data, 0.7, 0.85, 48, 5)
 
 
+def odd_events(seed, n=60):
+    rng = random.Random(seed)
+    return [(T0 + dt.timedelta(hours=rng.randint(0, 150)), i, [rng.gauss(0, 1) for _ in range(3)], {rng.randint(0, 2), rng.randint(0, 2)}) for i in range(n)]
+
+
+def event_frame(spark, data):
+    return spark.createDataFrame([(i, t, v, sorted(o)) for t, i, v, o in data], "id long, ts timestamp, embedding array<double>, entities array<long>")
+
+
+@pytest.mark.parametrize("low, high", [(0.7, 0.85), (-1.0, 0.2)])
+def test_rounds_equal_sequential(spark, tmp_path, low, high):
+    """With the second bands one component holds all rows, and no group is read whole."""
+    data = odd_events(5)
+    got = {r.id: r["head"] for r in cluster.leader_clusters(event_frame(spark, data), f"file://{tmp_path}", low, high, k=5, group=0).collect()}
+    assert got == sequential(data, low, high, 48, 5) and 1 < len(set(got.values())) < len(data)
+
+
+def placed_one_by_one(batches, low, high, hours, k, least, verdicts):
+    """The rule over batches in order: what is stored never moves, and is near on either side in time."""
+    placed, out, reviews = [], {}, set()
+    for batch in batches:
+        for ts, i, v, own in sorted(batch, key=lambda r: (r[0], r[1])):
+            near = sorted(((-sum(a * b for a, b in zip(v, w)) / (math.hypot(*v) * math.hypot(*w)), j) for t, j, w, _ in placed if abs((ts - t).total_seconds()) <= hours * 3600))[:k]
+            best = {}
+            for s, j in near:
+                best[out[j]] = max(best.get(out[j], -2), -s)
+            held = lambda h: set().union(*(o for _, j, _, o in placed if out[j] == h))
+            choice = sorted((-s, h) for h, s in best.items() if len(own & held(h)) >= least and s >= low)
+            out[i] = i
+            if choice:
+                s, h = -choice[0][0], choice[0][1]
+                same, sure = verdicts.get((i, h), (False, None))
+                reviews |= {i} if s < high and sure is not None and sure < 0.6 else set()
+                out[i] = h if s >= high or same and sure >= 0.6 else i
+            placed.append((ts, i, v, own))
+    return out, reviews
+
+
+@pytest.mark.parametrize("seed, least", [(1, 1), (2, 2)])
+def test_placements_among_stored(spark, tmp_path, seed, least):
+    """Batches out of the order of time, with verdicts of either kind."""
+    data = odd_events(seed)
+    batches = [data[:25], data[25:40], data[40:]]
+    verdicts = {(i, j): ((i + j) % 2 == 0, (i * 7 + j) % 10 / 10) for i in range(60) for j in range(60) if (i + j) % 5 < 3}
+    told = spark.createDataFrame([(i, j, s, c, "why") for (i, j), (s, c) in verdicts.items()], "id long, cluster long, same boolean, confidence double, reason string")
+    rows, heads, reviews = [], {}, set()
+    for batch in batches:
+        new = event_frame(spark, batch)
+        stored = spark.createDataFrame([(i, t, v, heads[i]) for t, i, v, _ in rows], "id long, ts timestamp, embedding array<double>, head long")
+        members = spark.createDataFrame([(heads[i], e) for _, i, _, o in rows for e in o], "head long, entity long")
+        placed = cluster.placements(new, stored, members, f"file://{tmp_path}", 0.3, 0.9, k=5, least=least, verdicts=told).persist()
+        heads |= {r.id: r["head"] for r in placed.collect()}
+        events = new.select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("headline"), F.col("id").alias("doc_id"))
+        reviews |= {r.doc_id for r in cluster.placement_reviews(placed, events, told).collect()}
+        rows += batch
+    assert (heads, reviews) == placed_one_by_one(batches, 0.3, 0.9, 48, 5, least, verdicts)
+    assert reviews and 1 < len(set(heads.values())) < 60
+
+
 def test_related(spark):
     heads = spark.createDataFrame([(1, T0, "economic_release", vec(1.0, 1)), (2, T0 - dt.timedelta(days=28), "economic_release", vec(0.9, 2)), (3, T0 + dt.timedelta(days=3), "statement", vec(0.8, 3)), (4, T0 + dt.timedelta(days=1), "nomination", vec(0.0, 4)), (5, T0 - dt.timedelta(days=40), "economic_release", vec(1.0, 1))], "head long, ts timestamp, event_type string, centroid array<double>")
     e = spark.createDataFrame([(h, 7) for h in (1, 2, 3, 4, 5)], "head long, entity long")

@@ -116,15 +116,18 @@ def head_sources(sources: DataFrame) -> DataFrame:
     return first_per_key(sources, ["head", "url", "span"], F.col("tier"), F.col("id"))
 
 
+def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written to the folder and read again: lineage ends there."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _components(edges: DataFrame, folder: str) -> DataFrame:
     """(id, component): labels spread over edges (a, b) and jump until none changes; each round is a
     table in the folder, so a lost executor costs one round at most."""
-    spark = edges.sparkSession
-
     def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return _kept(df, folder, "components")
 
     both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = kept(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
@@ -159,30 +162,112 @@ def place_in_order(rows: list[tuple], edges: dict, low: float, high: float, leas
     return head
 
 
-def leader_clusters(rows: DataFrame, folder: str, low: float = KNOBS.t_low, high: float = KNOBS.t_high, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, least: int = KNOBS.min_overlap, verdicts: dict | None = None) -> DataFrame:
-    """rows (id, ts, embedding, entities) as id, head.
+def placed_in_rounds(rows: DataFrame, near: DataFrame, folder: str, low: float = KNOBS.t_low, high: float = KNOBS.t_high, least: int = KNOBS.min_overlap, verdicts: DataFrame | None = None, sure: float = KNOBS.tiebreak_confidence, fixed: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """The sequential rule by joins alone: rows (id, ts, entities) with near (id, neighbour, sim), their nearest among
+    the rows before them, as id, head, candidate, sim, overlap, decision, review (C7-C9).
+
+    Each round decides every row anew from the heads that the last round gave its neighbours, and from when
+    each entity first came to each head; it looks back only, so the first row is right after one round, and
+    what rests on right rows is right in the next.  Once no head changes, the result is the sequential one.
+    Rounds are as many as the longest chain of decisions that rest on each other; no group is read whole.
+
+    fixed (id, neighbour's head, sim) and members (head, entity) are what was placed before all rows: heads of
+    stored neighbours, and the entities of those heads."""
+    spark = rows.sparkSession
+    order = F.struct(epoch_us("ts").alias("at"), "id")
+    asking = near.select("id").union(fixed.select("id")).distinct() if fixed is not None else near.select("id").distinct()
+    own = _kept(rows.select("id", order.alias("order"), F.explode(F.array_distinct("entities")).alias("entity")), folder, "entities")
+    mine = _kept(own.join(asking, "id", "left_semi"), folder, "asking")
+    told = verdicts.select("id", F.col("cluster").alias("candidate"), "same", "confidence") if verdicts is not None else spark.createDataFrame([], "id long, candidate long, same boolean, confidence double")
+    heads = rows.select("id", F.col("id").alias("head"))
+    while True:
+        met = near.join(heads.select(F.col("id").alias("neighbour"), "head"), "neighbour").select("id", "head", "sim")
+        if fixed is not None:
+            met = met.union(fixed.select("id", "head", "sim"))
+        met = met.groupBy("id", "head").agg(F.max("sim").alias("sim"))
+        came = own.join(heads, "id").groupBy("head", "entity").agg(F.min("order").alias("came"))
+        if members is not None:
+            before = members.select("head", "entity", F.lit(None).cast(came.schema["came"].dataType).alias("came"))
+            # Placed before all rows, whatever their time.
+            came = came.union(before).groupBy("head", "entity").agg(F.when(F.bool_or(F.col("came").isNull()), F.lit(None)).otherwise(F.min("came")).alias("came"))
+        shared = met.join(mine, "id").join(came, ["head", "entity"]).where(F.col("came").isNull() | (F.col("came") < F.col("order")))
+        able = shared.groupBy("id", "head", "sim").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+        best = able.groupBy("id").agg(F.max_by(F.struct(F.col("head").alias("candidate"), "sim", "overlap"), F.struct("sim", -F.col("head"))).alias("best")).select("id", "best.*")
+        tie = F.col("decision") == "TIEBREAK"
+        judged = best.withColumn("decision", band(F.col("sim"), low, high)).join(told, ["id", "candidate"], "left")
+        certain = F.coalesce(F.col("confidence") >= sure, F.lit(False))
+        attach = (F.col("decision") == "ATTACH") | (tie & certain & F.coalesce("same", F.lit(False)))
+        judged = judged.withColumn("attach", attach).withColumn("review", tie & F.col("confidence").isNotNull() & ~certain).drop("same", "confidence")
+        now = rows.select("id").join(judged, "id", "left")
+        now = now.select("id", F.when(F.col("attach"), F.col("candidate")).otherwise(F.col("id")).alias("head"), "candidate", "sim", "overlap", F.coalesce("decision", F.lit("NEW")).alias("decision"), F.coalesce("review", F.lit(False)).alias("review"))
+        now = _kept(now, folder, "placed")
+        if not now.join(heads.select("id", F.col("head").alias("was")), "id").where("head <> was").limit(1).count():
+            return now
+        heads = now.select("id", "head")
+
+
+def leader_clusters(rows: DataFrame, folder: str, low: float = KNOBS.t_low, high: float = KNOBS.t_high, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, least: int = KNOBS.min_overlap, verdicts: DataFrame | None = None, sure: float = KNOBS.tiebreak_confidence, group: int = 5_000) -> DataFrame:
+    """rows (id, ts, embedding, entities) as id, head (C9); rows without a vector or time lead themselves.  A tie
+    attaches where verdicts (id, cluster, same, confidence) say so with `sure` confidence.
 
     A row looks at its k nearest among the earlier ones, all of which are placed by then, so neighbours
-    are found in Spark; only similarities of low or more can decide, so rows split into components, and
-    the sequential rule runs within each.  A component is read by one task, as its order demands."""
+    are found in Spark; only similarities of low or more can decide, so rows split into components.  Those
+    of at most `group` rows are one task's work each; larger ones are placed in rounds of joins."""
     pairs = window_neighbours(rows, rows, hours, k, earlier=True).where(F.col("sim") >= low).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "sim", "rank")
-    path = f"{folder}/neighbours-{uuid.uuid4().hex}"
-    pairs.write.parquet(path)
-    pairs = rows.sparkSession.read.schema(pairs.schema).parquet(path)
+    pairs = _kept(pairs, folder, "neighbours")
     part = _components(pairs, folder)
+    sizes = _kept(part.groupBy("component").count(), folder, "sizes")
+    large = part.join(sizes.where(F.col("count") > group), "component", "left_semi").select("id")
+    small = part.join(sizes.where(F.col("count") <= group), "component", "left_semi")
     near = pairs.groupBy("a").agg(F.collect_list(F.struct("rank", "b", "sim")).alias("near"))
-    full = rows.select("id", "ts", "entities").join(part, "id").join(near, F.col("id") == F.col("a"), "left").drop("a")
-    told = verdicts or {}
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        edges = {i: [(x["b"], x["sim"]) for x in sorted(n, key=lambda x: x["rank"])] for i, n in zip(group["id"], group["near"]) if isinstance(n, (list, np.ndarray))}
-        head = place_in_order(list(zip(group["ts"], group["id"], map(set, group["entities"]))), edges, low, high, least, told)
+    full = rows.select("id", "ts", "entities").join(small, "id").join(near, F.col("id") == F.col("a"), "left").drop("a")
+    if verdicts is not None:
+        yes = verdicts.where(F.col("same") & (F.col("confidence") >= sure)).groupBy("id").agg(F.collect_set("cluster").alias("same_as"))
+        full = full.join(yes, "id", "left")
+    else:
+        full = full.withColumn("same_as", F.lit(None).cast("array<bigint>"))
+
+    def place(one: pd.DataFrame) -> pd.DataFrame:
+        edges = {i: [(x["b"], x["sim"]) for x in sorted(n, key=lambda x: x["rank"])] for i, n in zip(one["id"], one["near"]) if isinstance(n, (list, np.ndarray))}
+        told = {(i, h): True for i, heads in zip(one["id"], one["same_as"]) if isinstance(heads, (list, np.ndarray)) for h in heads}
+        head = place_in_order(list(zip(one["ts"], one["id"], map(set, one["entities"]))), edges, low, high, least, told)
         return pd.DataFrame({"id": list(head), "head": list(head.values())})
 
     placed = full.groupBy("component").applyInPandas(place, "id long, head long")
+    if sizes.where(F.col("count") > group).limit(1).count():
+        chosen = rows.select("id", "ts", "entities").join(large, "id", "left_semi")
+        edges = pairs.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "sim").join(large, "id", "left_semi")
+        placed = placed.unionByName(placed_in_rounds(chosen, edges, folder, low, high, least, verdicts, sure).select("id", "head"))
     return rows.select("id").join(placed, "id", "left").select("id", F.coalesce("head", "id").alias("head"))
 
 
+def placements(new: DataFrame, stored: DataFrame, members: DataFrame, folder: str, low: float = KNOBS.t_low, high: float = KNOBS.t_high, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, least: int = KNOBS.min_overlap, verdicts: DataFrame | None = None, sure: float = KNOBS.tiebreak_confidence) -> DataFrame:
+    """new (id, ts, embedding, entities) placed among stored (id, ts, embedding, head) and members (head,
+    entity), whose rows never move: id, head, candidate, sim, overlap, decision, review (T2, C6-C9).
+
+    A row's neighbours are the k nearest within the hours, on either side in time among stored rows, and
+    earlier ones among new rows.  Rows without a vector are not placed."""
+    new = new.where("embedding is not null and ts is not null")
+    among = window_neighbours(new, new, hours, k, earlier=True).select("id", "neighbour", "sim", F.lit(None).cast("bigint").alias("head"))
+    back = window_neighbours(new, stored, hours, k).join(stored.select(F.col("id").alias("neighbour"), "head"), "neighbour").select("id", "neighbour", "sim", "head")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
+    near = among.union(back).withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("sim") >= low)).drop("rank")
+    near = _kept(near, folder, "neighbours")
+    fixed = near.where("head is not null").select("id", "head", "sim")
+    known = _kept(members.join(fixed.select("head").distinct(), "head", "left_semi").select("head", "entity").distinct(), folder, "members")
+    return placed_in_rounds(new.select("id", "ts", "entities"), near.where("head is null").select("id", "neighbour", "sim"), folder, low, high, least, verdicts, sure, fixed, known)
+
+
+def placement_reviews(placed: DataFrame, events: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Ties that verdicts (id, cluster, confidence, reason) settled with too little confidence, of events (id,
+    headline, doc_id), as review rows; events of no document have none (C8): doc_id, kind, mention, field,
+    payload, confidence."""
+    open_ones = placed.where("review").select("id", F.col("candidate").alias("cluster"), "sim")
+    both = open_ones.join(verdicts.select("id", "cluster", "same", "reason", "confidence"), ["id", "cluster"]).join(events.where("doc_id is not null").select("id", "headline", "doc_id"), "id")
+    payload = F.to_json(F.struct(F.col("id").alias("event_id"), F.col("cluster").alias("cluster_id"), F.col("sim").alias("similarity"), "same", "reason", "confidence"))
+    return both.select("doc_id", F.lit("low_confidence").alias("kind"), F.col("headline").alias("mention"), F.lit("cluster").alias("field"), payload.alias("payload"), "confidence")
+
+
 def centroids(vectors: DataFrame, head: str, digits: int | None = None) -> DataFrame:
     """head, centroid: the mean of its vectors, element by element."""
     each = vectors.select(head, F.posexplode("embedding").alias("at", "x")).groupBy(head, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))

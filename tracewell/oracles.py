@@ -160,6 +160,17 @@ r(n, id, head, label) USING KEY (n) AS (SELECT n, id, id, label FROM v WHERE n =
  LEFT JOIN (SELECT n, arg_min(h, {{'s': -s, 'h': h}}) AS h, max(s) AS s FROM (SELECT k.n, x.head AS h, max(k.sim) AS s FROM k JOIN recurring.r x ON x.n = k.m JOIN recurring.r y ON y.head = x.head AND y.label = k.label WHERE k.n = (SELECT max(n) + 1 FROM recurring.r) GROUP BY ALL) GROUP BY n) c ON c.n = w.n)
 SELECT id, head FROM r"""
 
+SQL["stream_leader_cluster"] = SQL["leader_cluster"]
+
+SQL["leader_cluster_verdicts"] = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, id) AS n FROM {VECTORS}),
+k AS MATERIALIZED (SELECT * FROM (SELECT a.n, a.id, a.label, b.n AS m, b.id AS mid, list_cosine_similarity(a.embedding, b.embedding) AS sim, row_number() OVER (PARTITION BY a.n ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.id) AS rank FROM v a JOIN v b ON b.n < a.n AND epoch_us(a.ts) - epoch_us(b.ts) <= 172800000000) WHERE rank <= 10 AND sim >= 0.2),
+r(n, id, head, label, s, sure) USING KEY (n) AS (SELECT n, id, id, label, CAST(NULL AS FLOAT), CAST(NULL AS DOUBLE) FROM v WHERE n = 1
+ UNION SELECT w.n, w.id, CASE WHEN c.s >= 0.3 OR (w.id + t.mid) % 2 = 0 AND (w.id * 7 + t.mid) % 10 >= 6 THEN c.h ELSE w.id END, w.label, c.s, ((w.id * 7 + t.mid) % 10) / 10.0 FROM r last JOIN v w ON w.n = last.n + 1
+ LEFT JOIN (SELECT n, arg_min(h, {{'s': -s, 'h': h}}) AS h, max(s) AS s FROM (SELECT k.n, x.head AS h, max(k.sim) AS s FROM k JOIN recurring.r x ON x.n = k.m JOIN recurring.r y ON y.head = x.head AND y.label = k.label WHERE k.n = (SELECT max(n) + 1 FROM recurring.r) GROUP BY ALL) GROUP BY n) c ON c.n = w.n
+ LEFT JOIN k t ON t.n = c.n AND t.mid = c.h)
+SELECT id, head, CASE WHEN s IS NULL THEN 'NEW' WHEN s >= 0.3 THEN 'ATTACH' ELSE 'TIEBREAK' END AS decision, CASE WHEN s < 0.3 AND sure < 0.6 THEN 1 ELSE 0 END AS review FROM r"""
+
 SQL["centroid"] = "SELECT label, CAST(i - 1 AS INT) AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, generate_series(1, 64) g(i) GROUP BY label, i"
 
 SQL["related_links"] = f"""

@@ -291,6 +291,16 @@ def leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.leader_clusters(v, shared(spark), low=0.2, high=0.3)
 
 
+@query
+def leader_cluster_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As leader_cluster, in rounds of joins, with a verdict on each vector and each of its nearest earlier
+    ones, where that leads a cluster: the pair's sum says whether they are the same, a digit how sure that is."""
+    v = vectors_of(spark, sf_dir).select("id", "ts", "embedding", F.array("label").alias("entities"))
+    near = cluster.window_neighbours(v, v, earlier=True).where("sim >= 0.2")
+    told = near.select("id", F.col("neighbour").alias("cluster"), ((F.col("id") + F.col("neighbour")) % 2 == 0).alias("same"), ((F.col("id") * 7 + F.col("neighbour")) % 10 / 10).alias("confidence"))
+    return cluster.placed_in_rounds(v, near, shared(spark), low=0.2, high=0.3, verdicts=told).select("id", "head", "decision", F.col("review").cast("int").alias("review"))
+
+
 @query
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector per label, one row per element."""
@@ -523,6 +533,19 @@ def item_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ streaming
 
 
+@query
+def stream_leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of leader_cluster, in three batches by time, placed among stored clusters."""
+    base = shared(spark)
+    landing, store, members, state = (ingest.new_folder(base, x) for x in ("landing", "clusters", "members", "state"))
+    v = vectors_of(spark, sf_dir).select("id", "ts", F.col("embedding").cast("array<double>").alias("embedding"), F.array(F.col("label").cast("bigint")).alias("entities"))
+    a, b = v.agg(F.percentile_approx("ts", F.array(F.lit(0.33), F.lit(0.66))).alias("cut")).first().cut
+    for part in (F.col("ts") < a, (F.col("ts") >= a) & (F.col("ts") < b), F.col("ts") >= b):
+        v.where(part).write.mode("append").parquet(landing)
+        ingest.cluster_as_they_come(spark, landing, ingest.EVENT, store, members, state, base, low=0.2, high=0.3)
+    return spark.read.parquet(store).select("id", "head")
+
+
 @query
 def stream_dedup_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file ingested as a stream, twice over; then counts per day and kind."""

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.columns import epoch_us
+from tracewell.operators.cluster import placements
 from tracewell.operators.rows import first_per_key
 from tracewell.operators.verify import stance_flips
+from tracewell.params import KNOBS
 
 PARTS = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
 
@@ -74,6 +77,41 @@ def stored(spark: SparkSession, store: str, schema: str) -> DataFrame:
     return _table(spark, store, T.StructType.fromDDL(schema)).drop(*PARTS.names)
 
 
+EVENT = "id bigint, ts timestamp, embedding array<double>, entities array<bigint>"
+
+
+def cluster_as_they_come(spark: SparkSession, source: str, schema: str, store: str, members: str, state: str, folder: str, hours: int = KNOBS.window_hours, buckets: int = 64, **knobs) -> None:
+    """Events (EVENT: id, ts, embedding, entities) in files of `source` that were not read yet, placed among the
+    clusters of the table `store` (id, ts, embedding, head, by stretch of time) and `members` (head, entity,
+    by bucket of head) (T2, C9).  An event that is stored already stays where it is.  A batch reads the
+    stretches of time and the buckets of heads that it meets, and replaces its own rows when it is tried
+    again."""
+    kept = T.StructType.fromDDL("id bigint, ts timestamp, embedding array<double>, head bigint")
+    parts = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("stretch", T.LongType())])
+    pair = T.StructType.fromDDL("head bigint, entity bigint")
+    width = hours * 3_600_000_000
+    stretch = F.floor(epoch_us("ts") / width)
+    spark.createDataFrame([], T.StructType([*kept, *parts])).write.mode("ignore").partitionBy("batch", "stretch").parquet(store)
+    _begin(spark, members, pair)
+
+    def place(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        batch = batch.where("embedding is not null and ts is not null").dropDuplicates(["id"]).persist()
+        have = here.read.schema(T.StructType([*kept, *parts])).parquet(store).where(F.col("batch") != number)
+        near = batch.select(F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+        fresh = batch.join(have.select("id"), "id", "left_anti")
+        heads = _table(here, members, pair).where(F.col("batch") != number)
+        placed = placements(fresh, have.join(near, "stretch", "left_semi").select("id", "ts", "embedding", "head"), heads, folder, hours=hours, **knobs)
+        full = fresh.join(placed.select("id", "head"), "id").withColumn("batch", F.lit(number)).withColumn("stretch", stretch)
+        full = full.persist()
+        _put(full.select("head", F.explode("entities").alias("entity")).distinct(), members, number, ["head"], buckets)
+        full.select(*kept.names, *parts.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "stretch").parquet(store)
+        full.unpersist()
+        batch.unpersist()
+
+    _run(spark, source, schema, state, place)
+
+
 STANCE = "head bigint, ts timestamp, entity bigint, topic int, role string, stance string, confidence double"
 FLIP = STANCE + ", prior_head bigint, flip boolean"
 
