@@ -1,5 +1,6 @@
 """The ten operators against brute-force versions, and their edge cases."""
 
+import collections
 import gzip
 import hashlib
 import io
@@ -77,6 +78,23 @@ def test_substring_dedup(spark, corpus):
     assert got == windows_gone(corpus, 35)
 
 
+def thue_morse(n, a="a", b="b"):
+    """The word of n letters whose sums over powers of an odd base, modulo a power of two, equal those of the word
+    with its letters swapped."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_long_words_that_fool_polynomials(spark):
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    rng = random.Random(31)
+    before, after, far = prose(rng, 30), prose(rng, 30), prose(rng, 40)
+    texts = [one, other, f"{before} {one} {after}", f"{before} {other} {after}", f"{far} {one} {before}", f"{far} {other} {before}", f"{one} " * 70, f"{other} " * 70]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring_dedup.dedup_passages(frame(spark, texts)).collect()}
+    assert got == windows_gone(texts, 35)
+    found = minhash_dedup.near_duplicates(frame(spark, texts), size=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == groups(texts, 4)
+
+
 def test_substring_dedup_edges(spark):
     text = " ".join(map(str, range(50)))
     rows = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, "x")], "doc_id long, text string, kept string")
@@ -182,6 +200,25 @@ def test_minhash_chain_beyond_stars(spark):
     assert got == {i: c for i, (_, c, _) in groups(texts, 4).items()} and set(got.values()) == {0}
 
 
+def test_prefix_pairs(spark):
+    """Every pair of sets that are alike enough and none twice; a family that falls short makes no pairs."""
+    rng = random.Random(8)
+    pool, sets = list(range(400)), []
+    for _ in range(12):
+        base = rng.sample(pool, rng.randint(5, 90))
+        for _ in range(6):
+            sets.append(set(rng.sample(base, max(1, len(base) - rng.randrange(1 + len(base) // 4)))) | set(rng.sample(pool, rng.randrange(1 + len(base) // 9))))
+    family = [set(range(1000, 1400)) | {10_000 + 100 * i + j for j in range(62)} for i in range(80)]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for each, least in ((sets, want), (family, set())):
+        often = collections.Counter(x for s in each for x in s)
+        rows = [(i, len(s), i, sorted((often[x], x) for x in s if often[x] > 1)) for i, s in enumerate(each)]
+        ranked = spark.createDataFrame(rows, "node long, n long, label long, own array<struct<often:long,shingle:long>>")
+        got = [(r.x, r.y) for r in minhash_dedup._prefix_pairs(ranked, 80).collect()]
+        assert least <= set(got) and len(got) == len(set(got))
+        assert len(got) == 0 if not least else len(least) > 20
+
+
 def test_minhash_edges(spark):
     rows = spark.createDataFrame([(4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(rows).collect()), key=str)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES_A, BYTES_B, Rolling, buffers, mix, release, stash, word_spans
+from .common import BYTES_A, BYTES_B, Rolling, buffers, mix, release, stash, word_hashes, word_spans
 
 Symbols = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -31,9 +31,9 @@ def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
-    """Two independent fingerprints of each word, and where texts begin."""
+    """Two independent hashes of each word, and where texts begin."""
     start, end, first = word_spans(data, offsets)
-    return Rolling(BYTES_A[data]).of(start, end), Rolling(BYTES_B[data]).of(start, end), first
+    return word_hashes(data, start, end, 0), word_hashes(data, start, end, 1), first
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def paths(symbols: Symbols, length: int, k: int) -> tuple[np.ndarray, ...]:
+def paths(symbols: Symbols, length: int, k: int, rolling: type = Rolling) -> tuple[np.ndarray, ...]:
     """(text, first window, anchor's offset from it, further windows, anchor, content) of each path."""
     a, b, first = symbols
     counts = np.maximum(np.diff(first) - length + 1, 0)
@@ -63,7 +63,7 @@ def paths(symbols: Symbols, length: int, k: int) -> tuple[np.ndarray, ...]:
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], total) - 1
     start, end, mid, text = at[lo], at[hi], anchor[lo], text[lo]
-    content = mix(Rolling(b).of(start, end + length) ^ ((mid - start).astype(np.uint64) << np.uint64(32)) ^ (end - start).astype(np.uint64))
+    content = mix(rolling(b).of(start, end + length) ^ ((mid - start).astype(np.uint64) << np.uint64(32)) ^ (end - start).astype(np.uint64))
     return text, start - first[text], mid - start, end - start, grams[mid].view(np.int64), content.view(np.int64)
 
 
@@ -83,11 +83,11 @@ def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, shape: np.nda
     return (halves[:, 0] ^ mix(shape.astype(np.uint64))).view(np.int64), np.ascontiguousarray(halves[:, 1]).view(np.int64)
 
 
-def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k: int, follow: bool, exact: bool) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k: int, follow: bool, exact: bool, rolling: type) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
         for lo, _, data, offsets in buffers(batch.column("text")):
-            text, start, mid, more, anchor, content = paths(symbols(data, offsets), length, k)
+            text, start, mid, more, anchor, content = paths(symbols(data, offsets), length, k, rolling)
             if len(text):
                 columns = {"anchor": anchor, "content": content, "doc_id": ids[lo + text].astype(np.int64), "version": versions[lo + text].astype(np.int64), "span": start << 16 | mid << 8 | more}
                 if follow:
@@ -98,18 +98,19 @@ def _paths(batches: Iterator[pa.RecordBatch], symbols: Callable, length: int, k:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int, follow: bool = False, exact: bool = False) -> DataFrame:
+def repeated_paths(docs: DataFrame, symbols: Callable, length: int, k: int, follow: bool = False, exact: bool = False, rolling: type = Rolling) -> DataFrame:
     """The paths (anchor, content, doc_id, version, span) whose anchor occurs twice or more in docs
     (doc_id, version, text).  span packs first window << 16 | anchor's offset << 8 | further windows.
     With follow there is also next, the content of the path that follows in the text, 0 at its end.  With
-    exact, for symbols that are bytes, content and check are a BLAKE2 digest of the path's bytes."""
+    exact, for symbols that are bytes, content and check are a BLAKE2 digest of the path's bytes; else content is a
+    fingerprint by `rolling`."""
     if length - k >= 256:
         raise ValueError("length - k must be below 256")
     again = docs.select("text").mapInArrow(partial(_anchors, symbols=symbols, length=length, k=k), "anchor long").groupBy("anchor").count().where("count >= 2").select("anchor")
     # A table of its own, so that Spark can split the tasks of frequent anchors in the join.
     again = stash(again, "anchors")
     schema = "anchor long, content long, doc_id long, version long, span long" + (", next long" if follow else "") + (", check long" if exact else "")
-    every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k, follow=follow, exact=exact), schema)
+    every = docs.mapInArrow(partial(_paths, symbols=symbols, length=length, k=k, follow=follow, exact=exact, rolling=rolling), schema)
     found = stash(every.join(again, "anchor", "left_semi"), "paths")
     release(again)
     return found

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, keyed, release, stash, word_spans
+from .common import PrimeRolling, buffers, keyed, release, stash, word_spans
 from .paths import classes, covered, forked, repeated_paths, windows_in, word_symbols
 
 ROW = ("doc_id", "version")
@@ -71,7 +71,7 @@ def _edges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         for lo, hi, data, offsets in buffers(batch.column("text")):
             a, b, first = word_symbols(data, offsets)
             start, end, _ = word_spans(data, offsets)
-            a, b = Rolling(a), Rolling(b)
+            a, b = PrimeRolling(a, 0), PrimeRolling(b, 1)
             for i in range(hi - lo):
                 base, n = int(first[i]), int(first[i + 1] - first[i])
                 parts = []
@@ -131,7 +131,7 @@ def dedup_passages(docs: DataFrame, length: int = 35, k: int = 12, texts: bool =
     left, joined by one space; empty with texts=False).  Removed is each word in a window of `length`
     words that also starts anywhere else."""
     docs = keyed(docs)
-    found = repeated_paths(docs.where(F.col("doc_id").isNotNull()), word_symbols, length, k, follow=True)
+    found = repeated_paths(docs.where(F.col("doc_id").isNotNull()), word_symbols, length, k, follow=True, rolling=PrimeRolling)
     each = classes(found, F.min("next").alias("low"), F.max("next").alias("high"))
     # Tables of their own, so that Spark can split the tasks of frequent anchors and unitigs in the joins.
     whole = stash(occurrences(found, each), "unitigs")
