@@ -561,8 +561,8 @@ def test_directories(zip64):
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for name, (method, at, size) in found.items():
             assert method == 0 and data[at : at + size] == z.read(name)
-    head, payload = warc_zip.parse_record(data[found[warc_zip.DATA][1] :][: found[warc_zip.DATA][2]])
-    assert head["WARC-Type"] == "response" and payload == b"x" * 500
+    head, payload = next(warc_zip.parse_records(data[found[warc_zip.DATA][1] :][: found[warc_zip.DATA][2]]))
+    assert head["warc-type"] == "response" and payload == b"x" * 500
     with pytest.raises(ValueError):
         warc_zip.members(lambda at, n: b"junk"[at : at + n], 4)
 
@@ -596,6 +596,33 @@ def test_foreign_packages(spark):
     assert list(warc_zip.walk(lambda a, n: (big * 2)[a : a + n], 2 * len(big), step=1000)) == [(0, len(big)), (len(big), len(big))]
 
 
+def test_no_record_is_lost(spark):
+    """An index that names one of four records, records that share a gzip member, header names in any case, archives of
+    one base name, and an index with a record twice."""
+    def response(url, body, fold=str):
+        head = fold("WARC-Type") + f": response\r\n{fold('WARC-Target-URI')}:{url}\r\n{fold('Content-Length')}: {len(body)}"
+        return f"WARC/1.1\r\n{head}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    each = [gzip.compress(response(f"p/{i}", b"p" * (i + 1))) for i in range(4)]
+    plain = [response(f"q/{i}", b"q" * (i + 1), str.lower) for i in range(4)]
+    line = lambda name, parts, i: "x 2024 " + json.dumps({"filename": name, "offset": sum(map(len, parts[:i])), "length": len(parts[i])})
+    where, root = warc_zip.fs.FileSystem.from_uri(warc_zip.package_folder(spark))
+    where.create_dir(root)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/part.warc.gz", b"".join(each))
+        z.writestr("archive/plain.warc", b"".join(plain))
+        z.writestr("archive/whole.warc.gz", gzip.compress(b"".join(response(f"w/{i}", b"w", str.upper) for i in range(4))))
+        for side in "ab":
+            z.writestr(f"archive/{side}/same.warc", response(f"s/{side}", side.encode()))
+        z.writestr("indexes/index.cdxj", "\n".join([line("part.warc.gz", each, 2), line("archive/plain.warc", plain, 1), line("plain.warc", plain, 1), line("plain.warc", plain, 3), line("same.warc", [b"x" * 7, b"y"], 1)]))
+    with where.open_output_stream(f"{root}/p.wacz") as f:
+        f.write(out.getvalue())
+    got = sorted((r.url, bytes(r.payload)) for r in warc_zip.read_packages(spark.createDataFrame([(f"file://{root}/p.wacz",)], "path string")).collect())
+    want = [(f"p/{i}", b"p" * (i + 1)) for i in range(4)] + [(f"q/{i}", b"q" * (i + 1)) for i in range(4)] + [("s/a", b"a"), ("s/b", b"b")] + [(f"w/{i}", b"w") for i in range(4)]
+    assert got == want
+
+
 def test_zip64_end_record():
     """A directory whose numbers stand in the ZIP64 records alone."""
     data = warc_zip.package([(1, "u", b"y" * 99, "d", None)])

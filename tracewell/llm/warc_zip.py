@@ -65,18 +65,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, payload) of one record, gzipped or plain."""
-    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
-    at = raw.index(b"\r\n\r\n")
-    lines = raw[:at].decode("utf-8").split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-    block = raw[at + 4 : at + 4 + int(head["Content-Length"])]
-    # The payload follows the HTTP head, where there is one.
-    end = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
-    return head, block[end + 4 :]
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, payload) of all records in a range: plain ones, and those within gzip members,
+    of which each may hold several."""
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        parts.append(unpack.decompress(data) + unpack.flush())
+        if not unpack.eof:
+            raise ValueError("archive ends within a record")
+        data = unpack.unused_data
+    raw, at = b"".join([*parts, data]), 0
+    while raw[at:].strip(b"\r\n"):
+        end = raw.index(b"\r\n\r\n", at)
+        lines = raw[at:end].decode("utf-8").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("not a WARC record")
+        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        at = end + 4 + int(head["content-length"])
+        block = raw[end + 4 : at]
+        # The payload follows the HTTP head, where there is one.
+        cut = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
+        yield head, block[cut + 4 :]
+        at += 4
 
 
 def walk(read, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -143,23 +154,35 @@ def indexed(data: bytes, name: str) -> Iterator[tuple[str, int, int]]:
 
 
 def records(read, found: dict[str, tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(offset in the package, length) of all records of a package with these members, in order."""
+    """(offset in the package, length) of all records of a package with these members, in order: those that indexes
+    name, and what lies between them."""
     archives = {n: m for n, m in found.items() if n.endswith((".warc", ".warc.gz"))}
     indexes = {n: m for n, m in found.items() if n.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))}
     for name, (method, _, _) in (archives | indexes).items():
         if method:
             raise ValueError(f"{name} is compressed by the package, not stored")
-    short = {n.rpartition("/")[2]: m for n, m in archives.items()} | archives
-    out: set[tuple[int, int]] = set()
-    named = set()
+    # Indexes name archives by their whole names or the last parts of these; a name that fits several is
+    # of no use, and what no index names is walked.
+    ends: dict[str, list[str]] = {}
+    for n in archives:
+        for i in [0, *(k + 1 for k, c in enumerate(n) if c == "/")]:
+            ends.setdefault(n[i:], []).append(n)
+    named: dict[str, set[tuple[int, int]]] = {n: set() for n in archives}
     for name, (_, at, size) in indexes.items():
         for archive, offset, length in indexed(read(at, size), name):
-            if archive in short:
-                named.add(short[archive][1])
-                out.add((short[archive][1] + offset, length))
-    for _, at, size in archives.values():
-        if at not in named:
-            out |= {(at + offset, length) for offset, length in walk(lambda a, n: read(at + a, n), size)}  # noqa: B023
+            fits = [archive] if archive in archives else ends.get(archive, [])
+            if len(fits) == 1:
+                named[fits[0]].add((offset, length))
+    out: set[tuple[int, int]] = set()
+    for name, (_, at, size) in archives.items():
+        done = 0
+        for offset, length in [*sorted(named[name]), (size, 0)]:
+            if offset > done:
+                gap = at + done
+                out |= {(gap + o, n) for o, n in walk(lambda a, n: read(gap + a, n), offset - done)}  # noqa: B023
+            if length:
+                out.add((at + offset, length))
+            done = max(done, offset + length)
     return sorted(out)
 
 
@@ -282,19 +305,20 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             rows = []
             with where.open_input_file(name) as f:
                 for at, n in zip(part["offsets"], part["lengths"]):
-                    head, payload = parse_record(f.read_at(n, at))
-                    if head["WARC-Type"] not in ("response", "revisit", "resource"):
-                        continue
-                    digest, size = head.get("WARC-Payload-Digest", "").removeprefix("sha256:"), int(head.get("Payload-Length") or 0)
-                    if head["WARC-Type"] != "revisit":
-                        size, own = len(payload), hashlib.sha256(payload).hexdigest()
-                        # Digests by other algorithms are not checked but replaced.
-                        if not re.fullmatch("[0-9a-f]{64}", digest):
-                            digest = own
-                        if own != digest:
-                            raise ValueError(f"{part['path']}: digest differs at {at}")
-                    number = lambda key: int(head[key]) if head.get(key) else None  # noqa: E731, B023
-                    rows.append((number("Page-ID"), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], number("Refers-To-Page"), payload if payloads else None))
+                    for head, payload in parse_records(f.read_at(n, at)):
+                        kind = head["warc-type"]
+                        if kind not in ("response", "revisit", "resource"):
+                            continue
+                        digest, size = head.get("warc-payload-digest", "").removeprefix("sha256:"), int(head.get("payload-length") or 0)
+                        if kind != "revisit":
+                            size, own = len(payload), hashlib.sha256(payload).hexdigest()
+                            # Digests by other algorithms are not checked but replaced.
+                            if not re.fullmatch("[0-9a-f]{64}", digest):
+                                digest = own
+                            if own != digest:
+                                raise ValueError(f"{part['path']}: digest differs at {at}")
+                        number = lambda key: int(head[key]) if head.get(key) else None  # noqa: E731, B023
+                        rows.append((number("page-id"), head.get("warc-target-uri"), size, digest, kind, number("refers-to-page"), payload if payloads else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
