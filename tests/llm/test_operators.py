@@ -327,6 +327,30 @@ def test_marginals_equal_full_chain():
         assert np.allclose(field.marginals(at, x, n), (p[:, 1] / p.sum(axis=1))[at])
 
 
+def test_gradient_of_the_fit():
+    """The likelihood of a stretch without toxic tokens by enumeration of all paths, and its gradient by differences."""
+    rng = np.random.default_rng(6)
+    size = np.array([1, 4, 6])
+    x = rng.normal(size=(3, 6, 3)) * (np.arange(6)[None, :, None] < size[:, None, None])
+    theta = rng.normal(size=7)
+
+    def clean(theta):
+        emit, move = theta[:3], theta[3:].reshape(2, 2)
+        out = []
+        for i, n in enumerate(size):
+            paths = itertools.product((0, 1), repeat=int(n))
+            total = sum(math.exp(sum(x[i, t] @ emit for t in range(n) if p[t]) + sum(move[p[t - 1], p[t]] for t in range(1, n))) for p in paths)
+            out.append(move[0, 0] * (n - 1) - math.log(total))
+        return np.array(out)
+
+    more, none = toxicity._expectations(x, size, theta[:3], theta[3:].reshape(2, 2))
+    assert np.allclose(none, clean(theta))
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-5
+        assert np.allclose(-more[:, k], (clean(theta + step) - clean(theta - step)) / 2e-5, atol=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ["a b", None])
     field = toxicity.learn(toxicity.training_rows(docs, spark.createDataFrame([], "doc_id long, toxic int")))
@@ -453,9 +477,9 @@ def test_mixing_overlap(spark):
     # Source a takes its own texts, so that none of the shared ones is used twice.
     uses = [out[i][1] + out[100 + i][1] for i in range(10)]
     assert uses == [10] * 10 and all(out[200 + i][1] == 10 for i in range(10))
-    # Beyond the bound on patterns texts count for each source alone; the totals are the same.
-    out = [(r.source, r.taken) for r in mixing.mix_sources(docs, weights=(1, 1), share=2 / 3, most_patterns=0).collect()]
-    assert sum(n for s, n in out if s == "a") == 100 and sum(n for s, n in out if s == "b") == 100
+    # The same whether tables of sources and cells are broadcast or shuffled.
+    again = {r.doc_id: (r.source, r.taken) for r in mixing.mix_sources(docs, weights=(1, 1), share=2 / 3, most_broadcast=0).collect()}
+    assert again == out
 
 
 def test_mixing_keeps_clashing_columns(spark):

@@ -3,7 +3,8 @@ seeded choice of documents.
 
 Sources overlap where they hold the same text.  The set of sources that hold a text is its membership
 pattern; only patterns and their cells (the rows of one pattern in one source), a few numbers each, reach
-the driver, and their count is bounded.  The flow routes words from patterns through cells to source
+the driver, never texts or documents, and all of them are routed.  Their tables are broadcast up to
+`most_broadcast` rows and joined by shuffles beyond.  The flow routes words from patterns through cells to source
 quotas: a cell gives at most `epochs` times its words, and each further use of a pattern's texts, by
 whichever source, costs more, so texts that one source can spare are not repeated by another.
 Documents are then chosen in the order of a seeded digest: whole buckets by their sums, and only the
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, release, stash
+from .common import SPACE, stash
 
 # Weights of the sources in order of code points, repeating; the share of all words to
 # take; the most uses of one document.
@@ -124,14 +125,11 @@ def min_cost_flow(patterns: Sequence[tuple[int, dict[int, int]]], quota: Sequenc
     return {k: net.room[e ^ 1] for k, e in cells.items() if net.room[e ^ 1]}
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 7, most_sources: int = 100_000, most_patterns: int = 20_000, keep: Sequence[str] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 7, most_broadcast: int = 100_000, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken,
     and the columns in keep.  taken counts words with repeats: a whole number of uses, but for the one
     document in which a cell's flow ends, which gives just the words that are missing, so each source's
-    words add up to its target, rounded.
-
-    The driver routes the most_patterns patterns of several sources with most words; texts of others,
-    far down that list, count as texts of their own in each source, which changes no total."""
+    words add up to its target, rounded."""
     keep = [c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
     words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != F.lit(""))
     size = F.size(words).cast("long")
@@ -139,24 +137,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     columns = [F.col("doc_id").cast("long"), "source", size.alias("size"), draw.alias("draw"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")]
     sized = stash(docs.select(*columns), "mix-sizes")
     spark = sized.sparkSession
-    sources = [(r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(most_sources + 1).collect()]
-    if len(sources) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
+    sources = [(r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     sources.sort(key=lambda x: (x[0] is None, x[0] or ""))
     target = quotas(sources, weights, share, epochs) if sum(n for _, n in sources) else [0.0] * len(sources)
-    # A row per source, whose number was checked above.
-    per_source = F.broadcast(spark.createDataFrame([(s, i, n, float(t)) for i, ((s, n), t) in enumerate(zip(sources, target))], "name string, sid int, source_size long, target double"))
+
+    def small(rows: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(rows) if n <= most_broadcast else rows
+
+    per_source = small(spark.createDataFrame([(s, i, n, float(t)) for i, ((s, n), t) in enumerate(zip(sources, target))], "name string, sid int, source_size long, target double"), len(sources))
 
     def numbered(rows: DataFrame) -> DataFrame:
         return rows.join(per_source.select("name", "sid"), rows["source"].eqNullSafe(F.col("name"))).drop("name")
 
-    # Texts that several sources hold, and the patterns of most words among them.
+    # Texts that several sources hold.
     texts = numbered(sized).where("size > 0").groupBy("digest").agg(F.sort_array(F.collect_set("sid")).alias("sids"), F.first("size").alias("size"))
     texts = texts.withColumn("pattern", F.when(F.size("sids") > 1, F.array_join("sids", ",")))
-    shared = stash(texts.where("pattern is not null").select("digest", "pattern", "size"), "mix-shared")
-    top = shared.groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(most_patterns)
-    pooled = stash(shared.join(F.broadcast(top.select("pattern")), "pattern", "left_semi"), "mix-pooled")
-    release(shared)
+    pooled = stash(texts.where("pattern is not null").select("digest", "pattern", "size"), "mix-pooled")
 
     def placed(rows: DataFrame) -> DataFrame:
         found = numbered(rows).join(pooled.select("digest", "pattern"), "digest", "left").drop("digest")
@@ -171,8 +167,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     names = list(by)
     flow = min_cost_flow([(held.get(p, sum(by[p].values())), by[p]) for p in names], [round(t) for t in target], epochs)
     use = [(p, s, flow.get((i, s), 0) // max(n, 1), flow.get((i, s), 0) % max(n, 1)) for i, p in enumerate(names) for s, n in by[p].items()]
-    # A row per cell: at most a source's own one and those of most_patterns patterns.
-    uses = F.broadcast(spark.createDataFrame(use, "pattern string, sid int, uses long, rest long"))
+    # A row per cell.
+    uses = small(spark.createDataFrame(use, "pattern string, sid int, uses long, rest long"), len(use))
     cell = ["pattern", "sid"]
     # Running sums over 4096 buckets a cell, then over the documents of one bucket of each.
     out = placed(docs.select(*columns, F.struct(*keep).alias("kept"))) if keep else own
@@ -180,7 +176,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     sums = own.groupBy(*cell, F.substring("draw", 1, 3).alias("bucket")).agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edges = sums.withColumn("before", before).join(uses, cell).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))).select(*cell, F.col("bucket").alias("edge"), "before")
-    out = out.join(F.broadcast(edges), cell, "left")
+    out = out.join(small(edges, len(use)), cell, "left")
     within = Window.partitionBy(*cell).orderBy("draw", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = out.where(F.col("bucket") == F.col("edge")).withColumn("room", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0)))
     inside = inside.withColumn("more", F.greatest(F.lit(0), F.least("size", "room"))).drop("room")

@@ -3,7 +3,7 @@ give document scores and the offending spans.
 
 Learning sees at most `most_labels` labelled rows, whole texts of any length.  Spark counts in how many
 toxic and clean texts each word and word prefix stands; those that are surely more frequent in toxic
-ones (lower bound of the log odds) form a lexicon of at most `most` entries.  The field has two states,
+ones (lower bound of the log odds) form a lexicon.  The field has two states,
 emissions from the lexicon scores and transitions between neighbours.  Labels of documents are labels
 of their tokens: all tokens of a clean text are clean, and some token of a toxic one is toxic, but which
 ones the field finds out itself; emissions and transitions are fitted by gradient ascent on the
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES_A, LOWER, Rolling, buffers, mix, stash, word_spans
+from .common import LOWER, buffers, stash, word_hashes, word_spans
 
 PREFIXES = (4, 5, 6, 8)
 #: Letters, digits and bytes of characters beyond ASCII are in tokens.
@@ -37,6 +37,8 @@ _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
 #: Powers of the background matrix that are kept; higher ones are multiplied from these.
 _POWERS = 1024
+#: Least and most logit of an emission.
+MOST_LOGIT = 30.0
 #: Tokens of one stretch in the fit; longer texts are several stretches.
 STRETCH = 64
 
@@ -45,11 +47,13 @@ def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     """(start, end, first token of each text, feature hashes: the word, then its prefixes, 0 where the
     word is no longer than the prefix)."""
     start, end, first = word_spans(data, offsets, _INSIDE)
-    roll = Rolling(BYTES_A[LOWER[data]])
-    out = [mix(roll.of(start, end))]
+    data = LOWER[data]
+    out = [word_hashes(data, start, end)]
     for n in PREFIXES:
-        longer = end - start > n
-        out.append(np.where(longer, mix(roll.of(start, np.where(longer, start + n, end)) + np.uint64(n)), np.uint64(0)))
+        longer = np.flatnonzero(end - start > n)
+        hashes = np.zeros(len(start), dtype=np.uint64)
+        hashes[longer] = word_hashes(data, start[longer], start[longer] + n, n)
+        out.append(hashes)
     return start, end, first, out
 
 
@@ -79,9 +83,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000)
     return stash(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "toxic-labelled")
 
 
-def lexicon(rows: DataFrame, least_texts: int = 4, least_odds: float = 1.5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def lexicon(rows: DataFrame, least_texts: int = 4, least_odds: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
     """(feature hashes in order, their scores): the lower 95 % bound of the log odds of standing in a
-    toxic text; the `most` highest, which is what the driver and each task hold."""
+    toxic text.  All of them are kept; they are at most the distinct features of the toxic rows over
+    least_texts."""
     totals = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = float(totals.bad or 0), float(totals.good or 0)
     if not bad or not good:
@@ -89,7 +94,7 @@ def lexicon(rows: DataFrame, least_texts: int = 4, least_odds: float = 1.5, most
     counts = rows.mapInArrow(_count_batches, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).where(F.col("b") >= least_texts)
     p, q = F.col("b") + 0.5, F.col("g") + 0.5
     odds = F.log(p / (bad - F.col("b") + 0.5)) - F.log(q / (good - F.col("g") + 0.5)) - 1.96 * F.sqrt(1 / p + 1 / q)
-    found = counts.select("feature", odds.alias("odds")).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "feature").limit(most).collect()
+    found = counts.select("feature", odds.alias("odds")).where(F.col("odds") >= least_odds).collect()
     names = np.array([r.feature for r in found], dtype=np.int64).view(np.uint64)
     order = np.argsort(names)
     return names[order], np.array([r.odds for r in found])[order]
@@ -151,7 +156,7 @@ class Field:
     def marginals(self, positions: np.ndarray, inputs: np.ndarray, n: int) -> np.ndarray:
         """P(toxic) of the tokens at positions among n tokens; the others are background."""
         a = np.exp(self.move)
-        e = np.exp(np.minimum(self.emit[0] + inputs @ self.emit[1:], 50.0))
+        e = np.exp(np.clip(self.emit[0] + inputs @ self.emit[1:], -MOST_LOGIT, MOST_LOGIT))
         bias = np.exp(self.emit[0])
         m = len(positions)
         gap = (np.diff(np.concatenate([[-1], positions, [n]])) - 1).tolist()
@@ -223,7 +228,7 @@ def _expectations(x: np.ndarray, size: np.ndarray, emit: np.ndarray, move: np.nd
     on = np.arange(t)[None, :] < size[:, None]
     pair = on[:, 1:]
     a = np.exp(move)
-    e = np.exp(np.clip(x @ emit, -30, 30))
+    e = np.exp(np.clip(x @ emit, -MOST_LOGIT, MOST_LOGIT))
     f, b, scale = np.empty((n, t, 2)), np.ones((n, t, 2)), np.zeros(n)
     v = np.stack([np.ones(n), e[:, 0]], axis=1)
     for k in range(t):
@@ -279,10 +284,11 @@ def _train(field: Field, rows: list, steps: int = 120, at_once: int = 4096) -> N
             x[i, :n, 0], x[i, at, 1:] = 1, own
         return x
 
+    parts = [(padded(seqs[i : i + at_once]), size[i : i + at_once]) for i in range(0, len(seqs), at_once)]
     theta = np.concatenate([field.emit, field.move.ravel()])
     speed, m1, m2 = 0.2, np.zeros(7), np.zeros(7)
     for step in range(1, steps + 1):
-        found = [_expectations(padded(seqs[i : i + at_once]), size[i : i + at_once], theta[:3], theta[3:].reshape(2, 2)) for i in range(0, len(seqs), at_once)]
+        found = [_expectations(x, n, theta[:3], theta[3:].reshape(2, 2)) for x, n in parts]
         more, none = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         # Log probability of no toxic token in each text, and the odds of that.
         clean = np.minimum(np.bincount(text, none[seq] * count, len(rows)), -1e-9)
