@@ -111,6 +111,38 @@ def test_leader_clusters_equal_sequential(spark, tmp_path, seed):
     assert got == sequential(data, 0.7, 0.85, 48, 5)
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_candidates_equal_scoring_all(spark, tmp_path, block):
+    """The five best of all entities, whatever letters they start with, with ties, long names and entities of several
+    aliases."""
+    rng = random.Random(9)
+    words = ["catherine", "smith", "jo", "ann", "lee", "katherine", "smythe", "o", "brien", "garcia", "x" * 70]
+    names = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)]
+    entities = spark.createDataFrame([(i, n, [names[-1 - i]] if i % 3 == 0 else None) for i, n in enumerate(names)], "entity_id long, name string, aliases array<string>")
+    mentions = ["Jatherine Xmith", "qqq", "lee ann jo", "Smith", "x" * 66 + " leo", *names[:5]]
+    index = resolve.alias_index(entities)
+    forms = {}
+    for r in index.where("not digit").collect():
+        forms.setdefault(r.entity_id, set()).add(" ".join(sorted(r.form.split())))
+
+    def score(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(new[j], row[j + 1]))
+            row = new
+        return round(200.0 * row[-1] / (len(a) + len(b)), 4)
+
+    rows_ = spark.createDataFrame(list(enumerate(mentions)), "mention_id long, mention string")
+    got = sorted((r.mention_id, -r.score, r.entity_id) for r in resolve.fuzzy_candidates(rows_, index, f"file://{tmp_path}", block=block).collect())
+    want = []
+    for i, m in enumerate(mentions):
+        a = " ".join(sorted(m.lower().split()))
+        want += [(i, *x) for x in sorted((-max(score(a, b) for b in bs), e) for e, bs in forms.items())[:5]]
+    assert got == want
+
+
 def odd_events(seed, n=60):
     rng = random.Random(seed)
     return [(T0 + dt.timedelta(hours=rng.randint(0, 150)), i, [rng.gauss(0, 1) for _ in range(3)], {rng.randint(0, 2), rng.randint(0, 2)}) for i in range(n)]

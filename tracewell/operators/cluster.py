@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import band, cosine, epoch_us, lookup, unit
-from tracewell.operators.rows import first_per_key
+from tracewell.operators.rows import first_per_key, kept
 from tracewell.params import KNOBS, TIER_WEIGHT
 
 
@@ -116,26 +114,19 @@ def head_sources(sources: DataFrame) -> DataFrame:
     return first_per_key(sources, ["head", "url", "span"], F.col("tier"), F.col("id"))
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df written to the folder and read again: lineage ends there."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _components(edges: DataFrame, folder: str) -> DataFrame:
     """(id, component): labels spread over edges (a, b) and jump until none changes; each round is a
     table in the folder, so a lost executor costs one round at most."""
-    def kept(df: DataFrame) -> DataFrame:
-        return _kept(df, folder, "components")
+    def put(df: DataFrame) -> DataFrame:
+        return kept(df, folder, "components")
 
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = kept(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
+    both = put(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = put(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
     while True:
         heard = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         near = label.join(heard, label["id"] == heard["a"]).select("id", F.least("label", "heard").alias("near"), F.col("label").alias("old"))
         far = label.select(F.col("id").alias("near"), F.col("label").alias("far"))
-        step = kept(near.join(far, "near", "left").select("id", F.least("near", "far").alias("label"), "old"))
+        step = put(near.join(far, "near", "left").select("id", F.least("near", "far").alias("label"), "old"))
         label = step.select("id", "label")
         if step.where("label < old").limit(1).count() == 0:
             return label.withColumnRenamed("label", "component")
@@ -176,8 +167,8 @@ def placed_in_rounds(rows: DataFrame, near: DataFrame, folder: str, low: float =
     spark = rows.sparkSession
     order = F.struct(epoch_us("ts").alias("at"), "id")
     asking = near.select("id").union(fixed.select("id")).distinct() if fixed is not None else near.select("id").distinct()
-    own = _kept(rows.select("id", order.alias("order"), F.explode(F.array_distinct("entities")).alias("entity")), folder, "entities")
-    mine = _kept(own.join(asking, "id", "left_semi"), folder, "asking")
+    own = kept(rows.select("id", order.alias("order"), F.explode(F.array_distinct("entities")).alias("entity")), folder, "entities")
+    mine = kept(own.join(asking, "id", "left_semi"), folder, "asking")
     told = verdicts.select("id", F.col("cluster").alias("candidate"), "same", "confidence") if verdicts is not None else spark.createDataFrame([], "id long, candidate long, same boolean, confidence double")
     heads = rows.select("id", F.col("id").alias("head"))
     while True:
@@ -200,7 +191,7 @@ def placed_in_rounds(rows: DataFrame, near: DataFrame, folder: str, low: float =
         judged = judged.withColumn("attach", attach).withColumn("review", tie & F.col("confidence").isNotNull() & ~certain).drop("same", "confidence")
         now = rows.select("id").join(judged, "id", "left")
         now = now.select("id", F.when(F.col("attach"), F.col("candidate")).otherwise(F.col("id")).alias("head"), "candidate", "sim", "overlap", F.coalesce("decision", F.lit("NEW")).alias("decision"), F.coalesce("review", F.lit(False)).alias("review"))
-        now = _kept(now, folder, "placed")
+        now = kept(now, folder, "placed")
         if not now.join(heads.select("id", F.col("head").alias("was")), "id").where("head <> was").limit(1).count():
             return now
         heads = now.select("id", "head")
@@ -214,9 +205,9 @@ def leader_clusters(rows: DataFrame, folder: str, low: float = KNOBS.t_low, high
     are found in Spark; only similarities of low or more can decide, so rows split into components.  Those
     of at most `group` rows are one task's work each; larger ones are placed in rounds of joins."""
     pairs = window_neighbours(rows, rows, hours, k, earlier=True).where(F.col("sim") >= low).select(F.col("id").alias("a"), F.col("neighbour").alias("b"), "sim", "rank")
-    pairs = _kept(pairs, folder, "neighbours")
+    pairs = kept(pairs, folder, "neighbours")
     part = _components(pairs, folder)
-    sizes = _kept(part.groupBy("component").count(), folder, "sizes")
+    sizes = kept(part.groupBy("component").count(), folder, "sizes")
     large = part.join(sizes.where(F.col("count") > group), "component", "left_semi").select("id")
     small = part.join(sizes.where(F.col("count") <= group), "component", "left_semi")
     near = pairs.groupBy("a").agg(F.collect_list(F.struct("rank", "b", "sim")).alias("near"))
@@ -252,9 +243,9 @@ def placements(new: DataFrame, stored: DataFrame, members: DataFrame, folder: st
     back = window_neighbours(new, stored, hours, k).join(stored.select(F.col("id").alias("neighbour"), "head"), "neighbour").select("id", "neighbour", "sim", "head")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     near = among.union(back).withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("sim") >= low)).drop("rank")
-    near = _kept(near, folder, "neighbours")
+    near = kept(near, folder, "neighbours")
     fixed = near.where("head is not null").select("id", "head", "sim")
-    known = _kept(members.join(fixed.select("head").distinct(), "head", "left_semi").select("head", "entity").distinct(), folder, "members")
+    known = kept(members.join(fixed.select("head").distinct(), "head", "left_semi").select("head", "entity").distinct(), folder, "members")
     return placed_in_rounds(new.select("id", "ts", "entities"), near.where("head is null").select("id", "neighbour", "sim"), folder, low, high, least, verdicts, sure, fixed, known)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.columns import fold_accents, mention_forms
+from tracewell.operators.rows import kept
 from tracewell.params import KNOBS
 
 
@@ -97,19 +99,111 @@ def fuzzy_resolve(mentions: DataFrame, index: DataFrame, accept: float = KNOBS.f
     return out.select("mention_id", "mention", F.when(sure, F.col("entity_id")).alias("entity_id"), F.when(sure, F.round(F.col("best") / 100, 4)).alias("confidence"))
 
 
-def fuzzy_candidates(mentions: DataFrame, index: DataFrame, most: int = KNOBS.candidates, least: float = 50.0, fold=fold_accents) -> DataFrame:
-    """For mentions (mention_id, mention) that resolve to nothing, the best entities by sorted_ratio for
-    review, at most `most` each: mention_id, entity_id, score (R9, R15).  Candidates share a whole word
-    with the mention, or its first three letters, and reach `least`."""
-    last = mentions.withColumn("forms", mention_forms(F.col("mention"), fold)).select("mention_id", F.when(F.size("forms") > 0, F.element_at("forms", -1)).alias("form")).where("form is not null")
-    keys = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 3))))
-    pool = index.where("not digit").select("entity_id", F.col("form").alias("alias"))
-    # Mentions repeat; each distinct form is scored once.
-    forms = last.select("form").distinct()
-    pairs = forms.withColumn("key", keys("form")).join(pool.withColumn("key", keys("alias")), "key").select("form", "entity_id", "alias").distinct()
-    scored = pairs.withColumn("score", sorted_ratio("form", "alias")).groupBy("form", "entity_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("score"), "entity_id"))).where(F.col("rank") <= most)
-    return last.join(ranked, "form").select("mention_id", "entity_id", F.round("score", 4).alias("score"))
+class _Aliases:
+    """A block of texts, letters as numbers, for scoring one text against all at once."""
+
+    def __init__(self, texts: list[str]):
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        self.letters, flat = np.unique(codes, return_inverse=True)
+        self.size, self.texts = size, texts
+        row = np.repeat(np.arange(len(texts)), size)
+        # Beyond its end a text has a letter that no other has.
+        self.grid = np.full((len(texts), int(size.max(initial=0))), len(self.letters), dtype=np.int64)
+        self.grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+        self.counts = np.zeros((len(texts), len(self.letters) + 1), dtype=np.int16)
+        np.add.at(self.counts, (row, flat), 1)
+
+    def number(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        at = np.minimum(np.searchsorted(self.letters, codes), max(len(self.letters) - 1, 0))
+        return np.where(self.letters[at] == codes, at, -1) if len(self.letters) else np.full(len(codes), -1)
+
+    def bounds(self, text: str) -> np.ndarray:
+        """No text scores more: a common subsequence has no letter more often than either text."""
+        own = self.number(text)
+        count = np.bincount(own[own >= 0], minlength=self.counts.shape[1]).astype(np.int16)
+        return 100.0 * 2 * np.minimum(self.counts, count).sum(axis=1, dtype=np.int64) / (self.size + len(text))
+
+    def scores(self, text: str, rows: np.ndarray) -> np.ndarray:
+        """100 * 2 * common subsequence / total length: a bit vector per row, one step for each letter of the rows."""
+        if len(text) > 63:
+            common = np.array([_common(text, self.texts[i]) for i in rows], dtype=np.int64)
+        else:
+            masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+            for i, c in enumerate(self.number(text)):
+                if c >= 0:
+                    masks[c] |= np.uint64(1 << i)
+            full = np.uint64((1 << len(text)) - 1)
+            line = np.full(len(rows), full)
+            for letters in self.grid[rows].T:
+                hit = line & masks[letters]
+                line = (line + hit | line - hit) & full
+            common = len(text) - np.bitwise_count(line).astype(np.int64)
+        return 100.0 * 2 * common / (self.size[rows] + len(text))
+
+
+def _best(block: pa.Table, asked: pa.Table, k: int, at_first: int = 64) -> pa.Table:
+    """For each form the k entities of the block that score best, then those of the smallest entity_id.  Aliases are
+    scored in the order of their bounds until no bound reaches the kth score."""
+    out: list[tuple] = []
+    if block.num_rows and asked.num_rows:
+        owner = block.column("entity_id").to_numpy()
+        aliases = _Aliases(block.column("alias").to_pylist())
+        for form, least in zip(asked.column("form").to_pylist(), asked.column("least").to_pylist()):
+            bound = aliases.bounds(form)
+            best: dict[int, float] = {}
+            rows = np.argsort(-bound, kind="stable")
+            rows = rows[bound[rows] >= least]
+            for part in (rows[:at_first], rows[at_first:]):
+                if len(best) >= k:
+                    part = part[bound[part] >= sorted(best.values())[-k]]
+                for e, s in zip(owner[part].tolist(), aliases.scores(form, part).tolist()):
+                    best[e] = max(best.get(e, -1.0), s)
+            out += [(form, e, s) for e, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
+    return pa.table({"form": pa.array([x[0] for x in out], pa.string()), "entity_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
+
+
+def fuzzy_candidates(mentions: DataFrame, index: DataFrame, folder: str, most: int = KNOBS.candidates, fold=fold_accents, block: int = 4096) -> DataFrame:
+    """For mentions (mention_id, mention) that resolve to nothing, the best entities of all by sorted_ratio, the least
+    entity_id first among equals, `most` each, for review: mention_id, entity_id, score (R9, R15).
+
+    Aliases are dealt to blocks by length.  A form is first scored in the blocks of its own length; the score
+    that its last candidate has there bounds the lengths that can do better, and it meets only blocks that
+    hold such lengths.  Blocks and chunks of forms meet in tasks of bounded size; of a block a form takes the
+    best entities on, so what is left to rank is few rows a form."""
+    order = lambda form: F.array_join(F.array_sort(F.split(form, " ")), " ")
+    last = mentions.withColumn("forms", mention_forms(F.col("mention"), fold)).where(F.size("forms") > 0).select("mention_id", order(F.element_at("forms", -1)).alias("form"))
+    last = kept(last, folder, "forms")
+    forms = last.select("form").distinct().withColumn("size", F.length("form"))
+    pool = index.where("not digit").select(F.col("entity_id").cast("long").alias("entity_id"), order(F.col("form")).alias("alias")).distinct().withColumn("size", F.length("alias"))
+    n, m = pool.count(), forms.count()
+    dealt = pool.repartitionByRange(max(1, -(-n // block)), "size", F.xxhash64("alias"), "entity_id").withColumn("block", F.spark_partition_id())
+    dealt = kept(dealt, folder, "aliases")
+    forms = kept(forms.withColumn("chunk", F.pmod(F.xxhash64("form"), F.lit(max(1, -(-m // block))))), folder, "asked")
+    sizes = kept(dealt.select("size", "block").distinct(), folder, "sizes")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        pairs = asked.select("block", "chunk").distinct()
+        right = asked.select(F.col("block").alias("block"), F.col("chunk").alias("chunk"), F.col("form").alias("form"), F.col("least").alias("least"))
+        both = dealt.join(pairs, "block").groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+        return both.applyInArrow(lambda a, b: _best(a, b, most), "form string, entity_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("form", "entity_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("score"), "entity_id"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= most)
+
+    near = kept(searched(forms.join(sizes, "size").select("form", "chunk", "block", F.lit(0.0).alias("least"))), folder, "near")
+    known = ranked(near).groupBy("form").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    left = forms.join(known, "form", "left").withColumn("least", F.when(F.col("n") >= most, F.col("least")).otherwise(F.lit(0.0)))
+    # 200 * lesser length / both lengths is at least `least`.
+    reach = F.when(F.col("least") > 0, F.ceil(F.col("size") * (200 - F.col("least")) / F.col("least")))
+    far = left.withColumn("longest", F.lit(sizes.agg(F.max("size")).first()[0] or 0)).withColumn("other", F.explode(F.sequence(F.floor(F.col("size") * F.col("least") / (200 - F.col("least"))), F.greatest(F.floor(F.col("size") * F.col("least") / (200 - F.col("least"))), F.least(F.coalesce(reach, F.col("longest")), F.col("longest")).cast("bigint")))))
+    done = forms.join(sizes, "size").select("form", "block")
+    meets = far.join(sizes.withColumnRenamed("size", "other"), "other").select("form", "chunk", "block", "least").distinct().join(done, ["form", "block"], "left_anti")
+    best = ranked(near.union(searched(meets)))
+    return last.join(best, "form").select("mention_id", "entity_id", F.round("score", 4).alias("score"))
 
 
 def event_refs(refs: DataFrame, heads: DataFrame) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written to a new table of the folder and read again: lineage ends there."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def first_per_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the order given, which should end in a unique column."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -98,6 +98,19 @@ e AS (SELECT a, entity_id, max(score) AS score FROM s JOIN forms ON forms.s = b
 t AS (SELECT a, max(score) AS best, arg_min(entity_id, {{'s': -score, 'e': entity_id}}) AS entity_id, coalesce(list_sort(list(score), 'DESC')[2], 0) AS second FROM e GROUP BY 1)
 SELECT p_partkey, mention, CASE WHEN best >= 90 AND best - second >= 8 THEN entity_id END AS entity_id, CASE WHEN best >= 90 AND best - second >= 8 THEN round(best / 100, 4) END AS confidence FROM p JOIN ordered ON t = mention LEFT JOIN t ON t.a = s"""
 
+SQL["review_candidates"] = f"""
+WITH RECURSIVE p AS (SELECT p_partkey, p_name, 'x' || substr(p_name, 2, 1) || substr(p_name, 4) AS mention FROM part),
+ordered(t, s) AS (SELECT t, array_to_string(list_sort(string_split({form('t')}, ' ')), ' ') FROM (SELECT mention AS t FROM p UNION SELECT p_name FROM p)),
+o AS (SELECT p_name AS name, min(p_partkey) AS entity_id FROM p GROUP BY 1),
+forms AS (SELECT DISTINCT entity_id, s FROM o JOIN ordered ON t = name),
+x AS (SELECT DISTINCT m.s AS a, f.s AS b FROM (SELECT DISTINCT s FROM p JOIN ordered ON t = mention) m, forms f),
+d(a, b, i, r) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda j: 0) FROM x
+ UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN r[k - 1] + 1 ELSE 0 END)))) FROM d WHERE i < length(a)),
+s AS (SELECT a, b, 200.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)) AS score FROM d WHERE i = length(a)),
+e AS (SELECT a, entity_id, max(score) AS score FROM s JOIN forms ON forms.s = b GROUP BY ALL),
+t AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, entity_id) <= 5)
+SELECT mention, entity_id, round(score, 4) AS score FROM (SELECT DISTINCT mention FROM p) JOIN ordered ON t = mention JOIN t ON t.a = s"""
+
 SQL["topic_word_resolve"] = """
 WITH p AS (SELECT DISTINCT lower(p_type) AS kind, regexp_replace(p_name, '^.* ', '') AS noun FROM part),
 w AS (SELECT DISTINCT unnest([substr(noun, 1, 3), substr(noun, 1, 4), noun, kind, kind || '_' || noun]) AS word FROM p),

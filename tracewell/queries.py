@@ -193,6 +193,17 @@ def alias_fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.join(done, "mention").select("p_partkey", "mention", "entity_id", "confidence")
 
 
+@query
+def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with another first letter and without their third, which start like no name, with the five
+    best of all distinct names (owner: least key)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    owners = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("aliases", F.array().cast("array<string>"))
+    each = p.select(F.concat(F.lit("x"), F.substring("p_name", 2, 1), F.expr("substring(p_name, 4)")).alias("mention"), "p_partkey").groupBy("mention").agg(F.min("p_partkey").alias("mention_id"))
+    found = resolve.fuzzy_candidates(each, resolve.alias_index(owners), shared(spark))
+    return each.join(found, "mention_id").select("mention", "entity_id", "score")
+
+
 @query
 def topic_word_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and noun of parts as topics; words are all starts of nouns and kinds."""
