@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import prose
-from tracewell.llm import decontaminate, license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc_zip
+from tracewell.llm import centroids, context_mixing, decontaminate, hard_negatives, license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc_zip
 
 CLASHING = ("row", "version", "base", "weak", "marks", "span", "tag", "ask", "node", "label", "digest", "draw", "size", "pattern", "sid", "uses", "rest", "w", "h", "lines", "kept", "words", "places", "blocks", "own", "n", "first", "page", "contaminated", "score", "word", "rank", "again_id", "toxic", "bad")
 
@@ -50,10 +50,11 @@ def operators(spark):
         "op8": lambda d: warc_zip.read_packages(warc_zip.write_packages(d.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), *[c for c in d.columns if c in CLASHING]), warc_zip.package_folder(spark))),
         "op9": secret_scan.scan_secrets,
         "op10": suffix_dedup.dedup_bytes,
+        "op11": lambda d: context_mixing.score_texts(d, slot_bits=16).withColumns({c: F.round(c, 9) for c in ("base_score", "score", "bits_per_byte")}),
     }
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11"])
 def test_operator(spark, rows, name):
     apply = operators(spark)[name]
     plain, clashing = frames(spark, rows)
@@ -84,3 +85,18 @@ def test_stage(spark, rows, tmp_path, name):
     if name == "MinHash near-dedup":
         ids = [r.doc_id for r in one.collect()]
         assert ids.count(4) == 2 and 5 not in ids and ids.count(None) == 2
+
+
+@pytest.mark.parametrize("run", [lambda d: hard_negatives.mine_negatives(d, every=5, block=16), lambda d: centroids.cluster_vectors(d, k=7, dims=4)])
+def test_vectors(spark, run):
+    """Nulls, vectors of other lengths and with components that do not count, repeated rows, no rows, and clashing
+    names of further columns."""
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(60)]
+    rows += [rows[10], rows[10], (10, rows[11][1], 1), (20, [0.0] * 4, 0), (25, rows[12][1], 0), (None, [1.0] * 4, 1), (70, None, 1), (75, [1.0, None, 1.0, 1.0], 1)]
+    rows += [(80, [float("nan")] * 4, 0), (85, [float("inf"), 0.0, 0.0, 0.0], 0), (90, [1e30, 0.0, 0.0, 0.0], 0), (95, [], 0), (100, [0.5, 0.5], 2), (105, rows[3][1], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    told = lambda d: sorted(map(str, d.collect()))
+    got = told(run(df))
+    assert got and got == told(run(df.select("*", *[F.lit("clash").alias(c) for c in ("q", "key", "block", "chunk", "cluster", "distance", "draw", "score", "rank", "tops")])))
+    assert run(df.limit(0)).count() == 0

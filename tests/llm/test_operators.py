@@ -12,12 +12,13 @@ import random
 import re
 import time
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc_zip
+from tracewell.llm import centroids, context_mixing, decontaminate, hard_negatives, license_scan, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc_zip
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string"
@@ -753,3 +754,162 @@ def test_redaction(spark):
     docs = frame(spark, [f"é token={h} end", "clean text", None, f"{h} tail"])
     got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert got == {0: "é <assign> end", 1: "clean text", 2: None, 3: "<hex> tail"}
+
+
+# ------------------------------------------------------------------ op11
+
+
+def test_numbers_of_few_bytes():
+    rng = np.random.default_rng(1)
+    for values in (np.array([], dtype=np.int64), np.array([0]), rng.integers(0, 1 << 27, 1000), np.array([127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1])):
+        raw, size = context_mixing.short_numbers(values)
+        assert len(raw) == size.sum() and (not len(values) or (context_mixing.long_numbers(raw) == values).all())
+
+
+def test_edges_count_like_a_trie():
+    """How often each beginning, and each bit after it, was seen, against a plain count; a beginning is one edge
+    for all words that share it."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abé\x01", k=rng.randint(1, 6))) for _ in range(150)} | {"ab" * 40, "ab" * 40 + "c"}, key=str.encode)
+    n = np.array([rng.randrange(5) for _ in words])
+    edges = context_mixing.Edges(context_mixing.pa.array(words), n, np.full(len(words), 2))
+    said = {}
+    for w, c in zip(words, n.tolist()):
+        raw = w.encode() + b" "
+        for p in range(2, len(raw)):
+            for bits in range(9):
+                k = (raw[:p], bits, raw[p] >> (8 - bits))
+                said[k] = said.get(k, 0) + c
+    seen = set()
+    for word, at, symbol, nodes in zip(edges.word, edges.at, edges.symbol, edges.nodes):
+        before = words[word].encode()[:at]
+        assert at >= context_mixing.DEPTH or (before, symbol) not in seen
+        seen.add((before, int(symbol)))
+        want = [said[before, bits, symbol >> (8 - bits)] for bits in range(9)] if at < context_mixing.DEPTH else [0] * 9
+        assert nodes.tolist() == want
+    word, edge = edges.links
+    for i, w in enumerate(words):
+        own = [(int(edges.at[e]), int(edges.symbol[e])) for e in edge[word == i]]
+        assert own == [(p, (w.encode() + b" ")[p]) for p in range(2, len(w.encode()) + 1)]
+
+
+def test_probabilities_add_up(spark):
+    """Over all next bytes the model's probabilities add up to one, for first bytes and for those after a beginning."""
+    code = np.array([c << 16 | a << 8 | b for c in (0, 3) for a in range(256) for b in range(256)])
+    n = np.zeros(len(code), dtype=np.int64)
+    n[[97 << 8 | 98, 97 << 8 | 99, 98 << 8 | 32, 65536 + (97 << 8 | 98)]] = 5, 3, 2, 9
+    lp = context_mixing.first_bytes(code, n, 2).reshape(2, 256, 256)
+    for side in lp:
+        each = 10.0**side
+        each[context_mixing.END_BYTE] /= 256  # ends after one byte
+        assert abs(each.sum() - 1) < 1e-9
+    words = [f"abc{chr(c)}" for c in range(33, 127)] + ["abc"]
+
+    class Table:
+        value = np.zeros((1 << 12, 2), dtype=np.float32)
+    block = context_mixing.pa.table({"word": sorted(words), "n": np.arange(len(words)), "begins": np.full(len(words), 2)})
+    scored = context_mixing._scored(block, Table, np.full((context_mixing.GATES, context_mixing.INPUTS), 0.3), np.full(context_mixing.GATES // 8 * context_mixing.STEPS, 0.5), 64)
+    tail = dict(zip(scored["word"].to_pylist(), scored["tail"].to_pylist()))
+    # c, then each byte and a space; the rest of the 256 bytes are not words here.
+    assert 0 < sum(10 ** tail[w] for w in words if len(w) == 4) < 1 and all(v < 0 for v in tail.values())
+
+
+def test_lm_scores(spark, corpus):
+    """Base scores against a plain count; the model prefers what it has learned, and every row has a score."""
+    texts = corpus * 3 + ["zz qq ww unlike anything", "w1 w2 w3 w4 w5"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (3, texts[3])], "doc_id long, text string")
+    out = context_mixing.score_texts(rows, slot_bits=18, block_words=100, part_bytes=2000).collect()
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [""]
+    learned = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+    data = [(r.doc_id, r.text) for r in rows.collect()]
+    count = collections.Counter(w for i, t in data if learned(i) for w in tokens(t))
+    total, distinct = sum(count.values()), len(count)
+    want = sorted((str(i), not learned(i), len(tokens(t)), sum(w in count for w in tokens(t)), total, round(sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in tokens(t)), 6)) for i, t in data)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
+    assert all(r.score < 0 and r.bits_per_byte > 0 for r in out)
+    held = [r for r in out if r.held_out and r.n_tokens > 20]
+    # Most words of this corpus are known: the model comes close to their frequencies, or passes them.
+    assert sum(r.score for r in held) > 1.25 * sum(r.base_score for r in held)
+    odd, plain = (next(r for r in out if r.doc_id == len(texts) - k) for k in (2, 1))
+    assert odd.score / odd.n_tokens < plain.score / plain.n_tokens
+
+
+def test_frequent_beginnings(spark):
+    """Words dealt by longer beginnings, or by none, are all scored."""
+    words = spark.createDataFrame([(f"https://host/{i:04d}", i % 3) for i in range(300)] + [("a", 5), ("", 9)], "word string, n long")
+    dealt = context_mixing.blocks_of(words, 50).collect()
+    assert sorted(r.word for r in dealt) == sorted(r.word for r in words.collect() if r.word)
+    assert {r.begins for r in dealt} == {2, context_mixing.DEPTH} and max(collections.Counter(r.block for r in dealt).values()) < 120
+
+
+# ------------------------------------------------------------------ op12, op13
+
+
+def vectors(spark, n, dims, seed, labels=4):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(labels, dims))
+    # Few values, so that scores and distances tie; ids in no order.
+    data = [(int(i), [float(x) for x in np.round(0.6 * middle[i % labels] + rng.normal(size=dims) * 0.4, 1)], int(i % labels)) for i in rng.permutation(n)]
+    return data, spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+
+
+def whole(data):
+    return np.floor(256 * np.array([v for _, v, _ in data], dtype=np.float32).astype(np.float64)).astype(np.int64)
+
+
+@pytest.mark.parametrize("block", [30, 4096])
+def test_hard_negatives(spark, block):
+    data, rows = vectors(spark, 300, 5, 3)
+    ids, q = np.array([i for i, _, _ in data]), whole(data)
+    labels = np.array([(lab + 1) % 10 if i % 7 == 0 else lab for i, _, lab in data])
+    want = []
+    for a in np.flatnonzero(ids % 20 == 0):
+        score = q @ q[a]
+        order = np.lexsort((ids, -score))
+        for p in [j for j in order if labels[j] == labels[a] and j != a][:5]:
+            some = [j for j in order if labels[j] != labels[a] and 80 * score[p] <= 100 * score[j] <= 100 * score[p]][:5]
+            want += [(ids[a], ids[p], r, ids[j], score[p], score[j]) for r, j in enumerate(some, 1)]
+    got = hard_negatives.mine_negatives(rows, every=20, block=block, blocks_a_chunk=2).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_threshold_stops_early():
+    """What the lists give equals a full ranking, and clustered data are not read whole."""
+    rng = np.random.default_rng(5)
+    cells = np.concatenate([rng.integers(-3, 4, (3000, 8)), rng.integers(200, 210, (40, 8))])
+    ids = rng.permutation(len(cells))
+    lists = hard_negatives.Lists(cells)
+    anchor = np.full(8, 50)
+    anchor[3] = -1
+    score = cells @ anchor
+    (row, got), = lists.best(anchor, np.ones(len(cells), dtype=bool), np.array([-(10**9)]), np.array([10**9]), ids, 5)
+    assert row.tolist() == np.lexsort((ids, -score))[:5].tolist() and got.tolist() == score[row].tolist()
+    big = hard_negatives.Lists(cells * (1 << 24))
+    (row, got), = big.best(anchor * (1 << 20), np.ones(len(cells), dtype=bool), np.array([-(1 << 62)]), np.array([1 << 62]), ids, 5)
+    assert row.tolist() == np.lexsort((ids, -score))[:5].tolist() and got.tolist() == (score[row] * (1 << 44)).tolist()
+
+
+def test_bisectors():
+    """The tournament against all distances, with centroids that are equal or equally near."""
+    rng = np.random.default_rng(7)
+    centroids_, v = rng.integers(-4, 5, (9, 3)), rng.integers(-5, 6, (2000, 3))
+    centroids_[5] = centroids_[2]
+    best = centroids.tournament(v, *centroids.bisectors(centroids_))
+    assert (best == ((v[:, None] - centroids_[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+
+
+@pytest.mark.parametrize("n, k", [(200, 12), (5, 8)])
+def test_centroids(spark, n, k):
+    data, rows = vectors(spark, n, 4, 11)
+    ids, q = [i for i, _, _ in data], whole(data)
+    c = q[sorted(range(n), key=lambda i: hashlib.sha256(f"2:{ids[i]}".encode()).hexdigest())[:k]].copy()
+    for turn in range(6):
+        distance = ((q[:, None] - c[None]) ** 2).sum(axis=2)
+        near = distance.argmin(axis=1)
+        for j in range(len(c)) if turn < 5 else ():
+            if (near == j).any():
+                c[j] = np.floor_divide(q[near == j].sum(axis=0), (near == j).sum())
+    own = distance[np.arange(n), near]
+    want = {i: (near[x], own[x], own[near == near[x]].sum(), own.sum(), hashlib.sha256(",".join(map(str, c[near[x]].tolist())).encode()).hexdigest()) for x, i in enumerate(ids)}
+    got = centroids.cluster_vectors(rows, k=k, dims=4).collect()
+    assert {r.vec_id: (r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in got} == want and len(got) == n
