@@ -8,25 +8,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import band, cosine, epoch_us, lookup, unit
+from tracewell.functions.columns import band, epoch_us, lookup, unit
 from tracewell.operators.rows import first_per_key, kept
 from tracewell.params import KNOBS, TIER_WEIGHT
 
 
+def _matrix(t: pa.Table) -> np.ndarray:
+    flat = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(t.num_rows, -1)
+
+
 def _nearest(width: int, k: int, digits: int | None, earlier: bool):
     """Of two blocks the k nearest rows of the second for each row of the first, by one product."""
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        flat = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(t.num_rows, -1)
-
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("id")
         a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
         ta, tb = left.column("at").to_numpy()[:, None], right.column("at").to_numpy()[None, :]
         if not len(a) or not len(b):
             return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        sim = matrix(left) @ matrix(right).T
+        sim = _matrix(left) @ _matrix(right).T
         if digits is not None:
             sim = np.round(sim, digits)
         apart = (a[:, None] == b[None, :]) | (np.abs(ta - tb) > width)
@@ -42,6 +43,18 @@ def _nearest(width: int, k: int, digits: int | None, earlier: bool):
     return nearest
 
 
+def _block_pairs(far: DataFrame, near: DataFrame, group: list[str], block: int):
+    """far and near (id, group, ...) dealt to blocks of about `block` rows of their group and grouped by pairs of
+    blocks, for cogroup."""
+    blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
+    sizes = near.groupBy(*group).agg(blocks.alias("n_right")).join(far.groupBy(*group).agg(blocks.alias("n_left")), group)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = far.join(sizes, group).select(*[F.col(c).alias(c) for c in far.columns], dealt("n_left").alias("l"), each("n_right").alias("r"))
+    right = near.join(sizes, group).select(*near.columns, dealt("n_right").alias("r"), each("n_left").alias("l"))
+    return left.groupBy(*group, "l", "r").cogroup(right.groupBy(*group, "l", "r"))
+
+
 def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, earlier: bool = False, block: int = 1024) -> DataFrame:
     """For each row of left the k rows of right with the most similar vectors among those within the
     hours (C5): id, neighbour, sim, rank; with earlier only rows before it by (ts, id).  Both sides: id, ts,
@@ -56,14 +69,7 @@ def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.wind
     beside = (stretch - 1, stretch) if earlier else (stretch - 1, stretch, stretch + 1)
     near = right.where("embedding is not null and ts is not null").select(*columns, stretch.alias("stretch"))
     far = left.where("embedding is not null and ts is not null").select(*columns, F.explode(F.array(*beside)).alias("stretch"))
-    blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
-    sizes = near.groupBy("stretch").agg(blocks.alias("n_right")).join(far.groupBy("stretch").agg(blocks.alias("n_left")), "stretch")
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    far = far.join(sizes, "stretch").select("id", "at", "vector", "stretch", dealt("n_left").alias("l"), each("n_right").alias("r"))
-    near = near.join(sizes, "stretch").select("id", "at", "vector", "stretch", dealt("n_right").alias("r"), each("n_left").alias("l"))
-    pair = ["stretch", "l", "r"]
-    pairs = far.groupBy(*pair).cogroup(near.groupBy(*pair)).applyInArrow(_nearest(width, k, digits, earlier), "id long, neighbour long, sim double")
+    pairs = _block_pairs(far, near, ["stretch"], block).applyInArrow(_nearest(width, k, digits, earlier), "id long, neighbour long, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -72,8 +78,9 @@ def candidate_clusters(neighbours: DataFrame, clusters: DataFrame, entities: Dat
     """neighbours reduced to clusters (C6, C7): id, cluster, sim, overlap, rank, decision.  clusters: id,
     cluster; entities: id, entity; cluster_entities: cluster, entity."""
     best = neighbours.join(clusters.select(F.col("id").alias("neighbour"), "cluster"), "neighbour").groupBy("id", "cluster").agg(F.max("sim").alias("sim"))
-    shared = entities.join(cluster_entities, "entity").groupBy("id", "cluster").agg(F.countDistinct("entity").alias("overlap"))
-    met = best.join(shared, ["id", "cluster"]).where(F.col("overlap") >= least)
+    # From the near clusters to both sides' entities, so that an entity of many events pairs nothing.
+    shared = best.join(entities.select("id", "entity").distinct(), "id").join(cluster_entities.select("cluster", "entity").distinct(), ["cluster", "entity"])
+    met = shared.groupBy("id", "cluster", "sim").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "cluster"))
     return met.withColumn("rank", rank).withColumn("decision", band(F.col("sim")))
 
@@ -266,21 +273,37 @@ def centroids(vectors: DataFrame, head: str, digits: int | None = None) -> DataF
     return each.groupBy(head).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value.alias("x")))), lambda s: s["x"]).alias("centroid"))
 
 
-def related_heads(heads: DataFrame, entities: DataFrame, days: int = KNOBS.related_days, least: float = KNOBS.related_sim) -> DataFrame:
+def _alike(span: int, least: float):
+    """Of two blocks of heads of one entity the pairs, later to earlier, that are near in time and similar."""
+
+    def alike(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "entity": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
+        a, b = left.column("id").to_numpy()[:, None], right.column("id").to_numpy()[None, :]
+        ta, tb = left.column("at").to_numpy()[:, None], right.column("at").to_numpy()[None, :]
+        sim = _matrix(left) @ _matrix(right).T
+        i, j = np.nonzero((sim >= least) & (ta - tb <= span) & ((ta > tb) | ((ta == tb) & (a > b))))
+        return pa.table({"src": a[i, 0], "dst": b[0, j], "entity": left.column("entity").take(pa.array(i)), "sim": sim[i, j]})
+
+    return alike
+
+
+def related_heads(heads: DataFrame, entities: DataFrame, days: int = KNOBS.related_days, least: float = KNOBS.related_sim, block: int = 1024) -> DataFrame:
     """heads (head, ts, event_type, centroid) sharing an entity (head, entity) within the days and with
-    similar centroids, later to earlier: src, dst, relation, sim, shared (C17)."""
-    # Heads meet by entity and stretch of time, so that an entity of all heads does not pair them all.
+    similar centroids, later to earlier: src, dst, relation, sim, shared (C17).
+
+    Heads meet by entity and stretch of time, in pairs of blocks of about `block`, of which one product keeps
+    what is similar: heads that only share an entity make no pairs, however common it is."""
     span = days * 86_400_000_000
-    stretch = F.floor(epoch_us("ts") / span)
-    who = entities.select("head", "entity").distinct().join(heads.select("head", "ts", stretch.alias("stretch")), "head")
-    src = who.select(F.col("head").alias("src"), F.col("ts").alias("ts_a"), "entity", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"))).alias("stretch"))
-    dst = who.select(F.col("head").alias("dst"), F.col("ts").alias("ts_b"), "entity", "stretch")
-    both = src.join(dst, ["entity", "stretch"]).where((F.struct("ts_a", "src") > F.struct("ts_b", "dst")) & (epoch_us("ts_a") - epoch_us("ts_b") <= span))
-    pairs = both.groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_set(F.col("entity").cast("string"))), ",").alias("shared"))
-    a = heads.select(F.col("head").alias("src"), F.col("event_type").alias("type_a"), F.col("centroid").alias("vec_a"))
-    b = heads.select(F.col("head").alias("dst"), F.col("event_type").alias("type_b"), F.col("centroid").alias("vec_b"))
-    met = pairs.join(a, "src").join(b, "dst")
-    met = met.withColumn("sim", cosine(F.col("vec_a"), F.col("vec_b"))).where(F.col("sim") >= least)
+    at = epoch_us("ts")
+    own = heads.where("centroid is not null and ts is not null").select("head", at.alias("at"), unit(F.col("centroid")).alias("vector"))
+    who = entities.select("head", F.col("entity").cast("string").alias("entity")).distinct().join(own, "head").withColumn("stretch", F.floor(F.col("at") / span))
+    near = who.select(F.col("head").cast("long").alias("id"), "at", "vector", "entity", "stretch")
+    far = who.select(F.col("head").cast("long").alias("id"), "at", "vector", "entity", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"))).alias("stretch"))
+    found = _block_pairs(far, near, ["entity", "stretch"], block).applyInArrow(_alike(span, least), "src long, dst long, entity string, sim double")
+    met = found.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.array_join(F.sort_array(F.collect_set("entity")), ",").alias("shared"))
+    types = heads.select("head", "event_type")
+    met = met.join(types.select(F.col("head").alias("src"), F.col("event_type").alias("type_a")), "src").join(types.select(F.col("head").alias("dst"), F.col("event_type").alias("type_b")), "dst")
     relation = F.when((F.col("type_a") == "statement") & (F.col("type_b") != "statement"), "RESPONDS_TO").otherwise("FOLLOWS")
     return met.select("src", "dst", relation.alias("relation"), F.least(F.greatest("sim", F.lit(0.0)), F.lit(1.0)).alias("sim"), "shared")
 

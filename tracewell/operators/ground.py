@@ -65,15 +65,21 @@ def proposed_edges(edges: DataFrame, payload: DataFrame) -> DataFrame:
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, any_case: bool = False) -> DataFrame:
     """docs (doc_id, text) with lexicon (surface, entity_id) as doc_id, surface, entity_id: whole-word
     hits of surfaces of three letters or more with a capital (E15); with any_case, as for questions,
-    capitals do not matter.  A surface can stand only where its first word does, so words are joined
-    first, without their texts, and texts are fetched for what meets."""
+    capitals do not matter.  A surface can stand only where the rarest of its words does, so documents meet
+    surfaces by that word alone, without their texts, and each text is then fetched once, for all surfaces
+    that it may hold; a surface that begins with a frequent word costs nothing where its rarest is not."""
     fold = F.lower if any_case else (lambda c: c)
-    usable = lexicon.where((F.length("surface") >= 3) & F.col("surface").rlike("[A-Z]")).withColumn("word", fold(F.regexp_extract("surface", r"(\w+)", 1)))
+    usable = lexicon.where((F.length("surface") >= 3) & F.col("surface").rlike("[A-Z]")).distinct()
+    parts = usable.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("surface")), F.lit(r"(\w+)"), F.lit(1)))))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
-    met = words.join(usable, "word").select("doc_id", "surface", "entity_id").distinct()
-    both = met.join(docs.select("doc_id", "text"), "doc_id")
-    quoted = F.concat(F.lit("(?i)" if any_case else ""), F.lit(r"(?<!\w)\Q"), F.col("surface"), F.lit(r"\E(?!\w)"))
-    return both.where(F.contains(fold(F.col("text")), fold(F.col("surface"))) & F.regexp_like("text", quoted)).select("doc_id", "surface", "entity_id").distinct()
+    often = words.join(parts.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    # A word that no document has is the rarest, and meets nothing.
+    ranked = parts.join(often, "word", "left").groupBy("surface").agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+    met = words.join(ranked, "word").groupBy("doc_id").agg(F.collect_set("surface").alias("surfaces"))
+    quoted = lambda s: F.concat(F.lit("(?i)" if any_case else ""), F.lit(r"(?<!\w)\Q"), s, F.lit(r"\E(?!\w)"))
+    held = lambda s: F.contains(fold(F.col("text")), fold(s)) & F.regexp_like("text", quoted(s))
+    found = docs.select("doc_id", "text").join(met, "doc_id").select("doc_id", F.explode(F.filter("surfaces", held)).alias("surface"))
+    return found.join(usable.select("surface", "entity_id"), "surface").select("doc_id", "surface", "entity_id").distinct()
 
 
 def claim_problems(claims: DataFrame, records: DataFrame) -> DataFrame:

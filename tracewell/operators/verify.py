@@ -61,12 +61,17 @@ def stance_flips(stances: DataFrame, least: float = KNOBS.stance_confidence) ->
     """stances (head, ts, entity, topic, role, stance, confidence) with prior_head and flip.
 
     The prior is the latest stance of the entity on the topic on a head strictly earlier by (ts, head),
-    whatever its side or confidence; of several roles there, the first.  It comes from lag over distinct
-    heads, joined back."""
+    whatever its side or confidence; of several roles there, the first.  Distinct heads are scanned in
+    segments, the days of an entity and topic: within one by lag, and its first head looks at the last of the
+    day before that has any; so an entity and topic of a third of all rows is many tasks."""
     first = F.min_by(F.struct("stance", "confidence"), "role")
-    heads = stances.groupBy("entity", "topic", "ts", "head").agg(first.alias("said"))
-    order = Window.partitionBy("entity", "topic").orderBy("ts", "head")
-    prior = heads.select("entity", "topic", "ts", "head", F.lag(F.struct("head", "said")).over(order).alias("prior"))
+    heads = stances.groupBy("entity", "topic", "ts", "head").agg(first.alias("said")).withColumn("day", F.to_date("ts"))
+    key = ["entity", "topic"]
+    order = Window.partitionBy(*key, "day").orderBy("ts", "head")
+    last = heads.groupBy(*key, "day").agg(F.max_by(F.struct("head", "said"), F.struct("ts", "head")).alias("last"))
+    carried = last.select(*key, "day", F.lag("last").over(Window.partitionBy(*key).orderBy("day")).alias("carried"))
+    prior = heads.withColumn("prior", F.lag(F.struct("head", "said")).over(order)).join(carried, [*key, "day"])
+    prior = prior.select(*key, "ts", "head", F.coalesce("prior", "carried").alias("prior"))
     both = stances.join(prior, ["entity", "topic", "ts", "head"])
     side, before = stance_side(F.col("stance")), stance_side(F.col("prior.said.stance"))
     flip = F.coalesce((F.col("confidence") >= least) & (F.col("prior.said.confidence") >= least) & (side * before == -1), F.lit(False))
