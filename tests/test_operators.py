@@ -214,6 +214,28 @@ def test_stance_flip_prior_blocks(spark):
     assert got == {(1, "actor"): (None, False), (2, "actor"): (1, False), (3, "actor"): (2, False), (4, "actor"): (3, True), (4, "speaker"): (3, False)}
 
 
+def test_priors_across_segments(spark):
+    """An entity's stances over many days, several a day and on days apart, against a scan in order."""
+    rng = random.Random(4)
+    data = [(i, T0 + dt.timedelta(hours=rng.choice([0, 1, 1, 30, 200, 700])), 1 if rng.random() < 0.8 else 2, "t", "actor", rng.choice(["support", "oppose", "neutral_unclear"]), rng.choice([0.2, 0.9])) for i in range(60)]
+    s = spark.createDataFrame(data, "head long, ts timestamp, entity long, topic string, role string, stance string, confidence double")
+    got = {r["head"]: (r.prior_head, r.flip) for r in verify.stance_flips(s).collect()}
+    last, want = {}, {}
+    for i, _, e, _, _, stance, sure in sorted(data, key=lambda r: (r[1], r[0])):
+        before = last.get(e)
+        flip = bool(before) and {stance, before[1]} == {"support", "oppose"} and min(sure, before[2]) >= 0.6
+        want[i], last[e] = (before and before[0], flip), (i, stance, sure)
+    assert got == want and any(f for _, f in want.values())
+
+
+def test_surfaces_by_their_rarest_word(spark):
+    """Surfaces that begin with a frequent word, share words, or have a word that no document has."""
+    docs = spark.createDataFrame([(i, f"The Senate met The House, day {i}") for i in range(30)] + [(98, "The Fed and The Federal Reserve"), (99, "the Fed of Ohio."), (100, None)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("The Fed", 1), ("The Federal Reserve", 2), ("Fed", 3), ("The Zzz", 4), ("The Senate", 5), ("Fed", 6)], "surface string, entity_id long")
+    got = {(r.doc_id, r.entity_id) for r in ground.lexicon_hits(docs, lexicon).collect()}
+    assert got == {(i, 5) for i in range(30)} | {(98, 1), (98, 2), (98, 3), (98, 6), (99, 3), (99, 6)}
+
+
 def test_verdict(spark):
     heads = spark.createDataFrame([(1, 0.8), (2, 0.8), (3, 0.8)], "head long, base double")
     cor = spark.createDataFrame([(1, "corroborated"), (2, "single_source")], "head long, status string")

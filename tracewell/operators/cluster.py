@@ -315,21 +315,27 @@ def head_scalars(members: DataFrame) -> DataFrame:
     tier, confidence weighted by trust."""
     weight = lookup(TIER_WEIGHT, F.col("tier"))
     total = members.groupBy("head").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"),
         F.min("ts").alias("event_time"), F.min("tier").alias("tier"),
         (F.sum(weight * F.col("confidence")) / F.sum(weight)).alias("confidence"),
     )
+    # Sets are combined before they are shuffled, and no longer than there are topics.
+    topics = members.select("head", F.explode_outer("topics").alias("topic")).groupBy("head").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
     types = members.groupBy("head", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tier", "ts", "id")).alias("seen"))
     types = first_per_key(types, ["head"], F.desc("n"), F.col("seen"), F.col("event_type")).select("head", "event_type")
     places = members.where("jurisdiction is not null").groupBy("head", "jurisdiction").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "id")).alias("seen"))
     places = first_per_key(places, ["head"], F.desc("n"), F.col("seen"), F.col("jurisdiction")).select("head", "jurisdiction")
-    return total.join(types, "head", "left").join(places, "head", "left")
+    return total.join(topics, "head").join(types, "head", "left").join(places, "head", "left")
 
 
 def head_spans(sources: DataFrame, entities: DataFrame, most: int = KNOBS.max_spans) -> DataFrame:
     """head, spans: distinct spans of sources (head, tier, id, span) by tier and id, then of entities
-    (head, id, entity, role, topic, span), at most `most` (C15)."""
-    a = sources.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("tier", "id", "span"))), lambda x: x["span"]).alias("a"))
-    b = entities.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "entity", "role", "topic", "span"))), lambda x: x["span"]).alias("b"))
-    none = F.array().cast("array<string>")
-    return a.join(b, "head", "full").select("head", F.slice(F.array_distinct(F.concat(F.coalesce("a", none), F.coalesce("b", none))), 1, most).alias("spans"))
+    (head, id, entity, role, topic, span), at most `most` (C15).  Each span is kept once with its first place, and
+    only the first `most` of a head are ever together, however many it has."""
+    kinds = entities.schema
+    none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
+    a = sources.select("head", "span", F.struct(F.lit(0).alias("side"), "tier", "id", none("entity"), none("role"), none("topic")).alias("place"))
+    b = entities.select("head", "span", F.struct(F.lit(1).alias("side"), F.lit(None).cast(sources.schema["tier"].dataType).alias("tier"), "id", "entity", "role", "topic").alias("place"))
+    first = a.unionByName(b).groupBy("head", "span").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("head").orderBy("place", "span"))
+    best = first.withColumn("rank", rank).where(F.col("rank") <= most)
+    return best.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "span"))), lambda x: x["span"]).alias("spans"))
