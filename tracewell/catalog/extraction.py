@@ -214,3 +214,14 @@ def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = li.select("n", F.concat(F.lit("T"), (1 + F.col("l_linenumber") % 4).cast("string")).alias("trust_tier"), (1 - F.col("l_discount") - F.col("l_extendedprice") / 1e7).alias("event_confidence"))
     kept = li.where("l_returnflag <> 'N'").select("answer_id", F.col("l_orderkey").alias("claim_id"), "n")
     return ground.answer_confidence(kept, records, o.groupBy("answer_id").agg(F.count(F.lit(1)).alias("claims")))
+
+
+@query("""
+WITH m AS (SELECT l_orderkey AS doc_id, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey % 3 END AS entity_id, l_linestatus AS role, 1 - l_discount AS confidence, l_linenumber AS pos FROM lineitem)
+SELECT * FROM m WHERE entity_id IS NULL
+UNION ALL SELECT * FROM m WHERE entity_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, entity_id, role ORDER BY confidence DESC, pos) = 1""")
+def best_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as mentions in their order, each fourth supplier unresolved."""
+    s = F.col("l_suppkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(s % 4 > 0, s % 3).alias("entity_id"), F.col("l_linestatus").alias("role"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_linenumber").alias("pos"))
+    return ground.best_mentions(li)

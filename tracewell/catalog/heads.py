@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog import query, table
 from tracewell.catalog.extraction import pick
-from tracewell.functions.columns import lookup, source_tag
+from tracewell.functions.columns import checked_vector, lookup, source_tag
 from tracewell.operators import cluster, graph, registry, verify
 from tracewell.oracles import STANCES
 from tracewell.params import STATUS_BONUS
@@ -358,3 +358,18 @@ def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     url = F.when(k % 6 == 0, "https://www.congress.gov/x").when(k % 6 == 1, "https://mobile.twitter.com/a").when(k % 6 == 2, "https://notcongress.gov/").when(k % 6 == 3, "localhost").otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", source_tag(url).alias("tag"))
+
+
+@query("""
+SELECT l_orderkey AS head, l_suppkey % 5 AS src, l_returnflag AS relation, l_partkey % 7 AS dst, max(1 - l_discount) AS confidence, arg_min(l_linenumber, {'c': l_discount, 'i': l_linenumber}) AS id FROM lineitem GROUP BY ALL""")
+def head_edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: lines as edges of their order, of which many are of one kind."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("head"), F.col("l_linenumber").alias("id"), (F.col("l_suppkey") % 5).alias("src"), F.col("l_returnflag").alias("relation"), (F.col("l_partkey") % 7).alias("dst"), (1 - F.col("l_discount")).alias("confidence"))
+    return graph.head_edges(li).select("head", "src", "relation", "dst", "confidence", "id")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def checked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, each of the length that is asked for."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", checked_vector(F.col("embedding"), 64).alias("v"))
+    return v.select("vec_id", F.size("v").alias("n"), F.element_at("v", 1).cast("double").alias("first"))

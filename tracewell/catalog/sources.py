@@ -289,3 +289,23 @@ def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose props are cut short for each seventh; those of even users are known."""
     e = table(spark, sf_dir, "events").withColumn("props", F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")))
     return extract.batch_counts(e, "event_type", F.when(F.try_parse_json("props").isNull(), "malformed"), F.col("user_id") % 2 == 0)
+
+
+@query("""
+SELECT 'fred:P' || p_partkey AS canonical_id, p_name AS name, 'EconomicIndicator' AS entity_type, array_to_string(CASE WHEN p_partkey % 3 > 0 THEN ['P' || p_partkey, p_name] ELSE ['P' || p_partkey, p_name, p_type] END, '|') AS aliases FROM part""")
+def indicator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as series; each third has an alias of its own and one that repeats its title."""
+    k = F.col("p_partkey")
+    series = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), k.cast("string")).alias("series_id"), F.col("p_name").alias("title"), F.when(k % 3 == 0, F.array("p_type", "p_name")).alias("aliases"))
+    return scans.indicator_entities(series).select("canonical_id", "name", "entity_type", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(f"""
+WITH s AS (SELECT unnest({[f for f, _, _ in STATES]}) AS fips, unnest({[a for _, a, _ in STATES]}) AS abbrev, unnest({[n for _, _, n in STATES]}) AS name)
+SELECT 'fips:' || fips AS canonical_id, name, count(*) AS n FROM customer JOIN s ON abbrev = {STATE_LIST}[c_custkey % {len(STATES)} + 1] GROUP BY ALL""")
+def jurisdiction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the jurisdictions that their states name, by postal code or name."""
+    k = F.col("c_custkey")
+    named = table(spark, sf_dir, "customer").select(F.when(k % 2 == 0, state_of(k)).otherwise(state_of(k, 2)).alias("alias"))
+    places = scans.jurisdiction_entities(spark).select("canonical_id", "name", F.explode("aliases").alias("alias"))
+    return named.join(places, "alias").groupBy("canonical_id", "name").agg(F.count(F.lit(1)).alias("n"))
