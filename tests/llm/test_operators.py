@@ -554,10 +554,19 @@ def test_wrapped_licenses(spark):
                 texts.append("\n".join([prose(rng, 20), around, *lines, "", around]))
     texts.append("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files")
     texts.append("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:")
+    notices = {
+        "// SPDX-License-Identifier: MIT": "mit", "/* SPDX-License-Identifier: GPL-3.0-or-later */": "gpl",
+        "Redistribution and use in source\nand binary forms": "bsd",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "isc",
+    }
+    first = len(texts)
+    texts += notices
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert got == {i: plain_runs(t) for i, t in enumerate(texts)}
+    assert [got[first + i][5] for i in range(len(notices))] == list(notices.values())
     assert all(label in got[i][5].split(",") for i, label in whole.items())
-    assert [got[len(texts) - k][5:] for k in (2, 1)] == [("mit", 1.0), ("bsd", 1.0)]
+    assert [got[first - k][5:] for k in (2, 1)] == [("mit", 1.0), ("bsd", 1.0)]
 
 
 # ------------------------------------------------------------------ op8

@@ -29,19 +29,43 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3", None, None),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", None, None),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", None, None),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser", "gpl"),
     ("agpl", "licensed under the gnu affero general public license version 3", "affero", "gpl"),
     ("apache", "licensed under the apache license version 2 0", None, None),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", None, None),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", None, None),
     ("cc-by", "licensed under cc by 4 0", None, None),
     ("cc-by-nc", "licensed under cc by nc 4 0", "nc", "cc-by"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "sa", "cc-by"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", None, None),
     ("mit", "released under the mit license", None, None),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", None, None),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", None, None),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", None, None),
+    ("bsd", "redistribution and use in source and binary forms", None, None),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", None, None),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", None, None),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", None, None),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", None, None),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", None, None),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", None, None),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", None, None),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "organization", "mit"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", None, None),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", None, None),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", None, None),
     ("public-domain", "this is free and unencumbered software released into the public domain", None, None),
+    ("public-domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", None, None),
+    ("gpl", "spdx license identifier gpl", None, None),
+    ("lgpl", "spdx license identifier lgpl", None, None),
+    ("agpl", "spdx license identifier agpl", None, None),
+    ("apache", "spdx license identifier apache", None, None),
+    ("mit", "spdx license identifier mit", None, None),
+    ("bsd", "spdx license identifier bsd", None, None),
+    ("isc", "spdx license identifier isc", None, None),
+    ("mpl", "spdx license identifier mpl", None, None),
+    ("public-domain", "spdx license identifier unlicense", None, None),
 )
 THRESHOLD = 0.8
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
