@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import pytest
@@ -301,6 +302,30 @@ def test_ticker_needs_same_day(spark):
     assert [(r.series_id, r.level, r.change, r.yoy) for r in got] == [("A", 110.0, 1.0, 10.0)]
 
 
+def test_store_is_compacted(spark, tmp_path):
+    """Many batches leave few folders, the same rows, and nothing that comes again; a batch that is tried again after
+    a compaction counts once."""
+    base, schema = f"file://{tmp_path}", "k long, ts timestamp, x string"
+    run = lambda: ingest.ingest_once(spark, f"{base}/in", schema, ["k"], "ts", f"{base}/store", f"{base}/state", buckets=2, most_batches=3)
+    for i in range(9):
+        spark.createDataFrame([(i, T0, f"new{i}"), (i // 2, T0, "again")], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        run()
+        now = ingest._generation(spark, f"{base}/store")
+        folders = [n for n in ingest._names(spark, f"{base}/store/generation-{now}") if n.startswith("batch=")]
+        assert len(folders) <= 4
+    assert now >= 2 and len([n for n in ingest._names(spark, f"{base}/store") if n.startswith("generation-")]) <= 2
+    want = [(0, "again")] + [(i, f"new{i}") for i in range(1, 9)]
+    told = lambda: sorted((r.k, r.x) for r in ingest.stored(spark, f"{base}/store", schema).collect())
+    got = told()
+    assert [k for k, _ in got] == [k for k, _ in want] and got[1:] == want[1:]
+    # The last batch, as if its commit had been lost.
+    last = max(int(f.name) for f in (tmp_path / "state/commits").iterdir() if f.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(tmp_path / "state/commits" / name)
+    run()
+    assert told() == got
+
+
 def test_stream_ingest_reads_each_file_once(spark, tmp_path):
     base = f"file://{tmp_path}"
     schema = "k long, ts timestamp"

@@ -1,7 +1,8 @@
 """Structured Streaming jobs.
 
 Stored tables are Parquet by batch and by bucket of the key.  A batch reads only the buckets that its
-keys fall into, and a batch that is tried again replaces its own partitions.
+keys fall into, and a batch that is tried again replaces its own partitions.  Folders of batches are merged
+into new generations of the table, so that a store that is fed without end has few of them.
 """
 
 from __future__ import annotations
@@ -26,18 +27,64 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def _files(spark: SparkSession, folder: str):
+    """(file system, path) of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    files, path = _files(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+
+def _generation(spark: SparkSession, store: str) -> int:
+    """The number of the newest whole generation of a store, -1 before there is one."""
+    return max([int(n.rpartition("-")[2]) for n in _names(spark, store) if n.startswith("_whole-")], default=-1)
+
+
+def _place(store: str, generation: int) -> str:
+    return f"{store}/generation-{generation}"
+
+
+def _whole(spark: SparkSession, store: str, generation: int) -> None:
+    """From here on the generation is what readers read."""
+    files, path = _files(spark, f"{store}/_whole-{generation}")
+    files.create(path, True).close()
+
+
 def _begin(spark: SparkSession, store: str, schema: T.StructType) -> None:
     """An empty table, if there is none yet."""
-    spark.createDataFrame([], T.StructType([*schema, *PARTS])).write.mode("ignore").partitionBy(*PARTS.names).parquet(store)
+    if _generation(spark, store) < 0:
+        spark.createDataFrame([], T.StructType([*schema, *PARTS])).write.mode("overwrite").partitionBy(*PARTS.names).parquet(_place(store, 0))
+        _whole(spark, store, 0)
 
 
 def _put(rows: DataFrame, store: str, number: int, keys: Sequence[str], buckets: int) -> None:
     dealt = rows.withColumns({"batch": F.lit(number), "bucket": _bucket(keys, buckets)})
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS.names).parquet(store)
+    place = _place(store, _generation(rows.sparkSession, store))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS.names).parquet(place)
 
 
 def _table(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType([*schema, *PARTS])).parquet(store)
+    return spark.read.schema(T.StructType([*schema, *PARTS])).parquet(_place(store, _generation(spark, store)))
+
+
+def _compact(spark: SparkSession, store: str, schema: T.StructType, number: int, most: int) -> None:
+    """Before batch `number`: if there are more than `most` folders of batches, all batches before it, which have ended
+    and are not tried again, become one, in a new generation of the store.  That counts from the moment it is
+    whole; the one before stays for readers that have begun, and older ones go."""
+    now = _generation(spark, store)
+    if sum(n.startswith("batch=") for n in _names(spark, _place(store, now))) <= most:
+        return
+    rows = _table(spark, store, schema).where(F.col("batch") < number).withColumn("batch", F.lit(number - 1))
+    # Few files a bucket: large buckets are split, small ones are one file.
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy(*PARTS.names).parquet(_place(store, now + 1))
+    _whole(spark, store, now + 1)
+    for old in range(now):
+        for name in (f"_whole-{old}", f"generation-{old}"):
+            files, path = _files(spark, f"{store}/{name}")
+            files.delete(path, True)
 
 
 def _buckets_of(rows: DataFrame, keys: Sequence[str], buckets: int) -> list[int]:
@@ -50,7 +97,7 @@ def _run(spark: SparkSession, source: str, schema: str, state: str, each: Callab
     stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest_once(spark: SparkSession, source: str, schema: str, keys: list[str], order: str, store: str, state: str, counters: str | None = None, kind: str | None = None, buckets: int = 64) -> None:
+def ingest_once(spark: SparkSession, source: str, schema: str, keys: list[str], order: str, store: str, state: str, counters: str | None = None, kind: str | None = None, buckets: int = 64, most_batches: int = 64) -> None:
     """Append to the table `store` the files of `source` that were not read yet, each key once, the first by
     order and then by its other columns (T1, T2).  One batch at a time; the stored table is what decides,
     so state does not grow.  With counters, a table of that name gets fetched, inserted and skipped rows of
@@ -60,6 +107,7 @@ def ingest_once(spark: SparkSession, source: str, schema: str, keys: list[str],
 
     def append(batch: DataFrame, number: int) -> None:
         here = batch.sparkSession
+        _compact(here, store, columns, number, most_batches)
         batch = batch.persist()
         fresh = first_per_key(batch, keys, F.col(order), F.xxhash64(*batch.columns))
         have = _table(here, store, columns).where(F.col("bucket").isin(_buckets_of(batch, keys, buckets)) & (F.col("batch") != number))
@@ -80,7 +128,7 @@ def stored(spark: SparkSession, store: str, schema: str) -> DataFrame:
 EVENT = "id bigint, ts timestamp, embedding array<double>, entities array<bigint>"
 
 
-def cluster_as_they_come(spark: SparkSession, source: str, schema: str, store: str, members: str, state: str, folder: str, hours: int = KNOBS.window_hours, buckets: int = 64, **knobs) -> None:
+def cluster_as_they_come(spark: SparkSession, source: str, schema: str, store: str, members: str, state: str, folder: str, hours: int = KNOBS.window_hours, buckets: int = 64, most_batches: int = 64, **knobs) -> None:
     """Events (EVENT: id, ts, embedding, entities) in files of `source` that were not read yet, placed among the
     clusters of the table `store` (id, ts, embedding, head, by stretch of time) and `members` (head, entity,
     by bucket of head) (T2, C9).  An event that is stored already stays where it is.  A batch reads the
@@ -96,6 +144,7 @@ def cluster_as_they_come(spark: SparkSession, source: str, schema: str, store: s
 
     def place(batch: DataFrame, number: int) -> None:
         here = batch.sparkSession
+        _compact(here, members, pair, number, most_batches)
         batch = batch.where("embedding is not null and ts is not null").dropDuplicates(["id"]).persist()
         have = here.read.schema(T.StructType([*kept, *parts])).parquet(store).where(F.col("batch") != number)
         near = batch.select(F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
@@ -116,7 +165,7 @@ STANCE = "head bigint, ts timestamp, entity bigint, topic int, role string, stan
 FLIP = STANCE + ", prior_head bigint, flip boolean"
 
 
-def flips_as_they_come(spark: SparkSession, source: str, store: str, flips: str, state: str, buckets: int = 16) -> None:
+def flips_as_they_come(spark: SparkSession, source: str, store: str, flips: str, state: str, buckets: int = 16, most_batches: int = 64) -> None:
     """Stances in files of `source`, in any order of time, kept in the table `store`, and their flips in the
     table `flips` (T3): what comes late changes what later stances of its entity and topic are compared
     with, so the flips of all keys in the buckets of a batch are computed anew and replaced."""
@@ -125,6 +174,7 @@ def flips_as_they_come(spark: SparkSession, source: str, store: str, flips: str,
 
     def update(batch: DataFrame, number: int) -> None:
         here = batch.sparkSession
+        _compact(here, store, columns, number, most_batches)
         _put(batch, store, number, key, buckets)
         touched = _table(here, store, columns).where(F.col("bucket").isin(_buckets_of(batch, key, buckets)))
         fresh = stance_flips(touched.drop(*PARTS.names)).withColumn("bucket", _bucket(key, buckets))
