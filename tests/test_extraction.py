@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import cluster, extract, graph, ground, registry, resolve, rows, verify
 from tracewell.plans import views
-from tracewell.streaming import ingest
+from tracewell.streaming import flips, ingest
 
 T0 = dt.datetime(2026, 9, 10, 12, 30)
 
@@ -172,6 +172,24 @@ def test_scorer_of_imperfect_passes(spark):
     assert got["stance.position_accuracy"] == 0 and got["stance.direction_accuracy"] == 1
 
 
+def test_flips_by_state(spark, tmp_path):
+    """Stances of several roles, days and batches, out of order and again, against all at once; batches write what
+    changed alone."""
+    rng, base = random.Random(4), f"file://{tmp_path}"
+    hours = (0, 1, 1, 30, 200, 700)
+    data = [(i, T0 + dt.timedelta(hours=rng.choice(hours)), 1 if rng.random() < 0.8 else 2, 1, rng.choice(["actor", "speaker"]), rng.choice(["support", "oppose", "neutral_unclear"]), rng.choice([0.2, 0.9])) for i in range(60)]
+    data += [(i, t, e, p, "zzz", s, c) for i, t, e, p, _, s, c in data[:10]]
+    rng.shuffle(data)
+    key = ["head", "entity", "role", "prior_head", "flip"]
+    told = lambda df: sorted(map(str, df.select(key).collect()))
+    for part in (data[:30], data[30:66], data[66:], data[:5]):
+        spark.createDataFrame(part, ingest.STANCE).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        flips.flip_changes(spark, f"{base}/in", f"{base}/flips", f"{base}/state")
+    assert told(flips.latest_flips(spark, f"{base}/flips")) == told(verify.stance_flips(spark.createDataFrame(data, ingest.STANCE)))
+    sizes = {r.batch: r["count"] for r in spark.read.parquet(f"{base}/flips").groupBy("batch").count().collect()}
+    assert sizes[0] == 30 and 4 <= sizes[2] < 20 and 3 not in sizes
+
+
 def test_late_stances_change_flips(spark, tmp_path):
     base = f"file://{tmp_path}"
     form = ingest.STANCE

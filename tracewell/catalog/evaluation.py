@@ -10,7 +10,7 @@ from tracewell.catalog.extraction import pick
 from tracewell.catalog.sources import shared
 from tracewell.operators import graph
 from tracewell.oracles import STANCES
-from tracewell.streaming import ingest
+from tracewell.streaming import flips, ingest
 
 G = "(SELECT event_id AS i, user_id, event_id % 5 > 0 AS g, event_id % 7 > 0 AS p, event_id % 11 = 0 AS failed, CASE WHEN event_id % 3 > 0 THEN event_type END AS gt, CASE WHEN user_id % 4 = 0 THEN 'view' ELSE event_type END AS pt, 'e' || user_id % 9 AS ge, 'e' || CASE WHEN event_id % 4 = 0 THEN 99 ELSE user_id % 9 END AS pe, 't' || event_id % 6 AS tg, 't' || event_id % 3 AS tp, ['support', 'oppose', 'strongly_support', 'neutral_unclear'][event_id % 4 + 1] AS sg, ['support', 'support', 'support', 'oppose'][event_id % 4 + 1] AS sp FROM events)"
 
@@ -93,6 +93,22 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_type string, fetched bigint, inserted bigint, skipped bigint, batch int").parquet(counters).select("batch", "event_type", "fetched", "inserted", "skipped")
 
 
+@query(f"""
+SELECT head, entity, topic, p AS prior_head, coalesce(c >= 0.6 AND pc >= 0.6 AND side * ps = -1, false) AS flip FROM
+(SELECT *, lag(head) OVER w AS p, lag(c) OVER w AS pc, lag(side) OVER w AS ps FROM {STANCES} WINDOW w AS (PARTITION BY entity, topic ORDER BY ts, head))""")
+def stream_flip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_late_flips, by state per entity and topic; a batch writes only rows that came or changed."""
+    from tracewell.queries import stances_of
+
+    base = shared(spark)
+    landing, out, state = (ingest.new_folder(base, x) for x in ("landing", "flips", "state"))
+    s = stances_of(spark, sf_dir).select("head", "ts", "entity", "topic", "role", "stance", "confidence")
+    for part in (s.where("head % 3 > 0"), s.where("head % 3 = 0")):
+        part.write.mode("append").parquet(landing)
+        flips.flip_changes(spark, landing, out, state)
+    return flips.latest_flips(spark, out).select("head", "entity", "topic", "prior_head", "flip")
+
+
 @query(f"""
 SELECT head, entity, topic, p AS prior_head, coalesce(c >= 0.6 AND pc >= 0.6 AND side * ps = -1, false) AS flip FROM
 (SELECT *, lag(head) OVER w AS p, lag(c) OVER w AS pc, lag(side) OVER w AS ps FROM {STANCES} WINDOW w AS (PARTITION BY entity, topic ORDER BY ts, head))""")
@@ -102,9 +118,9 @@ def stream_late_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.queries import stances_of
 
     base = shared(spark)
-    landing, store, flips, state = (ingest.new_folder(base, x) for x in ("landing", "store", "flips", "state"))
+    landing, store, out, state = (ingest.new_folder(base, x) for x in ("landing", "store", "flips", "state"))
     s = stances_of(spark, sf_dir).select("head", "ts", "entity", "topic", "role", "stance", "confidence")
     for part in (s.where("head % 3 > 0"), s.where("head % 3 = 0")):
         part.write.mode("append").parquet(landing)
-        ingest.flips_as_they_come(spark, landing, store, flips, state)
-    return spark.read.schema(ingest.FLIP + ", bucket int").parquet(flips).select("head", "entity", "topic", "prior_head", "flip")
+        ingest.flips_as_they_come(spark, landing, store, out, state)
+    return spark.read.schema(ingest.FLIP + ", bucket int").parquet(out).select("head", "entity", "topic", "prior_head", "flip")
