@@ -153,6 +153,20 @@ def event_frame(spark, data):
     return spark.createDataFrame([(i, t, v, sorted(o)) for t, i, v, o in data], "id long, ts timestamp, embedding array<double>, entities array<long>")
 
 
+def test_pruned_neighbours(spark, tmp_path):
+    """Clustered vectors: the same neighbours as without pivots, and most pairs of cells are never multiplied."""
+    rng = random.Random(6)
+    middles = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    data = [(i, T0 + dt.timedelta(hours=rng.randint(0, 90)), [m + rng.gauss(0, 0.03) for m in middles[i % 12]]) for i in range(600)] + [(600, T0, None), (601, None, [1.0] * 6)]
+    rows_ = spark.createDataFrame(data, "id long, ts timestamp, embedding array<double>")
+    got, told = cluster.pruned_neighbours(rows_, rows_, f"file://{tmp_path}", k=5, digits=6, block=20)
+    want = cluster.window_neighbours(rows_, rows_, k=5, digits=6)
+    order = lambda df: sorted((r.id, r.rank, r.neighbour, r.sim) for r in df.collect())
+    assert order(got) == order(want)
+    pairs, done = told.agg(F.sum("pairs"), F.sum("multiplied")).first()
+    assert pairs > 300 and done < 0.6 * pairs
+
+
 @pytest.mark.parametrize("low, high", [(0.7, 0.85), (-1.0, 0.2)])
 def test_rounds_equal_sequential(spark, tmp_path, low, high):
     """With the second bands one component holds all rows, and no group is read whole."""

@@ -74,6 +74,79 @@ def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.wind
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _to_pivots(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """rows with the pivot that each is nearest to, and the angle to it."""
+    schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("vector", pa.list_(pa.float64())), ("stretch", pa.int64()), ("cell", pa.int32()), ("angle", pa.float64())])
+    if not rows.num_rows or not pivots.num_rows:
+        return schema.empty_table()
+    pivots = pivots.sort_by("pivot")
+    sim = _matrix(rows) @ _matrix(pivots).T
+    near = sim.argmax(axis=1)
+    angle = np.arccos(np.clip(sim[np.arange(len(near)), near], -1.0, 1.0))
+    cell = pivots.column("pivot").to_numpy()[near].astype(np.int32)
+    return pa.table([rows.column("id"), rows.column("at"), rows.column("vector"), rows.column("stretch"), pa.array(cell), pa.array(angle)], schema=schema)
+
+
+def _apart(pivots: pa.Table) -> pa.Table:
+    """The angles between all pivots of a stretch, of which there is one for each block of rows."""
+    v, name = _matrix(pivots), pivots.column("pivot").to_numpy()
+    angle = np.arccos(np.clip(v @ v.T, -1.0, 1.0))
+    n = len(name)
+    return pa.table({"stretch": np.full(n * n, pivots.column("stretch")[0].as_py()), "l": np.repeat(name, n).astype(np.int32), "r": np.tile(name, n).astype(np.int32), "apart": angle.ravel()})
+
+
+def pruned_neighbours(left: DataFrame, right: DataFrame, folder: str, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """window_neighbours without products of blocks that cannot matter (C5), and for each stretch the pairs of blocks
+    that there are and those that were multiplied: stretch, pairs, multiplied.
+
+    The vectors of a stretch gather around pivots, one for each block, drawn by hash; the angle from a pivot to
+    the farthest of its cell is the cell's radius.  A row's own cell comes first.  Angles obey the triangle
+    inequality, so no row of cell l is more similar to one of cell r than the cosine of what is left of the
+    angle between the pivots without both radii; where that is below the kth similarity that every row of l
+    has found by then, the pair is not multiplied.  Crowded cells are dealt to blocks by hash."""
+    width = hours * 3_600_000_000
+    stretch = F.floor(epoch_us("ts") / width)
+    columns = [F.col("id").cast("long").alias("id"), epoch_us("ts").alias("at"), unit(F.transform("embedding", lambda x: x.cast("double"))).alias("vector")]
+    near = kept(right.where("embedding is not null and ts is not null").select(*columns, stretch.alias("stretch")), folder, "near")
+    far = left.where("embedding is not null and ts is not null").select(*columns, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    sizes = near.groupBy("stretch").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    drawn = F.row_number().over(Window.partitionBy("stretch").orderBy(F.xxhash64("id", F.lit("pivot")), "id"))
+    pivots = near.join(sizes, "stretch").withColumn("pivot", drawn).where(F.col("pivot") <= F.col("blocks")).select("stretch", "pivot", "vector", "blocks")
+    pivots = kept(pivots, folder, "pivots")
+    shape = "id long, at long, vector array<double>, stretch long, cell int, angle double"
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.join(sizes, "stretch").select("id", "at", "vector", "stretch", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"))
+        spread = pivots.select("stretch", "pivot", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+        return kept(dealt.groupBy("stretch", "part").cogroup(spread.groupBy("stretch", "part")).applyInArrow(_to_pivots, shape), folder, name)
+
+    near, far = gathered(near, "near-cells"), gathered(far, "far-cells")
+
+    def multiplied(pairs: DataFrame) -> DataFrame:
+        a = far.withColumnRenamed("cell", "l").drop("angle").join(pairs, ["stretch", "l"])
+        b = near.withColumnRenamed("cell", "r").drop("angle").join(pairs, ["stretch", "r"])
+        both = _block_pairs(a.withColumnsRenamed({"l": "cell_l", "r": "cell_r"}), b.withColumnsRenamed({"l": "cell_l", "r": "cell_r"}), ["stretch", "cell_l", "cell_r"], block)
+        return both.applyInArrow(_nearest(width, k, digits, False), "id long, neighbour long, sim double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    own = pivots.select("stretch", F.col("pivot").cast("int").alias("l"), F.col("pivot").cast("int").alias("r"))
+    first = kept(best(multiplied(own)), folder, "own-cells")
+    least = first.groupBy("id").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id", "least")
+    asked = far.join(least, "id", "left").groupBy("stretch", F.col("cell").alias("l")).agg(F.max("angle").alias("radius_l"), F.min(F.coalesce("least", F.lit(-2.0))).alias("least"))
+    held = near.groupBy("stretch", F.col("cell").alias("r")).agg(F.max("angle").alias("radius_r"))
+    apart = pivots.groupBy("stretch").applyInArrow(lambda t: _apart(t), "stretch long, l int, r int, apart double").join(asked, ["stretch", "l"]).join(held, ["stretch", "r"])
+    bound = F.cos(F.greatest(F.col("apart") - F.col("radius_l") - F.col("radius_r"), F.lit(0.0)))
+    # Rounding of angles and similarities is far below the slack.
+    slack = 1e-6 + (0.5 * 10.0**-digits if digits is not None else 0.0)
+    apart = kept(apart.withColumn("able", (bound + slack >= F.col("least")) & (F.col("l") != F.col("r"))), folder, "cell-pairs")
+    rest = multiplied(apart.where("able").select("stretch", "l", "r"))
+    told = apart.groupBy("stretch").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("able") | (F.col("l") == F.col("r"))).alias("multiplied"))
+    return best(first.drop("rank").union(rest)), told
+
+
 def candidate_clusters(neighbours: DataFrame, clusters: DataFrame, entities: DataFrame, cluster_entities: DataFrame, least: int = KNOBS.min_overlap) -> DataFrame:
     """neighbours reduced to clusters (C6, C7): id, cluster, sim, overlap, rank, decision.  clusters: id,
     cluster; entities: id, entity; cluster_entities: cluster, entity."""

@@ -157,6 +157,8 @@ KNN = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 
 SQL["windowed_knn"] = f"SELECT id, neighbour, sim, rank FROM {KNN}"
 
+SQL["windowed_knn_pruned"] = SQL["windowed_knn"]
+
 SQL["cluster_bands"] = f"""
 WITH v AS (SELECT * FROM {VECTORS}), ce AS (SELECT DISTINCT label % 5 AS cluster, label % 3 AS entity FROM v),
 best AS (SELECT k.id, n.label % 5 AS cluster, max(sim) AS sim FROM {KNN} k JOIN v n ON n.id = k.neighbour GROUP BY ALL),

@@ -284,6 +284,13 @@ def windowed_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.window_neighbours(v, v, digits=6)
 
 
+@query
+def windowed_knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As windowed_knn, with cells of about 64 vectors, of which only those that can matter are multiplied."""
+    v = vectors_of(spark, sf_dir)
+    return cluster.pruned_neighbours(v, v, shared(spark), digits=6, block=64)[0]
+
+
 @query
 def cluster_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are label pairs, entities labels modulo 3; low bands so that all decisions occur."""
