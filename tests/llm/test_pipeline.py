@@ -72,7 +72,7 @@ def test_oracles(spark, name):
     from tracewell.llm.queries import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got = queries()[name](spark, DIR)
     columns = sorted(got.columns)
