@@ -167,6 +167,59 @@ def test_pruned_neighbours(spark, tmp_path):
     assert pairs > 300 and done < 0.6 * pairs
 
 
+def test_best_of_products():
+    """The best of a block over several products, as all similarities sorted at once give them: ties by id, the window,
+    rows before only."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (2600, 3)).astype(float)
+    ids, at = np.arange(2600) * 3, rng.integers(0, 1000, 2600)
+    left = (ids[::2][::-1], at[::2][::-1], v[::2][::-1])
+    for earlier in (False, True):
+        row, col, sim = cluster._best(left, (ids, at, v), 300, 5, 6, earlier)
+        got = [[] for _ in left[0]]
+        for r, c, s in zip(row, col, sim):
+            got[r].append((-s, ids[c]))
+        for r, (i, t, x) in enumerate(zip(*left)):
+            apart = (ids == i) | (np.abs(at - t) > 300)
+            if earlier:
+                apart |= (at > t) | ((at == t) & (ids > i))
+            assert sorted(got[r]) == sorted((-s, j) for s, j, no in zip(v @ x, ids, apart) if not no)[:5]
+
+
+def handed(spark, monkeypatch, *names):
+    """Counts the rows that the named kernels of the module are given."""
+    n = spark.sparkContext.accumulator(0)
+    for name in names:
+        def counting(*args, kernel=getattr(cluster, name)):
+            run = kernel(*args)
+
+            def counted(left, right):
+                n.add(left.num_rows + right.num_rows)
+                return run(left, right)
+
+            return counted
+
+        monkeypatch.setattr(cluster, name, counting)
+    return n
+
+
+def test_rows_sent_to_neighbours(spark, tmp_path, monkeypatch):
+    """Where pivots prune nothing a row is still not sent to each cell, and blocks hold what a task can."""
+    rng = random.Random(8)
+    data = [(i, T0 + dt.timedelta(seconds=i), [rng.gauss(0, 1) for _ in range(16)]) for i in range(3000)]
+    rows_ = spark.createDataFrame(data, "id long, ts timestamp, embedding array<double>")
+    n = handed(spark, monkeypatch, "_nearest", "_nearest_of_cells")
+    order = lambda df: sorted((r.id, r.rank, r.neighbour, r.sim) for r in df.collect())
+    want = order(cluster.window_neighbours(rows_, rows_, k=5, digits=6))
+    assert n.value == 6000
+    assert order(cluster.pruned_neighbours(rows_, rows_, f"file://{tmp_path}", k=5, digits=6, block=20)[0]) == want
+    assert n.value < 6000 + 4 * 6000
+    # Groups of cells in parts: the same.
+    assert order(cluster.pruned_neighbours(rows_, rows_, f"file://{tmp_path}", k=5, digits=6, block=20, dealt=500)[0]) == want
+
+
 @pytest.mark.parametrize("low, high", [(0.7, 0.85), (-1.0, 0.2)])
 def test_rounds_equal_sequential(spark, tmp_path, low, high):
     """With the second bands one component holds all rows, and no group is read whole."""

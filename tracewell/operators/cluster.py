@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,33 +13,77 @@ from tracewell.functions.columns import band, epoch_us, lookup, unit
 from tracewell.operators.rows import first_per_key, kept
 from tracewell.params import KNOBS, TIER_WEIGHT
 
+#: Rows of a block, of 64 components about 17 MB: the more, the less often a row is sent.
+BLOCK = 32_768
+
 
 def _matrix(t: pa.Table) -> np.ndarray:
     flat = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(t.num_rows, -1)
 
 
+def _chosen(row: np.ndarray, col: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar entries of each row, equal ones by column; and the rank of each from 0."""
+    order = np.lexsort((col, -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < k
+    return row[keep], col[keep], sim[keep], rank[keep]
+
+
+def _best(left: tuple, right: tuple, width: int, k: int, digits: int | None, earlier: bool, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and similarity of the k best of right (id, at, vectors; in the order of id) for each row of left
+    that are no less than its floor.  Products are of about a million cells each, of which only what reaches the
+    kth similarity of its row so far is looked at."""
+    a, ta, va = left
+    b, tb, vb = right
+    slack = 0.0 if digits is None else 10.0**-digits
+    found = []
+    for top in range(0, len(a), 1024):
+        here = slice(top, top + 1024)
+        n = len(a[here])
+        least = np.full(n, -np.inf) if floor is None else floor[here].copy()
+        row, col, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        step = max(1024, (1 << 20) // n)
+        for at in range(0, len(b), step):
+            there = slice(at, at + step)
+            sim = va[here] @ vb[there].T
+            t, u = ta[here], tb[there]
+            apart = a[here][:, None] == b[there][None, :]
+            if earlier or max(t.max(), u.max()) - min(t.min(), u.min()) > width:
+                apart |= np.abs(t[:, None] - u[None, :]) > width
+            if earlier:
+                apart |= (u[None, :] > t[:, None]) | ((u[None, :] == t[:, None]) & (b[there][None, :] > a[here][:, None]))
+            sim[apart] = -np.inf
+            bar = least
+            if sim.shape[1] > k and np.isneginf(least).any():
+                bar = np.maximum(least, np.partition(sim, -k, axis=1)[:, -k] - slack)
+            i, j = np.nonzero((sim >= bar[:, None]) & (sim > -np.inf))
+            if len(i):
+                new = sim[i, j] if digits is None else np.round(sim[i, j], digits)
+                row, col, best, rank = _chosen(np.concatenate([row, i]), np.concatenate([col, j + at]), np.concatenate([best, new]), k)
+                last = rank == k - 1
+                least[row[last]] = np.maximum(least[row[last]], best[last] - slack)
+        found.append((row + top, col, best))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+NEAR = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("sim", pa.float64())])
+
+
+def _parts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t.column("id").to_numpy(), t.column("at").to_numpy(), _matrix(t)
+
+
 def _nearest(width: int, k: int, digits: int | None, earlier: bool):
-    """Of two blocks the k nearest rows of the second for each row of the first, by one product."""
+    """Of two blocks the k nearest rows of the second for each row of the first."""
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("id")
-        a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-        ta, tb = left.column("at").to_numpy()[:, None], right.column("at").to_numpy()[None, :]
-        if not len(a) or not len(b):
-            return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        sim = _matrix(left) @ _matrix(right).T
-        if digits is not None:
-            sim = np.round(sim, digits)
-        apart = (a[:, None] == b[None, :]) | (np.abs(ta - tb) > width)
-        if earlier:
-            apart |= (tb > ta) | ((tb == ta) & (b[None, :] > a[:, None]))
-        sim[apart] = -np.inf
-        # Stable, so that equal similarities keep the order of ids.
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(sim, top, axis=1)
-        row, rank = np.nonzero(best > -np.inf)
-        return pa.table({"id": a[row], "neighbour": b[top[row, rank]], "sim": best[row, rank] + 0.0})
+        if not left.num_rows or not right.num_rows:
+            return NEAR.empty_table()
+        a, b = _parts(left), _parts(right.sort_by("id"))
+        row, col, sim = _best(a, b, width, k, digits, earlier)
+        return pa.table([a[0][row], b[0][col], sim + 0.0], schema=NEAR)
 
     return nearest
 
@@ -55,14 +100,15 @@ def _block_pairs(far: DataFrame, near: DataFrame, group: list[str], block: int):
     return left.groupBy(*group, "l", "r").cogroup(right.groupBy(*group, "l", "r"))
 
 
-def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, earlier: bool = False, block: int = 1024) -> DataFrame:
+def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, earlier: bool = False, block: int = BLOCK) -> DataFrame:
     """For each row of left the k rows of right with the most similar vectors among those within the
     hours (C5): id, neighbour, sim, rank; with earlier only rows before it by (ts, id).  Both sides: id, ts,
     embedding, all of one length.
 
     The window is a stretch of its own width and the ones beside it.  The rows of a stretch are dealt to
-    blocks of about `block`, each pair of blocks is one task's product, which keeps k rows for each, and
-    these are merged by id; so a crowded stretch is many bounded tasks."""
+    blocks of about `block`, each pair of blocks is one task's work, product by product, which keeps k rows
+    for each, and these are merged by id; so a crowded stretch is many bounded tasks, and a row is sent once for
+    each block of the other side."""
     width = hours * 3_600_000_000
     stretch = F.floor(epoch_us("ts") / width)
     columns = [F.col("id").cast("long").alias("id"), epoch_us("ts").alias("at"), unit(F.col("embedding")).alias("vector")]
@@ -80,71 +126,144 @@ def _to_pivots(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     if not rows.num_rows or not pivots.num_rows:
         return schema.empty_table()
     pivots = pivots.sort_by("pivot")
-    sim = _matrix(rows) @ _matrix(pivots).T
-    near = sim.argmax(axis=1)
-    angle = np.arccos(np.clip(sim[np.arange(len(near)), near], -1.0, 1.0))
+    v, w = _matrix(rows), _matrix(pivots)
+    near, most = np.empty(len(v), np.int64), np.empty(len(v))
+    step = max(1, (1 << 20) // len(w))
+    for at in range(0, len(v), step):
+        sim = v[at : at + step] @ w.T
+        near[at : at + step] = sim.argmax(axis=1)
+        most[at : at + step] = sim.max(axis=1)
+    angle = np.arccos(np.clip(most, -1.0, 1.0))
     cell = pivots.column("pivot").to_numpy()[near].astype(np.int32)
     return pa.table([rows.column("id"), rows.column("at"), rows.column("vector"), rows.column("stretch"), pa.array(cell), pa.array(angle)], schema=schema)
 
 
-def _apart(pivots: pa.Table) -> pa.Table:
-    """The angles between all pivots of a stretch, of which there is one for each block of rows."""
-    v, name = _matrix(pivots), pivots.column("pivot").to_numpy()
-    angle = np.arccos(np.clip(v @ v.T, -1.0, 1.0))
-    n = len(name)
-    return pa.table({"stretch": np.full(n * n, pivots.column("stretch")[0].as_py()), "l": np.repeat(name, n).astype(np.int32), "r": np.tile(name, n).astype(np.int32), "apart": angle.ravel()})
+def _able(slack: float):
+    """Of the cells (cell, vector of the pivot, radius, least) of two groups those pairs that can matter."""
+
+    def able(asked: pa.Table, held: pa.Table) -> np.ndarray:
+        angle = np.arccos(np.clip(_matrix(asked) @ _matrix(held).T, -1.0, 1.0))
+        left = angle - asked.column("radius").to_numpy()[:, None] - held.column("radius").to_numpy()[None, :]
+        out = np.cos(np.maximum(left, 0.0)) + slack >= asked.column("least").to_numpy()[:, None]
+        return out & (asked.column("cell").to_numpy()[:, None] != held.column("cell").to_numpy()[None, :])
+
+    return able
+
+
+def _told(slack: float):
+    """How many pairs of cells there are between two groups, and how many are multiplied, a cell with itself included."""
+    able = _able(slack)
+
+    def told(asked: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([("stretch", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("pairs", pa.int64()), ("multiplied", pa.int64()), ("rest", pa.int64())])
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        rest = int(able(asked, held).sum())
+        same = len(np.intersect1d(asked.column("cell").to_numpy(), held.column("cell").to_numpy()))
+        key = [asked.column(c)[0].as_py() for c in ("stretch", "l", "r")]
+        return pa.table([[x] for x in (*key, asked.num_rows * held.num_rows, rest + same, rest)], schema=schema)
 
+    return told
 
-def pruned_neighbours(left: DataFrame, right: DataFrame, folder: str, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """window_neighbours without products of blocks that cannot matter (C5), and for each stretch the pairs of blocks
+
+def _nearest_of_cells(width: int, k: int, digits: int | None, slack: float):
+    """Of two blocks, whose rows without an id are the cells of their groups, the k nearest rows of other cells that
+    can matter for each row of the first."""
+    able = _able(slack)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, held = (t.filter(pc.is_null(t.column("id"))) for t in (left, right))
+        left, right = (t.filter(pc.is_valid(t.column("id"))) for t in (left, right))
+        if not left.num_rows or not right.num_rows:
+            return NEAR.empty_table()
+        asked, left, right = asked.sort_by("cell"), left.sort_by("cell"), right.sort_by("id")
+        may = able(asked, held)
+        place = np.full(held.column("cell").to_numpy().max() + 1, -1)
+        place[held.column("cell").to_numpy()] = np.arange(held.num_rows)
+        a, b = _parts(left), _parts(right)
+        cells, there = left.column("cell").to_numpy(), place[right.column("cell").to_numpy()]
+        floor = left.column("least").to_numpy() - slack
+        out = []
+        for at, cell in enumerate(asked.column("cell").to_numpy()):
+            here = slice(*np.searchsorted(cells, [cell, cell + 1]))
+            cols = np.flatnonzero(may[at][there])
+            if here.start < here.stop and len(cols):
+                row, col, sim = _best(tuple(x[here] for x in a), b if len(cols) == len(there) else tuple(x[cols] for x in b), width, k, digits, False, floor[here])
+                out.append((a[0][here][row], b[0][cols[col]], sim + 0.0))
+        return pa.table([np.concatenate(x) for x in zip(*out)], schema=NEAR) if out else NEAR.empty_table()
+
+    return nearest
+
+
+def pruned_neighbours(left: DataFrame, right: DataFrame, folder: str, hours: int = KNOBS.window_hours, k: int = KNOBS.knn, digits: int | None = None, block: int = 1024, dealt: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """window_neighbours without products of cells that cannot matter (C5), and for each stretch the pairs of cells
     that there are and those that were multiplied: stretch, pairs, multiplied.
 
-    The vectors of a stretch gather around pivots, one for each block, drawn by hash; the angle from a pivot to
+    The vectors of a stretch gather around pivots, one for each `block` rows, drawn by hash; the angle from a pivot to
     the farthest of its cell is the cell's radius.  A row's own cell comes first.  Angles obey the triangle
     inequality, so no row of cell l is more similar to one of cell r than the cosine of what is left of the
     angle between the pivots without both radii; where that is below the kth similarity that every row of l
-    has found by then, the pair is not multiplied.  Crowded cells are dealt to blocks by hash."""
+    has found by then, the pair is not multiplied.
+
+    Cells are far smaller than what a task can hold, so groups of them of about `dealt` rows are dealt out, crowded
+    ones in parts by hash, and a row is sent once for each group that has any cell for it."""
     width = hours * 3_600_000_000
     stretch = F.floor(epoch_us("ts") / width)
     columns = [F.col("id").cast("long").alias("id"), epoch_us("ts").alias("at"), unit(F.transform("embedding", lambda x: x.cast("double"))).alias("vector")]
     near = kept(right.where("embedding is not null and ts is not null").select(*columns, stretch.alias("stretch")), folder, "near")
     far = left.where("embedding is not null and ts is not null").select(*columns, F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
-    sizes = near.groupBy("stretch").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    count = F.count(F.lit(1))
+    sizes = near.groupBy("stretch").agg(F.ceil(count / block).cast("int").alias("blocks"), F.ceil(count / dealt).cast("int").alias("parts"))
     drawn = F.row_number().over(Window.partitionBy("stretch").orderBy(F.xxhash64("id", F.lit("pivot")), "id"))
-    pivots = near.join(sizes, "stretch").withColumn("pivot", drawn).where(F.col("pivot") <= F.col("blocks")).select("stretch", "pivot", "vector", "blocks")
-    pivots = kept(pivots, folder, "pivots")
+    drawn = near.select("id", "stretch").withColumn("pivot", drawn).join(sizes, "stretch").where(F.col("pivot") <= F.col("blocks"))
+    pivots = kept(near.join(drawn, ["stretch", "id"]).select("stretch", "pivot", "vector", "parts"), folder, "pivots")
     shape = "id long, at long, vector array<double>, stretch long, cell int, angle double"
 
     def gathered(rows: DataFrame, name: str) -> DataFrame:
-        dealt = rows.join(sizes, "stretch").select("id", "at", "vector", "stretch", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"))
-        spread = pivots.select("stretch", "pivot", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-        return kept(dealt.groupBy("stretch", "part").cogroup(spread.groupBy("stretch", "part")).applyInArrow(_to_pivots, shape), folder, name)
+        spread = rows.join(sizes, "stretch").select("id", "at", "vector", "stretch", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+        each = pivots.select("stretch", "pivot", "vector", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return kept(spread.groupBy("stretch", "part").cogroup(each.groupBy("stretch", "part")).applyInArrow(_to_pivots, shape), folder, name)
 
     near, far = gathered(near, "near-cells"), gathered(far, "far-cells")
 
-    def multiplied(pairs: DataFrame) -> DataFrame:
-        a = far.withColumnRenamed("cell", "l").drop("angle").join(pairs, ["stretch", "l"])
-        b = near.withColumnRenamed("cell", "r").drop("angle").join(pairs, ["stretch", "r"])
-        both = _block_pairs(a.withColumnsRenamed({"l": "cell_l", "r": "cell_r"}), b.withColumnsRenamed({"l": "cell_l", "r": "cell_r"}), ["stretch", "cell_l", "cell_r"], block)
-        return both.applyInArrow(_nearest(width, k, digits, False), "id long, neighbour long, sim double")
-
     def best(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    own = pivots.select("stretch", F.col("pivot").cast("int").alias("l"), F.col("pivot").cast("int").alias("r"))
-    first = kept(best(multiplied(own)), folder, "own-cells")
-    least = first.groupBy("id").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id", "least")
-    asked = far.join(least, "id", "left").groupBy("stretch", F.col("cell").alias("l")).agg(F.max("angle").alias("radius_l"), F.min(F.coalesce("least", F.lit(-2.0))).alias("least"))
-    held = near.groupBy("stretch", F.col("cell").alias("r")).agg(F.max("angle").alias("radius_r"))
-    apart = pivots.groupBy("stretch").applyInArrow(lambda t: _apart(t), "stretch long, l int, r int, apart double").join(asked, ["stretch", "l"]).join(held, ["stretch", "r"])
-    bound = F.cos(F.greatest(F.col("apart") - F.col("radius_l") - F.col("radius_r"), F.lit(0.0)))
+    own = _block_pairs(far.drop("angle"), near.drop("angle"), ["stretch", "cell"], dealt).applyInArrow(_nearest(width, k, digits, False), "id long, neighbour long, sim double")
+    first = kept(best(own), folder, "own-cells")
+    least = first.groupBy("id").agg(F.min("sim").alias("least"), count.alias("n")).where(F.col("n") >= k).select("id", "least")
+    far = kept(far.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), folder, "far-asking")
+    of = lambda rows, low: rows.groupBy("stretch", "cell").agg(F.max("angle").alias("radius"), low.alias("least"))
+    middle = pivots.select("stretch", F.col("pivot").cast("int").alias("cell"), "vector")
+    # Cells in their numbers' order, which is that of a hash.
+    group = F.floor((F.col("cell") - 1) / max(1, dealt // block)).cast("int")
+    asked = kept(of(far, F.min("least")).join(middle, ["stretch", "cell"]).withColumn("l", group), folder, "asking-cells")
+    held = kept(of(near, F.lit(-2.0)).join(middle, ["stretch", "cell"]).withColumn("r", group), folder, "held-cells")
+    groups = asked.select("stretch", "l").distinct().join(held.select("stretch", "r").distinct(), "stretch")
+    groups = kept(groups, folder, "groups")
     # Rounding of angles and similarities is far below the slack.
     slack = 1e-6 + (0.5 * 10.0**-digits if digits is not None else 0.0)
-    apart = kept(apart.withColumn("able", (bound + slack >= F.col("least")) & (F.col("l") != F.col("r"))), folder, "cell-pairs")
-    rest = multiplied(apart.where("able").select("stretch", "l", "r"))
-    told = apart.groupBy("stretch").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("able") | (F.col("l") == F.col("r"))).alias("multiplied"))
-    return best(first.drop("rank").union(rest)), told
+    pairs = asked.join(groups, ["stretch", "l"]).groupBy("stretch", "l", "r").cogroup(held.join(groups, ["stretch", "r"]).groupBy("stretch", "l", "r"))
+    told = kept(pairs.applyInArrow(_told(slack), "stretch long, l int, r int, pairs long, multiplied long, rest long"), folder, "group-pairs")
+    apart = told.where("rest > 0").select("stretch", F.col("l").alias("lg"), F.col("r").alias("rg"))
+    group_of = lambda rows, name: rows.withColumn(name, group)
+    parts = lambda rows, name: rows.groupBy("stretch", name).agg(F.ceil(count / dealt).cast("int").alias(f"n_{name}"))
+    a, b = group_of(far, "lg"), group_of(near.withColumn("least", F.lit(-2.0)), "rg")
+    apart = kept(apart.join(parts(a, "lg"), ["stretch", "lg"]).join(parts(b, "rg"), ["stretch", "rg"]), folder, "apart")
+    key = ["stretch", "lg", "rg", "l", "r"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    shown = ["id", "at", "vector", "cell", "least", F.lit(None).cast("double").alias("radius")]
+    cell = [F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("at"), "vector", "cell", "least", "radius"]
+    rows_l = a.join(apart, ["stretch", "lg"]).select("stretch", "lg", "rg", hashed("n_lg").alias("l"), each("n_rg").alias("r"), *shown)
+    rows_r = b.join(apart, ["stretch", "rg"]).select("stretch", "lg", "rg", each("n_lg").alias("l"), hashed("n_rg").alias("r"), *shown)
+    both = apart.select("stretch", "lg", "rg", each("n_lg").alias("l"), "n_rg").select("stretch", "lg", "rg", "l", each("n_rg").alias("r"))
+    cells_l = asked.drop("l").withColumn("lg", group).join(both, ["stretch", "lg"]).select(*key, *cell)
+    cells_r = held.drop("r").withColumn("rg", group).join(both, ["stretch", "rg"]).select(*key, *cell)
+    rest = rows_l.unionByName(cells_l).groupBy(*key).cogroup(rows_r.unionByName(cells_r).groupBy(*key)).applyInArrow(_nearest_of_cells(width, k, digits, slack), "id long, neighbour long, sim double")
+    counted = told.groupBy("stretch").agg(F.sum("pairs").alias("pairs"), F.sum("multiplied").alias("multiplied"))
+    return best(first.drop("rank").union(rest)), counted
 
 
 def candidate_clusters(neighbours: DataFrame, clusters: DataFrame, entities: DataFrame, cluster_entities: DataFrame, least: int = KNOBS.min_overlap) -> DataFrame:
