@@ -220,6 +220,22 @@ def test_rows_sent_to_neighbours(spark, tmp_path, monkeypatch):
     assert order(cluster.pruned_neighbours(rows_, rows_, f"file://{tmp_path}", k=5, digits=6, block=20, dealt=500)[0]) == want
 
 
+def test_rounds_read_neighbours_once(spark, tmp_path):
+    """However many rounds there are, what gives neighbours and verdicts is computed once."""
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    events = event_frame(spark, [(T0 + dt.timedelta(hours=i), i, [1.0], {1}) for i in range(8)])
+    near = spark.createDataFrame([(i, i - 1, 0.9) for i in range(1, 8)], "id long, neighbour long, sim double").mapInArrow(counted, "id long, neighbour long, sim double")
+    told = near.select("id", F.col("neighbour").alias("cluster"), F.lit(True).alias("same"), F.lit(0.9).alias("confidence"))
+    got = cluster.placed_in_rounds(events, near, f"file://{tmp_path}", 0.5, 0.95, verdicts=told)
+    assert {r.id: r["head"] for r in got.collect()} == {i: i - i % 2 for i in range(8)} and n.value == 14
+
+
 @pytest.mark.parametrize("low, high", [(0.7, 0.85), (-1.0, 0.2)])
 def test_rounds_equal_sequential(spark, tmp_path, low, high):
     """With the second bands one component holds all rows, and no group is read whole."""
@@ -403,3 +419,13 @@ def test_stream_ingest_reads_each_file_once(spark, tmp_path):
     df.write.mode("append").parquet(f"{base}/in")
     ingest.ingest_once(spark, f"{base}/in", schema, ["k"], "ts", f"{base}/store", f"{base}/state")
     assert sorted(r.k for r in ingest.stored(spark, f"{base}/store", schema).collect()) == [1, 2]
+
+
+def test_owners_in_scope(spark):
+    """Types meant, names that nobody owns, nodes without an id, and one name with 20,000 mentions and as many owners."""
+    from tracewell.operators import registry
+
+    mentions = spark.range(20_000).select("id", F.lit("a").alias("name"), F.lit("Politician").alias("entity_type")).union(spark.createDataFrame([(-1, "b", "Agency"), (-2, "zz", "Agency"), (-3, None, "Agency")], "id long, name string, entity_type string"))
+    nodes = spark.range(20_000).select(F.col("id").alias("node"), F.lit("a").alias("name"), F.when(F.col("id") % 2 == 0, "Candidate").otherwise("Agency").alias("node_type")).union(spark.createDataFrame([(1, "b", "Agency"), (None, "b", "Agency"), (3, None, "Agency")], "node long, name string, node_type string"))
+    got = {r.id: r.owners for r in registry.owners_in_scope(mentions, nodes, "id").collect()}
+    assert len(got) == 20_003 and {got[i] for i in range(20_000)} == {10_000} and (got[-1], got[-2], got[-3]) == (1, 0, 0)

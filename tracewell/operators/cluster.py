@@ -365,10 +365,12 @@ def placed_in_rounds(rows: DataFrame, near: DataFrame, folder: str, low: float =
     stored neighbours, and the entities of those heads."""
     spark = rows.sparkSession
     order = F.struct(epoch_us("ts").alias("at"), "id")
+    # Each round reads these anew, so what they rest on is computed once.
+    rows, near = kept(rows.select("id", "ts", "entities"), folder, "rows"), kept(near.select("id", "neighbour", "sim"), folder, "near")
     asking = near.select("id").union(fixed.select("id")).distinct() if fixed is not None else near.select("id").distinct()
     own = kept(rows.select("id", order.alias("order"), F.explode(F.array_distinct("entities")).alias("entity")), folder, "entities")
     mine = kept(own.join(asking, "id", "left_semi"), folder, "asking")
-    told = verdicts.select("id", F.col("cluster").alias("candidate"), "same", "confidence") if verdicts is not None else spark.createDataFrame([], "id long, candidate long, same boolean, confidence double")
+    told = kept(verdicts.select("id", F.col("cluster").alias("candidate"), "same", "confidence"), folder, "verdicts") if verdicts is not None else spark.createDataFrame([], "id long, candidate long, same boolean, confidence double")
     heads = rows.select("id", F.col("id").alias("head"))
     while True:
         met = near.join(heads.select(F.col("id").alias("neighbour"), "head"), "neighbour").select("id", "head", "sim")

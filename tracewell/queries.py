@@ -314,7 +314,7 @@ def leader_cluster_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As leader_cluster, in rounds of joins, with a verdict on each vector and each of its nearest earlier
     ones, where that leads a cluster: the pair's sum says whether they are the same, a digit how sure that is."""
     v = vectors_of(spark, sf_dir).select("id", "ts", "embedding", F.array("label").alias("entities"))
-    near = cluster.window_neighbours(v, v, earlier=True).where("sim >= 0.2")
+    near = rows.kept(cluster.window_neighbours(v, v, earlier=True).where("sim >= 0.2").select("id", "neighbour", "sim"), shared(spark), "neighbours")
     told = near.select("id", F.col("neighbour").alias("cluster"), ((F.col("id") + F.col("neighbour")) % 2 == 0).alias("same"), ((F.col("id") * 7 + F.col("neighbour")) % 10 / 10).alias("confidence"))
     return cluster.placed_in_rounds(v, near, shared(spark), low=0.2, high=0.3, verdicts=told).select("id", "head", "decision", F.col("review").cast("int").alias("review"))
 
