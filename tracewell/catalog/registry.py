@@ -71,9 +71,8 @@ def search_scope_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     the types that a mention may mean."""
     kind = lambda k: F.element_at(F.array(*map(F.lit, TYPES)), (k % 5 + 1).cast("int"))
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50).alias("name"), kind(F.col("c_custkey")).alias("entity_type"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("name"), kind(F.col("s_suppkey")).alias("node_type"))
-    met = registry.search_scope(c).join(s, ["name", "node_type"], "left")
-    return met.groupBy("c_custkey").agg(F.count("s_suppkey").alias("owners"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 50).alias("name"), kind(F.col("s_suppkey")).alias("node_type"))
+    return registry.owners_in_scope(c, s, "c_custkey")
 
 
 def bill_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,15 @@ def search_scope(mentions: DataFrame, column: str = "entity_type") -> DataFrame:
     return mentions.withColumn("node_type", F.explode(F.coalesce(types, F.array(column))))
 
 
+def owners_in_scope(mentions: DataFrame, nodes: DataFrame, key: str, column: str = "entity_type") -> DataFrame:
+    """key, owners: how many of nodes (node, name, node_type) own the name of each mention (key, name, entity_type) within
+    the types that it may mean (R12).  Nodes are counted by name and type before mentions meet them, so a name that
+    many mention and many own makes no pairs."""
+    owned = nodes.groupBy("name", "node_type").agg(F.count("node").alias("owned"))
+    met = search_scope(mentions, column).join(owned, ["name", "node_type"], "left")
+    return met.groupBy(key).agg(F.coalesce(F.sum("owned"), F.lit(0)).cast("long").alias("owners"))
+
+
 def bill_of(docs: DataFrame) -> DataFrame:
     """docs (doc_id, kind, congress, type, number, bill_number, ...) with bill_id: that of bills by type
     and number, of votes by the number that they name, null for other kinds."""
