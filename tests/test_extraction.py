@@ -190,6 +190,22 @@ def test_flips_by_state(spark, tmp_path):
     assert sizes[0] == 30 and 4 <= sizes[2] < 20 and 3 not in sizes
 
 
+def test_flips_of_many_keys(spark, tmp_path):
+    """30,000 entities and topics take no call each; a confidence may be missing, and a batch may hold nothing."""
+    import time
+
+    base = f"file://{tmp_path}"
+    e = spark.range(60_000).select(F.col("id").alias("head"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7).alias("ts"), (F.col("id") % 30_000).alias("entity"), F.lit(1).alias("topic"), F.lit("actor").alias("role"), F.when(F.col("id") < 30_000, "support").otherwise("oppose").alias("stance"), F.when(F.col("id") % 3 > 0, 0.9).alias("confidence"))
+    began = time.time()
+    for part in ("head >= 30000", "head < 30000", "head < 0"):
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        flips.flip_changes(spark, f"{base}/in", f"{base}/flips", f"{base}/state")
+    took = time.time() - began
+    told = lambda df: sorted(map(str, df.select("head", "confidence", "prior_head", "flip").collect()))
+    assert told(flips.latest_flips(spark, f"{base}/flips")) == told(verify.stance_flips(e))
+    assert took < 60
+
+
 def test_late_stances_change_flips(spark, tmp_path):
     base = f"file://{tmp_path}"
     form = ingest.STANCE

@@ -1,105 +1,59 @@
-"""Stance flips with state per entity and topic (T3): what comes late changes what it must, and no more."""
+"""Stance flips kept by entity and topic (T3): what comes late changes what it must, and no more."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tracewell.functions.columns import stance_side
+from tracewell.operators.verify import stance_flips
 from tracewell.params import KNOBS
-from tracewell.streaming.ingest import FLIP, STANCE
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A stance in state: all that its flip rests on, side being that of the stance.
-HELD = "head bigint, at bigint, role string, stance string, side int, confidence double, prior_head bigint, flip boolean"
-CHANGED = "entity bigint, topic int, " + HELD
-
-
-class FlipState(StatefulProcessor):
-    """The stances of one entity on one topic, by day.  New ones are put into their days; flips are decided anew
-    in these days and in the next day after each that has any, whose first head may have another prior now;
-    rows that came or changed go on.  Of other days nothing is read."""
-
-    def __init__(self, least: float):
-        self.least = least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "day int", f"stances array<struct<{HELD.replace(' ', ':').replace(',:', ',')}>>")
-
-    def _day(self, day: int) -> list[tuple]:
-        value = self.days.getValue((day,))
-        return [tuple(x) for x in value[0]] if value is not None else []
+from tracewell.streaming.ingest import FLIP, STANCE, _bucket, _buckets_of, _names
 
-    @staticmethod
-    def _last(stances: list[tuple]) -> tuple:
-        """The first role of the last head."""
-        at = max((x[1], x[0]) for x in stances)
-        return min((x for x in stances if (x[1], x[0]) == at), key=lambda x: x[2])
+KEY = ["head", "ts", "entity", "topic", "role"]
+SAID = ["stance", "confidence", "prior_head", "flip"]
 
-    def _decided(self, stances: list[tuple], prior: tuple | None) -> list[tuple]:
-        out: list[tuple] = []
-        heads: dict[tuple, list[tuple]] = {}
-        for x in stances:
-            heads.setdefault((x[1], x[0]), []).append(x)
-        for at in sorted(heads):
-            for x in sorted(heads[at], key=lambda x: x[2]):
-                flip = prior is not None and min(x[5], prior[5]) >= self.least and x[4] * prior[4] == -1
-                out.append((*x[:6], prior[0] if prior else None, flip))
-            prior = self._last(heads[at])
-        return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        known = sorted(k[0] for k in self.days.keys())
-        fresh: dict[int, dict[tuple, tuple]] = {}
-        for head, at, role, stance, side, sure in zip(new["head"].tolist(), new["at"].tolist(), new["role"], new["stance"], new["side"].tolist(), new["confidence"].tolist()):
-            fresh.setdefault(at // 86_400_000_000, {})[head, at, role] = (head, at, role, stance, side, sure, None, None)
-        days = sorted({*known, *fresh})
-        changed: list[tuple] = []
-        for k, day in enumerate(days):
-            if day not in fresh and not (k and days[k - 1] in fresh):
-                continue
-            was = {x[:3]: x for x in self._day(day)}
-            now = self._decided(list((was | fresh.get(day, {})).values()), self._last(self._day(days[k - 1])) if k else None)
-            self.days.updateValue((day,), ([*now],))
-            changed += [x for x in now if was.get(x[:3]) != x]
-        if changed:
-            yield pd.DataFrame([(*key, *x) for x in changed], columns=[c.split()[0] for c in CHANGED.split(", ")]).astype({"prior_head": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def flip_changes(spark: SparkSession, source: str, flips: str, state: str, least: float = KNOBS.stance_confidence, most_files: int = 64) -> None:
+def flip_changes(spark: SparkSession, source: str, flips: str, state: str, least: float = KNOBS.stance_confidence, most_files: int = 64, buckets: int = 16) -> None:
     """Stances in files of `source` that were not read yet, in any order of time, to the table `flips` (FLIP, by
-    batch): each batch writes the rows that are new and those whose prior or flip changed; see latest_flips.  A
-    stance that comes again replaces itself.  State is kept by Spark in the folder `state`; a batch takes at most
-    `most_files` files, which bounds what one entity and topic brings at once."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    side = F.coalesce(stance_side(F.col("stance")), F.lit(0)).cast("int")
-    rows = spark.readStream.schema(STANCE).option("maxFilesPerTrigger", most_files).parquet(source).select("entity", "topic", "head", at.alias("at"), "role", "stance", side.alias("side"), F.coalesce("confidence", F.lit(-1.0)).alias("confidence"))
-    rows = rows.where("entity is not null and topic is not null and at is not null and head is not null")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        changed = rows.groupBy("entity", "topic").transformWithStateInPandas(FlipState(least), CHANGED, "Update", "None")
-
-        def put(batch: DataFrame, number: int) -> None:
-            out = batch.withColumn("ts", F.timestamp_micros("at")).withColumn("batch", F.lit(number))
-            out.select("head", "ts", "entity", "topic", "role", "stance", "confidence", "prior_head", "flip", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(flips)
-
-        changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    batch and by bucket of entity and topic): each batch writes the rows that are new and those whose prior or flip
+    changed; see latest_flips.  A stance that comes again replaces itself.  `state` has what was read.
+
+    A batch reads the buckets that it meets, and decides the stances of its own entities and topics anew, by joins
+    and windows: no call is made for each entity and topic, of which there may be millions.  A batch that is tried
+    again replaces its own rows."""
+    pair = ["entity", "topic"]
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.where("entity is not null and topic is not null and ts is not null and head is not null").persist()
+        met = _buckets_of(batch, pair, buckets)
+        if met:
+            here = batch.sparkSession
+            # Before the first batch there is no table; one that is tried again has its own rows there.
+            before = [f"{flips}/{n}" for n in _names(here, flips) if n.startswith("batch=") and n != f"batch={number}"]
+            if before:
+                held = _latest(here.read.option("basePath", flips).schema(FLIP + ", batch int, bucket int").parquet(*before).where(F.col("bucket").isin(met)))
+                held = held.join(batch.select(*pair).distinct(), pair, "left_semi").select(*KEY, *SAID)
+            else:
+                held = here.createDataFrame([], FLIP).select(*KEY, *SAID)
+            came = F.struct("came", "stance", "confidence")
+            rows = held.select(*KEY, "stance", "confidence", F.lit(0).alias("came")).union(batch.select(*KEY, "stance", "confidence", F.lit(1).alias("came")))
+            rows = rows.groupBy(*KEY).agg(F.max(came).alias("last")).select(*KEY, "last.stance", "last.confidence")
+            now = stance_flips(rows, least).select(*KEY, *SAID, F.lit(True).alias("new"))
+            both = now.union(held.withColumn("new", F.lit(False))).groupBy(*KEY).agg(F.max(F.when(F.col("new"), F.struct(*SAID))).alias("now"), F.max(F.when(~F.col("new"), F.struct(*SAID))).alias("was"))
+            changed = both.where(~F.col("now").eqNullSafe(F.col("was"))).select(*KEY, "now.*", F.lit(number).alias("batch"), _bucket(pair, buckets).alias("bucket"))
+            # Few files a bucket, whatever the number of shuffle partitions.
+            changed.repartition("bucket", F.pmod("head", F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(flips)
+        batch.unpersist()
+
+    stream = spark.readStream.schema(STANCE).option("maxFilesPerTrigger", most_files).parquet(source)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("stance", F.when(F.col("confidence") >= 0, F.col("confidence")).alias("confidence"), "prior_head", "flip"), "batch")
+    return rows.groupBy(*KEY).agg(last.alias("last")).select(*KEY, "last.*")
 
 
 def latest_flips(spark: SparkSession, flips: str) -> DataFrame:
     """The flips as the last batch that said anything of each left them."""
-    rows = spark.read.schema(FLIP + ", batch int").parquet(flips)
-    key = ["head", "ts", "entity", "topic", "role"]
-    last = F.max_by(F.struct("stance", F.when(F.col("confidence") >= 0, F.col("confidence")).alias("confidence"), "prior_head", "flip"), "batch")
-    return rows.groupBy(*key).agg(last.alias("last")).select(*key, "last.*")
+    return _latest(spark.read.schema(FLIP + ", batch int").parquet(flips))
