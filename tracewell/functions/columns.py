@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,10 +86,19 @@ def fold_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf(T.StringType())
-def compatible(text: pd.Series) -> pd.Series:
-    """Compatibility composition (NFKC)."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def composed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Compatibility composition (NFKC) of each text; of a batch only some texts at a time are Python objects."""
+    form = lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)
+    for batch in texts:
+        yield pa.concat_arrays([pa.array(map(form, batch.slice(at, 64).to_pylist()), pa.string()) for at in range(0, len(batch), 64)] or [pa.array([], pa.string())])
+
+
+_composed = F.arrow_udf(composed, T.StringType())
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility composition (NFKC).  ASCII texts are composed, so they do not go to Python."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def folded_form(folded: Column) -> Column:
