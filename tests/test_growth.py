@@ -28,3 +28,19 @@ def test_composition_equals_that_of_all_texts(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.c for r in rows.select("i", columns.compatible(F.col("t")).alias("c")).orderBy("i").collect()]
     assert got == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_vectors_travel_as_they_are(spark):
+    """Floats are sent to the blocks as floats, and scaled there to the same doubles."""
+    import numpy as np
+
+    from tracewell.operators import cluster
+
+    rng = np.random.default_rng(3)
+    data = [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(40)] + [(40, [0.0] * 64)]
+    rows = spark.createDataFrame(data, "id long, embedding array<float>").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")))
+    plan = cluster.window_neighbours(rows, rows, k=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "zip_with" not in plan
+    scaled = rows.select("id", columns.unit(F.col("embedding")).alias("vector")).orderBy("id").toArrow()
+    raw = rows.select("id", F.col("embedding").alias("vector")).orderBy("id").toArrow()
+    assert np.array_equal(cluster._unit(raw), cluster._matrix(scaled))

@@ -75,13 +75,29 @@ def _parts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("id").to_numpy(), t.column("at").to_numpy(), _matrix(t)
 
 
-def _nearest(width: int, k: int, digits: int | None, earlier: bool):
-    """Of two blocks the k nearest rows of the second for each row of the first."""
+def _unit(t: pa.Table) -> np.ndarray:
+    """The vectors scaled to length 1, zero vectors as they are: the same doubles as columns.unit gives."""
+    x = _matrix(t).astype(np.float64)
+    total = np.zeros(len(x))
+    for column in x.T:
+        total += column * column
+    norm = np.sqrt(total)
+    norm[norm == 0] = 1.0
+    x /= norm[:, None]
+    return x
+
+
+def _nearest(width: int, k: int, digits: int | None, earlier: bool, scaled: bool = True):
+    """Of two blocks the k nearest rows of the second for each row of the first; vectors that are not scaled yet
+    are scaled here."""
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return NEAR.empty_table()
-        a, b = _parts(left), _parts(right.sort_by("id"))
+        right = right.sort_by("id")
+        a, b = _parts(left), _parts(right)
+        if not scaled:
+            a, b = (*a[:2], _unit(left)), (*b[:2], _unit(right))
         row, col, sim = _best(a, b, width, k, digits, earlier)
         return pa.table([a[0][row], b[0][col], sim + 0.0], schema=NEAR)
 
@@ -111,11 +127,12 @@ def window_neighbours(left: DataFrame, right: DataFrame, hours: int = KNOBS.wind
     each block of the other side."""
     width = hours * 3_600_000_000
     stretch = F.floor(epoch_us("ts") / width)
-    columns = [F.col("id").cast("long").alias("id"), epoch_us("ts").alias("at"), unit(F.col("embedding")).alias("vector")]
+    # As they are: floats are half of what their scaled doubles are.
+    columns = [F.col("id").cast("long").alias("id"), epoch_us("ts").alias("at"), F.col("embedding").alias("vector")]
     beside = (stretch - 1, stretch) if earlier else (stretch - 1, stretch, stretch + 1)
     near = right.where("embedding is not null and ts is not null").select(*columns, stretch.alias("stretch"))
     far = left.where("embedding is not null and ts is not null").select(*columns, F.explode(F.array(*beside)).alias("stretch"))
-    pairs = _block_pairs(far, near, ["stretch"], block).applyInArrow(_nearest(width, k, digits, earlier), "id long, neighbour long, sim double")
+    pairs = _block_pairs(far, near, ["stretch"], block).applyInArrow(_nearest(width, k, digits, earlier, scaled=False), "id long, neighbour long, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
