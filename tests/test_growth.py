@@ -44,3 +44,23 @@ def test_vectors_travel_as_they_are(spark):
     scaled = rows.select("id", columns.unit(F.col("embedding")).alias("vector")).orderBy("id").toArrow()
     raw = rows.select("id", F.col("embedding").alias("vector")).orderBy("id").toArrow()
     assert np.array_equal(cluster._unit(raw), cluster._matrix(scaled))
+
+
+def test_word_counts_do_not_depend_on_the_dealing(spark):
+    """The whole-word predictor has the same counts whether beginnings are frequent enough to be dealt deeper or not."""
+    from tracewell.llm import context_mixing as model
+
+    names = [f"common{i:03d}" for i in range(150)] + [f"coal{i}{c}" for i in range(30) for c in "äb"] + ["x" * 40, "common", "ab", "commo"]
+    words = spark.createDataFrame([(w, i % 7) for i, w in enumerate(names)], "word string, n long")
+
+    def counted(block_words):
+        out = {}
+        for one in model.known_nodes(model.blocks_of(words, block_words)).toPandas().groupby("block"):
+            block, edges = model._edges_of(pa.Table.from_pandas(one[1], preserve_index=False))
+            word, edge = edges.links
+            names = block.column("word").to_pylist()
+            for w, e in zip(word.tolist(), edge.tolist()):
+                out[names[w], int(edges.at[e])] = edges.nodes[e].tolist()
+        return out
+
+    assert counted(20) == counted(1_000_000)

@@ -13,9 +13,9 @@ log10(2) / bytes are its bits per byte.
 
 On Spark: texts become parts of about 16 MB, each with its own list of distinct words, in one scan.  Words are counted
 over all parts; what is gathered so grows with the corpus.  Words that begin alike are dealt to a block (words
-of a frequent beginning by a longer one, where the whole-word predictor then starts), which holds the
-complete counts of every beginning, so each prefix of any word is predicted once, however many words share
-it.  Counts of the shorter contexts are summed by Spark into a table of 2**slot_bits hashed slots, and those of
+of a frequent beginning by a longer one), which holds the complete counts of every beginning that the whole-word
+predictor uses; where several blocks share such a beginning, they are told its counts over all of them, so
+what is counted does not depend on how words are dealt.  Counts of the shorter contexts are summed by Spark into a table of 2**slot_bits hashed slots, and those of
 first bytes into one of at most classes * 65,536; both are broadcast and bounded by these parameters.  Weights
 are learned per block and averaged by the bits seen.  Scores of words go back to the parts that hold them,
 where the texts are word numbers by then.
@@ -43,6 +43,8 @@ from .common import LOWER, buffers, mix, release, stash, word_hashes, word_spans
 SPACE_BYTE, END_BYTE = 0x20, 0x0A
 #: Bytes of a word's beginning up to which the whole-word predictor reaches.
 DEPTH = 32
+#: Bytes of a word's beginning from which it does; every block holds the whole counts from there on, or is told them.
+BEGIN = 6
 #: What a count of zero and one begins with.
 PRIOR = 0.4
 #: Steps of the logit in the last refinement.
@@ -177,7 +179,8 @@ def node_counts(context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> np.nd
 class Edges:
     """The bytes from the third on of a block's sorted distinct words, each once for all words that share all up to it."""
 
-    def __init__(self, words: pa.Array, n: np.ndarray, begins: np.ndarray):
+    def __init__(self, words: pa.Array, n: np.ndarray, begins: np.ndarray, known: pa.Array | None = None):
+        """known: for words whose beginning other blocks have too, the counts over all blocks of `known_nodes`."""
         words = words.cast(pa.large_binary())
         _, offsets, data = words.buffers()
         offset = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
@@ -201,6 +204,10 @@ class Edges:
             weight = np.add.reduceat(n[here], first)
             nodes = node_counts(context, symbol[first], weight)
             nodes[begins[here[first]] > p, :] = 0
+            if known is not None and p >= BEGIN:
+                told = here[first][known.is_valid().to_numpy(zero_copy_only=False)[here[first]]]
+                at = known.offsets.to_numpy()[told] + 9 * (p - BEGIN)
+                nodes[np.isin(here[first], told)] = known.values.to_numpy()[at[:, None] + np.arange(9)]
             parts.append((here[first], np.full(len(first), p), symbol[first], weight, nodes))
             links.append((here, np.cumsum(new) - 1 + total))
             total += len(first)
@@ -323,7 +330,8 @@ CHUNK = 8192
 def _edges_of(block: pa.Table) -> tuple[pa.Table, Edges]:
     block = block.take(pc.sort_indices(block, sort_keys=[("word", "ascending")]))
     word = block.column("word").combine_chunks()
-    return block, Edges(word, block.column("n").to_numpy(), block.column("begins").to_numpy())
+    known = block.column("known").combine_chunks() if "known" in block.column_names else None
+    return block, Edges(word, block.column("n").to_numpy(), block.column("begins").to_numpy(), known)
 
 
 def _contexts(block: pa.Table) -> pa.Table:
@@ -482,6 +490,24 @@ def blocks_of(words: DataFrame, block_words: int) -> DataFrame:
     return stash(dealt.select("word", "n", begins.cast("long").alias("begins"), F.pmod(key, F.lit(blocks)).alias("block")), "word-blocks")
 
 
+def known_nodes(dealt: DataFrame) -> DataFrame:
+    """dealt (word, n, begins, block) so that the whole-word predictor starts after BEGIN bytes for every word, however
+    it was dealt.  Words of a beginning that several blocks share get known: of each byte from there on, how often
+    the word so far was followed by each beginning, of 0 to 8 bits, of that byte, over all blocks."""
+    hotter = F.col("begins") == DEPTH
+    if not dealt.where(hotter).limit(1).count():
+        return dealt.withColumn("begins", F.lit(BEGIN).cast("long"))
+    at = F.explode(F.sequence(F.lit(BEGIN), F.least(F.octet_length("word"), F.lit(DEPTH - 1)))).alias("p")
+    byte = F.conv(F.hex(F.expr("substring(cast(word as binary), p + 1, 1)")), 16, 10).cast("int")
+    edges = dealt.where(hotter).where(F.octet_length("word") >= BEGIN).select("word", "n", at).select("word", "n", "p", F.expr("substring(cast(word as binary), 1, p)").alias("prefix"), F.coalesce(byte, F.lit(SPACE_BYTE)).alias("symbol"))
+    # At most 256 symbols follow a prefix.
+    follow = edges.groupBy("prefix", "symbol").agg(F.sum("n").alias("n")).groupBy("prefix").agg(F.collect_list(F.struct("symbol", "n")).alias("all"))
+    total = lambda k: F.aggregate(F.filter("all", lambda x: F.shiftright(x["symbol"], 8 - k) == F.shiftright(F.col("symbol"), 8 - k)), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    nodes = edges.join(follow, "prefix").select("word", F.struct("p", F.array(*[total(k) for k in range(9)]).alias("nodes")).alias("node"))
+    known = nodes.groupBy("word").agg(F.flatten(F.transform(F.array_sort(F.collect_list("node")), lambda x: x["nodes"])).alias("known"))
+    return stash(dealt.join(known, "word", "left").withColumn("begins", F.lit(BEGIN).cast("long")), "known-nodes")
+
+
 def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, classes: int = 512, slot_bits: int = 22, block_words: int = 50_000, epochs: int = 3, part_bytes: int = 1 << 24) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out (crc32 of doc_id as text modulo folds is `held`;
     those are not learned from), n_tokens, n_known, train_tokens, base_score (add-one unigram over words and
@@ -497,7 +523,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, classes: int = 5
     codes = pairs.column("code").to_numpy().astype(np.int64)
     heads = spark.sparkContext.broadcast((codes, first_bytes(codes, pairs.column("n").to_numpy(), epochs)))
     dealt = blocks_of(words, block_words)
-    block = dealt.groupBy("block")
+    block = known_nodes(dealt).groupBy("block")
     context = block.applyInArrow(lambda words: _contexts(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     filled = context.mapInArrow(partial(_slots, slot_bits=slot_bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(2 << slot_bits, dtype=np.float32)
