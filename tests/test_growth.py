@@ -64,3 +64,25 @@ def test_word_counts_do_not_depend_on_the_dealing(spark):
         return out
 
     assert counted(20) == counted(1_000_000)
+
+
+def test_suffix_dedup_cuts_texts_once(spark, monkeypatch):
+    """With anchors that are dealt deeper, texts are joined to what is asked of them once, and once more at the end."""
+    import numpy as np
+
+    from tracewell.llm import suffix_dedup
+
+    plans = {}
+
+    def stash(df, name, keep=suffix_dedup.stash):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stash", stash)
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    core = noise(150)
+    docs = spark.createDataFrame([(i, noise(120) + core + noise(120)) for i in range(20)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(docs, shard_pieces=3, texts=False).collect()}
+    assert "core-stretches" in plans and got == {i: 0 if i == 0 else got[i] for i in range(20)} and all(got[i] >= 150 for i in range(1, 20))
+    assert [n for n in ("pieces", "cores", "core-stretches", "sorted") if "text" in plans.get(n, "")] == ["pieces"]

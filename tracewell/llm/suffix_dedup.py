@@ -243,10 +243,10 @@ def shared_stretches(pieces: list[bytes], mids: list[int], length: int, k: int)
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The stretches asked for: whole (core null), or those of frequent anchors (shard -1) by core."""
-    names = ["shard", "core", "doc_id", "version", "at", "mid", "piece"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The stretches asked for, whole; shard is -1 for those of frequent anchors."""
+    names = ["shard", "doc_id", "version", "at", "mid", "piece"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         ids, versions, ask = (batch.column(c).to_pylist() for c in ("doc_id", "version", "ask"))
         rows: list[tuple] = []
@@ -255,14 +255,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
                 own = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in ask[lo + i]:
                     at, mid = x["span"] >> 16, x["span"] >> 8 & 255
-                    piece = own[at : at + (x["span"] & 255) + length]
-                    if x["tag"] >= 0:
-                        rows.append((x["tag"], None, ids[lo + i], versions[lo + i], at, mid, piece))
-                        continue
-                    for g, core, start, stop in core_stretches(piece, mid, length, k):
-                        name = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([g])).digest(), "little", signed=True)
-                        rows.append((-1, name, ids[lo + i], versions[lo + i], at + start, -1, piece[start:stop]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, types)], names)
+                    rows.append((x["tag"], ids[lo + i], versions[lo + i], at, mid, own[at : at + (x["span"] & 255) + length]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, types)], names)
+
+
+def _cores(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The parts of pieces by core, named by a hash."""
+    names = ["core", "doc_id", "version", "at", "mid", "piece"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, version, at, mid, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "at", "mid", "piece"))):
+            for g, core, start, stop in core_stretches(piece, mid, length, k):
+                name = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([g])).digest(), "little", signed=True)
+                rows.append((name, doc, version, at + start, -1, piece[start:stop]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, types)], names)
 
 
 def _sort_shard(length: int, k: int):
@@ -292,23 +299,26 @@ def _sort_shard(length: int, k: int):
 def sorted_repeats(asking: DataFrame, length: int, k: int, shard_pieces: int, hot_pieces: int) -> DataFrame:
     """(doc_id, version, at, windows) of the windows in the stretches asked for that equal an earlier one,
     as stretches of `windows` neighbours."""
-    pieces = asking.mapInArrow(partial(_pieces, length=length, k=k), "shard long, core long, doc_id long, version long, at long, mid long, piece binary")
+    pieces = asking.mapInArrow(partial(_pieces, length=length), "shard long, doc_id long, version long, at long, mid long, piece binary")
     if hot_pieces:
+        # Read three times from here on; the texts, which are far larger, are joined and cut once.
+        cut = pieces = stash(pieces, "pieces")
         # Of the stretches of frequent anchors those whose core is shared, in shards by core; a core
         # that one shard cannot hold has several.  A table of its own, so that Spark can split the join.
-        cores = pieces.where("shard < 0")
+        cores = pieces.where("shard < 0").drop("shard").mapInArrow(partial(_cores, length=length, k=k), "core long, doc_id long, version long, at long, mid long, piece binary")
         often = stash(cores.groupBy("core").count().where("count >= 2").select("core", F.expr(f"cast(ceil(count / {shard_pieces}) as int)").alias("parts")), "cores")
         part = F.pmod(F.xxhash64("doc_id", "version", "at"), F.col("parts"))
         shards = hot_pieces * CORES // shard_pieces + 1
-        dealt = cores.drop("shard").join(often, "core").select((-1 - F.pmod(F.xxhash64("core", part), F.lit(shards))).alias("shard"), "doc_id", "version", "at", "mid", "piece", (F.col("parts") > 1).alias("split"))
-        cold = pieces.where("shard >= 0").select("shard", "doc_id", "version", "at", "mid", "piece", F.lit(False).alias("split"))
-        pieces = cold.unionByName(stash(dealt, "core-stretches"))
+        dealt = cores.join(often, "core").select((-1 - F.pmod(F.xxhash64("core", part), F.lit(shards))).alias("shard"), "doc_id", "version", "at", "mid", "piece", (F.col("parts") > 1).alias("split"))
+        dealt = stash(dealt, "core-stretches")
+        pieces = pieces.where("shard >= 0").withColumn("split", F.lit(False)).unionByName(dealt)
     else:
-        pieces = pieces.select("shard", "doc_id", "version", "at", "mid", "piece", F.lit(False).alias("split"))
+        pieces = pieces.withColumn("split", F.lit(False))
     found = pieces.groupBy("shard").applyInArrow(_sort_shard(length, k), "doc_id long, version long, at long, windows long, window binary")
     if not hot_pieces:
         return found.drop("window")
     found = stash(found, "sorted")
+    release(cut, often, dealt)
     firsts = found.where("window is not null")
     merged = firsts.groupBy("window").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     later = firsts.join(merged, "window").where(F.struct("doc_id", "version", "at") != F.col("first"))
