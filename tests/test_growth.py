@@ -86,3 +86,22 @@ def test_suffix_dedup_cuts_texts_once(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(docs, shard_pieces=3, texts=False).collect()}
     assert "core-stretches" in plans and got == {i: 0 if i == 0 else got[i] for i in range(20)} and all(got[i] >= 150 for i in range(1, 20))
     assert [n for n in ("pieces", "cores", "core-stretches", "sorted") if "text" in plans.get(n, "")] == ["pieces"]
+
+
+def held(rows):
+    """Whether the plan deals rows into a number of partitions of its own."""
+    return "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_golden_audit_deals_by_number_of_rows(spark, monkeypatch):
+    from tracewell.operators import graph, rows
+
+    monkeypatch.setattr(graph, "dealt", lambda r, keys: rows.dealt(r, keys, per=3))
+    items = spark.createDataFrame([(i,) for i in range(20)] + [(3,), (3,), (None,), (None,)], "item long")
+    stances = spark.createDataFrame([(i, i % 3) for i in range(20)] * 2 + [(1, None), (None, 2)], "item long, entity long")
+    named = spark.createDataFrame([(i, 1) for i in range(20)] * 3 + [(1, None), (None, 2)], "item long, entity long")
+    out = graph.golden_problems(items, stances, named)
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = [(3, "duplicate id"), (None, "duplicate id"), (1, None), (None, "stance of 2")] + [(i, f"stance of {i % 3}") for i in range(20) if i % 3 != 1]
+    assert got == sorted(want, key=str)
+    assert held(out) and "Join" not in out._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import lookup, stance_side
-from tracewell.operators.rows import first_per_key
+from tracewell.operators.rows import dealt, first_per_key
 from tracewell.params import KNOBS, STRUCTURAL_ROLES
 
 
@@ -148,6 +148,9 @@ def item_diff(gold: DataFrame, predicted: DataFrame, excluded: DataFrame | None
 def golden_problems(items: DataFrame, stances: DataFrame, named: DataFrame) -> DataFrame:
     """item, problem of a golden set (M7): ids that occur twice (items: item), and stances (item, entity) of
     entities that the item neither lists nor resolves (named: item, entity)."""
-    twice = items.groupBy("item").count().where("count > 1").select("item", F.lit("duplicate id").alias("problem"))
-    strange = stances.select("item", "entity").distinct().join(named, ["item", "entity"], "left_anti")
+    twice = dealt(items.select("item"), ["item"]).groupBy("item").count().where("count > 1").select("item", F.lit("duplicate id").alias("problem"))
+    # Nothing equals a null, so names with one are no names.
+    known = named.where("item is not null and entity is not null").select("item", "entity", F.lit(True).alias("known"))
+    both = dealt(stances.select("item", "entity", F.lit(False).alias("known")).unionByName(known), ["item", "entity"])
+    strange = both.groupBy("item", "entity").agg(F.bool_or(~F.col("known")).alias("said"), F.bool_or("known").alias("known")).where("said and not known")
     return twice.unionByName(strange.select("item", F.concat(F.lit("stance of "), F.col("entity").cast("string")).alias("problem")))

@@ -22,6 +22,13 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataF
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def dealt(rows: DataFrame, keys: Sequence[str], per: int = 1_000_000, parts: int | None = None) -> DataFrame:
+    """rows by hash of keys, in `parts` partitions or about `per` rows in each, so that what a task holds does not grow
+    with the input; in as many as Spark takes where those do for that.  Counts rows first unless parts is given."""
+    parts = rows.count() // per + 1 if parts is None else parts
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def content_hash(source: Column, url: Column, payload: Column) -> Column:
     """SHA-256 of the parts, each ended by NUL."""
     end = F.decode(F.unhex(F.lit("00")), "UTF-8")
