@@ -105,3 +105,29 @@ def test_golden_audit_deals_by_number_of_rows(spark, monkeypatch):
     want = [(3, "duplicate id"), (None, "duplicate id"), (1, None), (None, "stance of 2")] + [(i, f"stance of {i % 3}") for i in range(20) if i % 3 != 1]
     assert got == sorted(want, key=str)
     assert held(out) and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_head_spans_are_dealt_by_number_of_rows(spark, monkeypatch):
+    """A frequent head is many tasks, partitions follow the rows, and the first spans are those of a sort of all."""
+    from tracewell.operators import cluster, rows
+
+    deals = []
+
+    def dealt(r, keys, parts):
+        deals.append((tuple(keys), parts))
+        return rows.dealt(r, keys, parts=50)
+
+    monkeypatch.setattr(cluster, "dealt", dealt)
+    said = [(i % 3 if i % 4 else 0, f"T{1 + i * 7 % 4}", i, f"s{i * 31 % 60}") for i in range(400)] + [(5, "T1", 1, None), (None, "T2", 2, "x")]
+    named = [(i % 3, i, i * 13 % 50, "r", "", f"e{i * 17 % 40}") for i in range(300)]
+    sources = spark.createDataFrame(said, "head int, tier string, id int, span string")
+    entities = spark.createDataFrame(named, "head int, id int, entity int, role string, topic string, span string")
+    out = cluster.head_spans(sources, entities, most=5)
+    assert held(out)
+    got = {r.head: r.spans for r in out.collect()}
+    want = {}
+    for head, span in [(x[0], x[3]) for x in sorted(said, key=lambda x: (x[1], x[2]))] + [(x[0], x[5]) for x in sorted(named, key=lambda x: (x[1], x[2]))]:
+        mine = want.setdefault(head, [])
+        if span not in mine and len(mine) < 5:
+            mine.append(span)
+    assert got == want and deals == [(("head", "part"), 1), (("head",), 1)]

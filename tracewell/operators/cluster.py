@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import band, epoch_us, lookup, unit
-from tracewell.operators.rows import first_per_key, kept
+from tracewell.operators.rows import dealt, first_per_key, kept
 from tracewell.params import KNOBS, TIER_WEIGHT
 
 #: Rows of a block, of 64 components about 17 MB: the more, the less often a row is sent.
@@ -538,6 +538,10 @@ def head_scalars(members: DataFrame) -> DataFrame:
     return total.join(topics, "head").join(types, "head", "left").join(places, "head", "left")
 
 
+#: Parts that the spans of a head are dealt to.
+SPAN_PARTS = 16
+
+
 def head_spans(sources: DataFrame, entities: DataFrame, most: int = KNOBS.max_spans) -> DataFrame:
     """head, spans: distinct spans of sources (head, tier, id, span) by tier and id, then of entities
     (head, id, entity, role, topic, span), at most `most` (C15).  Each span is kept once with its first place, and
@@ -546,7 +550,12 @@ def head_spans(sources: DataFrame, entities: DataFrame, most: int = KNOBS.max_sp
     none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
     a = sources.select("head", "span", F.struct(F.lit(0).alias("side"), "tier", "id", none("entity"), none("role"), none("topic")).alias("place"))
     b = entities.select("head", "span", F.struct(F.lit(1).alias("side"), F.lit(None).cast(sources.schema["tier"].dataType).alias("tier"), "id", "entity", "role", "topic").alias("place"))
-    first = a.unionByName(b).groupBy("head", "span").agg(F.min("place").alias("place"))
-    rank = F.row_number().over(Window.partitionBy("head").orderBy("place", "span"))
-    best = first.withColumn("rank", rank).where(F.col("rank") <= most)
+    # The first `most` of each part of a head hold the first `most` of the head, so frequent heads are many tasks.
+    parted = a.unionByName(b).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(SPAN_PARTS)))
+    parts = parted.count() // 1_000_000 + 1
+    first = dealt(parted, ["head", "part"], parts=parts).groupBy("head", "part", "span").agg(F.min("place").alias("place"))
+    order = [F.col("place"), F.col("span")]
+    near = first.withColumn("rank", F.row_number().over(Window.partitionBy("head", "part").orderBy(*order))).where(F.col("rank") <= most)
+    first = dealt(near, ["head"], parts=parts).groupBy("head", "span").agg(F.min("place").alias("place"))
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(*order))).where(F.col("rank") <= most)
     return best.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "span"))), lambda x: x["span"]).alias("spans"))
