@@ -131,3 +131,19 @@ def test_head_spans_are_dealt_by_number_of_rows(spark, monkeypatch):
         if span not in mine and len(mine) < 5:
             mine.append(span)
     assert got == want and deals == [(("head", "part"), 1), (("head",), 1)]
+
+
+def test_neighbourhood_groups_edges_once(spark):
+    """Both ends of an edge are told from one group, loops and edges both ways among them."""
+    from tracewell.operators import graph
+
+    data = [("a", "r", "b", 0.5, "x", 1, 1, 7), ("a", "r", "b", 0.9, "y", 2, 2, 8), ("b", "r", "a", 0.4, "z", 3, 3, 7), ("c", "s", "c", 0.1, "w", 4, 4, 9)]
+    edges = spark.createDataFrame(data, "src string, relation string, dst string, confidence double, rationale string, ts int, id int, head int")
+    sources = spark.createDataFrame([(8, 1, "T2", "u1"), (8, 2, "T1", "u2"), (7, 3, "T1", "u3")], "head int, id int, tier string, url string")
+    out = graph.neighbourhood(edges)
+    one, two, three = (2, 0.9, "y", 2), (1, 0.4, "z", 3), (1, 0.1, "w", 4)
+    want = [("a", "out", "r", "b", *one), ("b", "in", "r", "a", *one), ("b", "out", "r", "a", *two), ("a", "in", "r", "b", *two), ("c", "out", "s", "c", *three), ("c", "in", "s", "c", *three)]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    told = sorted((r.entity, r.direction, r.url) for r in graph.neighbourhood(edges, sources).collect())
+    assert told == [("a", "in", "u3"), ("a", "out", "u2"), ("b", "in", "u2"), ("b", "out", "u3")]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -20,17 +20,17 @@ def neighbourhood(edges: DataFrame, sources: DataFrame | None = None) -> DataFra
     direction, relation, neighbour, edge_count, confidence, rationale, latest.  With edges that also have
     their head and sources (head, id, tier, url) there are tier and url of the best source of the latest
     edge's head, and groups whose latest head has none go."""
-    ways = edges.select("src", "dst", "relation", "confidence", "rationale", "ts", "id", *(["head"] if sources is not None else []))
-    rest = [c for c in ways.columns if c not in ("src", "dst", "relation")]
-    out = ways.select(F.col("src").alias("entity"), F.lit("out").alias("direction"), F.col("dst").alias("neighbour"), "relation", *rest)
-    back = ways.select(F.col("dst").alias("entity"), F.lit("in").alias("direction"), F.col("src").alias("neighbour"), "relation", *rest)
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "id", "rationale"))
     last = [F.max(F.struct("ts", "id", "head"))["head"].alias("head")] if sources is not None else []
-    found = out.unionByName(back).groupBy("entity", "direction", "relation", "neighbour").agg(F.count(F.lit(1)).alias("edge_count"), F.max("confidence").alias("confidence"), best["rationale"].alias("rationale"), F.max("ts").alias("latest"), *last)
-    if sources is None:
-        return found
-    top = first_per_key(sources, ["head"], F.col("tier"), F.col("id")).select("head", "tier", "url")
-    return found.join(top, "head").drop("head")
+    found = edges.groupBy("src", "relation", "dst").agg(F.count(F.lit(1)).alias("edge_count"), F.max("confidence").alias("confidence"), best["rationale"].alias("rationale"), F.max("ts").alias("latest"), *last)
+    shown = ["edge_count", "confidence", "rationale", "latest"]
+    if sources is not None:
+        top = first_per_key(sources, ["head"], F.col("tier"), F.col("id")).select("head", "tier", "url")
+        found, shown = found.join(top, "head"), [*shown, "tier", "url"]
+    # Either end has the same edges, so they are grouped once and told twice.
+    way = lambda entity, name, neighbour: F.struct(F.col(entity).alias("entity"), F.lit(name).alias("direction"), F.col(neighbour).alias("neighbour"))
+    both = found.withColumn("way", F.explode(F.array(way("src", "out", "dst"), way("dst", "in", "src"))))
+    return both.select("way.entity", "way.direction", "relation", "way.neighbour", *shown)
 
 
 def event_states(heads: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
