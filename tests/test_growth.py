@@ -147,3 +147,39 @@ def test_neighbourhood_groups_edges_once(spark):
     told = sorted((r.entity, r.direction, r.url) for r in graph.neighbourhood(edges, sources).collect())
     assert told == [("a", "in", "u3"), ("a", "out", "u2"), ("b", "in", "u2"), ("b", "out", "u3")]
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_event_objects_groups_facts_once(spark):
+    """All parts of a head come from one grouping of one scan, with repeats, nulls and heads without a part among them."""
+    from tracewell.catalog import QUERIES
+    from tracewell.plans import views
+
+    nan = float("nan")
+    facts = spark.createDataFrame(
+        [
+            (1, (5,), (9, "b", "y"), (5, "T2", "u5", "s"), (7, "t", "no", 0.5, "r"), ("q", "lean", 0.2)),
+            (1, (5,), (9, "b", "x"), (5, "T2", "u5", "s"), (7, "t", "yes", 0.9, "z"), ("p", "toss", 0.2)),
+            (1, (3,), (9, "b", "x"), (6, "T1", "u6", None), (7, "t", "may", 0.9, "a"), ("q", "lean", 0.7)),
+            (1, None, (8, "b", None), None, (7, None, "so", None, "a"), ("z", "toss", None)),
+            (1, None, (8, None, "w"), None, (7, None, "un", -1.0, "b"), ("n", "toss", nan)),
+            (2, None, None, None, (1, "t", "yes", 0.9, "a"), None),
+            (None, (1,), None, None, None, None),
+            (4, (1,), None, None, None, None),
+        ],
+        "head int, member struct<id int>, entity struct<entity int, name string, role string>, source struct<id int, tier string, url string, span string>, stance struct<entity int, topic string, stance string, confidence double, role string>, race struct<race_id string, rating string, confidence double>",
+    )
+    heads = spark.createDataFrame([(1, "F"), (2, "O"), (3, "P"), (None, "N")], "head int, status string")
+    links = spark.createDataFrame([(2, 1, "FOLLOWS", 1.0, 20, 10), (3, 1, "FOLLOWS", 1.0, 5, 10)], "src int, dst int, relation string, sim double, a int, b int")
+    out = views.event_objects(heads, facts, views.related_both_ways(links, ("a", "b")))
+    plain = lambda v: tuple(map(plain, v)) if isinstance(v, (list, tuple)) else "nan" if v != v else v
+    got = {r["head"]: {k: plain(v) for k, v in r.asDict().items()} for r in out.collect()}
+    none = dict.fromkeys(("members", "entities", "reactions", "sources", "races", "related"))
+    assert got[1] == {
+        "head": 1, "status": "F", "members": (3, 5), "entities": ((8, None, ("w",)), (8, "b", ()), (9, "b", ("x", "y"))),
+        "reactions": ((7, None, "un", "T1", "u6"), (7, "t", "may", "T1", "u6")), "sources": (("T1", "u6", None), ("T2", "u5", "s"), ("T2", "u5", "s")),
+        "races": (("n", "toss", "nan"), ("q", "lean", 0.7), ("p", "toss", 0.2), ("z", "toss", None)), "related": ((3, "later", "FOLLOWS"), (2, "later", "FOLLOWS")),
+    }
+    assert got[2] == none | {"head": 2, "status": "O", "related": ((1, "prior", "FOLLOWS"),)}
+    assert got[3] == none | {"head": 3, "status": "P", "related": ((1, "prior", "FOLLOWS"),)} and got[None] == none | {"head": None, "status": "N"}
+    plan = QUERIES["event_objects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning(l_orderkey") == 1

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import cosine, election_proximity, epoch_us, recency, salience
@@ -64,33 +67,68 @@ def stance_timeline(stances: DataFrame, members: DataFrame, member_stances: Data
 
 def _listed(rows: DataFrame, key: str, name: str, order: list, columns: list[str]) -> DataFrame:
     """key, name: the columns of its rows as an array of structs in order."""
-    ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*columns).alias("row"))
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["row"]).alias(name))
-
-
-def event_objects(heads: DataFrame, members: DataFrame, entities: DataFrame, told: DataFrame, related: DataFrame, sources: DataFrame, races: DataFrame) -> DataFrame:
-    """One row per head with its parts as arrays (W3).  heads: head and any columns, its verification among
-    them; members: head, id; entities: head, entity, name, role, named in order with their sorted roles;
-    told: rows of reactions; related: rows of related_both_ways; sources: head, id, tier, url, span;
-    races: rows of affected_races."""
-    cast = entities.groupBy("head", "entity", "name").agg(F.sort_array(F.collect_set("role")).alias("roles"))
-    lists = [
-        members.groupBy("head").agg(F.sort_array(F.collect_set("id")).alias("members")),
-        _listed(cast, "head", "entities", [F.col("name"), F.col("entity")], ["entity", "name", "roles"]),
-        _listed(told, "head", "reactions", [F.col("entity"), F.col("topic")], ["entity", "topic", "stance", "tier", "url"]),
-        _listed(related, "head", "related", [F.col("ts"), F.col("other"), F.col("way")], ["other", "way", "relation"]),
-        _listed(sources, "head", "sources", [F.col("tier"), F.col("id")], ["tier", "url", "span"]),
-        _listed(races, "head", "races", [F.col("place")], ["race_id", "rating", "confidence"]),
-    ]
-    out = heads
-    for part in lists:
-        out = out.join(part, "head", "left")
-    return out
-
-
-def related_both_ways(links: DataFrame) -> DataFrame:
-    """links (src, dst, relation, sim) from either head: head, other, way."""
-    return links.select(F.col("src").alias("head"), F.col("dst").alias("other"), F.lit("prior").alias("way"), "relation", "sim").unionByName(links.select(F.col("dst").alias("head"), F.col("src").alias("other"), F.lit("later").alias("way"), "relation", "sim"))
+    ranked = rows.select(key, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*columns).alias("row")).alias("ranked"))
+    return ranked.groupBy(key).agg(F.sort_array(F.collect_list("ranked"))["row"].alias(name))
+
+
+def _downwards(value: Column) -> Column:
+    """A number by which values go down: NaN first, null last, as in a descending order."""
+    x = value.cast("double")
+    return F.when(x.isNull(), float("nan")).when(F.isnan(x), float("-inf")).otherwise(-x)
+
+
+def _apart(x: Column, before: Column, *keys: str) -> Column:
+    """Whether an element of a sorted array differs in a key from the one before."""
+    return ~reduce(and_, [x[k].eqNullSafe(before[k]) for k in keys])
+
+
+def _firsts(name: str, *keys: str) -> Column:
+    """The first element of each key of the sorted array."""
+    return F.filter(name, lambda x, i: (i == 0) | _apart(x, F.get(name, i - 1), *keys))
+
+
+def event_objects(heads: DataFrame, facts: DataFrame, related: DataFrame) -> DataFrame:
+    """One row per head with its parts as arrays, null without any (W3).  heads: head and any columns, its
+    verification among them; related: rows of related_both_ways with ts; facts: head and what a row tells of it, in the
+    structs member (id), entity (entity, name, role), source (id, tier, url, span), stance (entity, topic, stance,
+    confidence, role) and race (race_id, rating, confidence), null where it tells nothing.
+
+    members, and entities by name with their sorted roles, are distinct; sources go by tier and id; reactions are the
+    surest stance on each entity and topic with the first source, of heads that have one (W4); races have their
+    surest link and go by confidence (W6).  Facts are grouped by head once, for all parts, and what repeats is found by
+    looking one element back, so a long list takes no longer for each of its elements."""
+    has = lambda part, *columns: F.when(F.col(part).isNotNull(), F.struct(*columns)).alias(part)
+    told = facts.select(
+        "head",
+        F.col("member.id").alias("member"),
+        has("entity", "entity.name", "entity.entity", "entity.role"),
+        has("source", "source.tier", "source.id", "source.url", "source.span"),
+        has("stance", "stance.entity", "stance.topic", _downwards(F.col("stance.confidence")).alias("down"), "stance.role", "stance.stance"),
+        has("race", "race.race_id", _downwards(F.col("race.confidence")).alias("down"), "race.rating", "race.confidence"),
+    )
+    rows = told.groupBy("head").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in told.columns[1:]])
+    names = F.filter(F.sequence(F.lit(0), F.size("entity") - 1), lambda i: (i == 0) | _apart(F.get("entity", i), F.get("entity", i - 1), "name", "entity"))
+    rows = rows.withColumns({"names": F.when(F.size("entity") > 0, names), "best": F.get("source", F.lit(0))})
+    none = F.array(F.lit(None).cast(facts.schema["entity"].dataType["role"].dataType))
+    roles = lambda i, j: F.array_except(F.slice("entity", i + 1, F.coalesce(F.get("names", j + 1), F.size("entity")) - i)["role"], none)
+    parts = {
+        "members": ("member", F.array_distinct("member")),
+        "entities": ("entity", F.transform("names", lambda i, j: F.struct(F.get("entity", i)["entity"].alias("entity"), F.get("entity", i)["name"].alias("name"), roles(i, j).alias("roles")))),
+        "reactions": ("stance", F.when(F.col("best").isNotNull(), F.transform(_firsts("stance", "entity", "topic"), lambda x: F.struct(x["entity"], x["topic"], x["stance"], F.col("best.tier"), F.col("best.url"))))),
+        "sources": ("source", F.arrays_zip("source.tier", "source.url", "source.span")),
+        "races": ("race", F.sort_array(F.transform(_firsts("race", "race_id"), lambda x: F.struct(x["down"], x["race_id"], x["rating"], x["confidence"])))),
+    }
+    rows = rows.select("head", *[F.when(F.size(old) > 0, v).alias(k) for k, (old, v) in parts.items()])
+    rows = rows.withColumn("races", F.arrays_zip("races.race_id", "races.rating", "races.confidence"))
+    return heads.join(rows, "head", "left").join(_listed(related, "head", "related", [F.col("ts"), F.col("other"), F.col("way")], ["other", "way", "relation"]), "head", "left")
+
+
+def related_both_ways(links: DataFrame, at: tuple[str, str] | None = None) -> DataFrame:
+    """links (src, dst, relation, sim) from either head: head, other, way (W5); with `at`, the columns of links
+    that hold the times of src and dst, also ts, that of the other."""
+    end = lambda head, other, way, ts: F.struct(F.col(head).alias("head"), F.col(other).alias("other"), F.lit(way).alias("way"), *([F.col(ts).alias("ts")] if ts else []))
+    src, dst = at or (None, None)
+    return links.select(F.explode(F.array(end("src", "dst", "prior", dst), end("dst", "src", "later", src))).alias("e"), "relation", "sim").select("e.*", "relation", "sim")
 
 
 def dossier(stances: DataFrame, events: DataFrame, sources: DataFrame, newest: int = 20, neighbours: DataFrame | None = None) -> DataFrame:
